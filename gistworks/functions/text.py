@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # recurses once per item in Java, so that a few thousand capitalised words in a
 # row would overflow the stack of the task.
 ET_AL_STOP = r"(et al) \. (?![A-Z][a-z])"
-WHITESPACE = "[\\t-\\r\\x1c- \\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 GLUED_STOP = r"\.([A-Z][a-z])"
 AUTHOR = r"[A-Z][A-Za-z'`-]++"
 MORE_AUTHORS = rf"(?:,? (?:and |& )?{AUTHOR})*+"
@@ -26,6 +26,8 @@ BRACKET_LIST = r"\[[0-9]++(?:,\s*+[0-9]++)++\]"
 PROMPT_PREFIX = "Simplify: "
 PROMPT_MARKER = " TL;DR: "
 
+NOT_WORD = "[^a-z0-9]+"
+
 # Sentence rule: a stop, closing quotes, one blank, then an opening quote or a
 # capital or a digit. Stops of these abbreviations do not end a sentence.
 ABBREVIATIONS = r"(^|[^\p{L}\p{N}_])(e\.g|i\.e|Fig|et al|Dr|vs)"
@@ -109,7 +111,11 @@ def split_naive(text: Column) -> Column:
 def normalise_words(text: Column) -> Column:
     """Lower-cased ``[a-z0-9]+`` words joined by one blank; the form in which
     token sequences travel."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
+
+
+def normalise_each(sentences: Column) -> Column:
+    return F.transform(sentences, normalise_words)
 
 
 def words_of(normalised: Column) -> Column:

@@ -29,8 +29,8 @@ def _prepared(articles: DataFrame, lay_sentences: int | None) -> DataFrame:
         lay = F.slice(lay, 1, lay_sentences)
     df = with_computed(
         df,
-        _words=F.transform("_sentences", text.normalise_words),
-        _targets=F.transform(F.concat(F.array("_lay"), lay), text.normalise_words),
+        _words=text.normalise_each(F.col("_sentences")),
+        _targets=text.normalise_each(F.concat(F.array("_lay"), lay)),
     )
     return with_computed(
         df,

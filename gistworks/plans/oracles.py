@@ -171,3 +171,236 @@ ORACLES: dict[str, str] = {
     "rougeL_pair_scores": f"WITH {SPLIT}, {PAIR_SCORES} SELECT id, sent_idx, lay_idx, score FROM ps WHERE score > 0",
     "best_match": f"WITH {SPLIT}, {PAIR_SCORES}, {best('ps')} SELECT id, lay_idx, sent_idx, score FROM best",
 }
+
+
+def article_column(expression: str) -> str:
+    return f"WITH {CITED} SELECT id, {expression} AS article FROM cited"
+
+
+ORACLES |= {
+    "clean_et_al": article_column(et_al("article")),
+    "clean_whitespace": article_column(whitespace("article")),
+    "clean_stop_space": article_column(stop_space("article")),
+    "strip_author_year": article_column(author_year("article")),
+    "strip_bracket_single": article_column(bracket_single("article")),
+    "strip_bracket_list": article_column(bracket_list("article")),
+    "preprocess": article_column(clean("article")),
+    "remove_abstract": article_column("array_to_string(string_split(article, chr(10))[2:], chr(10))"),
+    "sentences": f"WITH {SPLIT} SELECT id, sent_idx, sentence FROM art",
+    "naive_sentences": r"""SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence FROM (
+        SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+          SELECT doc_id AS id, string_split(array_to_string(string_split(text, chr(10))[2:], '.'), '.') AS s FROM documents))""",
+    "rouge_tokens": f"""WITH {ARTICLES} SELECT id, i::INTEGER - 1 AS pos, w[i] AS token FROM (
+        SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, {words('lay_summary')} AS w FROM articles))""",
+    "char_lengths": f"""WITH {ARTICLES} SELECT id, length(article)::INTEGER AS article_chars,
+        length(lay_summary)::INTEGER AS summary_chars FROM articles""",
+    "headings_joined": f"""WITH {ARTICLES} SELECT id, array_to_string(headings, ', ') AS headings,
+        array_to_string(keywords, ', ') AS keywords FROM articles""",
+    "prompt_build": f"""WITH {ARTICLES} SELECT id, concat('Simplify: ', article, ' TL;DR: ') AS prompt,
+        string_split(concat('Simplify: ', article, ' TL;DR: ', lay_summary), ' TL;DR: ')[2] AS completion FROM articles""",
+    "jsonl_roundtrip": f"""WITH {ARTICLES} SELECT id::VARCHAR AS id, article, lay_summary,
+        array_to_string(headings, '|') AS headings, array_to_string(keywords, '|') AS keywords FROM articles""",
+    "csv_roundtrip": """SELECT doc_id::VARCHAR AS id, 0 AS sent_idx, text AS sentence, quality AS label
+        FROM documents JOIN labels USING (doc_id)""",
+    "scan_limit": f"WITH {ARTICLES} SELECT id, article, lay_summary FROM articles ORDER BY id LIMIT 10",
+    "point_lookup": "SELECT doc_id AS id, string_split(text, chr(10))[1] AS lay_summary FROM documents WHERE doc_id = 7",
+}
+
+DIALOGUES = """dialogues AS (
+  SELECT concat(u.conv_id, '-', u.turn) AS id, u.text AS article, a.text AS lay_summary
+  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+ORACLES["multi_source_union"] = f"""WITH {ARTICLES}, {DIALOGUES}
+  SELECT id::VARCHAR AS id, 'documents' AS corpus, 'train' AS split, article, lay_summary FROM articles
+  UNION ALL SELECT id, 'dialogues', 'val', article, lay_summary FROM dialogues"""
+
+PLAIN = f"""plain AS (SELECT id, {sentences(clean('article'))} AS s FROM articles)"""
+PSEUDO_SPLIT = f"""{SELECTED},
+{PLAIN},
+pseudo_s AS (SELECT id, {sentences(clean('article'))} AS s FROM pseudo),
+marked AS (
+  SELECT art.id, sent_idx, sentence, list_contains(pseudo_s.s, sentence)::INTEGER AS label FROM art JOIN pseudo_s USING (id))"""
+ORACLES |= {
+    "pseudo_article_join": f"""WITH {SELECTED} SELECT p.id, p.article, p.lay_summary, c.article AS article_whole
+        FROM pseudo p JOIN cited c USING (id)""",
+    "binary_labels": f"WITH {PSEUDO_SPLIT} SELECT id, sent_idx, sentence, label FROM marked",
+    "consistency_check": f"""WITH {PSEUDO_SPLIT} SELECT id, i::INTEGER - 1 AS sent_idx, t[i] AS sentence FROM (
+        SELECT id, t, s, unnest(range(1, len(t) + 1)) AS i FROM (
+          SELECT p.id, p.s AS t, a.s FROM pseudo_s p JOIN plain a USING (id)))
+        WHERE NOT list_contains(s, t[i])""",
+    "sentence_counts": f"""WITH {PSEUDO_SPLIT} SELECT p.id, len(p.s)::INTEGER AS pseudo_sentences,
+        len(w.s)::INTEGER AS article_sentences FROM pseudo_s p JOIN split w USING (id)""",
+    "label_counts": f"WITH {PSEUDO_SPLIT} SELECT label, count(*) AS rows FROM marked GROUP BY label",
+    "class_encode": """SELECT vec_id, (label * 3)::VARCHAR AS label, (dense_rank() OVER (ORDER BY label))::INTEGER - 1 AS class_id
+        FROM embeddings""",
+    "head_fraction": """SELECT doc_id AS id, n_chars FROM documents
+        QUALIFY row_number() OVER (ORDER BY doc_id) <= count(*) OVER () // 3""",
+    "sample_n": "SELECT doc_id AS id, n_chars FROM documents ORDER BY md5(concat('42-', doc_id)) LIMIT 100",
+    "balance_classes": """SELECT doc_id AS id, 1 - quality AS label FROM labels
+        QUALIFY label = 1 OR row_number() OVER (PARTITION BY label ORDER BY md5(concat('42-', doc_id)))
+          <= count_if(quality = 0) OVER ()""",
+    "stratified_split": """SELECT id, label, CASE WHEN r <= ceil(ceil(n * 0.2) / 2) THEN 'validation'
+          WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT doc_id AS id, quality AS label, count(*) OVER (PARTITION BY quality) AS n,
+          row_number() OVER (PARTITION BY quality ORDER BY md5(concat('42-', doc_id))) AS r FROM labels)""",
+    "train_eval_split": """SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(concat('42-', id))) <= 20 THEN 'eval' ELSE 'train' END AS split
+        FROM (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 100)""",
+}
+
+
+def n_words(x: str) -> str:
+    return f"len({words(x)})"
+
+
+def word_list(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*')"
+
+
+def readability(source: str, column: str, keys: str) -> str:
+    """CTE ``readable``: the three scores of a text column."""
+    return rf"""counted AS (
+  SELECT {keys}, {column} AS t, list_transform({word_list(column)}, lambda w: greatest(1,
+      len(regexp_extract_all(w, '[aeiouy]+')) - regexp_matches(w, '[^aeiouy]e$')::INTEGER)) AS y,
+    length(regexp_replace({column}, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS letters, len({sentences(column)}) AS sents
+  FROM {source}),
+measured AS (
+  SELECT {keys}, t, letters, sents, len(y)::DOUBLE AS w, list_sum(y) AS syll, len(list_filter(y, lambda s: s >= 3)) AS hard FROM counted),
+readable AS (
+  SELECT {keys}, t,
+    CASE WHEN w > 0 AND sents > 0 THEN round(206.835::DOUBLE - 1.015::DOUBLE * w / sents - 84.6::DOUBLE * syll / w, 6) END AS flesch_kincaid_reading_score,
+    CASE WHEN w > 0 AND sents > 0 THEN round(4.71::DOUBLE * letters / w + 0.5::DOUBLE * w / sents - 21.43::DOUBLE, 6) END AS ari_score,
+    CASE WHEN w > 0 AND sents > 0 THEN round(0.4::DOUBLE * (w / sents + 100.0::DOUBLE * hard / w), 6) END AS gunning_fog_score
+  FROM measured)"""
+
+
+SCORES = ("flesch_kincaid_reading_score", "ari_score", "gunning_fog_score")
+LEAD = """lead AS (
+  SELECT id, 'lead' AS system, array_to_string(s[1:10], ' ') AS candidate, c.lay_summary AS target
+  FROM split JOIN cited c USING (id))"""
+EXTRACTIVE = "extractive AS (SELECT id, 'extractive' AS system, article AS candidate, lay_summary AS target FROM pseudo)"
+BOTH = f"{SELECTED}, {LEAD}, {EXTRACTIVE}, systems AS (SELECT * FROM lead UNION ALL SELECT * FROM extractive)"
+TALK = f"""{DIALOGUES}, talk AS (
+  SELECT id, 'question' AS system, article AS candidate, lay_summary AS target FROM dialogues
+  UNION ALL SELECT id, 'reply', lay_summary, lay_summary FROM dialogues)"""
+
+
+def rouge(source: str, orders: str = "12L") -> str:
+    """CTE ``rouge``: hits and sizes of ROUGE-1, -2 and -L per pair."""
+    parts = []
+    for n in (1, 2):
+        gram = "w[i]" if n == 1 else "concat(w[i], ' ', w[i + 1])"
+        for side in ("c", "t"):
+            parts.append(f"""{side}{n} AS (
+  SELECT id, system, {gram} AS g, count(*) AS k FROM (
+    SELECT id, system, {side} AS w, unnest(range(1, len({side}) + {2 - n})) AS i FROM pairs) GROUP BY ALL)""")
+        parts.append(f"""h{n} AS (
+  SELECT id, system, sum(least(c{n}.k, t{n}.k)) AS h FROM c{n} JOIN t{n} USING (id, system, g) GROUP BY ALL)""")
+    lcs_hits = f"CASE WHEN list_has_any(c, t) THEN {lcs('a', 'b')} ELSE 0 END" if "L" in orders else "0"
+    return f"""pairs AS MATERIALIZED (
+  SELECT id, system, c, t, CASE WHEN len(c) <= len(t) THEN c ELSE t END AS a, CASE WHEN len(c) <= len(t) THEN t ELSE c END AS b
+  FROM (SELECT id, system, {words('candidate')} AS c, {words('target')} AS t FROM {source})),
+{', '.join(parts)},
+rouge AS MATERIALIZED (
+  SELECT p.id, p.system, len(c) AS c1, len(t) AS t1, greatest(len(c) - 1, 0) AS c2, greatest(len(t) - 1, 0) AS t2,
+    coalesce(h1.h, 0) AS h1, coalesce(h2.h, 0) AS h2, {lcs_hits} AS hl
+  FROM pairs p LEFT JOIN h1 USING (id, system) LEFT JOIN h2 USING (id, system))"""
+
+
+def prf(h: str, c: str, t: str) -> str:
+    return f"""CASE WHEN {c} = 0 THEN 0::DOUBLE ELSE {h}::DOUBLE / {c} END AS precision,
+      CASE WHEN {t} = 0 THEN 0::DOUBLE ELSE {h}::DOUBLE / {t} END AS recall, {f_measure(h, c, t)} AS fmeasure"""
+
+
+MEANS = f"""round(avg({f_measure('h1', 'c1', 't1')}), 6) AS rouge1_f, round(avg({f_measure('h2', 'c2', 't2')}), 6) AS rouge2_f,
+    round(avg({f_measure('hl', 'c1', 't1')}), 6) AS rougeL_f"""
+CONFUSION = """confusion AS (SELECT count_if(quality <> 0 AND toxic <> 0) AS tn, count_if(quality <> 0 AND toxic = 0) AS fp,
+  count_if(quality = 0 AND toxic <> 0) AS fn, count_if(quality = 0 AND toxic = 0) AS tp FROM labels)"""
+
+ORACLES |= {
+    "keyword_counts": """SELECT keyword, count(*) AS articles FROM (SELECT unnest([lang, source]) AS keyword FROM documents)
+        GROUP BY keyword""",
+    "token_lengths": f"WITH {ARTICLES} SELECT id, {n_words('article')}::INTEGER AS tokens FROM articles",
+    "avg_token_length": f"WITH {ARTICLES} SELECT round(avg({n_words('article')}), 6) AS avg_tokens FROM articles",
+    "length_histogram": f"""WITH {ARTICLES}, v AS (SELECT {n_words('lay_summary')}::DOUBLE AS v FROM articles),
+        e AS (SELECT CASE WHEN max(v) = min(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN max(v) = min(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
+        b AS (SELECT least(floor((v - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin, count(*) AS n FROM v, e GROUP BY bin)
+        SELECT r.bin::INTEGER AS bin, round(lo + (hi - lo) / 10 * r.bin, 6) AS low, round(lo + (hi - lo) / 10 * (r.bin + 1), 6) AS high,
+          coalesce(n, 0) AS rows FROM (SELECT unnest(range(10)) AS bin) r CROSS JOIN e LEFT JOIN b ON b.bin = r.bin""",
+    "summary_length_quantiles": f"""WITH {ARTICLES}, n AS (SELECT len({sentences('article')}) AS n FROM articles)
+        SELECT quantile_cont(n, 0.25)::DOUBLE AS p25, quantile_cont(n, 0.5)::DOUBLE AS p50, quantile_cont(n, 0.75)::DOUBLE AS p75,
+          quantile_cont(n, 0.9)::DOUBLE AS p90 FROM n""",
+    "corpus_stats": f"""WITH {ARTICLES}, {readability('articles', 'article', 'id, lay_summary')}
+        SELECT count(*) AS articles, round(avg(length(t)), 6) AS avg_article_chars, round(avg({n_words('t')}), 6) AS avg_article_tokens,
+          round(avg({n_words('lay_summary')}), 6) AS avg_summary_tokens, round(avg(len({sentences('t')})), 6) AS avg_article_sentences,
+          round(avg(flesch_kincaid_reading_score), 6) AS avg_reading_ease FROM readable""",
+    "rouge1": f"WITH {SPLIT}, {LEAD}, {rouge('lead', '1')} SELECT id, system, 1::BIGINT AS copies, {prf('h1', 'c1', 't1')} FROM rouge",
+    "rouge2": f"WITH {SPLIT}, {LEAD}, {rouge('lead', '2')} SELECT id, system, 1::BIGINT AS copies, {prf('h2', 'c2', 't2')} FROM rouge",
+    "rougeL": f"WITH {SPLIT}, {LEAD}, {rouge('lead')} SELECT id, system, 1::BIGINT AS copies, {prf('hl', 'c1', 't1')} FROM rouge",
+    "rouge2_macro": f"""WITH {SELECTED}, {EXTRACTIVE}, {rouge('extractive', '2')} SELECT round(avg(precision), 4) AS rouge2_precision,
+        round(avg(recall), 4) AS rouge2_recall, round(avg(fmeasure), 4) AS rouge2_fmeasure
+        FROM (SELECT {prf('h2', 'c2', 't2')} FROM rouge)""",
+    "rouge_report": f"""WITH {TALK}, {rouge('talk')} SELECT system, {MEANS},
+        (SELECT round(avg((candidate = target)::INTEGER), 6) FROM talk t WHERE t.system = rouge.system) AS accuracy
+        FROM rouge GROUP BY system""",
+    "rouge_by_system": f"WITH {BOTH}, {rouge('systems')} SELECT system, {MEANS} FROM rouge GROUP BY system",
+    "exact_match": f"WITH {SPLIT}, {LEAD} SELECT round(avg((candidate = target)::INTEGER), 6) AS accuracy FROM lead",
+    "confusion_matrix": f"WITH {CONFUSION} SELECT tn, fp, fn, tp FROM confusion",
+    "binary_metrics": f"""WITH {CONFUSION}, r AS (SELECT coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
+          coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM confusion)
+        SELECT round(accuracy, 6) AS accuracy, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
+          round(p, 6) AS precision, round(r, 6) AS recall FROM r""",
+    "readability": f"WITH {ARTICLES}, {readability('articles', 'article', 'id')} SELECT id, {', '.join(SCORES)} FROM readable",
+    "readability_guarded": f"""WITH {BOTH}, shown AS (SELECT id, 'lay_summary' AS system, lay_summary AS candidate FROM articles
+          UNION ALL SELECT id, system, candidate FROM systems), {readability('shown', 'candidate', 'id, system')}
+        SELECT id, system, {', '.join(f"CASE WHEN len(string_split(t, ' ')) > 120 THEN coalesce({c}, 0) ELSE 0::DOUBLE END AS {c}" for c in SCORES)}
+        FROM readable""",
+    "readability_macro": f"""WITH {BOTH}, {readability('systems', 'candidate', 'id, system')}
+        SELECT system, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM readable GROUP BY system""",
+    "softmax_probs": """SELECT vec_id, i::INTEGER - 1 AS class_id, round(e[i] / list_sum(e), 6) AS p FROM (
+        SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM (
+          SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings))""",
+    "argmax_label": "SELECT vec_id, list_position(embedding, list_max(embedding))::INTEGER - 1 AS class_id FROM embeddings",
+    "threshold_topk": f"""WITH {SPLIT}, logits AS (
+          SELECT id, sent_idx, sentence, ('0x' || md5(concat(id, '-', sent_idx))[1])::INTEGER / 4::DOUBLE - 2 AS k FROM art)
+        SELECT id, sent_idx, sentence, round(exp(k - greatest(0, k)) / (exp(0 - greatest(0, k)) + exp(k - greatest(0, k))), 9) AS p1
+        FROM logits WHERE p1 >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY p1 DESC, sent_idx) <= 25""",
+}
+
+VOCABULARY = f"""{ARTICLES},
+enc AS (SELECT id, lay_summary, {words('article')}[1:512] AS a, {words('lay_summary')}[1:128] AS l,
+  {words('article')} AS aw, {words('lay_summary')} AS lw FROM articles),
+vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY n DESC, token))::INTEGER + 1 AS token_id FROM (
+    SELECT token, count(*) AS n FROM (SELECT unnest(list_concat(aw, lw)) AS token FROM enc) GROUP BY token ORDER BY n DESC, token LIMIT 5000))"""
+
+
+def ids(side: str) -> str:
+    return f"""{side}_ids AS (
+  SELECT id, list(coalesce(token_id, 1) ORDER BY i) AS v FROM (
+    SELECT id, {side}[i] AS token, i FROM (SELECT id, {side}, unnest(range(1, len({side}) + 1)) AS i FROM enc))
+  LEFT JOIN vocab USING (token) GROUP BY id)"""
+
+
+INPUTS = f"""{VOCABULARY}, {ids('a')}, {ids('l')},
+batch AS (SELECT enc.id, coalesce(a_ids.v, []) AS a, coalesce(l_ids.v, []) AS l
+  FROM enc LEFT JOIN a_ids USING (id) LEFT JOIN l_ids USING (id))"""
+
+
+def filled(x: str, length: str, value: str) -> str:
+    return f"list_concat({x}, list_transform(range({length}), lambda j: {value}))"
+
+
+ORACLES |= {
+    "model_inputs": f"""WITH {INPUTS} SELECT id, 1::BIGINT AS copies,
+        CASE WHEN ('0x' || substr(md5(id::VARCHAR), 1, 4))::INTEGER % 5 = 0 THEN 'val' ELSE 'train' END AS split,
+        array_to_string({filled('a', '512 - len(a)', '0')}, ' ') AS input_ids,
+        array_to_string({filled('list_transform(a, lambda j: 1)', '512 - len(a)', '0')}, ' ') AS attention_mask,
+        array_to_string({filled('[1]', '511', '0')}, ' ') AS global_attention_mask,
+        array_to_string({filled('l', '128 - len(l)', '-100')}, ' ') AS labels FROM batch""",
+    "label_mask": f"""WITH {INPUTS} SELECT id, i::INTEGER - 1 AS pos, CASE WHEN i <= len(l) THEN l[i] ELSE -100 END AS label
+        FROM (SELECT id, l, unnest(range(1, 129)) AS i FROM batch)""",
+    "decode_labels": f"""WITH {VOCABULARY} SELECT enc.id, coalesce(t.text, '') AS text FROM enc LEFT JOIN (
+        SELECT id, string_agg(token, ' ' ORDER BY i) AS text FROM (
+          SELECT id, l[i] AS token, i FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM enc))
+        JOIN vocab USING (token) GROUP BY id) t USING (id)""",
+}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.functions import text
-from gistworks.operators import extract
+from gistworks.functions import text, vectors
+from gistworks.operators import extract, extractor, inputs, labels, metrics, sampling, stats
 from gistworks.plans import views
+from gistworks.session import checkpoint_folder
+from gistworks.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +59,350 @@ def rougeL_pair_scores(spark, sf_dir):
 @query
 def best_match(spark, sf_dir):
     return extract.best_matches(views.cited_articles(spark, sf_dir))
+
+
+# --- cleaning and splitting -------------------------------------------------
+
+
+def _article_column(name, expression):
+    """A query that applies one text expression to every cited article."""
+
+    def run(spark, sf_dir):
+        return views.cited_articles(spark, sf_dir).select("id", expression(F.col("article")).alias("article"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+_article_column("clean_et_al", text.drop_stop_after_et_al)
+_article_column("clean_whitespace", text.collapse_whitespace)
+_article_column("clean_stop_space", text.space_after_stop)
+_article_column("strip_author_year", text.strip_author_year)
+_article_column("strip_bracket_single", text.strip_bracket_single)
+_article_column("strip_bracket_list", text.strip_bracket_list)
+_article_column("preprocess", text.clean)
+_article_column("remove_abstract", text.drop_first_line)
+
+
+@query
+def sentences(spark, sf_dir):
+    split = text.split_sentences(text.clean(F.col("article")))
+    return views.cited_articles(spark, sf_dir).select("id", F.posexplode(split).alias("sent_idx", "sentence"))
+
+
+@query
+def naive_sentences(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.posexplode(text.split_naive(F.col("text"))).alias("sent_idx", "sentence")
+    )
+
+
+@query
+def rouge_tokens(spark, sf_dir):
+    return views.articles(spark, sf_dir).select(
+        "id", F.posexplode(text.word_tokens(F.col("lay_summary"))).alias("pos", "token")
+    )
+
+
+@query
+def char_lengths(spark, sf_dir):
+    return stats.char_lengths(views.articles(spark, sf_dir))
+
+
+@query
+def headings_joined(spark, sf_dir):
+    return views.articles(spark, sf_dir).select(
+        "id", F.array_join("headings", ", ").alias("headings"), F.array_join("keywords", ", ").alias("keywords")
+    )
+
+
+@query
+def prompt_build(spark, sf_dir):
+    df = views.articles(spark, sf_dir).select("id", text.prompt(F.col("article")).alias("prompt"), "lay_summary")
+    completed = F.concat("prompt", "lay_summary")
+    return df.select("id", "prompt", text.after_marker(completed).alias("completion"))
+
+
+# --- sources and sinks ------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/gistworks-{uuid.uuid4().hex}"
+
+
+def _as_corpus(df):
+    return df.select(F.col("id").cast("string").alias("id"), "article", "lay_summary", "headings", "keywords")
+
+
+@query
+def jsonl_roundtrip(spark, sf_dir):
+    path = corpus.corpus_path(_scratch(spark), "documents", "train")
+    corpus.write_articles(_as_corpus(views.articles(spark, sf_dir)), path)
+    return corpus.read_articles(spark, path).select(
+        "id", "article", "lay_summary", F.array_join("headings", "|").alias("headings"), F.array_join("keywords", "|").alias("keywords")
+    )
+
+
+@query
+def multi_source_union(spark, sf_dir):
+    folder = _scratch(spark)
+    corpus.write_articles(_as_corpus(views.articles(spark, sf_dir)), corpus.corpus_path(folder, "documents", "train"))
+    corpus.write_articles(views.dialogue_pairs(spark, sf_dir), corpus.corpus_path(folder, "dialogues", "val"))
+    return corpus.read_corpora(spark, folder).select("id", "corpus", "split", "article", "lay_summary")
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    path = _scratch(spark)
+    labelled = views.labelled_texts(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"), F.lit(0).alias("sent_idx"), "sentence", "label"
+    )
+    corpus.write_sentences(labelled, path)
+    return corpus.read_sentences(spark, path)
+
+
+@query
+def scan_limit(spark, sf_dir):
+    return corpus.first_rows(views.articles(spark, sf_dir), 10).select("id", "article", "lay_summary")
+
+
+@query
+def point_lookup(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents").where("doc_id = 7")
+    return docs.select(F.col("doc_id").alias("id"), text.first_line(F.col("text")).alias("lay_summary"))
+
+
+# --- labelling --------------------------------------------------------------
+
+
+def _pseudo(spark, sf_dir):
+    return extract.pseudo_summaries(views.cited_articles(spark, sf_dir).select("id", "article", "lay_summary"))
+
+
+def _joined(spark, sf_dir):
+    return labels.join_originals(_pseudo(spark, sf_dir), views.cited_articles(spark, sf_dir))
+
+
+@query
+def pseudo_article_join(spark, sf_dir):
+    return _joined(spark, sf_dir)
+
+
+@query
+def binary_labels(spark, sf_dir):
+    return labels.binary_labels(_joined(spark, sf_dir))
+
+
+@query
+def consistency_check(spark, sf_dir):
+    # Against the articles without their added citations, so that some are missing.
+    return labels.missing_sentences(labels.join_originals(_pseudo(spark, sf_dir), views.articles(spark, sf_dir)))
+
+
+@query
+def sentence_counts(spark, sf_dir):
+    return labels.sentence_counts(_joined(spark, sf_dir))
+
+
+@query
+def label_counts(spark, sf_dir):
+    return labels.label_counts(labels.binary_labels(_joined(spark, sf_dir)))
+
+
+@query
+def class_encode(spark, sf_dir):
+    vectors_ = views.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") * 3).cast("string").alias("label"))
+    return labels.class_encode(vectors_).select("vec_id", "label", "class_id")
+
+
+# --- samples and splits -----------------------------------------------------
+
+
+@query
+def head_fraction(spark, sf_dir):
+    return sampling.first_fraction(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"))
+
+
+@query
+def sample_n(spark, sf_dir):
+    return sampling.sample_rows(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), 100)
+
+
+@query
+def balance_classes(spark, sf_dir):
+    return sampling.balance_classes(views.quality_labels(spark, sf_dir).select("id", (1 - F.col("label")).alias("label")), ["id"])
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return sampling.stratified_split(views.quality_labels(spark, sf_dir).select("id", "label"), ["id"])
+
+
+@query
+def train_eval_split(spark, sf_dir):
+    return sampling.train_eval_split(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+
+
+# --- corpus statistics ------------------------------------------------------
+
+
+@query
+def keyword_counts(spark, sf_dir):
+    return stats.keyword_counts(views.articles(spark, sf_dir))
+
+
+@query
+def token_lengths(spark, sf_dir):
+    return stats.token_lengths(views.articles(spark, sf_dir), "article")
+
+
+@query
+def avg_token_length(spark, sf_dir):
+    return stats.average_length(views.articles(spark, sf_dir), "article")
+
+
+@query
+def length_histogram(spark, sf_dir):
+    return stats.histogram(stats.token_lengths(views.articles(spark, sf_dir), "lay_summary"), "tokens")
+
+
+@query
+def summary_length_quantiles(spark, sf_dir):
+    points = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    return stats.sentence_quantiles(views.articles(spark, sf_dir), "article", points)
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    scored = metrics.with_readability(views.articles(spark, sf_dir), "article")
+    return stats.corpus_stats(
+        scored,
+        {
+            "avg_article_chars": F.length("article"),
+            "avg_article_tokens": text.count_words(text.normalise_words(F.col("article"))),
+            "avg_summary_tokens": text.count_words(text.normalise_words(F.col("lay_summary"))),
+            "avg_article_sentences": F.size(text.split_sentences(F.col("article"))),
+            "avg_reading_ease": F.col("flesch_kincaid_reading_score"),
+        },
+    )
+
+
+# --- evaluation -------------------------------------------------------------
+
+PAIR_KEYS = ["id", "system"]
+
+
+@query
+def rouge1(spark, sf_dir):
+    return metrics.rouge_scores(views.lead_candidates(spark, sf_dir), PAIR_KEYS, "1")
+
+
+@query
+def rouge2(spark, sf_dir):
+    return metrics.rouge_scores(views.lead_candidates(spark, sf_dir), PAIR_KEYS, "2")
+
+
+@query
+def rougeL(spark, sf_dir):
+    return metrics.rouge_scores(views.lead_candidates(spark, sf_dir), PAIR_KEYS, "L")
+
+
+@query
+def rouge2_macro(spark, sf_dir):
+    return metrics.rouge_macro(views.extractive_candidates(spark, sf_dir), PAIR_KEYS)
+
+
+@query
+def rouge_report(spark, sf_dir):
+    pairs = views.dialogue_candidates(spark, sf_dir)
+    report = metrics.rouge_report(pairs, PAIR_KEYS, ["system"])
+    accuracy = pairs.groupBy("system").agg(
+        F.round(F.avg((F.col("candidate").eqNullSafe(F.col("target"))).cast("double")), 6).alias("accuracy")
+    )
+    return report.join(accuracy, "system")
+
+
+@query
+def rouge_by_system(spark, sf_dir):
+    return metrics.rouge_report(views.candidates(spark, sf_dir), PAIR_KEYS, ["system"])
+
+
+@query
+def exact_match(spark, sf_dir):
+    return metrics.exact_match(views.lead_candidates(spark, sf_dir))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion_counts(views.quality_labels(spark, sf_dir))
+
+
+@query
+def binary_metrics(spark, sf_dir):
+    return metrics.binary_metrics(views.quality_labels(spark, sf_dir))
+
+
+@query
+def readability(spark, sf_dir):
+    return metrics.with_readability(views.articles(spark, sf_dir).select("id", "article"), "article").drop("article")
+
+
+@query
+def readability_guarded(spark, sf_dir):
+    lay = views.articles(spark, sf_dir).select("id", F.lit("lay_summary").alias("system"), F.col("lay_summary").alias("candidate"))
+    systems = lay.unionByName(views.candidates(spark, sf_dir).select("id", "system", "candidate"))
+    return metrics.guarded_readability(systems, "candidate").drop("candidate")
+
+
+@query
+def readability_macro(spark, sf_dir):
+    return metrics.readability_macro(views.candidates(spark, sf_dir), "candidate", ["system"])
+
+
+# --- vectors, thresholds and model inputs -----------------------------------
+
+
+@query
+def softmax_probs(spark, sf_dir):
+    df = views.table(spark, sf_dir, "embeddings")
+    probs = F.posexplode(vectors.softmax(F.col("embedding"))).alias("class_id", "p")
+    return df.select("vec_id", probs).withColumn("p", F.round("p", 6))
+
+
+@query
+def argmax_label(spark, sf_dir):
+    return views.table(spark, sf_dir, "embeddings").select("vec_id", vectors.argmax(F.col("embedding")).alias("class_id"))
+
+
+@query
+def threshold_topk(spark, sf_dir):
+    return extractor.top_sentences(views.sentence_logits(spark, sf_dir), top_k=25)
+
+
+def _vocabulary(spark, sf_dir):
+    return inputs.vocabulary(views.articles(spark, sf_dir), ["article", "lay_summary"], 5000)
+
+
+@query
+def model_inputs(spark, sf_dir):
+    articles = inputs.with_split(views.articles(spark, sf_dir))
+    batch = inputs.model_inputs(articles, _vocabulary(spark, sf_dir), ["id", "split"])
+    arrays = ["input_ids", "attention_mask", "global_attention_mask", "labels"]
+    return batch.select("id", "split", "copies", *(F.array_join(c, " ").alias(c) for c in arrays))
+
+
+def _labels(spark, sf_dir):
+    articles = views.articles(spark, sf_dir)
+    return inputs.model_inputs(articles, _vocabulary(spark, sf_dir), ["id"]).select("id", "labels")
+
+
+@query
+def label_mask(spark, sf_dir):
+    return _labels(spark, sf_dir).select("id", F.posexplode("labels").alias("pos", "label"))
+
+
+@query
+def decode_labels(spark, sf_dir):
+    return inputs.decoded(_labels(spark, sf_dir), _vocabulary(spark, sf_dir), ["id"])

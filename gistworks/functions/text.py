@@ -152,3 +152,13 @@ def prompt(text: Column) -> Column:
 def after_marker(text: Column) -> Column:
     """What follows the first prompt marker up to the next; null if none."""
     return F.get(F.split(text, PROMPT_MARKER), 1)
+
+
+def letter_words(text: Column, stop_words=()) -> Column:
+    """Lower-cased words of letters (apostrophes and hyphens inside), without
+    the stop words; what holds a digit is no word."""
+    pieces = F.split(F.lower(text), r"[^\p{L}\p{N}_'-]+")
+    words = F.filter(pieces, lambda w: w.rlike(r"^\p{L}[\p{L}'-]*$"))
+    if not stop_words:
+        return words
+    return F.filter(words, lambda w: ~w.isin(list(stop_words)))

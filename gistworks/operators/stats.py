@@ -32,20 +32,18 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     value, which falls into the last bin; half a unit each side if all are equal.
     Values are counted first, so only distinct values are binned."""
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).count()
-    top, low = values.agg(F.max("v")).scalar(), values.agg(F.min("v")).scalar()
-    spec = df.sparkSession.range(1).select(
-        F.when(top == low, low - 0.5).otherwise(low).alias("low"),
-        F.when(top == low, top + 0.5).otherwise(top).alias("top"),
-    )
-    start, end = spec.select("low").scalar(), spec.select("top").scalar()
-    step = (end - start) / bins
+    low, top = values.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        low, top = 0.0, 1.0
+    start, end = (low - 0.5, top + 0.5) if low == top else (low, top)
+    step = F.lit((end - start) / bins)
     at = F.least(F.floor((F.col("v") - start) / step), F.lit(bins - 1)).cast("int")
     counted = values.groupBy(at.alias("bin")).agg(F.sum("count").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select(
         "bin",
-        F.round(start + step * F.col("bin"), 6).alias("low"),
-        F.round(start + step * (F.col("bin") + 1), 6).alias("high"),
+        F.round(F.lit(start) + step * F.col("bin"), 6).alias("low"),
+        F.round(F.lit(start) + step * (F.col("bin") + 1), 6).alias("high"),
         F.coalesce("n", F.lit(0)).alias("rows"),
     )
 

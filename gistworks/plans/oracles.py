@@ -3,6 +3,7 @@ independently of the Spark plans: relational where those use array columns."""
 
 from __future__ import annotations
 
+from gistworks.functions.stopwords import ENGLISH
 from gistworks.plans.views import BROKEN_STOPS, CITATIONS
 
 WS = (
@@ -404,3 +405,62 @@ ORACLES |= {
           SELECT id, l[i] AS token, i FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM enc))
         JOIN vocab USING (token) GROUP BY id) t USING (id)""",
 }
+
+LEX_ROUNDS = 10
+
+
+def stop_list() -> str:
+    return "[" + ", ".join(f"'{w}'" for w in ENGLISH) + "]"
+
+
+def lexrank(stop: bool = True) -> str:
+    """CTEs of LexRank over all sentence pairs, up to the transition table."""
+    kept = f"list_contains({stop_list()}, term)" if stop else "false"
+    return rf"""{ARTICLES},
+lx AS (SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence, len(s) AS n,
+    list_filter(string_split_regex(lower(s[i]), '[^\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_matches(w, '^\p{{L}}[\p{{L}}''-]*$')) AS w
+  FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {paragraph_sentences('article')} AS s FROM articles))),
+cnt AS (SELECT id, sent_idx, n, term, count(*) AS c FROM (SELECT id, sent_idx, n, unnest(w) AS term FROM lx)
+  WHERE NOT {kept} GROUP BY ALL),
+tf AS (SELECT *, c / max(c) OVER (PARTITION BY id, sent_idx)::DOUBLE AS tf, ln(n::DOUBLE / (1 + count(*) OVER (PARTITION BY id, term))) AS idf FROM cnt),
+wt AS (SELECT id, sent_idx, term, w / norm AS w FROM (
+  SELECT id, sent_idx, term, tf * idf AS w, sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id, sent_idx)) AS norm FROM tf) WHERE norm > 0),
+sim AS MATERIALIZED (SELECT a.id, a.sent_idx AS i, b.sent_idx AS j, round(sum(a.w * b.w), 9) AS s
+  FROM wt a JOIN wt b USING (id, term) GROUP BY ALL HAVING round(sum(a.w * b.w), 9) > 0.1),
+deg AS (SELECT id, i, count(*) AS degree FROM sim GROUP BY ALL),
+bag AS (SELECT l.id, l.sent_idx, min(l.sent_idx) OVER (PARTITION BY l.id, b) AS node, count(*) OVER (PARTITION BY l.id, b) AS m
+  FROM (SELECT id, sent_idx, list_sort(list_filter(w, lambda term: NOT {kept})) AS b FROM lx) l)"""
+
+
+def lexrank_rounds() -> str:
+    """Power steps unrolled; a document that stands still keeps its scores."""
+    steps = ["p0 AS (SELECT id, sent_idx, 1 / n::DOUBLE AS s, false AS done FROM lx)"]
+    for k in range(LEX_ROUNDS):
+        steps.append(f"""p{k + 1} AS MATERIALIZED (
+  SELECT id, sent_idx, CASE WHEN done THEN old ELSE s END AS s,
+    done OR round(sqrt(sum((s - old) ** 2) OVER (PARTITION BY id)), 9) <= 0.1 AS done
+  FROM (SELECT p.id, p.sent_idx, p.done, p.s AS old, coalesce(sum(q.s / deg.degree), 0) AS s
+    FROM p{k} p LEFT JOIN sim ON sim.id = p.id AND sim.j = p.sent_idx
+      LEFT JOIN deg ON deg.id = p.id AND deg.i = sim.i LEFT JOIN p{k} q ON q.id = p.id AND q.sent_idx = sim.i
+    GROUP BY ALL))""")
+    return ", ".join(steps) + f""",
+lex_scores AS (SELECT id, sent_idx, round(s, 9) AS score FROM p{LEX_ROUNDS}),
+lex_top AS (SELECT id, sent_idx, sentence, row_number() OVER (PARTITION BY id ORDER BY score DESC, sent_idx) AS rank
+  FROM lex_scores JOIN lx USING (id, sent_idx))"""
+
+
+ORACLES |= {
+    "lexrank_tf": f"WITH {lexrank()} SELECT id, sent_idx, term, round(tf, 6) AS tf FROM tf",
+    "lexrank_idf": f"WITH {lexrank()} SELECT DISTINCT id, term, round(idf, 6) AS idf FROM tf",
+    "lexrank_similarity": f"""WITH {lexrank()} SELECT id, i, j, round(s, 6) AS similarity FROM sim
+        WHERE i < j AND (id, i) IN (SELECT (id, node) FROM bag) AND (id, j) IN (SELECT (id, node) FROM bag)""",
+    "lexrank_edges": f"""WITH {lexrank()} SELECT sim.id, sim.i AS src, sim.j AS dst, degree, round(bag.m / degree::DOUBLE, 6) AS share
+        FROM sim JOIN deg USING (id, i) JOIN bag ON bag.id = sim.id AND bag.sent_idx = sim.i
+        WHERE bag.node = sim.i AND (sim.id, sim.j) IN (SELECT (id, node) FROM bag)""",
+    "lexrank_scores": f"WITH {lexrank()}, {lexrank_rounds()} SELECT id, sent_idx, round(score, 6) AS score FROM lex_scores",
+    "lexrank_summary": f"""WITH {lexrank()}, {lexrank_rounds()} SELECT a.id, coalesce(t.article, '') AS article, a.lay_summary
+        FROM articles a LEFT JOIN (SELECT id, string_agg(sentence, ' ' ORDER BY sent_idx) AS article FROM lex_top
+          WHERE rank <= 25 GROUP BY id) t USING (id)""",
+    "lexrank_batch": f"""WITH {lexrank(False)}, {lexrank_rounds()} SELECT id, sentence,
+        (row_number() OVER (PARTITION BY id ORDER BY sent_idx))::INTEGER - 1 AS pos FROM lex_top WHERE rank <= 130""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators import extract, extractor, inputs, labels, metrics, sampling, stats
+from gistworks.operators import extract, extractor, inputs, labels, lexrank, metrics, sampling, stats
 from gistworks.plans import views
 from gistworks.session import checkpoint_folder
 from gistworks.sources import corpus
@@ -406,3 +406,65 @@ def label_mask(spark, sf_dir):
 @query
 def decode_labels(spark, sf_dir):
     return inputs.decoded(_labels(spark, sf_dir), _vocabulary(spark, sf_dir), ["id"])
+
+
+# --- LexRank ----------------------------------------------------------------
+
+
+def _by_id(spark, sf_dir, per_document):
+    """Rows per document as rows per article id."""
+    ids = lexrank.with_document_key(views.articles(spark, sf_dir)).select("id", "doc")
+    return ids.join(per_document, "doc").drop("doc")
+
+
+def _frequencies(spark, sf_dir):
+    found = lexrank.nodes(
+        views.articles(spark, sf_dir),
+        text.split_paragraph_sentences(F.col("article")),
+        lambda s: text.letter_words(s, lexrank.ENGLISH),
+    )
+    return found, lexrank.frequencies(lexrank.term_counts(found))
+
+
+@query
+def lexrank_tf(spark, sf_dir):
+    found, terms = _frequencies(spark, sf_dir)
+    sentences_ = found.select("doc", "node", F.explode("sents").alias("sent_idx"))
+    rows = sentences_.join(terms, ["doc", "node"]).select("doc", "sent_idx", "term", F.round("tf", 6).alias("tf"))
+    return _by_id(spark, sf_dir, rows)
+
+
+@query
+def lexrank_idf(spark, sf_dir):
+    _, terms = _frequencies(spark, sf_dir)
+    return _by_id(spark, sf_dir, terms.groupBy("doc", "term").agg(F.round(F.any_value("idf"), 6).alias("idf")))
+
+
+@query
+def lexrank_similarity(spark, sf_dir):
+    _, _, similar = lexrank._graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
+    return _by_id(spark, sf_dir, similar.select("doc", "i", "j", F.round("similarity", 6).alias("similarity")))
+
+
+@query
+def lexrank_edges(spark, sf_dir):
+    _, weights, similar = lexrank._graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
+    edges = lexrank.transitions(weights, similar)
+    return _by_id(spark, sf_dir, edges.select("doc", "src", "dst", "degree", F.round("share", 6).alias("share")))
+
+
+@query
+def lexrank_scores(spark, sf_dir):
+    scores = lexrank.sentence_scores(views.articles(spark, sf_dir))
+    return _by_id(spark, sf_dir, scores.withColumn("score", F.round("score", 6)))
+
+
+@query
+def lexrank_summary(spark, sf_dir):
+    return lexrank.summaries(views.articles(spark, sf_dir).select("id", "article", "lay_summary"))
+
+
+@query
+def lexrank_batch(spark, sf_dir):
+    lists = lexrank.sentence_lists(views.articles(spark, sf_dir).select("id", "article"), 130, ())
+    return lists.select("id", F.posexplode("_summary").alias("pos", "sentence"))

@@ -29,8 +29,13 @@ PLACES = 9
 LISTED_NODES = 256
 
 
+def _digest(value: Column) -> Column:
+    """128 bits of SHA-256, as 16 bytes."""
+    return F.substring(F.unhex(F.sha2(value, 256)), 1, 16)
+
+
 def with_document_key(articles: DataFrame) -> DataFrame:
-    return articles.withColumn("doc", F.sha2(F.coalesce("article", F.lit("")), 256))
+    return articles.withColumn("doc", _digest(F.coalesce("article", F.lit(""))))
 
 
 def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
@@ -47,7 +52,7 @@ def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
     )
     bags = split.select("doc", "n", "idx", F.array_sort(words(F.col("sentence"))).alias("words"))
     return (
-        bags.withColumn("bag", F.sha2(F.array_join("words", " "), 256))
+        bags.withColumn("bag", _digest(F.array_join("words", " ")))
         .groupBy("doc", "n", "bag")
         .agg(
             F.min("idx").alias("node"),
@@ -70,20 +75,24 @@ def term_counts(node_table: DataFrame) -> DataFrame:
 
 def frequencies(counts: DataFrame) -> DataFrame:
     """Adds ``tf``, the count over the largest of the sentence, and ``idf``,
-    ln(n / (1 + sentences with the term))."""
+    ln(n / (1 + sentences with the term)); also ``holding``, the nodes with the
+    term, and ``most``, the largest such number in the document."""
     top = F.max("count").over(Window.partitionBy("doc", "node"))
-    holding = F.sum("m").over(Window.partitionBy("doc", "term"))
-    return counts.withColumns({"tf": F.col("count") / top, "idf": F.log(F.col("n") / (1 + holding))})
+    term = Window.partitionBy("doc", "term")
+    counted = counts.withColumn("tf", F.col("count") / top).withColumns(
+        {"holding": F.count("*").over(term), "idf": F.log(F.col("n") / (1 + F.sum("m").over(term)))}
+    )
+    return counted.withColumn("most", F.max("holding").over(Window.partitionBy("doc")))
 
 
 def unit_weights(weighted: DataFrame) -> DataFrame:
-    """(doc, n, node, m, term, w): weights over the norm of their node; nodes of
-    norm 0 have no row."""
+    """(doc, n, node, m, term, w, holding, most): weights over the norm of their
+    node; nodes of norm 0 have no row."""
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc", "node")))
     return (
         weighted.withColumn("norm", norm)
         .where("norm > 0 and w != 0")
-        .select("doc", "n", "node", "m", "term", (F.col("w") / F.col("norm")).alias("w"))
+        .select("doc", "n", "node", "m", "term", (F.col("w") / F.col("norm")).alias("w"), "holding", "most")
     )
 
 
@@ -117,18 +126,16 @@ def similarities(weights: DataFrame, threshold: float = THRESHOLD, inclusive: bo
     at most ``LISTED_NODES`` per weight. Other documents first find candidates
     with the prefix filter, which is exact, and then sum up those only.
     """
-    holding = F.count("*").over(Window.partitionBy("doc", "term"))
-    ranked = weights.withColumn("holding", holding).withColumn(
-        "most", F.max("holding").over(Window.partitionBy("doc"))
-    )
-    light = ranked.where(F.col("most") <= LISTED_NODES)
-    heavy = ranked.where(F.col("most") > LISTED_NODES)
-    prefix = _prefix(heavy, threshold)
-    candidates = _pairs(prefix, prefix).select("doc", "i", "j", "m_i", "m_j").distinct()
-    left = heavy.select("doc", F.col("node").alias("i"), "term", F.col("w").alias("w_i"))
-    right = heavy.select("doc", F.col("node").alias("j"), "term", F.col("w").alias("w_j"))
-    verified = candidates.join(left, ["doc", "i"]).join(right, ["doc", "j", "term"])
-    summed = _summed(_pairs(light, light)).unionByName(_summed(verified))
+    shared = F.col("holding") > 1
+    light = weights.where((F.col("most") <= LISTED_NODES) & shared)
+    summed = _summed(_pairs(light, light))
+    heavy = weights.where(F.col("most") > LISTED_NODES)
+    if not heavy.isEmpty():
+        prefix = _prefix(heavy, threshold).where(shared)
+        candidates = _pairs(prefix, prefix).select("doc", "i", "j", "m_i", "m_j").distinct()
+        left = heavy.where(shared).select("doc", F.col("node").alias("i"), "term", F.col("w").alias("w_i"))
+        right = heavy.where(shared).select("doc", F.col("node").alias("j"), "term", F.col("w").alias("w_j"))
+        summed = summed.unionByName(_summed(candidates.join(left, ["doc", "i"]).join(right, ["doc", "j", "term"])))
     above = F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold
     return summed.where(above)
 
@@ -191,7 +198,7 @@ def _graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataF
     )
     weighted = frequencies(term_counts(found)).withColumn("w", F.col("tf") * F.col("idf"))
     weights = checkpointed(unit_weights(weighted))
-    return found, weights, similarities(weights)
+    return found, weights, checkpointed(similarities(weights))
 
 
 def sentence_scores(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:

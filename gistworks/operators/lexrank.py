@@ -11,6 +11,8 @@ spread over tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +75,22 @@ def term_counts(node_table: DataFrame) -> DataFrame:
     )
 
 
+def with_holding(counts: DataFrame) -> DataFrame:
+    """Adds ``holding``, the nodes with the term, ``sentences``, the sentences
+    with it, and ``most``, the largest ``holding`` of the document."""
+    term = Window.partitionBy("doc", "term")
+    return counts.withColumns({"holding": F.count("*").over(term), "sentences": F.sum("m").over(term)}).withColumn(
+        "most", F.max("holding").over(Window.partitionBy("doc"))
+    )
+
+
 def frequencies(counts: DataFrame) -> DataFrame:
     """Adds ``tf``, the count over the largest of the sentence, and ``idf``,
-    ln(n / (1 + sentences with the term)); also ``holding``, the nodes with the
-    term, and ``most``, the largest such number in the document."""
+    ln(n / (1 + sentences with the term))."""
     top = F.max("count").over(Window.partitionBy("doc", "node"))
-    term = Window.partitionBy("doc", "term")
-    counted = counts.withColumn("tf", F.col("count") / top).withColumns(
-        {"holding": F.count("*").over(term), "idf": F.log(F.col("n") / (1 + F.sum("m").over(term)))}
+    return with_holding(counts.withColumn("tf", F.col("count") / top)).withColumn(
+        "idf", F.log(F.col("n") / (1 + F.col("sentences")))
     )
-    return counted.withColumn("most", F.max("holding").over(Window.partitionBy("doc")))
 
 
 def unit_weights(weighted: DataFrame) -> DataFrame:
@@ -243,3 +251,105 @@ def summaries(articles: DataFrame, n: int = DEFAULT_SENTENCES, stop_words=ENGLIS
         .withColumn("article", F.array_join("_summary", " "))
         .select(*articles.columns)
     )
+
+
+# --- variant with document frequencies of a background corpus ---------------
+
+
+def background_idf(background: DataFrame, column: str) -> tuple[DataFrame, float]:
+    """(term, idf) with ln(documents / documents with the term), and the value
+    of a term no background document holds, ln(documents + 1)."""
+    bags = background.select(F.array_distinct(text.word_tokens(F.col(column))).alias("words")).where(
+        F.size("words") > 0
+    )
+    total = bags.count()
+    holding = bags.select(F.explode("words").alias("term")).groupBy("term").count()
+    return holding.select("term", F.log(F.lit(total) / F.col("count")).alias("idf")), math.log(total + 1)
+
+
+def _background_graph(articles: DataFrame, background: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and unit weights (count times background idf) of the pieces between
+    full stops after the first line of each article."""
+    found = checkpointed(nodes(articles, text.split_naive(F.col("article")), text.word_tokens))
+    idf, unseen = background_idf(background, column)
+    weighted = (
+        with_holding(term_counts(found))
+        .join(idf, "term", "left")
+        .withColumn("w", F.col("count") * F.coalesce("idf", F.lit(unseen)))
+    )
+    return found, checkpointed(unit_weights(weighted))
+
+
+def components(members: DataFrame) -> DataFrame:
+    """(doc, node, label): ``label`` is the smallest node reachable through
+    groups; ``members`` holds (doc, grp, node). Documents whose labels stand
+    still leave the loop."""
+    members = checkpointed(members)
+    state = members.select("doc", "node").distinct().withColumn("label", F.col("node"))
+    finished: DataFrame | None = None
+    while True:
+        lowest = members.join(state, ["doc", "node"]).groupBy("doc", "grp").agg(F.min("label").alias("low"))
+        reached = members.join(lowest, ["doc", "grp"]).groupBy("doc", "node").agg(F.min("low").alias("low"))
+        stepped = state.join(reached, ["doc", "node"])
+        moved = stepped.groupBy("doc").agg(F.bool_or(F.col("low") < F.col("label")).alias("open"))
+        state = checkpointed(stepped.join(moved, "doc").select("doc", "node", F.col("low").alias("label"), "open"))
+        done = state.where("not open").drop("open")
+        finished = done if finished is None else finished.unionByName(done)
+        state = state.where("open").drop("open")
+        if state.isEmpty():
+            return finished
+        members = members.join(state.select("doc").distinct(), "doc", "left_semi")
+
+
+def stationary_scores(node_table: DataFrame, strength: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc, sent_idx, score): where the power method ends on a symmetric graph.
+
+    Its limit needs no iteration: inside a connected component the score of a
+    sentence is in proportion to the sum of its edges, with mean 1. ``strength``
+    holds (doc, node, degree). A sentence without weighted words is alone: 1.
+    """
+    placed = node_table.select("doc", "node", "m").join(strength, ["doc", "node"]).join(labels, ["doc", "node"])
+    sums = placed.groupBy("doc", "label").agg(
+        F.sum("m").alias("size"), F.sum(F.col("m") * F.col("degree")).alias("total")
+    )
+    scores = placed.join(sums, ["doc", "label"]).select(
+        "doc", "node", F.round(F.col("degree") * F.col("size") / F.col("total"), PLACES).alias("score")
+    )
+    sentences = node_table.select("doc", "node", F.explode("sents").alias("sent_idx"))
+    return sentences.join(scores, ["doc", "node"], "left").select(
+        "doc", "sent_idx", F.coalesce("score", F.lit(1.0)).alias("score")
+    )
+
+
+def background_scores(
+    articles: DataFrame, background: DataFrame, column: str, threshold: float = THRESHOLD
+) -> DataFrame:
+    """(doc, sent_idx, score): edges where the similarity reaches the threshold."""
+    found, weights = _background_graph(articles, background, column)
+    similar = checkpointed(similarities(weights, threshold, inclusive=True))
+    edges = checkpointed(transitions(weights, similar))
+    strength = edges.groupBy("doc", F.col("src").alias("node")).agg(F.any_value("degree").alias("degree"))
+    members = edges.select("doc", F.col("src").alias("grp"), F.col("dst").alias("node"))
+    return stationary_scores(found, strength, components(members))
+
+
+def continuous_scores(articles: DataFrame, background: DataFrame, column: str) -> DataFrame:
+    """(doc, sent_idx, score): every similarity is an edge weight. The sum of
+    the similarities of a sentence is its weights times the total weight of each
+    term, so no pair is ever formed."""
+    found, weights = _background_graph(articles, background, column)
+    totals = weights.groupBy("doc", "term").agg(F.sum(F.col("m") * F.col("w")).alias("total"))
+    strength = (
+        weights.join(totals, ["doc", "term"])
+        .groupBy("doc", "node")
+        .agg(F.sum(F.col("w") * F.col("total")).alias("degree"))
+    )
+    return stationary_scores(found, strength, components(weights.select("doc", F.col("term").alias("grp"), "node")))
+
+
+def background_summaries(
+    articles: DataFrame, background: DataFrame, column: str, n: int = 10, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The articles with ``_summary``, their ``n`` best sentences by score."""
+    chosen = top_positions(background_scores(articles, background, column, threshold), n)
+    return _with_chosen(articles, chosen, text.split_naive(F.col("article")), in_order=False)

@@ -464,3 +464,48 @@ ORACLES |= {
     "lexrank_batch": f"""WITH {lexrank(False)}, {lexrank_rounds()} SELECT id, sentence,
         (row_number() OVER (PARTITION BY id ORDER BY sent_idx))::INTEGER - 1 AS pos FROM lex_top WHERE rank <= 130""",
 }
+
+LABEL_ROUNDS = 12
+
+
+def background(edge: str) -> str:
+    """CTEs of the background variant over all sentence pairs; ``edge`` is the
+    condition on the rounded similarity ``s``. Labels spread for a fixed number
+    of rounds along the edges."""
+    steps = ["l0 AS (SELECT id, sent_idx, sent_idx AS label FROM nx)"]
+    for k in range(LABEL_ROUNDS):
+        steps.append(f"""l{k + 1} AS MATERIALIZED (
+  SELECT l.id, l.sent_idx, least(l.label, coalesce(min(q.label), l.label)) AS label FROM l{k} l
+  LEFT JOIN e ON e.id = l.id AND e.j = l.sent_idx LEFT JOIN l{k} q ON q.id = e.id AND q.sent_idx = e.i
+  GROUP BY l.id, l.sent_idx, l.label)""")
+    return f"""{ARTICLES},
+nx AS (SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence, {words('s[i]')} AS w FROM (
+  SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+    SELECT id, string_split(array_to_string(string_split(article, chr(10))[2:], '.'), '.') AS s FROM articles))),
+bg AS (SELECT list_distinct({words('lay_summary')}) AS w FROM articles WHERE len({words('lay_summary')}) > 0),
+idf AS (SELECT term, ln((SELECT count(*) FROM bg)::DOUBLE / count(*)) AS idf FROM (SELECT unnest(w) AS term FROM bg) GROUP BY term),
+cw AS (SELECT id, sent_idx, term, count(*) * coalesce(any_value(idf), ln((SELECT count(*) FROM bg)::DOUBLE + 1)) AS w
+  FROM (SELECT id, sent_idx, unnest(w) AS term FROM nx) LEFT JOIN idf USING (term) GROUP BY ALL),
+uw AS (SELECT id, sent_idx, term, w / norm AS w FROM (
+  SELECT *, sqrt(sum(w ** 2) OVER (PARTITION BY id, sent_idx)) AS norm FROM cw) WHERE norm > 0 AND w <> 0),
+sim AS MATERIALIZED (SELECT a.id, a.sent_idx AS i, b.sent_idx AS j, round(sum(a.w * b.w), 9) AS s, sum(a.w * b.w) AS exact
+  FROM uw a JOIN uw b USING (id, term) GROUP BY ALL),
+e AS (SELECT * FROM sim WHERE {edge}),
+{', '.join(steps)},
+dg AS (SELECT id, i AS sent_idx, count(*) AS degree, sum(exact) AS strength FROM e GROUP BY ALL)"""
+
+
+def stationary(degree: str) -> str:
+    return f"""bg_scores AS (
+  SELECT id, sent_idx, coalesce(round({degree} * count({degree}) OVER c / sum({degree}) OVER c, 9), 1::DOUBLE) AS score
+  FROM nx LEFT JOIN dg USING (id, sent_idx) JOIN l{LABEL_ROUNDS} USING (id, sent_idx) WINDOW c AS (PARTITION BY id, label))"""
+
+
+ORACLES |= {
+    "lexrank_background": f"""WITH {background('s >= 0.1')}, {stationary('degree')}
+        SELECT id, sentence, r::INTEGER - 1 AS pos FROM (
+          SELECT id, sentence, row_number() OVER (PARTITION BY id ORDER BY score DESC, sent_idx) AS r
+          FROM bg_scores JOIN nx USING (id, sent_idx)) WHERE r <= 10""",
+    "lexrank_continuous": f"""WITH {background('true')}, {stationary('strength')}
+        SELECT id, sent_idx, round(score, 6) AS score FROM bg_scores""",
+}

@@ -468,3 +468,17 @@ def lexrank_summary(spark, sf_dir):
 def lexrank_batch(spark, sf_dir):
     lists = lexrank.sentence_lists(views.articles(spark, sf_dir).select("id", "article"), 130, ())
     return lists.select("id", F.posexplode("_summary").alias("pos", "sentence"))
+
+
+@query
+def lexrank_background(spark, sf_dir):
+    articles = views.articles(spark, sf_dir)
+    lists = lexrank.background_summaries(articles.select("id", "article"), articles, "lay_summary")
+    return lists.select("id", F.posexplode("_summary").alias("pos", "sentence"))
+
+
+@query
+def lexrank_continuous(spark, sf_dir):
+    articles = views.articles(spark, sf_dir)
+    scores = lexrank.continuous_scores(articles, articles, "lay_summary")
+    return _by_id(spark, sf_dir, scores.withColumn("score", F.round("score", 6)))

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistworks.functions import vectors
+from gistworks.functions import text, vectors
+from gistworks.operators.documents import distinct_documents, with_document_key
 
 TOP_K = 25
 THRESHOLD = 0.5
+PLACES = 9
 
 
 def top_sentences(
-    logits: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, probability: Column | None = None
+    scored: DataFrame, key: str = "id", top_k: int = TOP_K, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(id, sent_idx, sentence, p1): of each article the ``top_k`` sentences with
-    the highest probability of class 1, among those at or above the threshold;
-    ties in reading order.
+    """(key, sent_idx, sentence, p1): of each article the ``top_k`` sentences
+    with the highest probability ``p1`` of class 1, among those at or above the
+    threshold; ties in reading order.
 
     The rank limit is applied before the shuffle as well, so at most ``top_k``
-    rows per article leave a task, however many sentences an id has.
+    rows per article leave a task, however many sentences an article has.
     """
-    p1 = vectors.two_class_probability(F.col("logits")) if probability is None else probability
-    order = Window.partitionBy("id").orderBy(F.desc("p1"), "sent_idx")
+    order = Window.partitionBy(key).orderBy(F.desc("p1"), "sent_idx")
     return (
-        logits.select("id", "sent_idx", "sentence", F.round(p1, 9).alias("p1"))
+        scored.select(key, "sent_idx", "sentence", F.round("p1", PLACES).alias("p1"))
         .where(F.col("p1") >= threshold)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_k)
@@ -32,8 +38,68 @@ def top_sentences(
     )
 
 
-def summaries(top: DataFrame) -> DataFrame:
-    """(id, summary): chosen sentences in reading order. A group is at most
+def with_probability(logits: DataFrame) -> DataFrame:
+    """Adds ``p1``, the softmax probability of class 1."""
+    return logits.withColumn("p1", vectors.two_class_probability(F.col("logits")))
+
+
+def summaries(top: DataFrame, key: str = "id") -> DataFrame:
+    """(key, summary): chosen sentences in reading order. A group is at most
     ``top_k`` sentences long."""
     parts = F.array_sort(F.collect_list(F.struct("sent_idx", "sentence")))
-    return top.groupBy("id").agg(F.array_join(F.transform(parts, lambda s: s["sentence"]), " ").alias("summary"))
+    return top.groupBy(key).agg(F.array_join(F.transform(parts, lambda s: s["sentence"]), " ").alias("summary"))
+
+
+# --- training and applying the classifier -----------------------------------
+
+FEATURES = 1 << 16
+REGULARISATION = (0.01, 0.1)
+
+
+def _feature_stages() -> list:
+    return [
+        RegexTokenizer(inputCol="sentence", outputCol="words", pattern="[^a-z0-9]+"),
+        HashingTF(inputCol="words", outputCol="counts", numFeatures=FEATURES),
+        IDF(inputCol="counts", outputCol="features"),
+    ]
+
+
+def accuracy(predicted: DataFrame) -> float:
+    return predicted.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+
+
+def train(split: DataFrame, regularisation: tuple[float, ...] = REGULARISATION) -> tuple[PipelineModel, float]:
+    """The classifier and its regularisation, from (sentence, label, split): fit
+    on ``train``, chosen by accuracy on ``validation``."""
+    rows = split.where("split = 'train'")
+    prepared = Pipeline(stages=_feature_stages()).fit(rows)
+    features = prepared.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    held = prepared.transform(split.where("split = 'validation'")).select("features", "label")
+    try:
+        fitted = [(LogisticRegression(regParam=r, maxIter=30).fit(features), r) for r in regularisation]
+        model, best = max(fitted, key=lambda f: accuracy(f[0].transform(held)))
+    finally:
+        features.unpersist()
+    return PipelineModel([*prepared.stages, model]), best
+
+
+def predictions(model: PipelineModel, sentences: DataFrame) -> DataFrame:
+    """The sentences with ``p1``, the probability of class 1, and ``pred``."""
+    return model.transform(sentences).withColumns(
+        {"p1": vector_to_array("probability")[1], "pred": F.col("prediction").cast("int")}
+    ).select(*sentences.columns, "p1", "pred")
+
+
+def extractive_summaries(
+    model: PipelineModel, articles: DataFrame, top_k: int = TOP_K, strip: bool = False
+) -> DataFrame:
+    """(id, summary) of all articles: their most probable summary sentences;
+    empty where none reaches the threshold. ``strip`` removes citations once
+    more, from the finished summary."""
+    split = F.posexplode(text.split_sentences(text.clean(F.col("article")))).alias("sent_idx", "sentence")
+    scored = predictions(model, distinct_documents(articles).select("doc", split))
+    chosen = summaries(top_sentences(scored, "doc", top_k), "doc")
+    summary = F.coalesce("summary", F.lit(""))
+    return with_document_key(articles).select("id", "doc").join(chosen, "doc", "left").select(
+        "id", (text.strip_citations(summary) if strip else summary).alias("summary")
+    )

@@ -1,7 +1,7 @@
 """LexRank over a whole corpus as one set of joins and grouped sums.
 
-Documents are keyed by the hash of their text, so repeated articles are ranked
-once, and repeated ids stay apart. Sentences of a document with the same words
+Documents are keyed by their text, so repeated articles are ranked once, and
+repeated ids stay apart. Sentences of a document with the same words
 are one *node* with a multiplicity: they have the same neighbours and the same
 score, and a line repeated a thousand times makes no pair. The one shuffle by
 document serves term counts, document frequencies and norms; the graph is then
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gistworks.functions import text
 from gistworks.functions.frames import with_computed
 from gistworks.functions.stopwords import ENGLISH
+from gistworks.operators.documents import digest, distinct_documents, with_document_key
 from gistworks.session import checkpointed
 
 DEFAULT_SENTENCES = 25
@@ -31,30 +32,17 @@ PLACES = 9
 LISTED_NODES = 256
 
 
-def _digest(value: Column) -> Column:
-    """128 bits of SHA-256, as 16 bytes."""
-    return F.substring(F.unhex(F.sha2(value, 256)), 1, 16)
-
-
-def with_document_key(articles: DataFrame) -> DataFrame:
-    return articles.withColumn("doc", _digest(F.coalesce("article", F.lit(""))))
-
-
 def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
     """(doc, n, node, m, sents, words): of each distinct document with ``n``
     sentences the distinct bags of words; ``node`` is the first sentence, ``m``
     the number of sentences with the bag."""
-    docs = (
-        with_document_key(articles)
-        .groupBy("doc")
-        .agg(F.any_value(F.coalesce("article", F.lit(""))).alias("article"))
-    )
+    docs = distinct_documents(articles)
     split = docs.select("doc", sentences.alias("s")).select(
         "doc", F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence")
     )
     bags = split.select("doc", "n", "idx", F.array_sort(words(F.col("sentence"))).alias("words"))
     return (
-        bags.withColumn("bag", _digest(F.array_join("words", " ")))
+        bags.withColumn("bag", digest(F.array_join("words", " ")))
         .groupBy("doc", "n", "bag")
         .agg(
             F.min("idx").alias("node"),

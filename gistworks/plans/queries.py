@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators import extract, extractor, inputs, labels, lexrank, metrics, sampling, stats
+from gistworks.operators import documents, extract, extractor, inputs, labels, lexrank, metrics, sampling, stats
 from gistworks.plans import views
-from gistworks.session import checkpoint_folder
+from gistworks.session import checkpoint_folder, checkpointed
 from gistworks.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,7 +378,7 @@ def argmax_label(spark, sf_dir):
 
 @query
 def threshold_topk(spark, sf_dir):
-    return extractor.top_sentences(views.sentence_logits(spark, sf_dir), top_k=25)
+    return extractor.top_sentences(extractor.with_probability(views.sentence_logits(spark, sf_dir)))
 
 
 def _vocabulary(spark, sf_dir):
@@ -413,7 +413,7 @@ def decode_labels(spark, sf_dir):
 
 def _by_id(spark, sf_dir, per_document):
     """Rows per document as rows per article id."""
-    ids = lexrank.with_document_key(views.articles(spark, sf_dir)).select("id", "doc")
+    ids = documents.with_document_key(views.articles(spark, sf_dir)).select("id", "doc")
     return ids.join(per_document, "doc").drop("doc")
 
 
@@ -482,3 +482,33 @@ def lexrank_continuous(spark, sf_dir):
     articles = views.articles(spark, sf_dir)
     scores = lexrank.continuous_scores(articles, articles, "lay_summary")
     return _by_id(spark, sf_dir, scores.withColumn("score", F.round("score", 6)))
+
+
+# --- sentence classifier ----------------------------------------------------
+
+
+def _trained(spark, sf_dir):
+    """A classifier trained on the balanced sentence labels, and their split."""
+    labelled = checkpointed(labels.binary_labels(_joined(spark, sf_dir)))
+    balanced = checkpointed(sampling.balance_classes(labelled, ["id", "sent_idx"]))
+    split = checkpointed(sampling.stratified_split(balanced, ["id", "sent_idx"]))
+    return *extractor.train(split), split
+
+
+@query
+def extractor_train(spark, sf_dir):
+    model, best, split = _trained(spark, sf_dir)
+    tested = extractor.predictions(model, split.where("split = 'test'"))
+    return metrics.binary_metrics(tested).withColumn("regularisation", F.lit(best))
+
+
+@query
+def extractive_summary(spark, sf_dir):
+    model, _, _ = _trained(spark, sf_dir)
+    return extractor.extractive_summaries(model, views.cited_articles(spark, sf_dir))
+
+
+@query
+def extractive_summary_clean(spark, sf_dir):
+    model, _, _ = _trained(spark, sf_dir)
+    return extractor.extractive_summaries(model, views.cited_articles(spark, sf_dir), top_k=10, strip=True)

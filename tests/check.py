@@ -66,6 +66,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, int, float, float]
 if __name__ == "__main__":
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--show", action="store_true")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark, con = local_session(), database(args.sf)
@@ -75,6 +76,8 @@ if __name__ == "__main__":
             verdict, rows, t1, t2 = compare(spark, con, args.sf, name)
         except Exception as error:  # noqa: BLE001
             verdict, rows, t1, t2 = "ERROR " + str(error)[:1500], 0, 0, 0
+        if args.show:
+            entry.queries()[name](spark, args.sf).show(5, 150)
         failed += verdict not in ("ok", "rows-only")
         print(f"{name:28s} rows={rows:7d} spark={t1:6.2f}s sql={t2:6.2f}s {verdict}", flush=True)
     print("failed:", failed)

@@ -16,7 +16,8 @@ MAX_INPUT, MAX_OUTPUT = 512, 128
 def vocabulary(df: DataFrame, columns: list[str], size: int = VOCABULARY_SIZE) -> DataFrame:
     """(token, token_id) of the ``size`` most frequent words, ids from 2; words
     beyond it are unknown, as with any tokenizer of fixed size. The size bounds
-    what is ranked in one task and broadcast later."""
+    what is ranked in one task, and lets Spark broadcast the table where it is
+    below its own limit."""
     words = F.explode(F.concat(*(text.word_tokens(F.coalesce(c, F.lit(""))) for c in columns)))
     top = (
         df.select(words.alias("token"))
@@ -46,7 +47,7 @@ def encoded(df: DataFrame, vocab: DataFrame, keys: list[str], columns: dict[str,
     parts = [_positions(c, n, part) for part, (c, n) in enumerate(columns.items())]
     marker = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("pos"), F.lit("").alias("token")))
     entries = df.select(*keys, F.xxhash64(*columns).alias("_texts"), F.inline(F.concat(marker, *parts)))
-    found = entries.join(F.broadcast(vocab), "token", "left").withColumn(
+    found = entries.join(vocab, "token", "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(UNKNOWN))
     )
     sets = [
@@ -84,7 +85,7 @@ def decoded(df: DataFrame, vocab: DataFrame, keys: list[str], column: str = "lab
     """(keys, text): ids back to words joined by a blank; masked positions and
     special ids are skipped."""
     ids = F.posexplode(vectors.unmask_labels(F.col(column), PAD)).alias("pos", "token_id")
-    words = df.select(*keys, F.xxhash64(column).alias("_ids"), ids).join(F.broadcast(vocab), "token_id", "left")
+    words = df.select(*keys, F.xxhash64(column).alias("_ids"), ids).join(vocab, "token_id", "left")
     kept = F.collect_set(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))
     return words.groupBy(*keys, "_ids").agg(
         F.array_join(F.transform(F.array_sort(kept), lambda s: s["token"]), " ").alias("text")

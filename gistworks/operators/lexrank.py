@@ -183,7 +183,7 @@ def power_scores(node_table: DataFrame, edges: DataFrame, tolerance: float = TOL
         state = state.where("open").drop("open")
         if state.isEmpty():
             return finished.withColumn("score", F.round("score", PLACES))
-        edges = edges.join(state.select("doc").distinct(), "doc", "left_semi")
+        edges = checkpointed(edges.join(state.select("doc").distinct(), "doc", "left_semi"))
     raise RuntimeError(f"scores still move after {MAX_ROUNDS} rounds")
 
 
@@ -286,7 +286,7 @@ def components(members: DataFrame) -> DataFrame:
         state = state.where("open").drop("open")
         if state.isEmpty():
             return finished
-        members = members.join(state.select("doc").distinct(), "doc", "left_semi")
+        members = checkpointed(members.join(state.select("doc").distinct(), "doc", "left_semi"))
 
 
 def stationary_scores(node_table: DataFrame, strength: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,10 +25,14 @@ def local_session(cores: int = 8) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the session names, or, where
-    none is named (tests), a new temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="gistworks-")
+    """The shared folder the session names in ``spark.checkpoint.dir``; a local
+    session without one (tests) gets a new temporary folder."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="gistworks-")
 
 
 def checkpointed(df):

@@ -187,7 +187,7 @@ def power_scores(node_table: DataFrame, edges: DataFrame, tolerance: float = TOL
     raise RuntimeError(f"scores still move after {MAX_ROUNDS} rounds")
 
 
-def _graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, unit weights and similar pairs of the standard variant."""
     found = checkpointed(
         nodes(articles, text.split_paragraph_sentences(F.col("article")), lambda s: text.letter_words(s, stop_words))
@@ -199,7 +199,7 @@ def _graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataF
 
 def sentence_scores(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
     """(doc, sent_idx, score) of every sentence of every distinct document."""
-    found, weights, similar = _graph(articles, stop_words)
+    found, weights, similar = graph(articles, stop_words)
     scores = power_scores(found, transitions(weights, similar))
     return found.select("doc", "node", F.explode("sents").alias("sent_idx")).join(scores, ["doc", "node"]).drop("node")
 

@@ -53,8 +53,10 @@ def find_cut(df: DataFrame, key: Column, n: int) -> Cut | None:
     total = part.count()
     if n >= total:
         return None
+    seed = DEFAULT_SEED
     while total > SMALL:
-        sample = part.sample(fraction=min(1.0, SAMPLE / total), seed=DEFAULT_SEED).limit(2 * SAMPLE)
+        seed += 1
+        sample = part.sample(fraction=min(1.0, SAMPLE / total), seed=seed).limit(2 * SAMPLE)
         keys = sorted({row.k for row in sample.collect()})
         if len(keys) > 1:
             splits = keys[:: max(1, len(keys) // SPLITS)]
@@ -83,7 +85,8 @@ def find_cut(df: DataFrame, key: Column, n: int) -> Cut | None:
 
 
 def take_first(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The first ``n`` rows in key order, equal keys in any order."""
+    """The first ``n`` rows in key order, equal keys in any order: a few tied rows
+    by a plain limit, many by their position, so that no task gathers them."""
     if n <= 0:
         return df.limit(0)
     cut = find_cut(df, key, n)
@@ -91,7 +94,13 @@ def take_first(df: DataFrame, key: Column, n: int) -> DataFrame:
         return df
     if cut.take == cut.there:
         return df.where(key <= F.lit(cut.key))
-    return df.where(key < F.lit(cut.key)).unionByName(df.where(key == F.lit(cut.key)).limit(cut.take))
+    tied = df.where(key == F.lit(cut.key))
+    if cut.take > SMALL:
+        placed = tied.withColumn("_position", F.monotonically_increasing_id())
+        tied = take_first(placed, F.col("_position"), cut.take).drop("_position")
+    else:
+        tied = tied.limit(cut.take)
+    return df.where(key < F.lit(cut.key)).unionByName(tied)
 
 
 def first_fraction(df: DataFrame, parts: int = 3, key: str = "id") -> DataFrame:

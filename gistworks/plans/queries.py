@@ -442,13 +442,13 @@ def lexrank_idf(spark, sf_dir):
 
 @query
 def lexrank_similarity(spark, sf_dir):
-    _, _, similar = lexrank._graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
+    _, _, similar = lexrank.graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
     return _by_id(spark, sf_dir, similar.select("doc", "i", "j", F.round("similarity", 6).alias("similarity")))
 
 
 @query
 def lexrank_edges(spark, sf_dir):
-    _, weights, similar = lexrank._graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
+    _, weights, similar = lexrank.graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
     edges = lexrank.transitions(weights, similar)
     return _by_id(spark, sf_dir, edges.select("doc", "src", "dst", "degree", F.round("share", 6).alias("share")))
 

@@ -4,6 +4,8 @@ import pytest
 
 import check
 from conftest import SF
+from gistworks.plans.oracles import ORACLES
+from gistworks.plans.queries import QUERIES
 
 # Not expressible in SQL: trained models.
 WITHOUT_SQL = {"extractor_train", "extractive_summary", "extractive_summary_clean"}
@@ -15,10 +17,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(check.entry.queries()) - set(check.entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(check.entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict, rows, _, _ = check.compare(spark, con, SF, name)
     assert verdict == ("rows-only" if name in WITHOUT_SQL else "ok")

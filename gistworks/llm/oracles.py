@@ -2,4 +2,85 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_QUALITY = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT r, i, array_to_string(w[i:i + 7], ' ') AS v FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+), repeated AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS c FROM windows) WHERE c > 1
+), covered AS (
+    SELECT r, sum(least(8, coalesce(n - i, 8))) AS n_repeat_words
+    FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS n FROM repeated) GROUP BY r
+), f AS (
+    SELECT d.r, doc_id, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words,
+        length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^!]', '', 'g')) AS marks
+    FROM d LEFT JOIN covered ON d.r = covered.r
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT (base_failed OR 100 * n_symbols > 5 * word_chars OR 2 * n_dup_lines > n_lines OR 100 * capitals > 30 * word_chars
+        OR 100 * marks > 5 * word_chars OR word_chars > 15 * n_words OR word_chars < 2 * n_words) AS kept
+FROM b"""
+
+_MIXTURE = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
+), w AS (
+    SELECT *, ([5, 2, 1])[((rank - 1) % 3)::INT + 1]::DOUBLE AS weight, 2 * source_size AS bound, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s
+), o AS (
+    SELECT *, total - coalesce(sum(bound) OVER (ORDER BY bound / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+        sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY bound / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy
+    FROM w
+), g AS (
+    SELECT *, bound * heavy <= rest * weight AS atbound FROM o
+), free AS (SELECT rest, heavy FROM g WHERE NOT atbound ORDER BY bound / weight, rank LIMIT 1),
+t AS (
+    SELECT source, source_size,
+        CASE WHEN atbound THEN bound::DOUBLE ELSE (SELECT rest FROM free) * weight / (SELECT heavy FROM free) END AS target
+    FROM g
+), p AS (
+    SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_passes,
+        size * 200 > source_size AS large
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), a AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY large DESC, CASE WHEN large THEN -size ELSE 0 END, key, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before_it
+    FROM p
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+    (size * (full_passes + CASE WHEN size > 0 AND 2 * before_it + size < 2 * (target - full_passes * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM a"""
+
+_PLAIN = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+_CONTAMINATION = rf"""
+WITH items AS (SELECT DISTINCT coalesce(item_id::VARCHAR, 'null') AS item, {_PLAIN} AS w FROM benchmark),
+patterns AS (
+    SELECT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS v
+    FROM items WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM patterns),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+windows AS (
+    SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS v
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), found AS (SELECT r, i, windows.n, item FROM windows JOIN patterns USING (n, v)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+ORACLES: dict[str, str] = {
+    "op6_mixing_sources": _MIXTURE,
+    "op7_benchmark_decontamination": _CONTAMINATION,
+    "op10_quality_rules": _QUALITY,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistworks.llm import jaccard
+from gistworks.llm import contamination, jaccard, mixture, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,3 +24,22 @@ def _register(function: Callable[[SparkSession, str], DataFrame]):
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture of 150% of all words takes of every document, with the time its first copy is due."""
+    planned = mixture.plan(_table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents inside ten-word windows of benchmark items."""
+    return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures of every document and the verdict of the rules."""
+    return rules.report(_table(spark, sf_dir, "documents"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistworks.llm import contamination, jaccard, mixture, rules
+from gistworks.llm import contamination, jaccard, mixture, rules, token_ids
+from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +30,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@_register
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids written in Simple-8b files and read back."""
+    path = shared_path(spark, "token-ids")
+    token_ids.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_ids.read_digests(spark, path)
+
+
 @_register
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mixture of 150% of all words takes of every document, with the time its first copy is due."""

@@ -92,10 +92,9 @@ def _fragments(docs: DataFrame, size: int, parts: int) -> DataFrame:
             ns = np.array([n for _, n in found], np.int32)
             grams = np.concatenate(list(found.values()))
             of = np.repeat(np.arange(len(keys), dtype=np.int32), ns)
-            frag = (((grams >> _U64(32)) * _U64(parts)) >> _U64(32)).astype(np.int64)
-            order = np.argsort(frag.astype(np.uint16) if parts <= 1 << 16 else frag, kind="stable")
-            frag, grams, of = frag[order], grams[order], of[order]
-            low = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6])
+            frag = W.fragments(grams, parts)
+            order = np.argsort(frag, kind="stable")
+            frag, of, low = frag[order], of[order], W.pack(grams[order])
             bounds = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1], True])
             rows = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -106,23 +105,16 @@ def _fragments(docs: DataFrame, size: int, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "frag int, keys binary, ns binary, counts binary, grams binary")
 
 
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in (y.as_buffer() for y in column)])
-
-
 def _shared(blocks: pa.Table) -> pa.Table:
     """Of one fragment: each class with those of its shingles that other classes hold too, and in how many classes."""
     frag = blocks.column("frag")[0].as_py()
-    keys, ns, counts = _joined(blocks.column("keys"), np.int64), _joined(blocks.column("ns"), np.int32), _joined(blocks.column("counts"), np.int32)
-    low = _joined(blocks.column("grams"), np.uint8).reshape(-1, 6)
+    keys, ns, counts = W.joined(blocks.column("keys"), np.int64), W.joined(blocks.column("ns"), np.int32), W.joined(blocks.column("counts"), np.int32)
+    grams = W.unpack(W.joined(blocks.column("grams"), np.uint8))
     _, first = np.unique(np.rec.fromarrays([keys, ns]), return_index=True)
     once = np.zeros(len(keys), bool)
     once[first] = True
-    low = low[np.repeat(once, counts)]
+    grams = grams[np.repeat(once, counts)]
     keys, ns, counts = keys[once], ns[once], counts[once]
-    grams = np.zeros((len(low), 8), np.uint8)
-    grams[:, :6] = low
-    grams = grams.view(np.uint64).ravel()
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     bounds = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistworks.llm import contamination, jaccard, mixture, rules, token_ids
+from gistworks.llm import contamination, jaccard, mixture, rules, substrings, token_ids
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_digests(spark, path)
 
 
+@_register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of twenty-word passages that occur earlier."""
+    return substrings.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @_register
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mixture of 150% of all words takes of every document, with the time its first copy is due."""

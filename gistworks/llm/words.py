@@ -140,3 +140,32 @@ def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     np.cumsum(counts, out=at[1:])
     picks = np.arange(at[-1]) + np.repeat(rows[:-1] - at[:-1], counts)
     return all_windows[picks], at
+
+
+def fragments(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The range of the hash order, out of ``parts`` equal ones, that each hash lies in."""
+    found = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return found.astype(np.uint16 if parts <= 1 << 16 else np.int64)
+
+
+def pack(hashes: np.ndarray) -> np.ndarray:
+    """The low six bytes of each hash; the range it lies in tells most of the rest."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unpack(packed: np.ndarray) -> np.ndarray:
+    """Packed hashes as integers of 48 bits."""
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = packed.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The binary values of a column, without its nulls, as one array of ``kind``."""
+    return np.concatenate([np.empty(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid]])
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Firsts and lasts of the runs of consecutive integers in a sorted array."""
+    breaks = np.flatnonzero(np.diff(values) != 1)
+    return values[np.r_[0, breaks + 1]], values[np.r_[breaks, len(values) - 1]]

@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, jaccard, mixture, rules, substrings, token_ids
+from gistworks.llm import contamination, jaccard, mixture, quality_mil, rules, substrings, token_ids
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@_register
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by attention over its passages, learned from two thirds of the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    part = quality_mil.crc_part(F.col("doc_id"), 3)
+    model = quality_mil.fit(docs, _table(spark, sf_dir, "labels"), part != 1)
+    held_out = F.coalesce(part == 1, F.lit(False)).alias("held_out")
+    return quality_mil.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_register
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mixture of 150% of all words takes of every document, with the time its first copy is due."""

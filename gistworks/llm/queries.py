@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, jaccard, mixture, quality_mil, rules, substrings, token_ids
+from gistworks.llm import contamination, jaccard, language, mixture, quality_mil, rules, substrings, token_ids
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by character models learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    part = language.crc_part(F.col("doc_id"), 4)
+    model = language.fit(docs.where(part != 2))
+    return language.detect(docs, model).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @_register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures of every document and the verdict of the rules."""

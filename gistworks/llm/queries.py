@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, jaccard, language, mixture, quality_mil, rules, substrings, token_ids
+from gistworks.llm import contamination, html_text, jaccard, language, mixture, quality_mil, rules, substrings, token_ids
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_register
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by composite text density."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 @_register
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by character models learned from three quarters of them."""

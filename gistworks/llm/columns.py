@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space, which parts words.
@@ -25,3 +25,9 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """The number of ``words``, as a long."""
     return F.size(words(text)).cast("long")
+
+
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``docs``, at most twice that many of different ones, the same in every run: those with a hash divisible by a number that grows with the table."""
+    part = max(1, docs.select("doc_id").count() // rows)
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == 0)

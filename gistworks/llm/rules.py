@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistworks.functions.frames import with_computed
-from gistworks.llm.columns import BLANKS, let, words
+from gistworks.llm.columns import BLANKS, let, sampled, words
 
-#: Rows on which costs and rejections are estimated; they decide the order of the rules alone.
+#: Rows on which costs and rejections are estimated, about; they decide the order of the rules alone.
 SAMPLE_ROWS = 2000
 
 #: Words of a window whose repetition counts.
@@ -92,8 +92,8 @@ MORE = (
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Each rule with its seconds and the share it rejects, over a sample of at most ``rows`` rows."""
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).limit(rows).persist()
+    """Each rule with its seconds and the share it rejects, over a sample of about ``rows`` rows."""
+    sample = sampled(docs.select("doc_id", "text"), rows).persist()
     try:
         n = max(1, sample.count())
         timed = []

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, html_text, jaccard, language, mixture, quality_mil, rules, substrings, token_ids
+from gistworks.llm import contamination, html_text, jaccard, language, mixture, quality_mil, quotes, rules, substrings, token_ids
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def _register(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@_register
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quoted passages, linked to what they answer, in reply order."""
+    return quotes.conversations(_table(spark, sf_dir, "conversations"))
+
+
 @_register
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""

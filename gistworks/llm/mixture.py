@@ -123,6 +123,12 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.array_compact(F.array(*times)).alias("positions"))
 
 
+def schedule(docs: DataFrame, **parameters) -> DataFrame:
+    """``plan`` with ``position``, the time the first copy is due (null: never), sorted by it in ranges."""
+    timed = plan(docs, **parameters).withColumn("position", F.round(F.get("positions", F.lit(0)), 9))
+    return timed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as it is taken, in training order.
 

@@ -44,21 +44,28 @@ s AS (
     SELECT *, bound * heavy <= rest * weight AS atbound FROM o
 ), free AS (SELECT rest, heavy FROM g WHERE NOT atbound ORDER BY bound / weight, rank LIMIT 1),
 t AS (
-    SELECT source, source_size,
+    SELECT source, source_size, rank,
         CASE WHEN atbound THEN bound::DOUBLE ELSE (SELECT rest FROM free) * weight / (SELECT heavy FROM free) END AS target
     FROM g
 ), p AS (
-    SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_passes,
+    SELECT d.*, source_size, target, rank, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_passes,
         size * 200 > source_size AS large
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), a AS (
     SELECT *, sum(size) OVER (PARTITION BY source ORDER BY large DESC, CASE WHEN large THEN -size ELSE 0 END, key, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before_it
     FROM p
-)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-    (size * (full_passes + CASE WHEN size > 0 AND 2 * before_it + size < 2 * (target - full_passes * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM a"""
+), b AS (
+    SELECT *, CASE WHEN size > 0 THEN full_passes + CASE WHEN 2 * before_it + size < 2 * (target - full_passes * source_size) THEN 1 ELSE 0 END ELSE 0 END AS passes
+    FROM a
+), c AS (
+    SELECT *, sum(size * passes) OVER (PARTITION BY source) AS demand, ([-0.5, 0, 0.5])[((rank - 1) % 3)::INT + 1]::DOUBLE AS slope,
+        sum(CASE WHEN passes > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS earlier
+    FROM b
+), e AS (SELECT *, CASE WHEN passes > 0 THEN (earlier + size / 2::DOUBLE) / demand END AS part FROM c)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * passes)::BIGINT AS taken,
+    round(2 * part / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * part)), 9) AS position
+FROM e"""
 
 _PLAIN = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 

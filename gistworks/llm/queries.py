@@ -69,8 +69,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mixture of 150% of all words takes of every document, with the time its first copy is due."""
-    planned = mixture.plan(_table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    planned = mixture.schedule(_table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 @_register

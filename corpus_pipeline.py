@@ -5,19 +5,51 @@ from __future__ import annotations
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistworks.llm import jaccard
+from gistworks.llm import contamination, jaccard, mixture, rules, token_ids
 from gistworks.session import checkpoint_folder
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return rules.kept(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """Of each group of near copies the document with the smallest doc_id stays."""
     return jaccard.one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture of what is left takes it, in training order."""
+    return mixture.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's token ids, written and read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    path = _path(spark, "token-ids")
+    token_ids.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_ids.read_digests(spark, path)
+
+
 STAGES = [
+    ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("tokens", tokens),
 ]
 
 #: Tokenising is not expressible in SQL; the tests hold the stages against brute force.
@@ -26,10 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``; hand-offs are written to the shared folder."""
-    folder = os.path.join(checkpoint_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+    for name, stage in STAGES:
+        path = _path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

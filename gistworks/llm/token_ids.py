@@ -45,26 +45,60 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        closing = [i for token, i in vocabulary.items() if token.endswith("</w>")]
+        self.ends = None  # which ids end a word, if the vocabulary tells
+        if closing:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[closing] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and where their pieces are
         self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
-    def _codes(self, pieces: list[bytes]) -> np.ndarray:
-        fresh = [p for p in pieces if p not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
+    def _tokenized(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has. Plain words go as one text, each ending where its last token says."""
+        plain = np.fromiter((p.isalpha() for p in pieces), bool, len(pieces))
+        texts = [p.decode() for p in pieces]
+        count, parts = np.zeros(len(pieces), np.int64), []
+        for line, own in ((True, np.flatnonzero(plain)), (False, np.flatnonzero(~plain))):
+            chosen = [texts[i] for i in own.tolist()]
+            if line and self.ends is not None:
+                ids = np.array(self.tokenizer.encode(" ".join(chosen), add_special_tokens=False).ids, np.uint32)
+                count[own] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(chosen, add_special_tokens=False)]
+                count[own] = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter((i for x in found for i in x), np.uint32, int(count[own].sum()))
+            parts.append((own, ids))
+        at = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.uint32)
+        for own, ids in parts:
+            n = count[own]
+            out[np.repeat(at[own] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return out, count
+
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
+        """The slots of different pieces, told by 64-bit hashes."""
+        data, offsets = W.text_bytes(pieces)
+        hashes = W.word_hashes(data, offsets[:-1], offsets[1:])
+        at = np.searchsorted(self.known, hashes)
+        fresh = np.flatnonzero(np.r_[self.known, np.uint64(0)][at] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(fresh):
+            if len(self.known) and len(self.known) + len(fresh) > REMEMBERED:
                 self.forget()
-                fresh = pieces
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.begin = np.r_[self.begin, len(self.ids) + np.r_[0, np.cumsum(count)[:-1]]]
-            self.count = np.r_[self.count, count]
-            self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))]
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+                return self._codes(pieces)
+            ids, count = self._tokenized(pieces.take(pa.array(fresh)).to_pylist())
+            slots = np.arange(len(self.begin), len(self.begin) + len(fresh))
+            self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(count) - count]
+            self.count, self.ids = np.r_[self.count, count], np.r_[self.ids, ids]
+            known = np.r_[self.known, hashes[fresh]]
+            order = np.argsort(known)
+            self.known, self.slots = known[order], np.r_[self.slots, slots][order]
+            at = np.searchsorted(self.known, hashes)
+        return self.slots[at]
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column, each row closed by ``end_id``, and the number of each row's."""
@@ -85,7 +119,7 @@ class WordTokenizer:
         bounds = np.zeros(len(lengths) + 1, np.int32)
         np.cumsum(lengths, out=bounds[1:])
         pieces = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(plain))]).dictionary_encode()
-        codes = self._codes(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        codes = self._codes(pieces.dictionary)[pieces.indices.to_numpy()]
         piece_rows = np.r_[place, len(lengths)][rows]
         count = self.count[codes]
         sums = np.r_[0, np.cumsum(count)]

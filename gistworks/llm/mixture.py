@@ -2,11 +2,12 @@
 
 A source's target is its weight's share of the mixture, bounded by a number of
 passes over the source, the excess going to the others by weight. Whole
-documents fill it: as many full passes as fit, and one more over the first
-documents of a fixed order, up to the document whose middle passes the target.
-That order has the documents larger than a two-hundredth of their source first
-(two hundred at most), by size, and the rest by hash; so the cut falls among
-smaller ones and the taken words come within a quarter of a percent of the source.
+documents fill it: as many full passes as fit, and one more over part of the
+documents. Of those larger than a two-hundredth of their source (fewer than two
+hundred, by their sum) the largest that still fits goes first; the others follow
+by hash, up to the one whose middle passes the target. So the taken words come
+within a quarter of a percent of the source, or, where the small documents do
+not suffice, within half of the smallest large one.
 
 Each source's weight changes during training along a schedule. Its integral is
 the demand for words of the source up to a time; inverting it at the words that
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gistworks.functions.frames import with_computed
 from gistworks.llm.columns import n_words
 from gistworks.session import checkpointed
 
@@ -37,7 +39,7 @@ SLOPES = (-0.5, 0.0, 0.5)
 #: Rows of a bucket of one source's order, on average.
 BUCKET_ROWS = 4000
 
-#: Documents larger than this part of their source come first in its order.
+#: Documents larger than this part of their source are chosen one by one.
 LARGE_PART = 200
 
 
@@ -81,6 +83,28 @@ def _running(rows: DataFrame, bucket: Column, order: Sequence[Column], **sums: C
     return rows.select(*old, *added)
 
 
+def _chosen(large: DataFrame) -> DataFrame:
+    """``rank, picks, filled`` of each source: which of its large documents, by size, get one more pass, and the words of those.
+
+    A document is picked if it still fits; the smallest one left over also if the
+    small documents cannot fill the rest and it comes nearer than nothing.
+    """
+    sources = large.groupBy("rank").agg(F.first("rest").alias("rest"), (F.first("source_size") - F.sum("size")).alias("small"), F.reverse(F.array_sort(F.collect_list("size"))).alias("sizes"))
+
+    def pick(state: Column, size: Column) -> Column:
+        fits = state["filled"] + size <= F.col("rest")
+        return F.struct((state["filled"] + F.when(fits, size).otherwise(0)).alias("filled"), F.concat(state["picks"], F.array(fits)).alias("picks"))
+
+    start = F.struct(F.lit(0).cast("long").alias("filled"), F.array().cast("array<boolean>").alias("picks"))
+    sources = with_computed(sources, state=F.aggregate("sizes", start, pick))
+    last = F.size("sizes") - F.array_position(F.reverse(F.col("state.picks")), False)  # of those not picked; all: beyond the end
+    sources = with_computed(sources, last=last)
+    open_ = F.col("rest") - F.col("state.filled") - F.col("small")
+    nearer = (F.col("last") < F.size("sizes")) & (F.get("sizes", F.col("last").cast("int")) < 2 * open_)
+    picks = F.transform(F.col("state.picks"), lambda p, i: p | (F.coalesce(nearer, F.lit(False)) & (i == F.col("last"))))
+    return sources.select("rank", picks.alias("picks"), F.col("state.filled").alias("filled"))
+
+
 def due(part: Column, slope: Column) -> Column:
     """The time at which a source has met a part of its demand, when its weight rises by ``slope`` from start to end.
 
@@ -106,10 +130,16 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     large = F.col("size") * LARGE_PART > F.col("source_size")
     slot = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     bucket = 1 + F.floor(slot * F.ceil(F.col("n_rows") / BUCKET_ROWS) / (1 << 28))
-    rows = _running(rows, F.when(large, 0).otherwise(bucket), [F.when(large, -F.col("size")).otherwise(0), F.col("key"), F.col("size")], before=F.col("size"))
     rest = F.col("target") - passes * F.col("source_size")
-    rows = rows.withColumn("passes", (passes + F.when((F.col("size") > 0) & (2 * F.col("before") + F.col("size") < 2 * rest), 1).otherwise(0)).cast("int"))
-    rows = rows.withColumn("passes", F.when(F.col("size") > 0, F.col("passes")).otherwise(0)).drop("before")
+    rows = rows.withColumns({"passes": passes, "rest": rest, "large": large})
+    chosen = _chosen(rows.where("large"))
+    nth = F.row_number().over(W.partitionBy("rank").orderBy(F.col("size").desc(), "key"))
+    first = rows.where("large").withColumn("nth", nth).join(chosen.select("rank", "picks"), "rank").withColumn("more", F.get("picks", F.col("nth") - 1)).drop("nth", "picks")
+    others = _running(rows.where("NOT large"), bucket, [F.col("key"), F.col("size")], before=F.col("size"))
+    others = others.join(chosen.select("rank", "filled"), "rank", "left").withColumn("left_over", F.col("rest") - F.coalesce("filled", F.lit(0)))
+    others = others.withColumn("more", (F.col("size") > 0) & (2 * F.col("before") + F.col("size") < 2 * F.col("left_over"))).drop("before", "filled", "left_over")
+    rows = first.unionByName(others).withColumn("passes", F.when(F.col("size") > 0, F.col("passes") + F.col("more").cast("int")).otherwise(0).cast("int"))
+    rows = checkpointed(rows.drop("rest", "large", "more"))
     turns = range(math.ceil(most))
     rows = _running(rows, bucket, [F.col("key"), F.col("size")], **{f"turn{k}": F.when(F.col("passes") > k, F.col("size")).otherwise(0) for k in turns})
     totals = rows.groupBy("rank").agg(*[F.sum(F.when(F.col("passes") > k, F.col("size")).otherwise(0)).alias(f"sum{k}") for k in turns])

@@ -31,7 +31,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b"""
 
 _MIXTURE = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 s AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
 ), w AS (
@@ -51,13 +51,23 @@ t AS (
     SELECT d.*, source_size, target, rank, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_passes,
         size * 200 > source_size AS large
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (SELECT *, target - full_passes * source_size AS rest, row_number() OVER (PARTITION BY rank, large ORDER BY size DESC, key) AS nth FROM p),
+l AS (SELECT rank, nth, size, rest, source_size FROM q WHERE large),
+pk AS (
+    SELECT rank, nth, size, size <= rest AS pick, CASE WHEN size <= rest THEN size ELSE 0 END AS filled FROM l WHERE nth = 1
+    UNION ALL
+    SELECT l.rank, l.nth, l.size, pk.filled + l.size <= l.rest, pk.filled + CASE WHEN pk.filled + l.size <= l.rest THEN l.size ELSE 0 END
+    FROM pk JOIN l ON l.rank = pk.rank AND l.nth = pk.nth + 1
+), h AS (
+    SELECT l.rank, max(pk.filled) AS filled, max(CASE WHEN NOT pick THEN pk.nth END) AS spare, any_value(rest) - max(pk.filled) - (any_value(source_size) - sum(l.size)) AS open
+    FROM l JOIN pk ON l.rank = pk.rank AND l.nth = pk.nth GROUP BY l.rank
 ), a AS (
-    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY large DESC, CASE WHEN large THEN -size ELSE 0 END, key, size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before_it
-    FROM p
+    SELECT q.*, CASE WHEN q.large THEN pk.pick OR (q.nth = h.spare AND q.size < 2 * h.open)
+        ELSE 2 * (sum(q.size) OVER (PARTITION BY q.rank, q.large ORDER BY q.key, q.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - q.size) + q.size
+            < 2 * (q.rest - coalesce(h.filled, 0)) END AS more
+    FROM q LEFT JOIN h ON q.rank = h.rank LEFT JOIN pk ON q.large AND q.rank = pk.rank AND q.nth = pk.nth
 ), b AS (
-    SELECT *, CASE WHEN size > 0 THEN full_passes + CASE WHEN 2 * before_it + size < 2 * (target - full_passes * source_size) THEN 1 ELSE 0 END ELSE 0 END AS passes
-    FROM a
+    SELECT *, CASE WHEN size > 0 THEN full_passes + CASE WHEN more THEN 1 ELSE 0 END ELSE 0 END AS passes FROM a
 ), c AS (
     SELECT *, sum(size * passes) OVER (PARTITION BY source) AS demand, ([-0.5, 0, 0.5])[((rank - 1) % 3)::INT + 1]::DOUBLE AS slope,
         sum(CASE WHEN passes > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS earlier

@@ -41,8 +41,8 @@ FRAGMENT_BYTES, SHARD_BYTES = 24 << 20, 8 << 20
 
 LEAST_PARTS = 16
 
-#: Words of one automaton, and words streamed through one copy of a shard.
-AUTOMATON_WORDS, STREAM_WORDS = 100_000, 2_000_000
+#: Words of one automaton, and windows streamed through one copy of a shard.
+AUTOMATON_WORDS, STREAM_WINDOWS = 100_000, 2_000_000
 
 #: Stands for a missing doc_id, which comes after all others.
 LAST = (1 << 63) - 1
@@ -259,7 +259,8 @@ def _passages(rows: DataFrame, size: int, parts: int, shards: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _PASSAGES.split(", ")])
 
-    return rows.select("ord", "key", "text", "found").mapInArrow(run, _PASSAGES)
+    # the same columns of the documents as in ``dedup``, so that their texts are moved once
+    return rows.select("doc_id", "ord", "key", "text", "found").mapInArrow(run, _PASSAGES)
 
 
 def _matcher(size: int):
@@ -299,11 +300,12 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, Data
     rows = _keyed(docs)
     found = _postings(rows, size, parts).groupBy("frag").applyInArrow(_earliest, _FOUND)
     found = found.groupBy("key").agg(F.collect_list(F.struct("frag", "places", "refs")).alias("found"))
-    passages = _passages(rows.dropDuplicates(["key"]).join(found, "key"), size, parts, shards)
-    copies = passages.where("NOT reference").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("copies"))
+    passages = _passages(rows.join(found, "key"), size, parts, shards)
+    streamed = found.select(F.explode(F.flatten(F.transform("found", lambda f: f["refs"]))).alias("ref"))
+    copies = streamed.groupBy(F.pmod("ref", F.lit(shards)).cast("int").alias("shard")).agg(F.ceil(F.count("*") / STREAM_WINDOWS).cast("int").alias("copies"))
     copy = F.when(F.col("reference"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("copies")).cast("int")))
     dealt = passages.join(copies, "shard").select("shard", F.explode(copy).alias("copy"), "reference", "ord", "key", "start", "n", "symbols")
-    spans = dealt.groupBy("shard", "copy").applyInArrow(_matcher(size), "key long, a int, b int")
+    spans = dealt.repartition("shard", "copy").groupBy("shard", "copy").applyInArrow(_matcher(size), "key long, a int, b int")
     return rows, spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -340,4 +342,4 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             )
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
-    return rows.join(spans, "key", "left").select("doc_id", "ord", "text", "spans").mapInArrow(run, schema)
+    return rows.join(spans, "key", "left").select("doc_id", "ord", "key", "text", "spans").mapInArrow(run, schema)

@@ -79,7 +79,7 @@ def test_random_passages(documents):
 
 
 def test_small_parts_and_copies_of_shards(documents, monkeypatch):
-    for name, value in {"FRAGMENT_BYTES": 300, "SHARD_BYTES": 500, "AUTOMATON_WORDS": 50, "STREAM_WORDS": 60}.items():
+    for name, value in {"FRAGMENT_BYTES": 300, "SHARD_BYTES": 500, "AUTOMATON_WORDS": 50, "STREAM_WINDOWS": 60}.items():
         monkeypatch.setattr(substrings, name, value)
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(i, f"a{i} {text} b{i}") for i in range(40)]

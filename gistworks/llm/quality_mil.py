@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
     """
     chosen = labels.where(learn & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label_"))
     chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label_")  # bounded by ``rows``
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label_")  # bounded by ``rows``
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):

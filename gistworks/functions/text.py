@@ -9,18 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The cleaning patterns. Loops over word runs are possessive
-# (``*+``): giving an item back can never make a match, and a plain ``(...)*``
-# recurses once per item in Java, so that a few thousand capitalised words in a
-# row would overflow the stack of the task.
+# The cleaning patterns.
 ET_AL_STOP = r"(et al) \. (?![A-Z][a-z])"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 GLUED_STOP = r"\.([A-Z][a-z])"
 AUTHOR = r"[A-Z][A-Za-z'`-]++"
-MORE_AUTHORS = rf"(?:,? (?:and |& )?{AUTHOR})*+"
-ET_AL = rf"(?:,? et al.?{MORE_AUTHORS})*"
 YEAR = r"(?:19|20)[0-9][0-9](?:, p.? [0-9]+)?"
-AUTHOR_YEAR = rf"{AUTHOR}{MORE_AUTHORS}{ET_AL}(?:, *{YEAR}| *\({YEAR}\))"
+DATED = rf"(?:, *{YEAR}| *\({YEAR}\))"
+GOES_ON = r",? (?:(?:and |& )?[A-Z][A-Za-z'`-]|et al)"
+
+
+def _authors(behind: str) -> str:
+    """A run of authors and "et al"s, read once: every loop is possessive. One
+    more character ``behind`` an "et al" belongs to it unless the run goes on,
+    or a year follows, without it."""
+    return rf"{AUTHOR}(?:,? (?:(?:and |& )?{AUTHOR}|et al(?:(?!{GOES_ON}|{DATED}){behind})?+))*+"
+
+
+# A run with its year goes; one without is group 1 and stays, as a whole: no
+# match can begin inside it, so no word is read again.
+AUTHOR_YEAR = rf"{_authors('[^\n]')}{DATED}|({_authors('[^A-Z\n]')})"
 BRACKET_SINGLE = r"\[[0-9]+(?:-[0-9]+)?\]"
 BRACKET_LIST = r"\[[0-9]++(?:,\s*+[0-9]++)++\]"
 PROMPT_PREFIX = "Simplify: "
@@ -48,7 +56,7 @@ def space_after_stop(text: Column) -> Column:
 
 
 def strip_author_year(text: Column) -> Column:
-    return F.regexp_replace(text, AUTHOR_YEAR, "")
+    return F.regexp_replace(text, AUTHOR_YEAR, "$1")
 
 
 def strip_bracket_single(text: Column) -> Column:
@@ -141,10 +149,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.coalesce(grams, F.array().cast("array<string>"))
 
 
-def join_sentences(sentences: Column) -> Column:
-    return F.array_join(sentences, " ")
-
-
 def prompt(text: Column) -> Column:
     return F.concat(F.lit(PROMPT_PREFIX), text, F.lit(PROMPT_MARKER))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from gistworks.functions.stopwords import ENGLISH
 from gistworks.plans.views import BROKEN_STOPS, CITATIONS
 
+# The cleaning patterns, as plain loops.
 WS = (
     r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,19 +33,25 @@ def test_clean_edge_rows(spark):
 
 def test_author_year_matches_plain_pattern(spark):
     """The possessive pattern removes what the plain one does."""
+    # The plain pattern.
     name = "(?:[A-Z][A-Za-z'`-]+)"
     year = "(?:19|20)[0-9][0-9](?:, p.? [0-9]+)?"
     plain = re.compile(rf"{name}(?:,? (?:(?:and |& )?{name}|(?:et al.?)))*(?:, *{year}| *\({year}\))")
     rng = random.Random(7)
-    parts = ["Smith", "Mc-D", "O'N", " ", ", ", " and ", " & ", " et al", ".", ",", "(", ")", "2004", "1999", ", p. 3", "x"]
+    parts = ["Smith", "Mc-D", "O'N", " ", ", ", " and ", " & ", " et al", ".", ",", "(", ")", "2004", "1999", ", p. 3", "x", "  ", "S", "et al", "\n", " al"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     assert column(spark, texts, text.strip_author_year) == [plain.sub("", t) for t in texts]
 
 
-def test_long_runs_do_not_overflow(spark):
-    capitals = "Aaaa " * 20000
+def test_long_runs_are_read_once(spark):
+    """A megabyte of capitalised words, of "et al"s and of both takes no time and no stack."""
+    capitals = "Aaaa " * 200_000
     numbers = "[" + "1, " * 20000 + "1]"
-    assert column(spark, [capitals, numbers], text.strip_citations) == [capitals, ""]
+    others = "Smith" + " et al." * 20_000
+    mixed = "Smith et al. Jones and McDonald, " * 30_000
+    start = time.time()
+    assert column(spark, [capitals, numbers, others, mixed, mixed + "2004"], text.strip_citations) == [capitals, "", others, mixed, ""]
+    assert time.time() - start < 20
 
 
 @pytest.mark.parametrize(

@@ -44,6 +44,9 @@ LEAST_PARTS = 16
 #: Words of one automaton, and windows streamed through one copy of a shard.
 AUTOMATON_WORDS, STREAM_WINDOWS = 100_000, 2_000_000
 
+#: Shards whose numbers of copies, sixteen bytes each, are broadcast; those of more are joined.
+BROADCAST_SHARDS = 1 << 16
+
 #: Stands for a missing doc_id, which comes after all others.
 LAST = (1 << 63) - 1
 
@@ -193,8 +196,9 @@ def _earliest(blocks: pa.Table) -> pa.Table:
         sent = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip((y for y in blocks.column("sent") if y.is_valid), totals, strict=True)]
         sent = np.concatenate(sent).view(bool)
         begins = np.cumsum(counts) - counts
-        places = (np.arange(len(sent)) - np.repeat(begins, counts)).astype(np.int32)[sent]
+        places = (np.arange(len(sent), dtype=np.int32) - np.repeat(begins.astype(np.int32), counts))[sent]
         counts = np.add.reduceat(sent, begins, dtype=np.int64)
+        del sent
         begins = np.cumsum(counts) - counts
         order = np.lexsort((keys, ords))  # the order of the corpus; of equal rows one is enough
         ords, keys = ords[order], keys[order]
@@ -202,14 +206,16 @@ def _earliest(blocks: pa.Table) -> pa.Table:
         order, keys = order[new], keys[new]
         counts, begins = counts[order], begins[order]
         of = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
-        at = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(len(of))
+        at = np.repeat((begins - np.cumsum(counts) + counts).astype(np.int32), counts) + np.arange(len(of), dtype=np.int32)
         places, grams = places[at], grams[at]
-        order = np.argsort(grams, kind="stable")
+        del at
+        order = np.argsort(grams, kind="stable").astype(np.int32)
         grams = grams[order]
         first = np.r_[True, grams[1:] != grams[:-1]]
-        leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        again = order[~first]
-        leader = leader[~first]
+        del grams
+        leader = np.maximum.accumulate(np.where(first, np.arange(len(order), dtype=np.int32), 0))[~first]
+        leader, again = order[leader], order[~first]
+        del order
         rows += [(k, frag, p, r) for k, p, r in _found(of[again], places[again], of[leader], places[leader], keys)]
     columns = list(zip(*rows, strict=True)) or [[]] * 4
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -303,6 +309,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, Data
     passages = _passages(rows.join(found, "key"), size, parts, shards)
     streamed = found.select(F.explode(F.flatten(F.transform("found", lambda f: f["refs"]))).alias("ref"))
     copies = streamed.groupBy(F.pmod("ref", F.lit(shards)).cast("int").alias("shard")).agg(F.ceil(F.count("*") / STREAM_WINDOWS).cast("int").alias("copies"))
+    copies = F.broadcast(copies) if shards <= BROADCAST_SHARDS else copies
     copy = F.when(F.col("reference"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("copies")).cast("int")))
     dealt = passages.join(copies, "shard").select("shard", F.explode(copy).alias("copy"), "reference", "ord", "key", "start", "n", "symbols")
     spans = dealt.repartition("shard", "copy").groupBy("shard", "copy").applyInArrow(_matcher(size), "key long, a int, b int")

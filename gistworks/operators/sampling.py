@@ -1,34 +1,37 @@
 """Samples, balanced classes and splits that never sort a table in one task.
 
-Each operator keeps the rows up to a *cut* in some total order: the n-th
-smallest key. The cut is found by narrowing a key range with counts, so only
-counts and a bounded sample of keys reach the driver and the rows themselves are
-filtered in place, without a shuffle. Every round reads its input again: pass a
-written table where the input is expensive.
+Rows have a total order: a key, nulls first, and behind it a hash of the whole
+row, so that only equal rows are tied, which are interchangeable. Each operator
+marks the rows up to some *cuts* in that order, the n-th smallest places. All
+cuts are found together by narrowing ranges of the order with counts; only
+counts and a bounded sample of places reach the driver, and the rows themselves
+are filtered in place, without a shuffle. Every round reads its input again:
+pass a written table where the input is expensive.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_SEED = 42
-SMALL = 100_000
+# Rows of a range that are ranked; larger ranges are narrowed first.
+RANKED = 100_000
 SAMPLE = 4096
 SPLITS = 63
 
 
 @dataclass(frozen=True)
 class Cut:
-    """The n-th smallest key: ``take`` of the ``there`` rows with ``key`` belong
-    to the first n, and all rows with a smaller key."""
+    """The n-th place: ``below`` rows come before it, ``there`` are equal to it."""
 
-    key: Any
-    take: int
+    place: Row
+    below: int
     there: int
 
 
@@ -37,74 +40,150 @@ def shuffled_key(*columns: str, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *columns))
 
 
-def _bucket(key: Column, splits: list, first: int = 0) -> Column:
-    """Number of splits not above the key, as a balanced tree of comparisons."""
+def places(df: DataFrame, *keys: Column) -> Column:
+    """The total order of the rows: the keys, then a hash of the row."""
+    return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.xxhash64(*df.columns).alias("row"))
+
+
+def _literal(place: Row, kind: T.StructType) -> Column:
+    return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(place, kind.fields)))
+
+
+def _bucket(place: Column, splits: list[Column], first: int = 0) -> Column:
+    """Twice the number of splits below the place, one more if it is a split:
+    a balanced tree of comparisons."""
     if not splits:
-        return F.lit(first)
+        return F.lit(2 * first)
     mid = len(splits) // 2
-    return F.when(key < F.lit(splits[mid]), _bucket(key, splits[:mid], first)).otherwise(
-        _bucket(key, splits[mid + 1 :], first + mid + 1)
+    return (
+        F.when(place < splits[mid], _bucket(place, splits[:mid], first))
+        .when(place == splits[mid], 2 * (first + mid) + 1)
+        .otherwise(_bucket(place, splits[mid + 1 :], first + mid + 1))
     )
 
 
-def find_cut(df: DataFrame, key: Column, n: int) -> Cut | None:
-    """The cut after the first ``n`` rows; None if there are no more than n."""
-    part, k = df.select(key.alias("k")), F.col("k")
+@dataclass
+class _Range:
+    """Rows strictly between two places, and the n of them that is looked for."""
+
+    low: Row | None
+    high: Row | None
+    below: int
+    size: int
+    n: int
+
+
+def find_cuts(df: DataFrame, place: Column, ns: Sequence[int]) -> list[Cut]:
+    """The cuts after the first n rows, for each n from 1 to the number of rows."""
+    part, p = df.select(place.alias("p")), F.col("p")
+    kind = part.schema["p"].dataType
     total = part.count()
-    if n >= total:
-        return None
+    open_: dict[int, _Range] = {i: _Range(None, None, 0, total, n) for i, n in enumerate(ns)}
+    cuts: dict[int, Cut] = {}
+
+    def inside(r: _Range) -> Column:
+        low = p > _literal(r.low, kind) if r.low is not None else F.lit(True)
+        return low & (p < _literal(r.high, kind)) if r.high is not None else low
+
+    def any_of(ranges: Sequence[_Range]) -> Column:
+        found = F.lit(False)
+        for r in {(r.low, r.high): r for r in ranges}.values():
+            found = found | inside(r)
+        return found
+
     seed = DEFAULT_SEED
-    while total > SMALL:
+    while wide := {i: r for i, r in open_.items() if r.size > RANKED}:
         seed += 1
-        sample = part.sample(fraction=min(1.0, SAMPLE / total), seed=seed).limit(2 * SAMPLE)
-        keys = sorted({row.k for row in sample.collect()})
-        if len(keys) > 1:
-            splits = keys[:: max(1, len(keys) // SPLITS)]
-            counts = dict(part.groupBy(_bucket(k, splits).alias("b")).count().collect())
-            bucket = 0
-            while n > counts.get(bucket, 0):
-                n -= counts.get(bucket, 0)
-                bucket += 1
-            if bucket > 0:
-                part = part.where(k >= F.lit(splits[bucket - 1]))
-            if bucket < len(splits):
-                part = part.where(k < F.lit(splits[bucket]))
-            total = counts[bucket]
-        elif keys:
-            # One key fills the range: step over it, or stop at it.
-            hot = F.lit(keys[0])
-            below, at = part.select(F.count_if(k < hot), F.count_if(k == hot)).first()
-            if below < n <= below + at:
-                return Cut(keys[0], n - below, at)
-            part, total, n = (
-                (part.where(k < hot), below, n) if n <= below else (part.where(k > hot), total - below - at, n - below - at)
-            )
-    cut = part.orderBy("k").limit(n).agg(F.max("k")).first()[0]
-    below, at = part.select(F.count_if(k < F.lit(cut)), F.count_if(k == F.lit(cut))).first()
-    return Cut(cut, n - below, at)
+        bounds = {(r.low, r.high): r for r in wide.values()}
+        rows = part.where(any_of(list(wide.values())))
+        for bound, r in bounds.items():
+            share = min(1.0, SAMPLE / r.size)
+            sample = part.where(inside(r)).sample(fraction=share, seed=seed).limit(2 * SAMPLE)
+            found = [x.p for x in sample.distinct().orderBy("p").collect()]
+            splits = found[:: max(1, len(found) // SPLITS)]
+            if not splits:
+                continue
+            counts = dict(rows.where(inside(r)).groupBy(_bucket(p, [_literal(s, kind) for s in splits]).alias("b")).count().collect())
+            for i in [i for i, w in wide.items() if (w.low, w.high) == bound]:
+                w, bucket = open_[i], 0
+                below, n = w.below, w.n
+                while n > counts.get(bucket, 0):
+                    n -= counts.get(bucket, 0)
+                    below += counts.get(bucket, 0)
+                    bucket += 1
+                if bucket % 2:
+                    cuts[i] = Cut(splits[bucket // 2], below, counts[bucket])
+                    del open_[i]
+                else:
+                    low = splits[bucket // 2 - 1] if bucket else w.low
+                    high = splits[bucket // 2] if bucket // 2 < len(splits) else w.high
+                    open_[i] = _Range(low, high, below, counts[bucket], n)
+    by_bounds: dict[tuple, list[int]] = {}
+    for i, r in open_.items():
+        by_bounds.setdefault((r.low, r.high), []).append(i)
+    if by_bounds:
+        of = F.lit(None).cast("int")
+        for k, members in enumerate(by_bounds.values()):
+            of = F.when(inside(open_[members[0]]), k).otherwise(of)
+        ranked = part.withColumn("r", of).where("r IS NOT NULL").groupBy("r", "p").agg(F.count("*").alias("there"))
+        before = Window.partitionBy("r").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = ranked.withColumn("upto", F.sum("there").over(before))
+        wanted = F.lit(False)
+        for k, members in enumerate(by_bounds.values()):
+            for i in members:
+                n = open_[i].n
+                wanted = wanted | ((F.col("r") == k) & (F.col("upto") >= n) & (F.col("upto") - F.col("there") < n))
+        found = ranked.where(wanted).collect()
+        for k, members in enumerate(by_bounds.values()):
+            for i in members:
+                r = open_[i]
+                row = next(x for x in found if x.r == k and x.upto >= r.n > x.upto - x.there)
+                cuts[i] = Cut(row.p, r.below + row.upto - row.there, row.there)
+    return [cuts[i] for i in range(len(ns))]
+
+
+def marked(df: DataFrame, place: Column, bounds: Sequence[tuple[int, str]], column: str) -> DataFrame:
+    """``df`` with ``column``: for ascending bounds (n, name), the name of the
+    first one that a row's rank does not exceed. The last n is the number of
+    rows. Equal rows on both sides of a bound are counted, not ranked."""
+    total = bounds[-1][0]
+    rest = next(name for n, name in bounds if n >= total)
+    steps = dict(reversed([(n, name) for n, name in bounds if 0 < n < total]))  # of equal bounds the first names
+    inner = sorted(steps.items())
+    kind = df.select(place.alias("p")).schema["p"].dataType
+    cuts = find_cuts(df, place, [n for n, _ in inner]) if inner else []
+    value = F.lit(rest)
+    for cut, (_, name) in reversed(list(zip(cuts, inner))):
+        value = F.when(place <= _literal(cut.place, kind), name).otherwise(value)
+    shared = {c.place: c for c, (n, _) in zip(cuts, inner) if c.below + c.there > n}
+    if not shared:
+        return df.withColumn(column, value)
+    tied = F.lit(False)
+    below = F.lit(None).cast("long")
+    for at, cut in shared.items():
+        same = place == _literal(at, kind)
+        tied, below = tied | same, F.when(same, F.lit(cut.below)).otherwise(below)
+    counted = df.where(tied).groupBy(*df.columns).agg(F.count("*").alias("_there"))
+    counted = counted.select(*df.columns, below.alias("_below"), F.explode(F.sequence(F.lit(1), F.col("_there"))).alias("_nth"))
+    again = counted.withColumn("_rank", F.col("_below") + F.col("_nth")).drop("_below", "_nth")
+    split = F.lit(rest)
+    for n, name in reversed(inner):
+        split = F.when(F.col("_rank") <= n, name).otherwise(split)
+    return df.where(~tied).withColumn(column, value).unionByName(again.withColumn(column, split).drop("_rank"))
 
 
 def take_first(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The first ``n`` rows in key order, equal keys in any order: a few tied rows
-    by a plain limit, many by their position, so that no task gathers them."""
+    """The first ``n`` rows in key order, nulls first."""
     if n <= 0:
         return df.limit(0)
-    cut = find_cut(df, key, n)
-    if cut is None:
+    total = df.count()
+    if n >= total:
         return df
-    if cut.take == cut.there:
-        return df.where(key <= F.lit(cut.key))
-    tied = df.where(key == F.lit(cut.key))
-    if cut.take > SMALL:
-        placed = tied.withColumn("_position", F.monotonically_increasing_id())
-        tied = take_first(placed, F.col("_position"), cut.take).drop("_position")
-    else:
-        tied = tied.limit(cut.take)
-    return df.where(key < F.lit(cut.key)).unionByName(tied)
+    return marked(df, places(df, key), [(n, "first"), (total, "rest")], "_part").where("_part = 'first'").drop("_part")
 
 
 def first_fraction(df: DataFrame, parts: int = 3, key: str = "id") -> DataFrame:
-    """The first ``count // parts`` rows by ``key``."""
+    """The first ``count // parts`` rows by ``key``, nulls first."""
     return take_first(df, F.col(key), df.count() // parts)
 
 
@@ -121,41 +200,23 @@ def balance_classes(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED) ->
     return take_first(zeros, shuffled_key(*keys, seed=seed), ones.count()).unionByName(ones)
 
 
-def _class_split(key: Column, held: Cut | None, check: Cut | None) -> Column:
-    """Split of one class from its two cuts; the keys are unique by contract."""
-    value = F.lit("train")
-    if held is not None:
-        value = F.when(key > F.lit(held.key), "train").otherwise("test")
-    if check is not None:
-        value = F.when(key <= F.lit(check.key), "validation").otherwise(value)
-    return value
-
-
 def stratified_split(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """Adds ``split``: of each class a fifth (rounded up) is held out, half of
-    that (rounded up) for validation, the rest for test. ``keys`` identify a row.
-    """
-    key = shuffled_key(*keys, seed=seed)
-    sizes = df.groupBy("label").count().orderBy("label").collect()
-    split = F.lit(None).cast("string")
-    for label, size in reversed(sizes):
+    that (rounded up) for validation, the rest for test. Rows count, not keys:
+    repeated ones are split like any others."""
+    sizes = df.groupBy("label").count().orderBy(F.col("label").asc_nulls_first()).collect()
+    bounds, before = [], 0
+    for _, size in sizes:
         held = math.ceil(size / 5)
-        rows = df.where(F.col("label") == label)
-        in_class = _class_split(key, _edge(rows, key, held), _edge(rows, key, math.ceil(held / 2)))
-        split = F.when(F.col("label") == label, in_class).otherwise(split)
-    return df.withColumn("split", split)
-
-
-def _edge(rows: DataFrame, key: Column, n: int) -> Cut | None:
-    """As ``find_cut``, but the last key where n covers all rows."""
-    return find_cut(rows, key, n) or Cut(rows.agg(F.max(key)).first()[0], 1, 1)
+        bounds += [(before + math.ceil(held / 2), "validation"), (before + held, "test"), (before + size, "train")]
+        before += size
+    if not bounds:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    return marked(df, places(df, F.col("label"), shuffled_key(*keys, seed=seed)), bounds, "split")
 
 
 def train_eval_split(df: DataFrame, rows: int = 100, key: str = "id", seed: int = DEFAULT_SEED) -> DataFrame:
     """The first ``rows`` rows by key, a fifth (rounded up) marked ``eval``."""
     head = take_first(df, F.col(key), rows)
-    held = math.ceil(head.count() / 5)
-    cut = _edge(head, shuffled_key(key, seed=seed), held) if held else Cut("", 0, 0)
-    return head.withColumn(
-        "split", F.when(shuffled_key(key, seed=seed) <= F.lit(cut.key), "eval").otherwise("train")
-    )
+    total = head.count()
+    return marked(head, places(head, shuffled_key(key, seed=seed)), [(math.ceil(total / 5), "eval"), (total, "train")], "split")

@@ -9,7 +9,7 @@ from gistworks.operators import sampling
 @pytest.fixture
 def narrow(monkeypatch):
     """Force the narrowing rounds on small tables."""
-    monkeypatch.setattr(sampling, "SMALL", 20)
+    monkeypatch.setattr(sampling, "RANKED", 20)
     monkeypatch.setattr(sampling, "SAMPLE", 60)
 
 
@@ -17,7 +17,8 @@ def narrow(monkeypatch):
 def test_cut_is_the_nth_key(spark, narrow, n):
     keys = [(i * 7919) % 1000 for i in range(1000)]
     df = spark.createDataFrame([(k,) for k in keys], "k int")
-    assert sampling.find_cut(df, F.col("k"), n) == sampling.Cut(n - 1, 1, 1)
+    (cut,) = sampling.find_cuts(df, F.struct("k"), [n])
+    assert (cut.place.k, cut.below, cut.there) == (n - 1, n - 1, 1)
     assert sampling.take_first(df, F.col("k"), n).count() == n
 
 
@@ -66,3 +67,37 @@ def test_stratified_split(spark, narrow):
 def test_train_eval_split(spark):
     got = dict(sampling.train_eval_split(spark.range(500)).groupBy("split").count().collect())
     assert got == {"train": 80, "eval": 20}
+
+
+def test_split_of_repeated_keys(spark, narrow):
+    """900 rows of one class, a third of which share an id; once they differ, once they are equal."""
+    for third in ("id % 3 = 0", "id < 300"):
+        ids = spark.range(900).selectExpr(f"if({third}, -1, id) AS id", "0 AS label", f"if({third}, 7, id) AS v", "id AS n")
+        for df in (ids.drop("n"), ids):
+            split = sampling.stratified_split(df, ["id"])
+            assert dict(split.groupBy("split").count().collect()) == {"train": 720, "validation": 90, "test": 90}
+            assert split.drop("split").exceptAll(df).isEmpty() and split.count() == 900
+    got = dict(sampling.train_eval_split(ids.drop("n"), rows=600).groupBy("split").count().collect())
+    assert got == {"train": 480, "eval": 120}
+
+
+def test_null_keys_are_rows(spark, narrow):
+    df = spark.range(90).selectExpr("if(id < 30, null, id) AS id", "id AS v", "cast(null as int) AS label")
+    first = sampling.first_fraction(df)
+    assert sorted(r.v for r in first.collect()) == list(range(30))
+    assert sampling.sample_rows(df, 40).count() == 40
+    assert sampling.stratified_split(df, ["id"]).groupBy("split").count().count() == 3
+
+
+def test_reruns_agree_on_repeated_keys(spark, narrow):
+    df = spark.range(300).selectExpr("id % 4 AS id", "id AS v")
+    a, b = (sorted(r.v for r in sampling.sample_rows(df.repartition(k), 77).collect()) for k in (2, 5))
+    assert a == b and len(a) == 77
+
+
+def test_empty_tables(spark):
+    df = spark.range(0).selectExpr("id", "1 AS label")
+    assert sampling.stratified_split(df, ["id"]).collect() == []
+    assert sampling.train_eval_split(df).collect() == []
+    assert sampling.balance_classes(df, ["id"]).collect() == []
+    assert sampling.first_fraction(df).collect() == []

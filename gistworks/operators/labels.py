@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistworks.functions import text
@@ -56,12 +56,19 @@ def label_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count("*").alias("rows"))
 
 
+LABELS_OF_RANGE = 4096
+
+
 def class_encode(df: DataFrame, column: str = "label") -> DataFrame:
     """Adds ``class_id``: position of the integer label among the sorted
-    distinct labels. The distinct labels are few rows; the table itself is
-    joined, never windowed."""
-    labels = df.select(F.col(column).cast("int").alias("_label")).distinct()
-    ranked = labels.agg(F.array_sort(F.collect_set("_label")).alias("_labels")).select(
-        F.posexplode("_labels").alias("class_id", "_label")
-    )
+    distinct labels, counted by ranges of labels and then inside them. The table
+    itself is joined, never windowed."""
+    labels = df.select(F.col(column).cast("int").alias("_label")).distinct().where("_label IS NOT NULL")
+    labels = labels.withColumn("_range", F.floor(F.col("_label") / LABELS_OF_RANGE))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = labels.groupBy("_range").agg(F.count("*").alias("_n"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("_label"))
+    ranked = labels.withColumn("_nth", nth).join(ranges, "_range")
+    ranked = ranked.select("_label", (F.col("_base") + F.col("_nth") - 1).cast("int").alias("class_id"))
     return df.join(ranked, F.col(column).cast("int") == F.col("_label")).drop("_label")

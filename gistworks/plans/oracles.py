@@ -192,8 +192,10 @@ ORACLES |= {
     "naive_sentences": r"""SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence FROM (
         SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
           SELECT doc_id AS id, string_split(array_to_string(string_split(text, chr(10))[2:], '.'), '.') AS s FROM documents))""",
-    "rouge_tokens": f"""WITH {ARTICLES} SELECT id, i::INTEGER - 1 AS pos, w[i] AS token FROM (
-        SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, {words('lay_summary')} AS w FROM articles))""",
+    "rouge_tokens": f"""WITH {ARTICLES} SELECT id, side, i::INTEGER - 1 AS pos, w[i] AS token FROM (
+        SELECT id, side, w, unnest(range(1, len(w) + 1)) AS i FROM (
+          SELECT id, 'lay_summary' AS side, {words('lay_summary')} AS w FROM articles
+          UNION ALL SELECT id, 'article', {words('article')} FROM articles))""",
     "char_lengths": f"""WITH {ARTICLES} SELECT id, length(article)::INTEGER AS article_chars,
         length(lay_summary)::INTEGER AS summary_chars FROM articles""",
     "headings_joined": f"""WITH {ARTICLES} SELECT id, array_to_string(headings, ', ') AS headings,
@@ -254,6 +256,15 @@ def n_words(x: str) -> str:
     return f"len({words(x)})"
 
 
+def histogram(values: str) -> str:
+    """The last CTEs and the result: ten equal bins over ``v`` of a query."""
+    return f"""v AS MATERIALIZED ({values}),
+e AS (SELECT CASE WHEN max(v) = min(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN max(v) = min(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
+b AS (SELECT least(floor((v - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin, count(*) AS n FROM v, e GROUP BY bin)
+SELECT r.bin::INTEGER AS bin, round(lo + (hi - lo) / 10 * r.bin, 6) AS low, round(lo + (hi - lo) / 10 * (r.bin + 1), 6) AS high,
+  coalesce(n, 0) AS rows FROM (SELECT unnest(range(10)) AS bin) r CROSS JOIN e LEFT JOIN b ON b.bin = r.bin"""
+
+
 def word_list(x: str) -> str:
     return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*')"
 
@@ -323,12 +334,10 @@ ORACLES |= {
         GROUP BY keyword""",
     "token_lengths": f"WITH {ARTICLES} SELECT id, {n_words('article')}::INTEGER AS tokens FROM articles",
     "avg_token_length": f"WITH {ARTICLES} SELECT round(avg({n_words('article')}), 6) AS avg_tokens FROM articles",
-    "length_histogram": f"""WITH {ARTICLES}, v AS (SELECT {n_words('lay_summary')}::DOUBLE AS v FROM articles),
-        e AS (SELECT CASE WHEN max(v) = min(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN max(v) = min(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
-        b AS (SELECT least(floor((v - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin, count(*) AS n FROM v, e GROUP BY bin)
-        SELECT r.bin::INTEGER AS bin, round(lo + (hi - lo) / 10 * r.bin, 6) AS low, round(lo + (hi - lo) / 10 * (r.bin + 1), 6) AS high,
-          coalesce(n, 0) AS rows FROM (SELECT unnest(range(10)) AS bin) r CROSS JOIN e LEFT JOIN b ON b.bin = r.bin""",
-    "summary_length_quantiles": f"""WITH {ARTICLES}, n AS (SELECT len({sentences('article')}) AS n FROM articles)
+    "length_histogram": f"WITH {ARTICLES}, {histogram('SELECT ' + n_words('lay_summary') + '::DOUBLE AS v FROM articles')}",
+    "article_length_histogram": f"WITH {ARTICLES}, {histogram('SELECT ' + n_words('article') + '::DOUBLE AS v FROM articles')}",
+    "sentence_score_histogram": f"WITH {SPLIT}, {WHOLE_SCORES}, {histogram('SELECT score AS v FROM ws')}",
+    "summary_length_quantiles": f"""WITH {ARTICLES}, n AS (SELECT len({sentences('lay_summary')}) AS n FROM articles)
         SELECT quantile_cont(n, 0.25)::DOUBLE AS p25, quantile_cont(n, 0.5)::DOUBLE AS p50, quantile_cont(n, 0.75)::DOUBLE AS p75,
           quantile_cont(n, 0.9)::DOUBLE AS p90 FROM n""",
     "corpus_stats": f"""WITH {ARTICLES}, {readability('articles', 'article', 'id, lay_summary')}

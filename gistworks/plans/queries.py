@@ -100,9 +100,12 @@ def naive_sentences(spark, sf_dir):
 
 @query
 def rouge_tokens(spark, sf_dir):
-    return views.articles(spark, sf_dir).select(
-        "id", F.posexplode(text.word_tokens(F.col("lay_summary"))).alias("pos", "token")
-    )
+    articles = views.articles(spark, sf_dir)
+    sides = [
+        articles.select("id", F.lit(side).alias("side"), F.posexplode(text.word_tokens(F.col(side))).alias("pos", "token"))
+        for side in ("article", "lay_summary")
+    ]
+    return sides[0].unionByName(sides[1])
 
 
 @query
@@ -160,7 +163,7 @@ def csv_roundtrip(spark, sf_dir):
         F.col("id").cast("string").alias("id"), F.lit(0).alias("sent_idx"), "sentence", "label"
     )
     corpus.write_sentences(labelled, path)
-    return corpus.read_sentences(spark, path)
+    return corpus.read_sentences(spark, path, multi_line=True)  # whole documents hold newlines
 
 
 @query
@@ -268,10 +271,20 @@ def length_histogram(spark, sf_dir):
     return stats.histogram(stats.token_lengths(views.articles(spark, sf_dir), "lay_summary"), "tokens")
 
 
+@query
+def article_length_histogram(spark, sf_dir):
+    return stats.histogram(stats.token_lengths(views.articles(spark, sf_dir), "article"), "tokens")
+
+
+@query
+def sentence_score_histogram(spark, sf_dir):
+    return stats.histogram(extract.sentence_scores(views.cited_articles(spark, sf_dir)), "score")
+
+
 @query
 def summary_length_quantiles(spark, sf_dir):
     points = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    return stats.sentence_quantiles(views.articles(spark, sf_dir), "article", points)
+    return stats.sentence_quantiles(views.articles(spark, sf_dir), "lay_summary", points)
 
 
 @query

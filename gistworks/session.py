@@ -16,6 +16,8 @@ def local_session(cores: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("GISTWORKS_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,19 +26,25 @@ def local_session(cores: int = 8) -> SparkSession:
     return spark
 
 
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``; a local
-    session without one (tests) gets a new temporary folder."""
+    """The shared folder the session names in ``spark.checkpoint.dir``. A local
+    session without one (tests) gets a folder that goes when the process ends."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gistworks-")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="gistworks-"))
+    return _OWN[0].name
 
 
 def checkpointed(df):
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder;
+    its files go with it where the session cleans checkpoints."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))

@@ -1,7 +1,8 @@
 """Article corpora as JSON Lines and sentence tables as CSV.
 
 A corpus is addressed by name: ``{corpus}_{split}.jsonl`` in a folder, each a
-file or a folder of part files. Schemas are explicit, never inferred.
+file or a folder of part files. Schemas are explicit, never inferred, and a
+damaged line or a label that is no number fails the read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistworks.operators import sampling
+
 ARTICLE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -29,7 +32,7 @@ SENTENCE_SCHEMA = T.StructType(
         T.StructField("label", T.IntegerType()),
     ]
 )
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False}
+CSV_OPTIONS = {"header": True, "escape": '"', "mode": "FAILFAST", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def corpus_path(folder: str, corpus: str, split: str) -> str:
@@ -41,19 +44,20 @@ def read_articles(spark: SparkSession, paths: str | Iterable[str], limit: int |
     0 or None for all."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not limit:
-        return spark.read.schema(ARTICLE_SCHEMA).json(paths)
-    parts = [first_rows(spark.read.schema(ARTICLE_SCHEMA).json(p), limit) for p in paths]
-    return union_all(parts)
+        return _json(spark, paths)
+    return union_all([first_rows(_json(spark, p), limit) for p in paths])
+
+
+def _json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.schema(ARTICLE_SCHEMA).json(paths, mode="FAILFAST")
 
 
 def read_corpora(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.jsonl`` corpus of a folder, with ``corpus`` and ``split`` from
     its name."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/|$)", 1)
-    return (
-        spark.read.schema(ARTICLE_SCHEMA)
-        .json(f"{folder}/*.jsonl")
-        .withColumns({"corpus": F.substring_index(name, "_", 1), "split": F.substring_index(name, "_", -1)})
+    return _json(spark, f"{folder}/*.jsonl").withColumns(
+        {"corpus": F.substring_index(name, "_", 1), "split": F.substring_index(name, "_", -1)}
     )
 
 
@@ -61,15 +65,18 @@ def write_articles(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_sentences(spark: SparkSession, path: str, schema: T.StructType = SENTENCE_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def read_sentences(
+    spark: SparkSession, path: str, schema: T.StructType = SENTENCE_SCHEMA, multi_line: bool = False
+) -> DataFrame:
+    """A sentence table. Files are split among tasks; ``multi_line`` reads files
+    whose sentences hold newlines, each as a whole."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
 
 
 def write_sentences(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes, commas and newlines in sentences survive."""
-    df.write.mode("overwrite").options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
+    """CSV with a header; quotes, commas and newlines in sentences survive.
+    Cleaned sentences hold no newline, so that any task can read its part."""
+    df.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"}).csv(path)
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
@@ -82,5 +89,6 @@ def union_all(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, limit: int | None, key: str = "id") -> DataFrame:
-    """The first ``limit`` rows by ``key``; all for 0 or None."""
-    return df.orderBy(key).limit(limit) if limit else df
+    """The first ``limit`` rows by ``key``; all for 0 or None. No rows are
+    gathered to find them."""
+    return sampling.take_first(df, F.col(key), limit) if limit else df

@@ -33,7 +33,22 @@ def test_csv_keeps_sentences(spark, tmp_path):
     rows = [("1", 0, 'He said, "no".\nThen left', 1), ("1", 1, " blanks ", 0), ("2", 0, 'a\\"b', 0)]
     df = spark.createDataFrame(rows, corpus.SENTENCE_SCHEMA)
     corpus.write_sentences(df, str(tmp_path / "s"))
-    assert sorted(map(tuple, corpus.read_sentences(spark, str(tmp_path / "s")).collect())) == sorted(rows)
+    assert sorted(map(tuple, corpus.read_sentences(spark, str(tmp_path / "s"), multi_line=True).collect())) == sorted(rows)
+
+
+def test_damaged_files_fail(spark, tmp_path):
+    (tmp_path / "c_train.jsonl").write_text('{"id": "1", "article": "a"}\n{"id": "2", "art\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        corpus.read_articles(spark, str(tmp_path / "c_train.jsonl")).collect()
+    (tmp_path / "s.csv").write_text("id,sent_idx,sentence,label\n1,0,text,one\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        corpus.read_sentences(spark, str(tmp_path / "s.csv")).collect()
+
+
+def test_first_rows_keep_null_ids(spark):
+    df = spark.createDataFrame([(None, "a"), ("2", "b"), ("1", "c"), ("1", "d")], "id string, article string")
+    assert sorted(r.article for r in corpus.first_rows(df, 2).where("id IS NOT NULL").collect()) in (["c"], ["d"])
+    assert corpus.first_rows(df, 3).count() == 3 and corpus.first_rows(df, 0).count() == 4
 
 
 def joined(spark, rows):

@@ -1,10 +1,11 @@
-"""ROUGE arithmetic. The longest common subsequence is the one thing here that
-Spark has no expression for; it runs as a small Arrow function, and all that
-surrounds it stays a Column expression."""
+"""ROUGE arithmetic. The longest common subsequence and the common part of two
+bags of n-grams are what Spark has no expression for; they run as small Arrow
+functions, and all that surrounds them stays a Column expression."""
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,6 +84,31 @@ def lcs_pairs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
         yield _per_row(_sparse, batch, pa.list_(pair))
 
 
+def _common(a: list[str], b: list[str], n: int) -> int:
+    """Size of the common part of the bags of n-grams."""
+    grams = [Counter(zip(*(words[i:] for i in range(n)))) for words in (a, b)]
+    return (grams[0] & grams[1]).total()
+
+
+def overlaps(orders: tuple[int, ...], with_lcs: bool):
+    """An Arrow function of two normalised texts: a struct of ``hits_n`` for
+    each order, and ``hits_l``, the length of their LCS (null unless asked for)."""
+    names = [*(f"hits_{n}" for n in orders), "hits_l"]
+    kind = T.StructType([T.StructField(name, T.LongType()) for name in names])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = [[] for _ in names]
+            for a, b in zip(*(column.to_pylist() for column in batch)):
+                x, y = (a or "").split(), (b or "").split()
+                for column, n in zip(columns, orders):
+                    column.append(_common(x, y, n))
+                columns[-1].append(_dense([a or ""], [b or ""])[0][0] if with_lcs else None)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return F.arrow_udf(run, kind)
+
+
 def _per_row(score, batch, arrow_type):
     """``score`` on each row of two aligned columns, nulls kept."""
     names = [f.name for f in arrow_type.value_type] if pa.types.is_struct(arrow_type.value_type) else None

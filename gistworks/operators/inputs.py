@@ -9,25 +9,31 @@ from gistworks.functions import text, vectors
 
 # Special ids.
 PAD, UNKNOWN, FIRST_WORD = 0, 1, 2
-VOCABULARY_SIZE = 30_000
 MAX_INPUT, MAX_OUTPUT = 512, 128
 
 
-def vocabulary(df: DataFrame, columns: list[str], size: int = VOCABULARY_SIZE) -> DataFrame:
-    """(token, token_id) of the ``size`` most frequent words, ids from 2; words
-    beyond it are unknown, as with any tokenizer of fixed size. The size bounds
-    what is ranked in one task, and lets Spark broadcast the table where it is
-    below its own limit."""
+def vocabulary(df: DataFrame, columns: list[str], size: int | None = None) -> DataFrame:
+    """(token, token_id) of all words, ids from 2, the most frequent first; of
+    the ``size`` most frequent only if given, the others being unknown.
+
+    A word's rank is the number of more frequent ones, of those as frequent with
+    a smaller beginning, and its place among the rest: sums of counts of counts,
+    so that no task ranks the whole vocabulary.
+    """
     words = F.explode(F.concat(*(text.word_tokens(F.coalesce(c, F.lit(""))) for c in columns)))
-    top = (
-        df.select(words.alias("token"))
-        .groupBy("token")
-        .count()
-        .orderBy(F.desc("count"), "token")
-        .limit(size)
-    )
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
-    return top.select("token", (rank + (FIRST_WORD - 1)).alias("token_id"))
+    found = df.select(words.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = found.withColumn("head", F.substring("token", 1, 2))
+    heads = found.groupBy("n", "head").agg(F.count("*").alias("m"))
+    counts = heads.groupBy("n").agg(F.sum("m").alias("m"))
+    earlier = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("n", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("n").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("n", "head", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset")).join(counts, "n")
+    nth = F.row_number().over(Window.partitionBy("n", "head").orderBy("token"))
+    ranked = found.withColumn("nth", nth).join(heads, ["n", "head"]).withColumn("rank", F.col("base") + F.col("offset") + F.col("nth"))
+    if size is not None:
+        ranked = ranked.where(F.col("rank") <= size)
+    return ranked.select("token", (F.col("rank") + (FIRST_WORD - 1)).cast("int").alias("token_id"))
 
 
 def _positions(column: str, length: int, part: int) -> Column:
@@ -37,12 +43,12 @@ def _positions(column: str, length: int, part: int) -> Column:
 
 
 def encoded(df: DataFrame, vocab: DataFrame, keys: list[str], columns: dict[str, int]) -> DataFrame:
-    """(keys, copies, {column}_ids): the ids of the first words of each column,
-    at most the given number.
+    """(keys, {column}_ids): the ids of the first words of each column, at most
+    the given number, a row for each row.
 
     Only the words that are kept are looked up. The groups are bounded by those
-    lengths: rows equal in keys and texts collapse into one set, counted in
-    ``copies``.
+    lengths: rows equal in keys and texts travel as one set, which is repeated
+    as often as it was counted.
     """
     parts = [_positions(c, n, part) for part, (c, n) in enumerate(columns.items())]
     marker = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("pos"), F.lit("").alias("token")))
@@ -57,8 +63,14 @@ def encoded(df: DataFrame, vocab: DataFrame, keys: list[str], columns: dict[str,
         ).alias(f"{c}_ids")
         for part, c in enumerate(columns)
     ]
-    copies = F.count_if(F.col("part") == -1).alias("copies")
-    return found.groupBy(*keys, "_texts").agg(copies, *sets).drop("_texts")
+    copies = F.count_if(F.col("part") == -1).alias("_copies")
+    return _repeated(found.groupBy(*keys, "_texts").agg(copies, *sets).drop("_texts"))
+
+
+def _repeated(counted: DataFrame) -> DataFrame:
+    """Every row as often as ``_copies`` says."""
+    kept = [c for c in counted.columns if c != "_copies"]
+    return counted.select(*kept, F.explode(F.sequence(F.lit(1), "_copies"))).drop("col")
 
 
 def model_inputs(
@@ -68,12 +80,11 @@ def model_inputs(
     max_input: int = MAX_INPUT,
     max_output: int = MAX_OUTPUT,
 ) -> DataFrame:
-    """(keys, copies, input_ids, attention_mask, global_attention_mask, labels),
-    all arrays of fixed length; padded labels are -100."""
+    """(keys, input_ids, attention_mask, global_attention_mask, labels) of each
+    row, all arrays of fixed length; padded labels are -100."""
     ids = encoded(df, vocab, keys, {"article": max_input, "lay_summary": max_output})
     return ids.select(
         *keys,
-        "copies",
         vectors.pad_to(F.col("article_ids"), max_input, PAD).alias("input_ids"),
         vectors.attention_mask(F.col("article_ids"), max_input).alias("attention_mask"),
         vectors.global_attention_mask(max_input).alias("global_attention_mask"),
@@ -82,14 +93,17 @@ def model_inputs(
 
 
 def decoded(df: DataFrame, vocab: DataFrame, keys: list[str], column: str = "labels") -> DataFrame:
-    """(keys, text): ids back to words joined by a blank; masked positions and
-    special ids are skipped."""
-    ids = F.posexplode(vectors.unmask_labels(F.col(column), PAD)).alias("pos", "token_id")
+    """(keys, text) of each row: ids back to words joined by a blank; masked
+    positions and special ids are skipped."""
+    padded = F.concat(vectors.unmask_labels(F.col(column), PAD), F.array(F.lit(PAD)))  # never empty
+    ids = F.posexplode(padded).alias("pos", "token_id")
     words = df.select(*keys, F.xxhash64(column).alias("_ids"), ids).join(vocab, "token_id", "left")
     kept = F.collect_set(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))
-    return words.groupBy(*keys, "_ids").agg(
-        F.array_join(F.transform(F.array_sort(kept), lambda s: s["token"]), " ").alias("text")
-    ).drop("_ids")
+    found = words.groupBy(*keys, "_ids").agg(
+        F.array_join(F.transform(F.array_sort(kept), lambda s: s["token"]), " ").alias("text"),
+        F.count_if(F.col("pos") == 0).alias("_copies"),
+    )
+    return _repeated(found.drop("_ids"))
 
 
 def with_split(df: DataFrame, key: str = "id") -> DataFrame:

@@ -1,8 +1,7 @@
 """Evaluation: ROUGE, classification and readability.
 
-A pair is a row with a candidate and a target text. N-gram overlap is two
-grouped sums with map-side combining: grams of both sides are counted together,
-so no join is needed, and one hot pair or gram is reduced before it travels.
+A pair is a row with a candidate and a target text, and is scored inside the
+row: nothing is shuffled before the final mean.
 """
 
 from __future__ import annotations
@@ -16,62 +15,18 @@ from gistworks.functions.frames import with_computed
 MIN_WORDS = 120
 
 
-def _grams(words: Column, order: int, candidate: int) -> Column:
-    """One struct per n-gram, counted for its side."""
-    return F.transform(
-        text.ngrams(words, order),
-        lambda gram: F.struct(
-            F.lit(order).alias("order"),
-            gram.alias("gram"),
-            F.lit(candidate).alias("c"),
-            F.lit(1 - candidate).alias("t"),
-            F.lit(0).alias("lcs"),
-            F.lit(0).alias("pairs"),
-        ),
-    )
-
-
-def rouge_counts(pairs: DataFrame, keys: list[str], orders=(1, 2), with_lcs: bool = True) -> DataFrame:
-    """Overlap and sizes per pair: ``hits_n``, ``cand_n``, ``target_n`` for each
-    order, ``hits_l`` for the LCS, and ``copies``.
-
-    Rows equal in keys and texts are one group whose counts are all multiplied by
-    ``copies``, which leaves every ratio as it is. A marker entry per pair keeps
-    pairs without any word.
-    """
-    df = pairs.withColumns(
-        {
-            "_pair": F.xxhash64("candidate", "target"),
-            "_c": text.normalise_words(F.col("candidate")),
-            "_t": text.normalise_words(F.col("target")),
-        }
-    )
-    lcs = F.get(F.get(rouge.lcs_lengths(F.array("_c"), F.array("_t")), 0), 0) if with_lcs else F.lit(0)
-    df = with_computed(df, _lcs=lcs, _cw=text.words_of(F.col("_c")), _tw=text.words_of(F.col("_t")))
-    marker = F.array(
-        F.struct(
-            F.lit(0).alias("order"),
-            F.lit("").alias("gram"),
-            F.lit(0).alias("c"),
-            F.lit(0).alias("t"),
-            F.col("_lcs").alias("lcs"),
-            F.lit(1).alias("pairs"),
-        )
-    )
-    sides = [_grams(F.col(w), n, c) for n in orders for w, c in (("_cw", 1), ("_tw", 0))]
-    entries = df.select(*keys, "_pair", F.inline(F.concat(marker, *sides)))
-    per_gram = entries.groupBy(*keys, "_pair", "order", "gram").agg(
-        F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("lcs").alias("lcs"), F.sum("pairs").alias("pairs")
-    )
-    sums = [F.sum("pairs").alias("copies"), F.sum("lcs").alias("hits_l")]
+def rouge_counts(pairs: DataFrame, orders=(1, 2), with_lcs: bool = True) -> DataFrame:
+    """The pairs with overlap and sizes: ``hits_n``, ``cand_n``, ``target_n`` for
+    each order, ``hits_l`` for the LCS. A null text has no words."""
+    sides = {"_c": "candidate", "_t": "target"}
+    df = with_computed(pairs, **{k: text.normalise_words(F.coalesce(c, F.lit(""))) for k, c in sides.items()})
+    df = with_computed(df, _m=text.count_words(F.col("_c")), _n=text.count_words(F.col("_t")))
+    df = df.withColumn("_hits", rouge.overlaps(tuple(orders), with_lcs)("_c", "_t"))
+    sizes = {}
     for n in orders:
-        of = F.col("order") == n
-        sums += [
-            F.sum(F.when(of, F.least("c", "t")).otherwise(0)).alias(f"hits_{n}"),
-            F.sum(F.when(of, F.col("c")).otherwise(0)).alias(f"cand_{n}"),
-            F.sum(F.when(of, F.col("t")).otherwise(0)).alias(f"target_{n}"),
-        ]
-    return per_gram.groupBy(*keys, "_pair").agg(*sums).drop("_pair")
+        sizes[f"cand_{n}"] = F.greatest(F.col("_m") - (n - 1), F.lit(0))
+        sizes[f"target_{n}"] = F.greatest(F.col("_n") - (n - 1), F.lit(0))
+    return df.select(*pairs.columns, "_hits.*", *(c.alias(name) for name, c in sizes.items()))
 
 
 def _prf(counts: DataFrame, kind: str) -> dict[str, Column]:
@@ -86,38 +41,34 @@ def _prf(counts: DataFrame, kind: str) -> dict[str, Column]:
 
 
 def rouge_scores(pairs: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """(keys, copies, precision, recall, fmeasure) of ROUGE-1, -2 or -L."""
+    """(keys, precision, recall, fmeasure) of ROUGE-1, -2 or -L, a row for each pair."""
     orders = (1,) if kind == "L" else (int(kind),)
-    counts = rouge_counts(pairs, keys, orders, with_lcs=kind == "L")
-    return counts.select(*keys, "copies", *(c.alias(name) for name, c in _prf(counts, kind).items()))
+    counts = rouge_counts(pairs, orders, with_lcs=kind == "L")
+    return counts.select(*keys, *(c.alias(name) for name, c in _prf(counts, kind).items()))
 
 
-def _mean(value: Column) -> Column:
-    """Mean over pairs, groups of equal pairs weighted by their number."""
-    return F.sum(value * F.col("copies")) / F.sum("copies")
+def rouge_macro(pairs: DataFrame, kind: str = "2") -> DataFrame:
+    """One row: mean precision, recall and F, rounded to 4 places."""
+    scores = rouge_scores(pairs, [], kind)
+    return scores.agg(*(F.round(F.avg(c), 4).alias(f"rouge{kind}_{c}") for c in ("precision", "recall", "fmeasure")))
 
 
-def rouge_macro(pairs: DataFrame, keys: list[str], kind: str = "2") -> DataFrame:
-    """One row: mean precision, recall and F, rounded to 4 places."""
-    scores = rouge_scores(pairs, keys, kind)
-    return scores.agg(
-        *(F.round(_mean(F.col(c)), 4).alias(f"rouge{kind}_{c}") for c in ("precision", "recall", "fmeasure"))
-    )
+def rouge_report(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean ROUGE-1, -2 and -L F and the share of exact matches, per value of
+    ``by`` if given."""
+    counts = rouge_counts(pairs)
+    means = [F.round(F.avg(_prf(counts, kind)["fmeasure"]), 6).alias(f"rouge{kind}_f") for kind in ("1", "2", "L")]
+    return counts.groupBy(*(by or [])).agg(*means, _accuracy())
 
 
-def rouge_report(pairs: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
-    """Mean ROUGE-1, -2 and -L F, per value of ``by`` if given."""
-    counts = rouge_counts(pairs, keys)
-    means = [
-        F.round(_mean(_prf(counts, kind)["fmeasure"]), 6).alias(f"rouge{kind}_f") for kind in ("1", "2", "L")
-    ]
-    return counts.groupBy(*(by or [])).agg(*means)
+def _accuracy() -> Column:
+    same = F.col("candidate").eqNullSafe(F.col("target"))
+    return F.round(F.avg(same.cast("double")), 6).alias("accuracy")
 
 
 def exact_match(pairs: DataFrame) -> DataFrame:
     """One row: share of pairs whose candidate is exactly the target."""
-    same = F.col("candidate").eqNullSafe(F.col("target"))
-    return pairs.agg(F.round(F.avg(same.cast("double")), 6).alias("accuracy"))
+    return pairs.agg(_accuracy())
 
 
 def confusion_counts(predictions: DataFrame, positive: int = 0) -> DataFrame:

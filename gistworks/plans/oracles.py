@@ -287,11 +287,7 @@ readable AS (
 
 
 SCORES = ("flesch_kincaid_reading_score", "ari_score", "gunning_fog_score")
-LEAD = """lead AS (
-  SELECT id, 'lead' AS system, array_to_string(s[1:10], ' ') AS candidate, c.lay_summary AS target
-  FROM split JOIN cited c USING (id))"""
 EXTRACTIVE = "extractive AS (SELECT id, 'extractive' AS system, article AS candidate, lay_summary AS target FROM pseudo)"
-BOTH = f"{SELECTED}, {LEAD}, {EXTRACTIVE}, systems AS (SELECT * FROM lead UNION ALL SELECT * FROM extractive)"
 TALK = f"""{DIALOGUES}, talk AS (
   SELECT id, 'question' AS system, article AS candidate, lay_summary AS target FROM dialogues
   UNION ALL SELECT id, 'reply', lay_summary, lay_summary FROM dialogues)"""
@@ -344,29 +340,18 @@ ORACLES |= {
         SELECT count(*) AS articles, round(avg(length(t)), 6) AS avg_article_chars, round(avg({n_words('t')}), 6) AS avg_article_tokens,
           round(avg({n_words('lay_summary')}), 6) AS avg_summary_tokens, round(avg(len({sentences('t')})), 6) AS avg_article_sentences,
           round(avg(flesch_kincaid_reading_score), 6) AS avg_reading_ease FROM readable""",
-    "rouge1": f"WITH {SPLIT}, {LEAD}, {rouge('lead', '1')} SELECT id, system, 1::BIGINT AS copies, {prf('h1', 'c1', 't1')} FROM rouge",
-    "rouge2": f"WITH {SPLIT}, {LEAD}, {rouge('lead', '2')} SELECT id, system, 1::BIGINT AS copies, {prf('h2', 'c2', 't2')} FROM rouge",
-    "rougeL": f"WITH {SPLIT}, {LEAD}, {rouge('lead')} SELECT id, system, 1::BIGINT AS copies, {prf('hl', 'c1', 't1')} FROM rouge",
     "rouge2_macro": f"""WITH {SELECTED}, {EXTRACTIVE}, {rouge('extractive', '2')} SELECT round(avg(precision), 4) AS rouge2_precision,
         round(avg(recall), 4) AS rouge2_recall, round(avg(fmeasure), 4) AS rouge2_fmeasure
         FROM (SELECT {prf('h2', 'c2', 't2')} FROM rouge)""",
     "rouge_report": f"""WITH {TALK}, {rouge('talk')} SELECT system, {MEANS},
         (SELECT round(avg((candidate = target)::INTEGER), 6) FROM talk t WHERE t.system = rouge.system) AS accuracy
         FROM rouge GROUP BY system""",
-    "rouge_by_system": f"WITH {BOTH}, {rouge('systems')} SELECT system, {MEANS} FROM rouge GROUP BY system",
-    "exact_match": f"WITH {SPLIT}, {LEAD} SELECT round(avg((candidate = target)::INTEGER), 6) AS accuracy FROM lead",
     "confusion_matrix": f"WITH {CONFUSION} SELECT tn, fp, fn, tp FROM confusion",
     "binary_metrics": f"""WITH {CONFUSION}, r AS (SELECT coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
           coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM confusion)
         SELECT round(accuracy, 6) AS accuracy, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
           round(p, 6) AS precision, round(r, 6) AS recall FROM r""",
     "readability": f"WITH {ARTICLES}, {readability('articles', 'article', 'id')} SELECT id, {', '.join(SCORES)} FROM readable",
-    "readability_guarded": f"""WITH {BOTH}, shown AS (SELECT id, 'lay_summary' AS system, lay_summary AS candidate FROM articles
-          UNION ALL SELECT id, system, candidate FROM systems), {readability('shown', 'candidate', 'id, system')}
-        SELECT id, system, {', '.join(f"CASE WHEN len(string_split(t, ' ')) > 120 THEN coalesce({c}, 0) ELSE 0::DOUBLE END AS {c}" for c in SCORES)}
-        FROM readable""",
-    "readability_macro": f"""WITH {BOTH}, {readability('systems', 'candidate', 'id, system')}
-        SELECT system, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM readable GROUP BY system""",
     "softmax_probs": """SELECT vec_id, i::INTEGER - 1 AS class_id, round(e[i] / list_sum(e), 6) AS p FROM (
         SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM (
           SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings))""",
@@ -382,7 +367,7 @@ enc AS (SELECT id, lay_summary, {words('article')}[1:512] AS a, {words('lay_summ
   {words('article')} AS aw, {words('lay_summary')} AS lw FROM articles),
 vocab AS (
   SELECT token, (row_number() OVER (ORDER BY n DESC, token))::INTEGER + 1 AS token_id FROM (
-    SELECT token, count(*) AS n FROM (SELECT unnest(list_concat(aw, lw)) AS token FROM enc) GROUP BY token ORDER BY n DESC, token LIMIT 5000))"""
+    SELECT token, count(*) AS n FROM (SELECT unnest(list_concat(aw, lw)) AS token FROM enc) GROUP BY token))"""
 
 
 def ids(side: str) -> str:
@@ -402,7 +387,7 @@ def filled(x: str, length: str, value: str) -> str:
 
 
 ORACLES |= {
-    "model_inputs": f"""WITH {INPUTS} SELECT id, 1::BIGINT AS copies,
+    "model_inputs": f"""WITH {INPUTS} SELECT id,
         CASE WHEN ('0x' || substr(md5(id::VARCHAR), 1, 4))::INTEGER % 5 = 0 THEN 'val' ELSE 'train' END AS split,
         array_to_string({filled('a', '512 - len(a)', '0')}, ' ') AS input_ids,
         array_to_string({filled('list_transform(a, lambda j: 1)', '512 - len(a)', '0')}, ' ') AS attention_mask,
@@ -416,18 +401,18 @@ ORACLES |= {
         JOIN vocab USING (token) GROUP BY id) t USING (id)""",
 }
 
-LEX_ROUNDS = 10
-
-
 def stop_list() -> str:
     return "[" + ", ".join(f"'{w}'" for w in ENGLISH) + "]"
 
 
 def lexrank(stop: bool = True) -> str:
     """CTEs of LexRank over all sentence pairs, up to the transition table."""
+    return f"{ARTICLES},\n{lexrank_core(stop)}"
+
+
+def lexrank_core(stop: bool = True) -> str:
     kept = f"list_contains({stop_list()}, term)" if stop else "false"
-    return rf"""{ARTICLES},
-lx AS (SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence, len(s) AS n,
+    return rf"""lx AS (SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence, len(s) AS n,
     list_filter(string_split_regex(lower(s[i]), '[^\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_matches(w, '^\p{{L}}[\p{{L}}''-]*$')) AS w
   FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {paragraph_sentences('article')} AS s FROM articles))),
 cnt AS (SELECT id, sent_idx, n, term, count(*) AS c FROM (SELECT id, sent_idx, n, unnest(w) AS term FROM lx)
@@ -443,22 +428,25 @@ bag AS (SELECT l.id, l.sent_idx, min(l.sent_idx) OVER (PARTITION BY l.id, b) AS
 
 
 def lexrank_rounds() -> str:
-    """Power steps unrolled; a document that stands still keeps its scores."""
-    steps = ["p0 AS (SELECT id, sent_idx, 1 / n::DOUBLE AS s, false AS done FROM lx)"]
-    for k in range(LEX_ROUNDS):
-        steps.append(f"""p{k + 1} AS MATERIALIZED (
-  SELECT id, sent_idx, CASE WHEN done THEN old ELSE s END AS s,
-    done OR round(sqrt(sum((s - old) ** 2) OVER (PARTITION BY id)), 9) <= 0.1 AS done
-  FROM (SELECT p.id, p.sent_idx, p.done, p.s AS old, coalesce(sum(q.s / deg.degree), 0) AS s
-    FROM p{k} p LEFT JOIN sim ON sim.id = p.id AND sim.j = p.sent_idx
-      LEFT JOIN deg ON deg.id = p.id AND deg.i = sim.i LEFT JOIN p{k} q ON q.id = p.id AND q.sent_idx = sim.i
-    GROUP BY ALL))""")
-    return ", ".join(steps) + f""",
-lex_scores AS (SELECT id, sent_idx, round(s, 9) AS score FROM p{LEX_ROUNDS}),
+    """Power steps until all documents stand still; one that does leaves."""
+    return """pw AS (
+  SELECT id, sent_idx, 1 / n::DOUBLE AS s, false AS done FROM lx
+  UNION ALL
+  SELECT id, sent_idx, s, round(sqrt(sum((s - old) ** 2) OVER (PARTITION BY id)), 9) <= 0.1 FROM (
+    SELECT p.id, p.sent_idx, p.s AS old, coalesce(sum(q.s / deg.degree), 0) AS s
+    FROM pw p LEFT JOIN sim ON sim.id = p.id AND sim.j = p.sent_idx
+      LEFT JOIN deg ON deg.id = p.id AND deg.i = sim.i LEFT JOIN pw q ON q.id = p.id AND q.sent_idx = sim.i
+    WHERE NOT p.done GROUP BY ALL)),
+lex_scores AS MATERIALIZED (SELECT id, sent_idx, round(s, 9) AS score FROM pw WHERE done),
 lex_top AS (SELECT id, sent_idx, sentence, row_number() OVER (PARTITION BY id ORDER BY score DESC, sent_idx) AS rank
   FROM lex_scores JOIN lx USING (id, sent_idx))"""
 
 
+LEX_SUMMARIES = """lex_summaries AS (
+  SELECT a.id, coalesce(t.article, '') AS article, a.lay_summary
+  FROM articles a LEFT JOIN (SELECT id, string_agg(sentence, ' ' ORDER BY sent_idx) AS article FROM lex_top
+    WHERE rank <= 25 GROUP BY id) t USING (id))"""
+
 ORACLES |= {
     "lexrank_tf": f"WITH {lexrank()} SELECT id, sent_idx, term, round(tf, 6) AS tf FROM tf",
     "lexrank_idf": f"WITH {lexrank()} SELECT DISTINCT id, term, round(idf, 6) AS idf FROM tf",
@@ -467,27 +455,24 @@ ORACLES |= {
     "lexrank_edges": f"""WITH {lexrank()} SELECT sim.id, sim.i AS src, sim.j AS dst, degree, round(bag.m / degree::DOUBLE, 6) AS share
         FROM sim JOIN deg USING (id, i) JOIN bag ON bag.id = sim.id AND bag.sent_idx = sim.i
         WHERE bag.node = sim.i AND (sim.id, sim.j) IN (SELECT (id, node) FROM bag)""",
-    "lexrank_scores": f"WITH {lexrank()}, {lexrank_rounds()} SELECT id, sent_idx, round(score, 6) AS score FROM lex_scores",
-    "lexrank_summary": f"""WITH {lexrank()}, {lexrank_rounds()} SELECT a.id, coalesce(t.article, '') AS article, a.lay_summary
-        FROM articles a LEFT JOIN (SELECT id, string_agg(sentence, ' ' ORDER BY sent_idx) AS article FROM lex_top
-          WHERE rank <= 25 GROUP BY id) t USING (id)""",
-    "lexrank_batch": f"""WITH {lexrank(False)}, {lexrank_rounds()} SELECT id, sentence,
+    "lexrank_scores": f"WITH RECURSIVE {lexrank()}, {lexrank_rounds()} SELECT id, sent_idx, round(score, 6) AS score FROM lex_scores",
+    "lexrank_summary": f"WITH RECURSIVE {lexrank()}, {lexrank_rounds()}, {LEX_SUMMARIES} SELECT id, article, lay_summary FROM lex_summaries",
+    "lexrank_batch": f"""WITH RECURSIVE {lexrank(False)}, {lexrank_rounds()} SELECT id, sentence,
         (row_number() OVER (PARTITION BY id ORDER BY sent_idx))::INTEGER - 1 AS pos FROM lex_top WHERE rank <= 130""",
 }
 
-LABEL_ROUNDS = 12
-
-
 def background(edge: str) -> str:
     """CTEs of the background variant over all sentence pairs; ``edge`` is the
-    condition on the rounded similarity ``s``. Labels spread for a fixed number
-    of rounds along the edges."""
-    steps = ["l0 AS (SELECT id, sent_idx, sent_idx AS label FROM nx)"]
-    for k in range(LABEL_ROUNDS):
-        steps.append(f"""l{k + 1} AS MATERIALIZED (
-  SELECT l.id, l.sent_idx, least(l.label, coalesce(min(q.label), l.label)) AS label FROM l{k} l
-  LEFT JOIN e ON e.id = l.id AND e.j = l.sent_idx LEFT JOIN l{k} q ON q.id = e.id AND q.sent_idx = e.i
-  GROUP BY l.id, l.sent_idx, l.label)""")
+    condition on the rounded similarity ``s``. The smallest sentence spreads
+    along the edges until no label of a document changes."""
+    steps = """lb AS (
+  SELECT id, sent_idx, sent_idx AS label, false AS still FROM nx
+  UNION ALL
+  SELECT id, sent_idx, low, NOT bool_or(low < label) OVER (PARTITION BY id) FROM (
+    SELECT l.id, l.sent_idx, l.label, least(l.label, coalesce(min(q.label), l.label)) AS low FROM lb l
+    LEFT JOIN e ON e.id = l.id AND e.j = l.sent_idx LEFT JOIN lb q ON q.id = e.id AND q.sent_idx = e.i
+    WHERE NOT l.still GROUP BY l.id, l.sent_idx, l.label)),
+labelled AS MATERIALIZED (SELECT id, sent_idx, label FROM lb WHERE still)"""
     return f"""{ARTICLES},
 nx AS (SELECT id, i::INTEGER - 1 AS sent_idx, s[i] AS sentence, {words('s[i]')} AS w FROM (
   SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
@@ -501,21 +486,41 @@ uw AS (SELECT id, sent_idx, term, w / norm AS w FROM (
 sim AS MATERIALIZED (SELECT a.id, a.sent_idx AS i, b.sent_idx AS j, round(sum(a.w * b.w), 9) AS s, sum(a.w * b.w) AS exact
   FROM uw a JOIN uw b USING (id, term) GROUP BY ALL),
 e AS (SELECT * FROM sim WHERE {edge}),
-{', '.join(steps)},
+{steps},
 dg AS (SELECT id, i AS sent_idx, count(*) AS degree, sum(exact) AS strength FROM e GROUP BY ALL)"""
 
 
 def stationary(degree: str) -> str:
     return f"""bg_scores AS (
   SELECT id, sent_idx, coalesce(round({degree} * count({degree}) OVER c / sum({degree}) OVER c, 9), 1::DOUBLE) AS score
-  FROM nx LEFT JOIN dg USING (id, sent_idx) JOIN l{LABEL_ROUNDS} USING (id, sent_idx) WINDOW c AS (PARTITION BY id, label))"""
+  FROM nx LEFT JOIN dg USING (id, sent_idx) JOIN labelled USING (id, sent_idx) WINDOW c AS (PARTITION BY id, label))"""
 
 
 ORACLES |= {
-    "lexrank_background": f"""WITH {background('s >= 0.1')}, {stationary('degree')}
+    "lexrank_background": f"""WITH RECURSIVE {background('s >= 0.1')}, {stationary('degree')}
         SELECT id, sentence, r::INTEGER - 1 AS pos FROM (
           SELECT id, sentence, row_number() OVER (PARTITION BY id ORDER BY score DESC, sent_idx) AS r
           FROM bg_scores JOIN nx USING (id, sent_idx)) WHERE r <= 10""",
-    "lexrank_continuous": f"""WITH {background('true')}, {stationary('strength')}
+    "lexrank_continuous": f"""WITH RECURSIVE {background('true')}, {stationary('strength')}
         SELECT id, sent_idx, round(score, 6) AS score FROM bg_scores""",
 }
+
+BOTH = f"""RECURSIVE {SELECTED}, {EXTRACTIVE}, {lexrank_core()}, {lexrank_rounds()}, {LEX_SUMMARIES},
+systems AS MATERIALIZED (
+  SELECT * FROM extractive UNION ALL SELECT id, 'lexrank', article, lay_summary FROM lex_summaries)"""
+
+ORACLES |= {
+    "rouge1": f"WITH {BOTH}, {rouge('systems', '1')} SELECT id, system, {prf('h1', 'c1', 't1')} FROM rouge",
+    "rouge2": f"WITH {BOTH}, {rouge('systems', '2')} SELECT id, system, {prf('h2', 'c2', 't2')} FROM rouge",
+    "rougeL": f"WITH {BOTH}, {rouge('systems')} SELECT id, system, {prf('hl', 'c1', 't1')} FROM rouge",
+    "rouge_by_system": f"""WITH {BOTH}, {rouge('systems')} SELECT system, {MEANS},
+        (SELECT round(avg((candidate = target)::INTEGER), 6) FROM systems t WHERE t.system = rouge.system) AS accuracy
+        FROM rouge GROUP BY system""",
+    "exact_match": f"WITH {BOTH} SELECT round(avg((candidate = target)::INTEGER), 6) AS accuracy FROM systems",
+    "readability_guarded": f"""WITH {BOTH}, shown AS (SELECT id, 'lay_summary' AS system, lay_summary AS candidate FROM articles
+          UNION ALL SELECT id, system, candidate FROM systems), {readability('shown', 'candidate', 'id, system')}
+        SELECT id, system, {', '.join(f"CASE WHEN len(string_split(t, ' ')) > 120 THEN coalesce({c}, 0) ELSE 0::DOUBLE END AS {c}" for c in SCORES)}
+        FROM readable""",
+    "readability_macro": f"""WITH {BOTH}, {readability('systems', 'candidate', 'id, system')}
+        SELECT system, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM readable GROUP BY system""",
+}

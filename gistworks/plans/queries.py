@@ -309,42 +309,37 @@ PAIR_KEYS = ["id", "system"]
 
 @query
 def rouge1(spark, sf_dir):
-    return metrics.rouge_scores(views.lead_candidates(spark, sf_dir), PAIR_KEYS, "1")
+    return metrics.rouge_scores(views.candidates(spark, sf_dir), PAIR_KEYS, "1")
 
 
 @query
 def rouge2(spark, sf_dir):
-    return metrics.rouge_scores(views.lead_candidates(spark, sf_dir), PAIR_KEYS, "2")
+    return metrics.rouge_scores(views.candidates(spark, sf_dir), PAIR_KEYS, "2")
 
 
 @query
 def rougeL(spark, sf_dir):
-    return metrics.rouge_scores(views.lead_candidates(spark, sf_dir), PAIR_KEYS, "L")
+    return metrics.rouge_scores(views.candidates(spark, sf_dir), PAIR_KEYS, "L")
 
 
 @query
 def rouge2_macro(spark, sf_dir):
-    return metrics.rouge_macro(views.extractive_candidates(spark, sf_dir), PAIR_KEYS)
+    return metrics.rouge_macro(views.extractive_candidates(spark, sf_dir))
 
 
 @query
 def rouge_report(spark, sf_dir):
-    pairs = views.dialogue_candidates(spark, sf_dir)
-    report = metrics.rouge_report(pairs, PAIR_KEYS, ["system"])
-    accuracy = pairs.groupBy("system").agg(
-        F.round(F.avg((F.col("candidate").eqNullSafe(F.col("target"))).cast("double")), 6).alias("accuracy")
-    )
-    return report.join(accuracy, "system")
+    return metrics.rouge_report(views.dialogue_candidates(spark, sf_dir), ["system"])
 
 
 @query
 def rouge_by_system(spark, sf_dir):
-    return metrics.rouge_report(views.candidates(spark, sf_dir), PAIR_KEYS, ["system"])
+    return metrics.rouge_report(views.candidates(spark, sf_dir), ["system"])
 
 
 @query
 def exact_match(spark, sf_dir):
-    return metrics.exact_match(views.lead_candidates(spark, sf_dir))
+    return metrics.exact_match(views.candidates(spark, sf_dir))
 
 
 @query
@@ -395,7 +390,7 @@ def threshold_topk(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    return inputs.vocabulary(views.articles(spark, sf_dir), ["article", "lay_summary"], 5000)
+    return inputs.vocabulary(views.articles(spark, sf_dir), ["article", "lay_summary"])
 
 
 @query
@@ -403,7 +398,7 @@ def model_inputs(spark, sf_dir):
     articles = inputs.with_split(views.articles(spark, sf_dir))
     batch = inputs.model_inputs(articles, _vocabulary(spark, sf_dir), ["id", "split"])
     arrays = ["input_ids", "attention_mask", "global_attention_mask", "labels"]
-    return batch.select("id", "split", "copies", *(F.array_join(c, " ").alias(c) for c in arrays))
+    return batch.select("id", "split", *(F.array_join(c, " ").alias(c) for c in arrays))
 
 
 def _labels(spark, sf_dir):

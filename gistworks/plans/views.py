@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gistworks.functions import text
 from gistworks.functions.frames import spread
-from gistworks.operators import extract
+from gistworks.operators import extract, lexrank
 
 # No document holds a citation, so the cleaning queries add some.
 CITATIONS = " As Smith et al., 2004 and (Jones and Brown, 1999, p. 12) say [1], [2,3], [4-6]."
@@ -64,10 +64,10 @@ def _pairs(df: DataFrame, system: str, candidate) -> DataFrame:
     return df.select("id", F.lit(system).alias("system"), candidate.alias("candidate"), F.col("lay_summary").alias("target"))
 
 
-def lead_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten sentences of each article against its lay summary."""
-    lead = F.slice(text.split_sentences(text.clean(F.col("article"))), 1, 10)
-    return _pairs(cited_articles(spark, sf_dir), "lead", F.array_join(lead, " "))
+def lexrank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The LexRank summaries against the lay summaries."""
+    summaries = lexrank.summaries(articles(spark, sf_dir).select("id", "article", "lay_summary"))
+    return _pairs(summaries, "lexrank", F.col("article"))
 
 
 def extractive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def extractive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lead_candidates(spark, sf_dir).unionByName(extractive_candidates(spark, sf_dir))
+    return extractive_candidates(spark, sf_dir).unionByName(lexrank_candidates(spark, sf_dir))
 
 
 def dialogue_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

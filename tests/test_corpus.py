@@ -94,20 +94,21 @@ def test_vocabulary_order(batch):
 
 def test_model_inputs(batch):
     got = sorted(
-        (r.id, r.copies, r.input_ids, r.attention_mask, r.global_attention_mask, r.labels) for r in batch[2].collect()
+        (r.id, r.input_ids, r.attention_mask, r.global_attention_mask, r.labels) for r in batch[2].collect()
     )
     first = [1, 0, 0, 0, 0]
     assert got == [
-        (1, 1, [4, 0, 0, 0, 0], [1, 0, 0, 0, 0], first, [5, -100, -100]),
-        (1, 2, [3, 4, 5, 3, 0], [1, 1, 1, 1, 0], first, [3, 4, -100]),
-        (2, 1, [4, 3, 3, 1, 1], [1, 1, 1, 1, 1], first, [2, 2, 2]),
-        (3, 1, [0, 0, 0, 0, 0], [0, 0, 0, 0, 0], first, [-100, -100, -100]),
+        (1, [3, 4, 5, 3, 0], [1, 1, 1, 1, 0], first, [3, 4, -100]),
+        (1, [3, 4, 5, 3, 0], [1, 1, 1, 1, 0], first, [3, 4, -100]),
+        (1, [4, 0, 0, 0, 0], [1, 0, 0, 0, 0], first, [5, -100, -100]),
+        (2, [4, 3, 3, 1, 1], [1, 1, 1, 1, 1], first, [2, 2, 2]),
+        (3, [0, 0, 0, 0, 0], [0, 0, 0, 0, 0], first, [-100, -100, -100]),
     ]
 
 
 def test_decode(batch):
     got = sorted((r.id, r.text) for r in inputs.decoded(batch[2], batch[1], ["id"]).collect())
-    assert got == [(1, "a b"), (1, "c"), (2, "z z z"), (3, "")]
+    assert got == [(1, "a b"), (1, "a b"), (1, "c"), (2, "z z z"), (3, "")]
 
 
 @pytest.mark.parametrize(

@@ -2,7 +2,8 @@
 
 Operators that spread the sentences of an article over many rows group by this
 key, never by id: articles that share an id stay apart, and copies of an article
-are worked on once, however many there are.
+are worked on once, however many there are. The texts themselves stay where they
+are; their sentences are what is grouped.
 """
 
 from __future__ import annotations
@@ -18,12 +19,3 @@ def digest(value: Column) -> Column:
 
 def with_document_key(articles: DataFrame) -> DataFrame:
     return articles.withColumn("doc", digest(F.coalesce("article", F.lit(""))))
-
-
-def distinct_documents(articles: DataFrame) -> DataFrame:
-    """(doc, article), each text once; copies are combined before they travel."""
-    return (
-        with_document_key(articles)
-        .groupBy("doc")
-        .agg(F.any_value(F.coalesce("article", F.lit(""))).alias("article"))
-    )

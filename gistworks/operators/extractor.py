@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators.documents import distinct_documents, with_document_key
+from gistworks.operators.documents import with_document_key
 
 TOP_K = 25
 THRESHOLD = 0.5
@@ -97,8 +97,9 @@ def extractive_summaries(
     empty where none reaches the threshold. ``strip`` removes citations once
     more, from the finished summary."""
     split = F.posexplode(text.split_sentences(text.clean(F.col("article")))).alias("sent_idx", "sentence")
-    scored = predictions(model, distinct_documents(articles).select("doc", split))
-    chosen = summaries(top_sentences(scored, "doc", top_k), "doc")
+    # copies of a text hold the same sentences at the same places
+    sentences = with_document_key(articles).select("doc", split).distinct()
+    chosen = summaries(top_sentences(predictions(model, sentences), "doc", top_k), "doc")
     summary = F.coalesce("summary", F.lit(""))
     return with_document_key(articles).select("id", "doc").join(chosen, "doc", "left").select(
         "id", (text.strip_citations(summary) if strip else summary).alias("summary")

@@ -3,10 +3,10 @@
 Documents are keyed by their text, so repeated articles are ranked once, and
 repeated ids stay apart. Sentences of a document with the same words
 are one *node* with a multiplicity: they have the same neighbours and the same
-score, and a line repeated a thousand times makes no pair. The one shuffle by
-document serves term counts, document frequencies and norms; the graph is then
-partitioned by (document, term) and (document, node), so that a long document is
-spread over tasks.
+score, and a line repeated a thousand times makes no pair. The texts are read
+where they are; sentences are grouped by (document, bag of words), terms by
+(document, term), the graph by (document, node), so that a long document is
+spread over tasks. Windows only go over one sentence.
 """
 
 from __future__ import annotations
@@ -19,76 +19,59 @@ from pyspark.sql import functions as F
 from gistworks.functions import text
 from gistworks.functions.frames import with_computed
 from gistworks.functions.stopwords import ENGLISH
-from gistworks.operators.documents import digest, distinct_documents, with_document_key
+from gistworks.operators.documents import digest, with_document_key
 from gistworks.session import checkpointed
 
 DEFAULT_SENTENCES = 25
 THRESHOLD = 0.1
 TOLERANCE = 0.1
-MAX_ROUNDS = 100
 PLACES = 9
-# Above this many nodes per term the pairs of a term are not listed any more;
-# the document goes through the prefix filter.
-LISTED_NODES = 256
 
 
 def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
-    """(doc, n, node, m, sents, words): of each distinct document with ``n``
-    sentences the distinct bags of words; ``node`` is the first sentence, ``m``
-    the number of sentences with the bag."""
-    docs = distinct_documents(articles)
-    split = docs.select("doc", sentences.alias("s")).select(
-        "doc", F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence")
-    )
+    """(doc, n, bag, node, m, sents, words): of each different document with
+    ``n`` sentences the different bags of words; ``node`` is the first sentence,
+    ``m`` the number of sentences with the bag. Copies of a document hold the
+    same sentences at the same places and fall together."""
+    split = with_document_key(articles).select("doc", sentences.alias("s"))
+    split = split.select("doc", F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence"))
     bags = split.select("doc", "n", "idx", F.array_sort(words(F.col("sentence"))).alias("words"))
-    return (
-        bags.withColumn("bag", digest(F.array_join("words", " ")))
-        .groupBy("doc", "n", "bag")
-        .agg(
-            F.min("idx").alias("node"),
-            F.count("*").alias("m"),
-            F.array_sort(F.collect_list("idx")).alias("sents"),
-            F.any_value("words").alias("words"),
-        )
-        .drop("bag")
+    grouped = bags.withColumn("bag", digest(F.array_join("words", " "))).groupBy("doc", "n", "bag").agg(
+        F.array_sort(F.collect_set("idx")).alias("sents"), F.any_value("words").alias("words")
     )
+    return grouped.select("doc", "n", "bag", F.get("sents", 0).alias("node"), F.size("sents").alias("m"), "sents", "words")
 
 
 def term_counts(node_table: DataFrame) -> DataFrame:
-    """(doc, n, node, m, term, count)."""
-    return (
-        node_table.select("doc", "n", "node", "m", F.explode("words").alias("term"))
-        .groupBy("doc", "n", "node", "m", "term")
-        .agg(F.count("*").alias("count"))
-    )
+    """(doc, n, bag, node, m, term, count); stays in the partitions of the nodes."""
+    keys = ["doc", "n", "bag", "node", "m"]
+    return node_table.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("count"))
 
 
 def with_holding(counts: DataFrame) -> DataFrame:
-    """Adds ``holding``, the nodes with the term, ``sentences``, the sentences
-    with it, and ``most``, the largest ``holding`` of the document."""
-    term = Window.partitionBy("doc", "term")
-    return counts.withColumns({"holding": F.count("*").over(term), "sentences": F.sum("m").over(term)}).withColumn(
-        "most", F.max("holding").over(Window.partitionBy("doc"))
-    )
+    """Adds ``holding``, the nodes with the term, and ``sentences``, the
+    sentences with it."""
+    sums = counts.groupBy("doc", "term").agg(F.count("*").alias("holding"), F.sum("m").alias("sentences"))
+    return counts.join(sums, ["doc", "term"])
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
     """Adds ``tf``, the count over the largest of the sentence, and ``idf``,
     ln(n / (1 + sentences with the term))."""
-    top = F.max("count").over(Window.partitionBy("doc", "node"))
+    top = F.max("count").over(Window.partitionBy("doc", "n", "bag"))
     return with_holding(counts.withColumn("tf", F.col("count") / top)).withColumn(
         "idf", F.log(F.col("n") / (1 + F.col("sentences")))
     )
 
 
 def unit_weights(weighted: DataFrame) -> DataFrame:
-    """(doc, n, node, m, term, w, holding, most): weights over the norm of their
+    """(doc, n, node, m, term, w, holding): weights over the norm of their
     node; nodes of norm 0 have no row."""
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc", "node")))
     return (
         weighted.withColumn("norm", norm)
         .where("norm > 0 and w != 0")
-        .select("doc", "n", "node", "m", "term", (F.col("w") / F.col("norm")).alias("w"), "holding", "most")
+        .select("doc", "n", "node", "m", "term", (F.col("w") / F.col("norm")).alias("w"), "holding")
     )
 
 
@@ -118,37 +101,32 @@ def _prefix(weights: DataFrame, threshold: float) -> DataFrame:
 def similarities(weights: DataFrame, threshold: float = THRESHOLD, inclusive: bool = False) -> DataFrame:
     """(doc, i, j, m_i, m_j, similarity) of node pairs i < j above the threshold.
 
-    Where no term is in many nodes, all sharing pairs of a term are summed up:
-    at most ``LISTED_NODES`` per weight. Other documents first find candidates
-    with the prefix filter, which is exact, and then sum up those only.
+    Candidates share a term inside both prefixes, which loses no pair; the
+    products of all their shared terms are then summed up.
     """
-    shared = F.col("holding") > 1
-    light = weights.where((F.col("most") <= LISTED_NODES) & shared)
-    summed = _summed(_pairs(light, light))
-    heavy = weights.where(F.col("most") > LISTED_NODES)
-    if not heavy.isEmpty():
-        prefix = _prefix(heavy, threshold).where(shared)
-        candidates = _pairs(prefix, prefix).select("doc", "i", "j", "m_i", "m_j").distinct()
-        left = heavy.where(shared).select("doc", F.col("node").alias("i"), "term", F.col("w").alias("w_i"))
-        right = heavy.where(shared).select("doc", F.col("node").alias("j"), "term", F.col("w").alias("w_j"))
-        summed = summed.unionByName(_summed(candidates.join(left, ["doc", "i"]).join(right, ["doc", "j", "term"])))
-    above = F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold
-    return summed.where(above)
+    shared = weights.where("holding > 1")
+    prefix = _prefix(weights, threshold).where("holding > 1")
+    candidates = _pairs(prefix, prefix).select("doc", "i", "j", "m_i", "m_j").distinct()
+    left = shared.select("doc", F.col("node").alias("i"), "term", F.col("w").alias("w_i"))
+    right = shared.select("doc", F.col("node").alias("j"), "term", F.col("w").alias("w_j"))
+    summed = _summed(candidates.join(left, ["doc", "i"]).join(right, ["doc", "j", "term"]))
+    return summed.where(F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold)
 
 
 def transitions(weights: DataFrame, similar: DataFrame) -> DataFrame:
     """(doc, src, dst, degree, share): the graph in both directions and with
     itself. ``degree`` counts the sentences next to a sentence of ``src``;
     ``share`` is the weight of all sentences of ``src`` at one of ``dst``."""
-    forth = similar.select("doc", F.col("i").alias("src"), F.col("j").alias("dst"), F.col("m_i").alias("m"), F.col("m_j").alias("m_dst"))
-    back = similar.select("doc", F.col("j").alias("src"), F.col("i").alias("dst"), F.col("m_j").alias("m"), F.col("m_i").alias("m_dst"))
+    ends = [("i", "j"), ("j", "i")]
+    both = F.array(
+        *(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(f"m_{a}").alias("m"), F.col(f"m_{b}").alias("m_dst")) for a, b in ends)
+    )
+    linked = similar.select("doc", F.explode(both).alias("e")).select("doc", "e.*")
     own = weights.select("doc", F.col("node").alias("src"), F.col("node").alias("dst"), "m", F.col("m").alias("m_dst")).distinct()
-    degree = F.sum("m_dst").over(Window.partitionBy("doc", "src"))
-    return (
-        forth.unionByName(back)
-        .unionByName(own)
-        .withColumn("degree", degree)
-        .select("doc", "src", "dst", "degree", (F.col("m") / F.col("degree")).alias("share"))
+    edges = linked.unionByName(own)
+    degrees = edges.groupBy("doc", "src").agg(F.sum("m_dst").alias("degree"))
+    return edges.join(degrees, ["doc", "src"]).select(
+        "doc", "src", "dst", "degree", (F.col("m") / F.col("degree")).alias("share")
     )
 
 
@@ -166,12 +144,13 @@ def _step(edges: DataFrame, state: DataFrame) -> DataFrame:
 
 def power_scores(node_table: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc, node, score): power steps from 1/n until the scores of a document
-    move by no more than the tolerance (L2). Finished documents leave the loop,
-    so later rounds work on the few that are left."""
+    move by no more than the tolerance (L2). Finished documents leave the loop:
+    a step only reaches the edges of those that are left, which are written once
+    and stay partitioned by their source."""
     edges = checkpointed(edges)
     state = node_table.select("doc", "node", "m", (1 / F.col("n")).alias("score"))
     finished: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         stepped = _step(edges, state)
         change = F.col("score") - F.col("old")
         moved = stepped.groupBy("doc").agg(
@@ -183,8 +162,6 @@ def power_scores(node_table: DataFrame, edges: DataFrame, tolerance: float = TOL
         state = state.where("open").drop("open")
         if state.isEmpty():
             return finished.withColumn("score", F.round("score", PLACES))
-        edges = checkpointed(edges.join(state.select("doc").distinct(), "doc", "left_semi"))
-    raise RuntimeError(f"scores still move after {MAX_ROUNDS} rounds")
 
 
 def graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -194,7 +171,7 @@ def graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataFr
     )
     weighted = frequencies(term_counts(found)).withColumn("w", F.col("tf") * F.col("idf"))
     weights = checkpointed(unit_weights(weighted))
-    return found, weights, checkpointed(similarities(weights))
+    return found, weights, similarities(weights)
 
 
 def sentence_scores(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
@@ -270,15 +247,18 @@ def _background_graph(articles: DataFrame, background: DataFrame, column: str) -
 
 def components(members: DataFrame) -> DataFrame:
     """(doc, node, label): ``label`` is the smallest node reachable through
-    groups; ``members`` holds (doc, grp, node). Documents whose labels stand
-    still leave the loop."""
+    groups; ``members`` holds (doc, grp, node). A round takes the smallest label
+    of all groups of a node and then the label of that node, so that the way
+    doubles with every round. Documents whose labels stand still leave the loop."""
     members = checkpointed(members)
     state = members.select("doc", "node").distinct().withColumn("label", F.col("node"))
     finished: DataFrame | None = None
     while True:
         lowest = members.join(state, ["doc", "node"]).groupBy("doc", "grp").agg(F.min("label").alias("low"))
         reached = members.join(lowest, ["doc", "grp"]).groupBy("doc", "node").agg(F.min("low").alias("low"))
-        stepped = state.join(reached, ["doc", "node"])
+        reached = checkpointed(state.join(reached, ["doc", "node"]))
+        further = reached.select("doc", F.col("node").alias("low"), F.col("low").alias("further"))
+        stepped = reached.join(further, ["doc", "low"]).select("doc", "node", "label", F.least("low", "further").alias("low"))
         moved = stepped.groupBy("doc").agg(F.bool_or(F.col("low") < F.col("label")).alias("open"))
         state = checkpointed(stepped.join(moved, "doc").select("doc", "node", F.col("low").alias("label"), "open"))
         done = state.where("not open").drop("open")
@@ -286,7 +266,6 @@ def components(members: DataFrame) -> DataFrame:
         state = state.where("open").drop("open")
         if state.isEmpty():
             return finished
-        members = checkpointed(members.join(state.select("doc").distinct(), "doc", "left_semi"))
 
 
 def stationary_scores(node_table: DataFrame, strength: DataFrame, labels: DataFrame) -> DataFrame:
@@ -314,8 +293,7 @@ def background_scores(
 ) -> DataFrame:
     """(doc, sent_idx, score): edges where the similarity reaches the threshold."""
     found, weights = _background_graph(articles, background, column)
-    similar = checkpointed(similarities(weights, threshold, inclusive=True))
-    edges = checkpointed(transitions(weights, similar))
+    edges = checkpointed(transitions(weights, similarities(weights, threshold, inclusive=True)))
     strength = edges.groupBy("doc", F.col("src").alias("node")).agg(F.any_value("degree").alias("degree"))
     members = edges.select("doc", F.col("src").alias("grp"), F.col("dst").alias("node"))
     return stationary_scores(found, strength, components(members))

@@ -442,6 +442,8 @@ lex_top AS (SELECT id, sent_idx, sentence, row_number() OVER (PARTITION BY id OR
   FROM lex_scores JOIN lx USING (id, sent_idx))"""
 
 
+NODES = """nodes AS (
+  SELECT id, node, any_value(m) AS m, string_agg(sent_idx::VARCHAR, ' ' ORDER BY sent_idx) AS sents FROM bag GROUP BY id, node)"""
 LEX_SUMMARIES = """lex_summaries AS (
   SELECT a.id, coalesce(t.article, '') AS article, a.lay_summary
   FROM articles a LEFT JOIN (SELECT id, string_agg(sentence, ' ' ORDER BY sent_idx) AS article FROM lex_top
@@ -450,11 +452,12 @@ LEX_SUMMARIES = """lex_summaries AS (
 ORACLES |= {
     "lexrank_tf": f"WITH {lexrank()} SELECT id, sent_idx, term, round(tf, 6) AS tf FROM tf",
     "lexrank_idf": f"WITH {lexrank()} SELECT DISTINCT id, term, round(idf, 6) AS idf FROM tf",
-    "lexrank_similarity": f"""WITH {lexrank()} SELECT id, i, j, round(s, 6) AS similarity FROM sim
-        WHERE i < j AND (id, i) IN (SELECT (id, node) FROM bag) AND (id, j) IN (SELECT (id, node) FROM bag)""",
-    "lexrank_edges": f"""WITH {lexrank()} SELECT sim.id, sim.i AS src, sim.j AS dst, degree, round(bag.m / degree::DOUBLE, 6) AS share
-        FROM sim JOIN deg USING (id, i) JOIN bag ON bag.id = sim.id AND bag.sent_idx = sim.i
-        WHERE bag.node = sim.i AND (sim.id, sim.j) IN (SELECT (id, node) FROM bag)""",
+    "lexrank_similarity": f"""WITH {lexrank()}, {NODES} SELECT id, i, j, a.m::INTEGER AS m_i, b.m::INTEGER AS m_j, round(s, 6) AS similarity,
+        a.sents AS sents_i, b.sents AS sents_j
+        FROM sim JOIN nodes a USING (id) JOIN nodes b USING (id) WHERE i < j AND a.node = i AND b.node = j""",
+    "lexrank_edges": f"""WITH {lexrank()}, {NODES} SELECT id, i AS src, j AS dst, degree, round(a.m / degree::DOUBLE, 6) AS share,
+        a.sents AS sents_src, b.sents AS sents_dst
+        FROM sim JOIN deg USING (id, i) JOIN nodes a USING (id) JOIN nodes b USING (id) WHERE a.node = i AND b.node = j""",
     "lexrank_scores": f"WITH RECURSIVE {lexrank()}, {lexrank_rounds()} SELECT id, sent_idx, round(score, 6) AS score FROM lex_scores",
     "lexrank_summary": f"WITH RECURSIVE {lexrank()}, {lexrank_rounds()}, {LEX_SUMMARIES} SELECT id, article, lay_summary FROM lex_summaries",
     "lexrank_batch": f"""WITH RECURSIVE {lexrank(False)}, {lexrank_rounds()} SELECT id, sentence,

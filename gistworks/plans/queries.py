@@ -448,17 +448,25 @@ def lexrank_idf(spark, sf_dir):
     return _by_id(spark, sf_dir, terms.groupBy("doc", "term").agg(F.round(F.any_value("idf"), 6).alias("idf")))
 
 
+def _with_sentences(found, pairs, a, b):
+    """Pairs of nodes with the sentences each node stands for."""
+    for end in (a, b):
+        sents = F.array_join("sents", " ").alias(f"sents_{end}")
+        pairs = pairs.join(found.select("doc", F.col("node").alias(end), sents), ["doc", end])
+    return pairs
+
+
 @query
 def lexrank_similarity(spark, sf_dir):
-    _, _, similar = lexrank.graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
-    return _by_id(spark, sf_dir, similar.select("doc", "i", "j", F.round("similarity", 6).alias("similarity")))
+    found, _, similar = lexrank.graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
+    return _by_id(spark, sf_dir, _with_sentences(found, similar.withColumn("similarity", F.round("similarity", 6)), "i", "j"))
 
 
 @query
 def lexrank_edges(spark, sf_dir):
-    _, weights, similar = lexrank.graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
-    edges = lexrank.transitions(weights, similar)
-    return _by_id(spark, sf_dir, edges.select("doc", "src", "dst", "degree", F.round("share", 6).alias("share")))
+    found, weights, similar = lexrank.graph(views.articles(spark, sf_dir), lexrank.ENGLISH)
+    edges = lexrank.transitions(weights, similar).withColumn("share", F.round("share", 6))
+    return _by_id(spark, sf_dir, _with_sentences(found, edges, "src", "dst"))
 
 
 @query

@@ -19,6 +19,8 @@ LCS_PAIR_TYPE = T.ArrayType(
     T.StructType([T.StructField(name, T.IntegerType()) for name in ("sent_idx", "lay_idx", "hits")])
 )
 
+BEST_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("sent_idx", "hits")]))
+
 
 def _segment_masks(targets: list[str]) -> tuple[dict[str, int], int, list[tuple[int, int]]]:
     """Position bits of every target word, the targets laid side by side in one
@@ -68,6 +70,33 @@ def _sparse(sentences: list[str], targets: list[str]) -> list[tuple[int, int, in
     ]
 
 
+def _best(sentences: list[str], targets: list[str]) -> list[tuple[int, int]]:
+    """Per target the first sentence of the highest F, and their LCS length."""
+    if not sentences:
+        return []
+    masks, alive, segments = _segment_masks(targets)
+    sizes = [full.bit_length() for _, full in segments]
+    best = [(0.0, 0, 0)] * len(targets)
+    for i, (sentence, gone) in enumerate(zip(sentences, _matched(sentences, masks, alive))):
+        if gone:
+            words = len(sentence.split())
+            for t, (at, full) in enumerate(segments):
+                if hits := ((gone >> at) & full).bit_count():
+                    score = 2.0 * hits / (words + sizes[t])
+                    if score > best[t][0]:
+                        best[t] = (score, i, hits)
+    return [(i, hits) for _, i, hits in best]
+
+
+@F.arrow_udf(BEST_TYPE)
+def best_sentences(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Per row: for each of its normalised targets (second argument) the best of
+    its normalised sentences (first argument); empty without sentences."""
+    pair = pa.struct([("sent_idx", pa.int32()), ("hits", pa.int32())])
+    for batch in batches:
+        yield _per_row(_best, batch, pa.list_(pair))
+
+
 @F.arrow_udf(LCS_TYPE)
 def lcs_lengths(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Per row: LCS length of each of its normalised sentences (array<string>,

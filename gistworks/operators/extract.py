@@ -121,28 +121,40 @@ def ranked_sentences(articles: DataFrame, top: int | None = None) -> DataFrame:
     )
 
 
+def _lay_targets() -> Column:
+    return F.slice("_targets", 2, F.size("_targets"))
+
+
 def best_matches(articles: DataFrame) -> DataFrame:
     """(id, lay_idx, sent_idx, score): for each lay sentence the article
-    sentence with the highest score, the first on ties."""
-    return (
-        _scored(articles, None)
-        .select("id", F.posexplode(_best_per_lay_sentence()).alias("lay_idx", "s"))
-        .where("s is not null")
-        .select("id", "lay_idx", F.col("s.idx").alias("sent_idx"), _score("s.neg"))
-    )
+    sentence with the highest score, the first on ties. The scores of an article
+    are compared as they arise; no matrix of them is kept."""
+    df = _prepared(articles, None)
+    found = df.withColumn("_best", rouge.best_sentences(F.col("_words"), _lay_targets()))
+    best = found.select("id", "_sizes", "_target_sizes", F.posexplode("_best").alias("lay_idx", "b"))
+    score = rouge.f_measure(F.col("b.hits"), F.get("_sizes", F.col("b.sent_idx")), F.get("_target_sizes", F.col("lay_idx") + 1))
+    return best.select("id", "lay_idx", F.col("b.sent_idx"), score.alias("score"))
+
+
+# Sentences that are compared with a lay summary in one go.
+BLOCK = 64
 
 
 def pair_scores(articles: DataFrame) -> DataFrame:
     """(id, sent_idx, lay_idx, score) of article and lay sentences that share a
-    word; every other pair scores 0 and is left out."""
-    df = _prepared(articles, None)
-    lay = F.slice("_targets", 2, F.size("_targets"))
-    pairs = df.withColumn("_pairs", rouge.lcs_pairs(F.col("_words"), lay)).select(
-        "id", "_sizes", "_target_sizes", F.explode("_pairs").alias("p")
+    word; every other pair scores 0 and is left out. An article goes in blocks
+    of sentences, so that no cell holds the pairs of a whole one."""
+    df = _prepared(articles, None).withColumn("_lay_words", _lay_targets())
+    begins = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1, F.lit(BLOCK)))
+    blocks = df.select("id", "_words", "_sizes", "_lay_words", "_target_sizes", F.explode(begins).alias("_begin"))
+    cut = {c: F.slice(c, F.col("_begin") + 1, F.lit(BLOCK)) for c in ("_words", "_sizes")}
+    blocks = blocks.select("id", "_begin", "_lay_words", "_target_sizes", *(c.alias(name) for name, c in cut.items()))
+    pairs = blocks.withColumn("_pairs", rouge.lcs_pairs("_words", "_lay_words")).select(
+        "id", "_begin", "_sizes", "_target_sizes", F.explode("_pairs").alias("p")
     )
     return pairs.select(
         "id",
-        F.col("p.sent_idx"),
+        (F.col("_begin") + F.col("p.sent_idx")).alias("sent_idx"),
         F.col("p.lay_idx"),
         rouge.f_measure(
             F.col("p.hits"),

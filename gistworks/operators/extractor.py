@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,39 +50,49 @@ def summaries(top: DataFrame, key: str = "id") -> DataFrame:
     return top.groupBy(key).agg(F.array_join(F.transform(parts, lambda s: s["sentence"]), " ").alias("summary"))
 
 
-# --- training and applying the classifier -----------------------------------
+# --- training, keeping and applying the classifier --------------------------
 
-FEATURES = 1 << 16
-REGULARISATION = (0.01, 0.1)
-
-
-def _feature_stages() -> list:
-    return [
-        RegexTokenizer(inputCol="sentence", outputCol="words", pattern="[^a-z0-9]+"),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=FEATURES),
-        IDF(inputCol="counts", outputCol="features"),
-    ]
+# Words the classifier knows at most, the most frequent first: what the driver
+# holds of a vocabulary. Rarer ones count for nothing in a sentence.
+VOCABULARY = 1 << 20
+SMOOTHING = (1.0,)
 
 
 def accuracy(predicted: DataFrame) -> float:
     return predicted.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
 
 
-def train(split: DataFrame, regularisation: tuple[float, ...] = REGULARISATION) -> tuple[PipelineModel, float]:
-    """The classifier and its regularisation, from (sentence, label, split): fit
-    on ``train``, chosen by accuracy on ``validation``."""
+def train(split: DataFrame, smoothing: tuple[float, ...] = SMOOTHING) -> tuple[PipelineModel, float]:
+    """The classifier, multinomial naive Bayes on word counts, and its smoothing,
+    from (sentence, label, split): fit on ``train``, the smoothing chosen by
+    accuracy on ``validation`` if there are several."""
     rows = split.where("split = 'train'")
-    prepared = Pipeline(stages=_feature_stages()).fit(rows)
+    words = [
+        RegexTokenizer(inputCol="sentence", outputCol="words", pattern="[^a-z0-9]+"),
+        CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY),
+    ]
+    prepared = Pipeline(stages=words).fit(rows)
     features = prepared.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    held = prepared.transform(split.where("split = 'validation'")).select("features", "label")
     try:
-        fitted = [(LogisticRegression(regParam=r, maxIter=30).fit(features), r) for r in regularisation]
-        model, best = max(fitted, key=lambda f: accuracy(f[0].transform(held)))
+        fitted = [(NaiveBayes(smoothing=x).fit(features), x) for x in smoothing]
     finally:
         features.unpersist()
+    if len(fitted) > 1:
+        held = prepared.transform(split.where("split = 'validation'")).select("features", "label")
+        fitted.sort(key=lambda f: -accuracy(f[0].transform(held)))
+    model, best = fitted[0]
     return PipelineModel([*prepared.stages, model]), best
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Write a trained classifier, over any that is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predictions(model: PipelineModel, sentences: DataFrame) -> DataFrame:
     """The sentences with ``p1``, the probability of class 1, and ``pred``."""
     return model.transform(sentences).withColumns(

@@ -1,10 +1,10 @@
-"""The three corpus jobs from files to files: each is one lazy plan and a write."""
+"""The corpus jobs from files to files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistworks.operators import extract, labels, lexrank, sampling
+from gistworks.operators import extract, extractor, labels, lexrank, sampling
 from gistworks.session import checkpointed
 from gistworks.sources import corpus
 
@@ -69,3 +69,38 @@ def label_corpus(
     path = f"{output_dir}/{name}_{split}.csv"
     corpus.write_sentences(labelled, path)
     return path
+
+
+def train_extractor(
+    spark: SparkSession,
+    labels_path: str,
+    model_path: str,
+    smoothing: tuple[float, ...] = extractor.SMOOTHING,
+    seed: int = sampling.DEFAULT_SEED,
+) -> str:
+    """A sentence classifier from a written table of sentence labels; the path
+    it is saved to."""
+    labelled = corpus.read_sentences(spark, labels_path)
+    split = checkpointed(sampling.stratified_split(labelled, ["id", "sent_idx"], seed))
+    model, _ = extractor.train(split, smoothing)
+    extractor.save(model, model_path)
+    return model_path
+
+
+def apply_extractor(
+    spark: SparkSession,
+    model_path: str,
+    data_dir: str,
+    output_dir: str,
+    name: str,
+    split: str = "val",
+    top_k: int = extractor.TOP_K,
+    strip: bool = False,
+    rows: int | None = None,
+) -> str:
+    """Extractive summaries of a corpus by a saved classifier; the path written."""
+    articles = load(spark, data_dir, name, split, rows)
+    path = corpus.corpus_path(output_dir, name, split)
+    found = extractor.extractive_summaries(extractor.load(model_path), articles, top_k, strip)
+    found.write.mode("overwrite").json(path)
+    return path

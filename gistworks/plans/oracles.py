@@ -527,3 +527,43 @@ ORACLES |= {
     "readability_macro": f"""WITH {BOTH}, {readability('systems', 'candidate', 'id, system')}
         SELECT system, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM readable GROUP BY system""",
 }
+
+BAYES = f"""{PSEUDO_SPLIT},
+balanced AS (SELECT *, md5(concat('42-', id, '-', sent_idx)) AS k FROM marked
+  QUALIFY label = 1 OR row_number() OVER (PARTITION BY label ORDER BY k) <= count_if(label = 1) OVER ()),
+parted AS (SELECT id, sent_idx, label, {words('sentence')} AS w, CASE WHEN r <= ceil(ceil(n * 0.2) / 2) THEN 'validation'
+    WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY k) AS r FROM balanced)),
+seen AS (SELECT term, count_if(label = 1) AS n1, count_if(label = 0) AS n0 FROM (
+  SELECT label, unnest(w) AS term FROM parted WHERE split = 'train') GROUP BY term),
+known AS MATERIALIZED (SELECT term, ln(n1 + 1) - ln(sum(n1) OVER () + count(*) OVER ()) - ln(n0 + 1) + ln(sum(n0) OVER () + count(*) OVER ()) AS d FROM seen),
+prior AS (SELECT ln(count_if(label = 1) + 1) - ln(count_if(label = 0) + 1) AS d FROM parted WHERE split = 'train')"""
+
+
+def bayes(source: str) -> str:
+    """CTE ``judged``: the probability of class 1 of sentences with words ``w``."""
+    return f"""judged AS (
+  SELECT r.id, r.sent_idx, any_value(p.d) + coalesce(sum(known.d), 0) AS margin, round(1 / (1 + exp(-margin)), 9) AS p1
+  FROM (SELECT id, sent_idx, unnest(CASE WHEN len(w) > 0 THEN w ELSE [''] END) AS term FROM {source}) r
+  CROSS JOIN prior p LEFT JOIN known USING (term) GROUP BY r.id, r.sent_idx)"""
+
+
+def chosen_by_bayes(top: int) -> str:
+    return f"""{BAYES}, {bayes('art')},
+taken AS (SELECT id, string_agg(sentence, ' ' ORDER BY sent_idx) AS summary FROM (
+  SELECT j.id, j.sent_idx, sentence FROM judged j JOIN art USING (id, sent_idx) WHERE p1 >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY j.id ORDER BY p1 DESC, j.sent_idx) <= {top}) GROUP BY id)"""
+
+
+ORACLES |= {
+    "extractor_train": f"""WITH {BAYES}, {bayes("(SELECT * FROM parted WHERE split = 'test')")},
+        confusion AS (SELECT count_if(label <> 0 AND margin > 0) AS tn, count_if(label <> 0 AND margin <= 0) AS fp,
+          count_if(label = 0 AND margin > 0) AS fn, count_if(label = 0 AND margin <= 0) AS tp FROM judged JOIN parted USING (id, sent_idx)),
+        r AS (SELECT coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
+          coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM confusion)
+        SELECT round(accuracy, 6) AS accuracy, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
+          round(p, 6) AS precision, round(r, 6) AS recall, 1::DOUBLE AS smoothing FROM r""",
+    "extractive_summary": f"WITH {chosen_by_bayes(25)} SELECT id, coalesce(summary, '') AS summary FROM cited LEFT JOIN taken USING (id)",
+    "extractive_summary_clean": f"""WITH {chosen_by_bayes(10)} SELECT id, {citations("coalesce(summary, '')")} AS summary
+        FROM cited LEFT JOIN taken USING (id)""",
+}

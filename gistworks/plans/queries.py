@@ -503,28 +503,39 @@ def lexrank_continuous(spark, sf_dir):
 # --- sentence classifier ----------------------------------------------------
 
 
-def _trained(spark, sf_dir):
-    """A classifier trained on the balanced sentence labels, and their split."""
+def _split_labels(spark, sf_dir):
+    """The balanced sentence labels with their split."""
     labelled = checkpointed(labels.binary_labels(_joined(spark, sf_dir)))
     balanced = checkpointed(sampling.balance_classes(labelled, ["id", "sent_idx"]))
-    split = checkpointed(sampling.stratified_split(balanced, ["id", "sent_idx"]))
-    return *extractor.train(split), split
+    return checkpointed(sampling.stratified_split(balanced, ["id", "sent_idx"]))
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _model(spark, sf_dir):
+    """The classifier of these tables: trained and saved once a session, then loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        path = _scratch(spark)
+        extractor.save(extractor.train(_split_labels(spark, sf_dir))[0], path)
+        _SAVED[key] = path
+    return extractor.load(_SAVED[key])
 
 
 @query
 def extractor_train(spark, sf_dir):
-    model, best, split = _trained(spark, sf_dir)
+    split = _split_labels(spark, sf_dir)
+    model, best = extractor.train(split)
     tested = extractor.predictions(model, split.where("split = 'test'"))
-    return metrics.binary_metrics(tested).withColumn("regularisation", F.lit(best))
+    return metrics.binary_metrics(tested).withColumn("smoothing", F.lit(best))
 
 
 @query
 def extractive_summary(spark, sf_dir):
-    model, _, _ = _trained(spark, sf_dir)
-    return extractor.extractive_summaries(model, views.cited_articles(spark, sf_dir))
+    return extractor.extractive_summaries(_model(spark, sf_dir), views.cited_articles(spark, sf_dir))
 
 
 @query
 def extractive_summary_clean(spark, sf_dir):
-    model, _, _ = _trained(spark, sf_dir)
-    return extractor.extractive_summaries(model, views.cited_articles(spark, sf_dir), top_k=10, strip=True)
+    return extractor.extractive_summaries(_model(spark, sf_dir), views.cited_articles(spark, sf_dir), top_k=10, strip=True)

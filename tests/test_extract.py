@@ -75,3 +75,18 @@ def test_ranks_and_matches_agree(make_articles):
     pairs = {(r.lay_idx, r.sent_idx): r.score for r in extract.pair_scores(df).collect()}
     assert best[0] == (2, 1.0) and pairs[0, 2] == 1.0
     assert all(0 < s <= 1 for s in pairs.values())
+
+
+def test_long_article_against_long_summary(make_articles):
+    """Blocks and running maxima give what the matrix of all pairs would."""
+    article = " ".join(f"Word{i} and thing{i % 7} are here." for i in range(600))
+    lay = " ".join(f"Thing{i % 7} and word{3 * i} matter." for i in range(300))
+    df = make_articles([(1, article, lay), (2, "", lay), (3, article, "")])
+    pairs = extract.pair_scores(df).cache()
+    best = {r.lay_idx: (r.sent_idx, r.score) for r in extract.best_matches(df).where("id = 1 and lay_idx < 300").collect()}
+    assert len(best) == 300 and extract.best_matches(df).where("id = 2").isEmpty()
+    top = {}
+    for r in pairs.where("id = 1").collect():
+        if r.score > top.get(r.lay_idx, (0, 0.0))[1] or (r.score == top.get(r.lay_idx, (0, 0.0))[1] and r.sent_idx < top[r.lay_idx][0]):
+            top[r.lay_idx] = (r.sent_idx, r.score)
+    assert best == top and pairs.select("sent_idx").distinct().count() == 600

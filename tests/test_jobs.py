@@ -1,5 +1,6 @@
 import json
 
+from gistworks.operators import extractor
 from gistworks.plans import jobs
 from gistworks.sources import corpus
 
@@ -32,3 +33,21 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert corpus.read_articles(spark, ranked).count() == 8
     limited = jobs.lexrank_corpus(spark, str(data), str(tmp_path / "lex2"), "PLOS", rows=3)
     assert corpus.read_articles(spark, limited).count() == 3
+
+
+def test_extractor_is_trained_saved_and_applied(spark, tmp_path):
+    good, bad = "Results show clear effects number {}.", "Weather was fine on day {}."
+    rows = [(str(i), k, (good if k else bad).format(i), k) for i in range(40) for k in (0, 1)]
+    corpus.write_sentences(spark.createDataFrame(rows, corpus.SENTENCE_SCHEMA), str(tmp_path / "labels"))
+    model = jobs.train_extractor(spark, str(tmp_path / "labels"), str(tmp_path / "model"), smoothing=(0.5, 1.0))
+    again = jobs.train_extractor(spark, str(tmp_path / "labels"), str(tmp_path / "model"))
+    assert model == again
+    articles = spark.createDataFrame([("1", "Weather was fine. Results show effects. Results were clear."), ("1", "Weather was fine."), ("2", "")], "id string, article string")
+    corpus.write_articles(articles, corpus.corpus_path(str(tmp_path), "x", "val"))
+    path = jobs.apply_extractor(spark, model, str(tmp_path), str(tmp_path / "out"), "x")
+    got = sorted((r.id, r.summary) for r in spark.read.json(path).collect())
+    assert got == [("1", ""), ("1", "Results show effects. Results were clear."), ("2", "")]
+    fitted = extractor.load(model)
+    split = spark.createDataFrame(rows, corpus.SENTENCE_SCHEMA)
+    predicted = extractor.predictions(fitted, split)
+    assert predicted.where("pred <> label").isEmpty() and predicted.columns == [*split.columns, "p1", "pred"]

@@ -96,7 +96,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
 
+_LOWERED = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+_JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWERED} AS w FROM documents),
+sh AS MATERIALIZED (
+    SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+), n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+links AS MATERIALIZED (
+    SELECT o.a, o.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS o FROM sh x JOIN sh y USING (s) WHERE x.r <> y.r GROUP BY ALL) o
+    JOIN n x ON x.r = o.a JOIN n y ON y.r = o.b WHERE 100 * o.o >= 80 * (x.n + y.n - o.o)
+), reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t),
+least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN least USING (r)"""
+
+_SUBSTRINGS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+    SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS v FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), again AS (SELECT r, i FROM (SELECT r, i, rank() OVER (PARTITION BY v ORDER BY doc_id NULLS LAST, i) AS k FROM windows) WHERE k > 1),
+gone AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM again),
+kept AS (
+    SELECT r, string_agg(w, ' ' ORDER BY j) AS text FROM (SELECT r, w[j] AS w, j FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d))
+    ANTI JOIN gone USING (r, j) GROUP BY r
+), removed AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": _JACCARD,
+    "op4_substring_dedup": _SUBSTRINGS,
     "op6_mixing_sources": _MIXTURE,
     "op7_benchmark_decontamination": _CONTAMINATION,
     "op10_quality_rules": _QUALITY,

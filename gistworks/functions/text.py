@@ -158,11 +158,13 @@ def after_marker(text: Column) -> Column:
     return F.get(F.split(text, PROMPT_MARKER), 1)
 
 
+LETTER_WORD = r"(?<![\p{L}\p{N}_'-])\p{L}[\p{L}'-]*+(?![\p{L}\p{N}_'-])"
+
+
 def letter_words(text: Column, stop_words=()) -> Column:
     """Lower-cased words of letters (apostrophes and hyphens inside), without
     the stop words; what holds a digit is no word."""
-    pieces = F.split(F.lower(text), r"[^\p{L}\p{N}_'-]+")
-    words = F.filter(pieces, lambda w: w.rlike(r"^\p{L}[\p{L}'-]*$"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(LETTER_WORD), F.lit(0))
     if not stop_words:
         return words
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))

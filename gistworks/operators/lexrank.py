@@ -35,9 +35,9 @@ def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
     same sentences at the same places and fall together."""
     split = with_document_key(articles).select("doc", sentences.alias("s"))
     split = split.select("doc", F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence"))
-    bags = split.select("doc", "n", "idx", F.array_sort(words(F.col("sentence"))).alias("words"))
+    bags = split.select("doc", "n", "idx", F.sort_array(words(F.col("sentence"))).alias("words"))
     grouped = bags.withColumn("bag", digest(F.array_join("words", " "))).groupBy("doc", "n", "bag").agg(
-        F.array_sort(F.collect_set("idx")).alias("sents"), F.any_value("words").alias("words")
+        F.sort_array(F.collect_set("idx")).alias("sents"), F.any_value("words").alias("words")
     )
     return grouped.select("doc", "n", "bag", F.get("sents", 0).alias("node"), F.size("sents").alias("m"), "sents", "words")
 
@@ -50,16 +50,20 @@ def term_counts(node_table: DataFrame) -> DataFrame:
 
 def with_holding(counts: DataFrame) -> DataFrame:
     """Adds ``holding``, the nodes with the term, and ``sentences``, the
-    sentences with it."""
-    sums = counts.groupBy("doc", "term").agg(F.count("*").alias("holding"), F.sum("m").alias("sentences"))
-    return counts.join(sums, ["doc", "term"])
+    sentences with it. The rows of a term in a document, at most one for each
+    sentence, are counted and handed on in one grouping."""
+    rest = [c for c in counts.columns if c not in ("doc", "term")]
+    grouped = counts.groupBy("doc", "term").agg(
+        F.count("*").alias("holding"), F.sum("m").alias("sentences"), F.collect_list(F.struct(*rest)).alias("rows")
+    )
+    return grouped.select("doc", "term", "holding", "sentences", F.inline("rows"))
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
     """Adds ``tf``, the count over the largest of the sentence, and ``idf``,
     ln(n / (1 + sentences with the term))."""
     top = F.max("count").over(Window.partitionBy("doc", "n", "bag"))
-    return with_holding(counts.withColumn("tf", F.col("count") / top)).withColumn(
+    return with_holding(counts.withColumn("tf", F.col("count") / top).drop("bag", "count")).withColumn(
         "idf", F.log(F.col("n") / (1 + F.col("sentences")))
     )
 
@@ -82,34 +86,18 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["doc", "term"]).where("i < j")
 
 
-def _summed(products: DataFrame) -> DataFrame:
-    return products.groupBy("doc", "i", "j", "m_i", "m_j").agg(
-        F.round(F.sum(F.col("w_i") * F.col("w_j")), PLACES).alias("similarity")
-    )
-
-
-def _prefix(weights: DataFrame, threshold: float) -> DataFrame:
-    """The weights of each node without its most common terms, as many as can
-    add no more than the threshold to any similarity, whatever the other node.
-    In the common order of terms, rare first, two nodes above the threshold share
-    a term inside both prefixes."""
-    order = Window.partitionBy("doc", "node").orderBy(F.desc("holding"), "term")
-    tail = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return weights.withColumn("tail", tail).where(F.col("tail") > (threshold - 1e-6) ** 2)
-
-
 def similarities(weights: DataFrame, threshold: float = THRESHOLD, inclusive: bool = False) -> DataFrame:
     """(doc, i, j, m_i, m_j, similarity) of node pairs i < j above the threshold.
 
-    Candidates share a term inside both prefixes, which loses no pair; the
-    products of all their shared terms are then summed up.
+    The products of all terms that two nodes share are summed up, combined before
+    they travel. A threshold this low leaves nothing to skip: a prefix filter
+    finds half as many candidates as there are products, and each has then to be
+    looked up term by term.
     """
     shared = weights.where("holding > 1")
-    prefix = _prefix(weights, threshold).where("holding > 1")
-    candidates = _pairs(prefix, prefix).select("doc", "i", "j", "m_i", "m_j").distinct()
-    left = shared.select("doc", F.col("node").alias("i"), "term", F.col("w").alias("w_i"))
-    right = shared.select("doc", F.col("node").alias("j"), "term", F.col("w").alias("w_j"))
-    summed = _summed(candidates.join(left, ["doc", "i"]).join(right, ["doc", "j", "term"]))
+    summed = _pairs(shared, shared).groupBy("doc", "i", "j", "m_i", "m_j").agg(
+        F.round(F.sum(F.col("w_i") * F.col("w_j")), PLACES).alias("similarity")
+    )
     return summed.where(F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold)
 
 

@@ -235,35 +235,43 @@ def _passages(rows: DataFrame, size: int, parts: int, shards: int) -> DataFrame:
         for batch in W.slices(batches):
             hashes, at_words, grams, at = _windows(batch, size)
             symbols = hashes.astype(np.uint32)
-            frags = W.fragments(grams, parts)
-            ords, keys = batch.column("ord").to_pylist(), batch.column("key").to_pylist()
+            ords, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))  # the row of each window
+            cells = of * parts + W.fragments(grams, parts)
+            order = np.argsort(cells, kind="stable")
+            found = batch.column("found")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+            entries = slice(found.offsets[0].as_py(), found.offsets[-1].as_py() + 1)
+            frag = found.values.field("frag").to_numpy()[entries.start : entries.stop - 1]
+            places, refs = found.values.field("places"), found.values.field("refs")
+            bounds, ref_bounds = places.offsets.to_numpy()[entries], refs.offsets.to_numpy()[entries]
+            counts = np.diff(bounds)
+            sums = np.cumsum(places.values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64))
+            nth = sums - np.repeat(np.r_[0, sums][bounds[:-1] - bounds[0]], counts)  # of its row, or of its row in the range
+            begin = np.where(frag >= 0, np.searchsorted(cells[order], rows * parts + frag), at[rows])
+            window = np.repeat(begin, counts) + nth
+            ranged = np.repeat(frag >= 0, counts)
+            window[ranged] = order[window[ranged]]
+            streamed = np.repeat(np.diff(ref_bounds) > 0, counts)
             out = []
-            for i, found in enumerate(batch.column("found").to_pylist()):
-                own = frags[at[i] : at[i + 1]]
-                by_range = np.argsort(own, kind="stable")
-                seen = own[by_range]
-                marks, streams = [], []
-                for f in found:
-                    places = np.cumsum(np.array(f["places"], np.int64))
-                    if f["frag"] >= 0:
-                        places = by_range[np.searchsorted(seen, f["frag"]) + places]
-                    if f["refs"]:
-                        streams.append(np.stack([np.array(f["refs"], np.int64) % shards, places]))
-                    else:
-                        marks.append(places)
-                words = symbols[at_words[i] : at_words[i + 1]]
-
-                def cut(shard: int, reference: bool, places: np.ndarray, i=i, words=words, out=out) -> None:
-                    for a, b in zip(*W.runs(places), strict=True):
-                        part = words[a : b + size]
-                        out.append((int(shard), reference, ords[i], keys[i], int(a), len(part), part.tobytes()))
-
-                if marks:
-                    cut(keys[i] % shards, True, np.unique(np.concatenate(marks)))
-                if streams:
-                    pairs = np.unique(np.concatenate(streams, axis=1), axis=1)
-                    for shard, places in _grouped(*pairs):
-                        cut(shard, False, places)
+
+            def cut(reference: bool, shard: np.ndarray, window: np.ndarray, out=out, of=of, at=at, at_words=at_words, symbols=symbols, ords=ords, keys=keys) -> None:
+                """A passage for each run of windows of one row and shard."""
+                if not len(window):
+                    return
+                shard, window = np.unique(np.stack([shard, window]), axis=1)
+                breaks = np.flatnonzero((np.diff(window) != 1) | (np.diff(shard) != 0) | (np.diff(of[window]) != 0))
+                first, last = window[np.r_[0, breaks + 1]], window[np.r_[breaks, len(window) - 1]]
+                row = of[first]
+                starts, lengths = first - at[row], last - first + size
+                words = starts + at_words[row]
+                out += [
+                    (s, reference, o, k, a, n, symbols[w : w + n].tobytes())
+                    for s, o, k, a, n, w in zip(shard[np.r_[0, breaks + 1]].tolist(), ords[row].tolist(), keys[row].tolist(), starts.tolist(), lengths.tolist(), words.tolist(), strict=True)
+                ]
+
+            cut(True, keys[of[window[~streamed]]] % shards, window[~streamed])
+            cut(False, refs.values.to_numpy()[ref_bounds[0] : ref_bounds[-1]] % shards, window[streamed])
             kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _PASSAGES.split(", ")])

@@ -35,7 +35,7 @@ from gistworks.llm.graph import components
 from gistworks.session import checkpointed
 
 #: Shingles that one fragment holds on average, which bounds the memory of its task.
-FRAGMENT_SHINGLES = 4_000_000
+FRAGMENT_SHINGLES = 3_000_000
 
 LEAST_FRAGMENTS = 16
 
@@ -115,11 +115,14 @@ def _shared(blocks: pa.Table) -> pa.Table:
     once[first] = True
     grams = grams[np.repeat(once, counts)]
     keys, ns, counts = keys[once], ns[once], counts[once]
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams, kind="stable").astype(np.int32)
     ordered = grams[order]
     bounds = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+    del ordered
+    sizes = np.diff(bounds).astype(np.int32)
     df = np.empty(len(grams), np.int32)
-    df[order] = np.repeat(np.diff(bounds), np.diff(bounds))
+    df[order] = np.repeat(sizes, sizes)
+    del order, bounds
     kept = df > 1
     per_class = np.add.reduceat(kept, np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64), dtype=np.int64)
     some = per_class > 0

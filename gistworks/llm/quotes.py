@@ -1,11 +1,14 @@
 """Chat formatting by quotation linking.
 
 Messages quote earlier ones behind ``>`` marks, one per level. Each run of lines
-of one level is a quoted passage. Its sentences and those of all messages' own
-lines are normalised (lower case, letters and digits only, so that rewrapping
-does not matter) and hashed; a quoted sentence stands for the latest earlier
-message of the conversation that holds it, and a passage for the message most of
-its words stand for. What a message quotes at the first level is what it
+of one level is a quoted passage. Passages and the messages' own lines are
+normalised alike (lower case, letters and digits only) and cut into units in
+three ways: the sentences of paragraphs, whose lines are joined; the sentences
+of single lines, for headings and lists; and windows of a few words, for parts
+of either that were wrapped anew. A unit of a passage stands for the latest
+earlier message of the conversation that holds it, a word for what the first
+way says that finds a unit around it, and a passage for the message most of its
+words stand for. What a message quotes at the first level is what it
 answers; following the answers leads to the root of a thread. The conversation
 then reads thread by thread, each in the order of its turns, without the quotes.
 
@@ -27,6 +30,13 @@ from gistworks.session import checkpointed
 #: Turns of one range.
 RANGE_TURNS = 256
 
+#: Words of a window.
+WINDOW = 8
+
+#: Where a text is cut: sentences of paragraphs, and of lines.
+_PARAGRAPHS = r"(?<=[.!?…])\s+|\n[^\S\n]*\n\s*"
+_SINGLE = r"(?<=[.!?…])\s+|\n"
+
 #: Lines that introduce a quotation.
 ATTRIBUTION = r"(?i)(\b(wrote|writes|said|schrieb|a écrit|escribió)\b.{0,80}:\s*$|^\s*-{2,}\s*original message\s*-{2,}\s*$)"
 
@@ -59,21 +69,36 @@ def passages(lines: Column) -> Column:
     def cut(at: Column) -> Column:
         def passage(begin: Column, k: Column) -> Column:
             end = F.coalesce(F.get(at, k + 1), F.size(lines))
-            return F.struct(F.get(lines, begin)["level"].alias("level"), F.array_join(F.transform(F.slice(lines, begin + 1, end - begin), lambda x: x["body"]), " ").alias("text"))
+            return F.struct(F.get(lines, begin)["level"].alias("level"), F.array_join(F.transform(F.slice(lines, begin + 1, end - begin), lambda x: x["body"]), "\n").alias("text"))
 
         return F.filter(F.transform(at, passage), lambda p: p["level"] > 0)
 
     return let(begins, cut)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, each with its hash and number of words; those without a letter or digit are left out."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+
+
+def _pieces(text: Column, cuts: str) -> Column:
+    """Normalised pieces between cuts, each with its hash and number of words; those without a letter or digit are left out."""
+    found = F.filter(F.transform(F.split(text, cuts, -1), _words), lambda w: F.size(w) > 0)
+    return F.transform(found, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.size(w).alias("words")))
+
+
+def _windows(text: Column) -> Column:
+    """Every window of words, as pieces; none in a text of fewer words."""
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i, WINDOW)).alias("hash"), F.lit(WINDOW).alias("words")))
+
+    return let(_words(text), cut)
 
-    def normal(sentence: Column) -> Column:
-        return F.btrim(F.lower(F.regexp_replace(sentence, r"[^\p{L}\p{N}]+", " ")))
 
-    found = F.filter(F.transform(F.split(text, r"(?<=[.!?…])\s+|\n", -1), normal), lambda s: s != "")
-    return F.transform(found, lambda s: F.struct(F.xxhash64(s).alias("hash"), F.size(F.split(s, " ")).alias("words")))
+def _ways(text: Column) -> list[Column]:
+    """The units of a text, in the order in which they count."""
+    return [_pieces(text, _PARAGRAPHS), _pieces(text, _SINGLE), _windows(text)]
 
 
 def _latest_before(held: DataFrame, asked: DataFrame) -> DataFrame:
@@ -100,17 +125,25 @@ def links(messages: DataFrame) -> DataFrame:
     stand for it. Rows without a conversation or a turn take no part.
     """
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("turn", F.col("turn").cast("long"))
-    held = with_computed(known.select("conv_id", "turn", "text"), lines=_lines(F.col("text")))
-    held = held.select("conv_id", "turn", F.explode(sentences(own_text(F.col("lines")))).alias("s")).select("conv_id", "turn", "s.hash")
-    quoting = known.where(F.col("text").rlike(r"(?m)^\s{0,3}>")).select("conv_id", "turn", "text")
+    quoting = known.where(F.col("text").rlike(r"(?m)^\s{0,3}>")).select("conv_id", "turn", "text").distinct()
     quoting = with_computed(quoting, lines=_lines(F.col("text")))
-    quoted = quoting.select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
-    asked = quoted.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.explode(sentences(F.col("p.text"))).alias("s"))
-    asked = checkpointed(asked.select("conv_id", "turn", "passage", "level", "s.hash", "s.words"))
+    quoted = quoting.select("conv_id", "turn", F.xxhash64("text").alias("copy"), F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
     passage = ["conv_id", "turn", "passage", "level"]
-    totals = asked.groupBy(*passage).agg(F.sum("words").alias("total"))
+    asked = quoted.select("conv_id", "turn", "copy", "passage", F.col("p.level").alias("level"), F.posexplode(F.array(*_ways(F.col("p.text")))).alias("way", "units"))
+    asked = asked.select(*passage, "copy", "way", F.posexplode("units").alias("at", "s")).select(*passage, "copy", "way", "at", "s.hash", "s.words")
+    before = F.sum("words").over(W.partitionBy(*passage, "copy", "way").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    start = F.when(F.col("way") == 2, F.col("at").cast("long")).otherwise(F.coalesce(before, F.lit(0).cast("long")))
+    asked = checkpointed(asked.withColumn("start", start).drop("at"))
+    totals = asked.where("way = 0").groupBy(*passage).agg(F.sum("words").alias("total"))
+    held = known.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text")
+    held = with_computed(held, lines=_lines(F.col("text")))
+    held = with_computed(held.select("conv_id", "turn", own_text(F.col("lines")).alias("own")), own_=F.col("own"))
+    units = F.array_distinct(F.transform(F.concat(*_ways(F.col("own_"))), lambda s: s["hash"]))
+    held = held.select("conv_id", "turn", F.explode(units).alias("hash"))
     held = held.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
-    votes = _latest_before(held, asked).groupBy(*passage, "found").agg(F.sum("words").alias("words"))
+    explained = _latest_before(held, asked).select(*passage, "copy", "way", "found", F.explode(F.expr("sequence(start, start + words - 1)")).alias("word"))
+    explained = explained.groupBy(*passage, "copy", "word").agg(F.max(F.struct(-F.col("way"), "found")).alias("b"))
+    votes = explained.groupBy(*passage, F.col("b.found").alias("found")).agg(F.count("*").alias("words"))
     best = votes.groupBy(*passage).agg(F.max(F.struct("words", "found")).alias("b")).select(*passage, "b.found", "b.words")
     return best.join(totals, passage)
 

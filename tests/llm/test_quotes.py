@@ -82,3 +82,28 @@ def test_very_long_message(spark):
     rows = [(1, 0, "u", "\n".join(f"line {i} is quoted." for i in range(20_000))), (1, 1, "u", text)]
     found = quotes.conversations(spark.createDataFrame(rows, MESSAGES)).where("turn = 1").first()
     assert (found.text, found.parent_turn, found.n_quotes, found.n_linked) == ("own", 0, 1, 1)
+
+
+def test_originals_of_several_lines(spark):
+    """Lists, wrapped paragraphs and parts of them are found, wrapped as they were or anew, and a later message with a part of them is not taken."""
+    listed = "Shopping list:\n- eggs\n- milk\n- a large loaf of the dark bread that they only bake on Fridays"
+    wrapped = "Plans\n\nWe meet at the station\nnear the river and walk\nto the old mill. Bring boots\nand something to drink."
+    rows = [
+        (1, 0, "u", listed),
+        (1, 1, "u", wrapped),
+        (1, 2, "u", "Eggs\n\nmilk"),
+        (1, 3, "u", "> Shopping list:\n> - eggs\n> - milk\n> - a large loaf of the dark bread that they only bake on Fridays\nall of it"),
+        (1, 4, "u", "> - a large loaf of the dark\n> bread that they only\n> bake on Fridays\nwrapped anew"),
+        (1, 5, "u", "> Plans\n>\n> We meet at the station\n> near the river and walk\n> to the old mill. Bring boots\n> and something to drink.\nas it was"),
+        (1, 6, "u", "> We meet at the\n> station near the river and walk to the\n> old mill.\nanew"),
+        (1, 7, "u", "> near the river and walk\none line"),
+        (1, 8, "u", "> the dark bread that they only bake on\n> Fridays we will see\npart of a line"),
+        (1, 9, "u", "> - eggs\n> - milk\nthe later"),
+        (1, 9, "u", "> - eggs\n> - milk\nthe later"),
+    ]
+    df = spark.createDataFrame(rows, MESSAGES)
+    assert sorted(tuple(r) for r in quotes.links(df).select("turn", "level", "found", "words", "total").collect()) == [
+        (3, 1, 0, 17, 17), (4, 1, 0, 13, 13), (5, 1, 1, 21, 21), (6, 1, 1, 14, 14), (7, 1, 1, 5, 5), (8, 1, 0, 9, 12), (9, 1, 2, 2, 2),
+    ]
+    found = {r.turn: r.root_turn for r in quotes.conversations(df).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 0, 9: 2}

@@ -214,10 +214,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of rows that share a doc_id one stays.
+    """Of each component of ``docs`` the row with the smallest doc_id, and of rows that share it the one with the smallest hash.
 
-    Rows without a doc_id cannot be told apart from others by name and stay.
+    Rows are told by doc_id and a hash of their columns, so that of unlike rows
+    of one doc_id each stands for itself. Rows without a doc_id take part: a
+    component leaves one of them, beside the one with the smallest doc_id if it
+    has any. Equal rows are one; texts without words are like no other.
     """
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    told = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*told).alias("hash"))
+    named = docs.withColumn("row_", row)
+    found = near_duplicates(named.select(F.col("row_").alias("doc_id"), "text"), size, percent)
+    kept = found.groupBy("component_id", "doc_id.unnamed").agg(F.min("doc_id").alias("row_")).select("row_")
+    return named.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(docs.columns)

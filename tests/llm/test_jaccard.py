@@ -86,3 +86,18 @@ def test_one_of_each(documents, clashing):
     kept = jaccard.one_of_each(clashing(documents(rows)))
     assert kept.columns == clashing(documents(rows)).columns
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([(2, "A b c d e f"), (5, None), (None, "a b c d e f"), (7, "other words here")], key=repr)
+
+
+def test_one_of_each_with_shared_and_missing_ids(documents):
+    """Each group leaves one row by its smallest doc_id and one of those without, and unlike rows of one doc_id stay."""
+    copied, alone = "a b c d e f", "some words that nobody else has written"
+    unnamed = "copies of a row without any name at all"
+    rows = [
+        (1, copied), (5, copied.upper()), (5, alone), (6, alone.upper()), (7, "x y z"), (7, "u v w"), (7, None), (7, "x y z"),
+        (None, unnamed), (None, unnamed), (None, unnamed.upper()), (None, "another row without a name"), (None, copied),
+    ]
+    frame = documents(rows)
+    kept, again = (sorted([(r.doc_id, r.text.lower() if r.text else None) for r in jaccard.one_of_each(f).collect()], key=repr) for f in (frame, frame.repartition(7, "text")))
+    assert kept == again == sorted(
+        [(1, copied), (5, alone), (7, "x y z"), (7, "u v w"), (7, None), (None, unnamed), (None, "another row without a name"), (None, copied)], key=repr
+    )

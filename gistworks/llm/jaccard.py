@@ -39,6 +39,9 @@ FRAGMENT_SHINGLES = 3_000_000
 
 LEAST_FRAGMENTS = 16
 
+#: Documents of one shingle's list that are compared in one cell when all links are asked for.
+CELL = 256
+
 _U64 = np.uint64
 
 
@@ -160,14 +163,8 @@ def _linked(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o")).where(f"100 * o >= {percent} * (n_a + n_b - o)").select("a", "b")
 
 
-def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, shingles: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(links, labels)`` between classes of equal shingle sets, named by their key.
-
-    ``links``: pairs ``a, b`` with ``100 * |intersection| >= percent * |union|``
-    that join all classes any such pair joins; ``labels``: ``node, component``
-    of the classes that have a link. ``shingles``: about how many shingles there
-    are, from which the number of fragments follows.
-    """
+def _prefixes(docs: DataFrame, size: int, percent: int, shingles: int | None) -> tuple[DataFrame, DataFrame]:
+    """The classes that can reach the threshold, with their shared shingles, and the prefixes of these."""
     if shingles is None:
         shingles = shingle_sets(docs, size).agg(F.sum("n")).first()[0] or 0
     parts = max(LEAST_FRAGMENTS, -(-int(shingles) // FRAGMENT_SHINGLES))
@@ -178,6 +175,18 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, shingles:
     ordered = F.array_sort(F.flatten(F.transform("parts", lambda p: F.zip_with(p["dfs"], p["grams"], lambda d, g: F.struct(d.alias("d"), g.alias("g"))))))
     prefixes = live.select("key", "n", "s", F.posexplode(F.slice(ordered, 1, F.expr(need).cast("int")))).select("key", "n", "s", "pos", F.col("col.g").alias("gram"))
     prefixes = checkpointed(prefixes)
+    return live, prefixes
+
+
+def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, shingles: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(links, labels)`` between classes of equal shingle sets, named by their key.
+
+    ``links``: pairs ``a, b`` with ``100 * |intersection| >= percent * |union|``
+    that join all classes any such pair joins; ``labels``: ``node, component``
+    of the classes that have a link. ``shingles``: about how many shingles there
+    are, from which the number of fragments follows.
+    """
+    live, prefixes = _prefixes(docs, size, percent, shingles)
     leaders = prefixes.groupBy("gram").agg(F.max(F.struct(F.expr("s / n").alias("whole"), "key", "n")).alias("l")).selectExpr("gram", "l.key AS lead", "l.n AS lead_n")
     star = prefixes.join(leaders, "gram").where(f"key <> lead AND 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
     links = checkpointed(_linked(star.selectExpr("least(key, lead) AS a", "greatest(key, lead) AS b").distinct(), live, percent))
@@ -190,6 +199,33 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, shingles:
     return links, labels
 
 
+def all_links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``a, b`` (a < b): every pair of classes of equal shingle sets that reaches the threshold, inside components too.
+
+    A long list of a shingle is cut into groups by key, and every two groups
+    meet in a cell of their own, so that no task compares a whole list. A group
+    of m near copies of different text has up to m² / 2 links.
+    """
+    live, prefixes = _prefixes(docs, size, percent, None)
+    groups = prefixes.groupBy("gram").agg(F.ceil(F.count("*") / CELL).alias("groups")).where("groups >= 1")
+    dealt = prefixes.join(groups, "gram").withColumn("own", F.pmod(F.xxhash64("key"), F.col("groups")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, groups - 1)"))).selectExpr("*", "least(own, other) AS i", "greatest(own, other) AS j").drop("groups", "other")
+    x, y = dealt.where("own = i").alias("x"), dealt.where("own = j").alias("y")
+    near = f"""(x.i <> x.j OR x.key < y.key) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        AND (100 + {percent}) * (1 + least(x.s - x.pos - 1, y.s - y.pos - 1)) >= {percent} * (x.n + y.n)"""
+    same = " AND ".join(f"x.{c} = y.{c}" for c in ("gram", "i", "j"))
+    pairs = x.join(y, F.expr(f"{same} AND {near}")).selectExpr("least(x.key, y.key) AS a", "greatest(x.key, y.key) AS b").distinct()
+    return _linked(pairs, live, percent)
+
+
+def link_counts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_links`` of every row: the number of other shingle sets, each counted once, that reach the threshold with the row's own."""
+    links = checkpointed(all_links(docs, size, percent))
+    ends = links.selectExpr("a AS key").union(links.selectExpr("b AS key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    own = shingle_sets(docs, size).withColumn("key", F.expr("CASE WHEN n > 0 THEN key END"))
+    return own.join(ends, "key", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``, others unused).
 

@@ -101,3 +101,15 @@ def test_one_of_each_with_shared_and_missing_ids(documents):
     assert kept == again == sorted(
         [(1, copied), (5, alone), (7, "x y z"), (7, "u v w"), (7, None), (None, unnamed), (None, "another row without a name"), (None, copied)], key=repr
     )
+
+
+def test_all_links_inside_a_component(documents, monkeypatch):
+    """Every link between different texts of a group is counted, also where its lists are cut into cells."""
+    monkeypatch.setattr(jaccard, "CELL", 7)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[: 120 - rng.randrange(30)] + [f"x{i % 35}"] * (i % 2))) for i in range(50)] + [(90, None), (91, "alone here"), (None, " ".join(words))]
+    sets = [shingles(t) for _, t in rows]
+    expected = [(doc, sum(100 * len(a & b) >= 80 * len(a | b) for b in set(sets) if b and b != a) if a else 0) for (doc, _), a in zip(rows, sets, strict=True)]
+    assert sorted([tuple(r) for r in jaccard.link_counts(documents(rows)).collect()], key=repr) == sorted(expected, key=repr)
+    assert max(n for _, n in expected) > 20

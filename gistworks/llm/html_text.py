@@ -2,7 +2,9 @@
 
 A page becomes a tree of nodes. What names itself boilerplate (menus, headers
 and footers of the page, side bars, notices, adverts, forms, scripts, styles,
-reader comments) is taken out. For every node of the rest, the characters per
+reader comments) is taken out; but on a page without an article or main element, a form,
+header or element with a boilerplate name stays if it holds most of the text
+outside links, since it wraps the page. For every node of the rest, the characters per
 tag are weighed by how many of both are links; the sum over a node's children is
 high where dense blocks meet. The node with the highest sum is the core of the
 article, the lowest density on its path to the body the threshold: every node
@@ -52,6 +54,8 @@ TEXTS = frozenset("p li dd dt tr td th pre blockquote table ul ol dl figure".spl
 #: Elements that are not part of an article wherever they stand, and those that are not outside of one.
 DROPPED = frozenset("head nav footer aside form button select input label dialog menu search canvas audio video picture map".split()) | RAW
 OUTSIDE = frozenset(["header"])
+#: Of both, those that stay where they wrap the page.
+WRAPPERS = frozenset(["form", "header"])
 INSIDE = frozenset(["article", "main"])
 
 #: Words of class, id or role that mark boilerplate.
@@ -67,6 +71,9 @@ MARKS = frozenset(
 #: Marks that hold only outside of articles.
 OUTSIDE_MARKS = frozenset(["header", "hero", "top"])
 
+#: Marks of what readers or notices add; beside these, an article is short more often than missing.
+ADDED = frozenset("comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr popup modal overlay paywall".split())
+
 #: Names of an element that holds the article, and beginnings of a name that only tells what stands beside it.
 CONTENT = frozenset("content main article post entry story".split())
 WITH = frozenset("with without has no".split())
@@ -94,26 +101,76 @@ class _Page:
         return len(self.tags) - 1
 
 
-def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or (tag in OUTSIDE and not inside):
-        return True
+def _boilerplate(tag: str, attributes: str, inside: bool) -> float:
+    """0 for what is none; else the share of the page's text above which it wraps the page, 1 if whatever it holds goes."""
+    if (tag in DROPPED or (tag in OUTSIDE and not inside)) and tag not in WRAPPERS:
+        return 1
+    share = 0.5 if tag == "form" or (tag in OUTSIDE and not inside) else 0
     if tag in ("body", "html", "article", "main") or not attributes.strip():
-        return False
+        return share
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 1
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return 1
         elif name != "aria-hidden":
             names = value.split()
             if CONTENT.isdisjoint(n.lower() for n in names):
                 for one in names:
                     marks = [m.lower() for m in _PARTS.split(one)]
                     if marks[0] not in WITH and not (MARKS.isdisjoint(marks) and (inside or OUTSIDE_MARKS.isdisjoint(marks))):
-                        return True
-    return False
+                        share = max(share, 0.5 if ADDED.isdisjoint(marks) else 0.9)
+    return share
+
+
+def _wrappers(source: str) -> frozenset[int]:
+    """The places of start tags that look like boilerplate but hold most of the page's text outside links; none with an article."""
+    chars, at = 0, 0
+    muted = 0  # open links and elements that go whatever they hold
+    stack: list[tuple[str, int, int, float]] = []
+    opened: dict[str, int] = {}
+    held: list[tuple[int, int, float]] = []
+    lowered = None
+
+    def close() -> str:
+        nonlocal muted
+        tag, place, before, share = stack.pop()
+        opened[tag] -= 1
+        muted -= share == 1
+        if 0 < share < 1:
+            held.append((place, chars - before, share))
+        return tag
+
+    while found := _TAG.search(source, at):
+        if not muted:
+            chars += len(source[at : found.start()].strip())
+        at = found.end()
+        if not found[2]:
+            continue
+        tag = found[2].lower()
+        if found[1]:
+            if opened.get(tag):
+                while close() != tag:
+                    pass
+            continue
+        if tag in INSIDE:
+            return frozenset()
+        if tag in RAW and not found[3].endswith("/"):
+            lowered = source.lower() if lowered is None else lowered
+            end = lowered.find(f"</{tag}", at)
+            at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
+        elif not (found[3].endswith("/") or tag in VOID or tag in ("html", "body")):
+            share = 1 if tag == "a" else _boilerplate(tag, found[3], False)
+            stack.append((tag, found.start(), chars, share))
+            opened[tag] = opened.get(tag, 0) + 1
+            muted += share == 1
+    if not muted:
+        chars += len(source[at:].strip())
+    while stack:
+        close()
+    return frozenset(place for place, own, share in held if own > share * chars)
 
 
 def _tree(source: str) -> _Page:
@@ -125,6 +182,7 @@ def _tree(source: str) -> _Page:
     inside = 0
     at = 0
     lowered = None
+    wrappers = None
     while True:
         found = _TAG.search(source, at)
         text = source[at : found.start() if found else len(source)]
@@ -143,7 +201,7 @@ def _tree(source: str) -> _Page:
                         pass
                 elif tag in ("body", "html") or any(page.tags[n] == tag for n in stack[1:]):
                     dropped.clear()  # what holds the dropped element ends, and so does that
-                if dropped or tag in DROPPED:
+                if dropped or (tag in DROPPED and tag not in WRAPPERS):
                     continue
             for depth in range(len(stack) - 1, 0, -1):
                 if page.tags[stack[depth]] == tag:
@@ -185,10 +243,13 @@ def _tree(source: str) -> _Page:
                     break
                 if name in same:
                     del stack[depth:]
-        if _boilerplate(tag, found[3], inside > 0):
-            if not closed:
-                dropped = [tag]
-            continue
+        if share := _boilerplate(tag, found[3], inside > 0):
+            if share < 1 and wrappers is None:
+                wrappers = _wrappers(source)
+            if share == 1 or found.start() not in wrappers:
+                if not closed:
+                    dropped = [tag]
+                continue
         node = page.add(tag, stack[-1])
         if not closed:
             stack.append(node)

@@ -79,3 +79,25 @@ def test_table(spark):
     found = html_text.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted([tuple(r) for r in found], key=repr) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
     assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+WRAPPED = f"<div class=menu><a href=/>Home</a> All pages</div><h1>Title</h1><div><p>{said(1)}</p><p>{said(2)}</p></div><div class=sidebar>Buy now</div>"
+
+
+@pytest.mark.parametrize(
+    "begin, end",
+    [
+        ("<form id='aspnetForm'><label>Find</label><input name=q><button>Go</button>", "</form>"), ("<div id='wrapper' class='right-sidebar'>", "</div>"),
+        ("<div id='top'>", "</div>"), ("<form><div id=top><div class='modal-open'>", "</div></div></form>"), ("<header>", "</header>"),
+    ],
+)
+def test_wrappers_with_boilerplate_names(begin, end):
+    assert html_text.main_text(f"<html><body>{begin}{WRAPPED}{end}<div id=footer>Copyright</div></body></html>") == "\n".join(["Title", said(1), said(2)])
+
+
+def test_small_forms_comments_and_hidden_wrappers_still_go():
+    text = f"<div><p>{said(1)}</p><p>{said(2)}</p></div>"
+    assert html_text.main_text(f"<body>{text}<form><p>{said(3)}</p></form>") == said(1) + "\n" + said(2)
+    assert html_text.main_text(f"<body>{text}<div class=comments>" + f"<p>{said(3)}</p>" * 5 + "</div>") == said(1) + "\n" + said(2)
+    assert html_text.main_text(f"<body><form style='display:none'>{text}</form>") == ""
+    html_text.main_text("<form><div class=nav>" * 30_000 + "deep")

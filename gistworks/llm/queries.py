@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, html_text, jaccard, language, mixture, quality_mil, quotes, rules, substrings, token_ids
+from gistworks.llm import contamination, html_text, jaccard, language, mixture, quality_mil, quotes, rules, substrings, token_ids, whitening
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures of every document and the verdict of the rules."""
     return rules.report(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the leading components of their exact covariance, at unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))

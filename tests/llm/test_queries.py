@@ -9,7 +9,7 @@ from gistworks.llm.queries import QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(check.entry.queries())
     assert set(ORACLES) <= set(QUERIES)
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, html_text, jaccard, language, mixture, quality_mil, quotes, rules, substrings, token_ids, whitening
+from gistworks.llm import contamination, html_text, jaccard, language, manifest, mixture, quality_mil, quotes, rules, substrings, token_ids, whitening
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on the leading components of their exact covariance, at unit variance."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what a tampered copy of them folds to."""
+    docs = _table(spark, sf_dir, "documents")
+    return manifest.manifest(docs, manifest.tampered(docs))

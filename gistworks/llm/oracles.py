@@ -124,10 +124,71 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)"""
 
+_MANIFEST = """
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id, source, doc_id::VARCHAR AS id, n_chars::VARCHAR AS n, lang, text,
+        xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda x, y: list_reduce(list_concat([xor(x, y)], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 2 = 0 AS hit
+    FROM documents
+), f AS (
+    SELECT r, doc_id, source, coalesce(hit, false) AS hit,
+        list_aggregate(list_transform([id, source, lang, n], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')), 'string_agg', '') AS head,
+        text, replace(text, chr(10), '') AS cut
+    FROM d
+), l AS (
+    SELECT r, doc_id, source, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+        CASE WHEN hit THEN sha256(head || coalesce(strlen(cut)::VARCHAR || ':' || cut, '-')) ELSE sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) END AS now
+    FROM f
+), s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT source FROM documents)),
+p AS MATERIALIZED (
+    SELECT l.*, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, leaf) - 1 AS i FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source
+), low AS (
+    SELECT t, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY t) AS n FROM p
+    UNION ALL
+    SELECT t, any_value(level) + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY t, i // 3
+), subroots AS MATERIALIZED (SELECT t, node AS subroot FROM low WHERE n = 1),
+high AS (
+    SELECT 0 AS level, t AS i, subroot AS node, count(*) OVER () AS n FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), any_value((n + 2) // 3) FROM high WHERE n > 1 GROUP BY i // 3
+), nodes AS MATERIALIZED (
+    SELECT t, level, i, node, n FROM low UNION ALL SELECT -1, level, i, node, n FROM high
+), runs AS MATERIALIZED (SELECT t, level, i // 3 AS g, list(node ORDER BY i) AS run FROM nodes WHERE n > 1 GROUP BY ALL),
+walk AS (
+    SELECT r, t, 0 AS level, i, now AS node, '' AS proof, t AS own, 0 AS k FROM p
+    UNION ALL
+    SELECT w.r, CASE WHEN run IS NULL THEN -1 ELSE w.t END, CASE WHEN run IS NULL THEN 0 ELSE w.level + 1 END, CASE WHEN run IS NULL THEN own ELSE w.i // 3 END,
+        CASE WHEN run IS NULL THEN node ELSE sha256(array_to_string(run[:w.i % 3], '') || node || array_to_string(run[w.i % 3 + 2:], '')) END,
+        CASE WHEN run IS NULL THEN proof ELSE proof || array_to_string(run[:w.i % 3], '') || array_to_string(run[w.i % 3 + 2:], '') END, own, k + 1
+    FROM walk w LEFT JOIN runs ON runs.t = w.t AND runs.level = w.level AND runs.g = w.i // 3
+    WHERE run IS NOT NULL OR w.t >= 0
+), ends AS (SELECT r, arg_max(node, k) AS folded_root, arg_max(proof, k) AS proof FROM walk GROUP BY r),
+top AS (SELECT node AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN subroots USING (t) JOIN ends USING (r), top"""
+
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (
+    SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS v FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400)
+), again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY v) AS c FROM windows) WHERE c > 1),
+edges AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true) AS new FROM again),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM edges) GROUP BY r, g),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS done FROM runs),
+cut AS (
+    SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+    FROM pieces JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": _JACCARD,
     "op4_substring_dedup": _SUBSTRINGS,
     "op6_mixing_sources": _MIXTURE,
     "op7_benchmark_decontamination": _CONTAMINATION,
     "op10_quality_rules": _QUALITY,
+    "op12_merkle_manifest": _MANIFEST,
+    "op13_suffix_array_dedup": _REPEATS,
 }

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistworks.llm import contamination, html_text, jaccard, language, manifest, mixture, quality_mil, quotes, rules, substrings, token_ids, whitening
+from gistworks.llm import contamination, html_text, jaccard, language, manifest, mixture, quality_mil, quotes, repeats, rules, substrings, token_ids, whitening
 from gistworks.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, and what a tampered copy of them folds to."""
     docs = _table(spark, sf_dir, "documents")
     return manifest.manifest(docs, manifest.tampered(docs))
+
+
+@_register
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that start anywhere else."""
+    return repeats.dedup(_table(spark, sf_dir, "documents")).drop("kept")

@@ -14,8 +14,10 @@ that share SIZE bytes with another matter.
    common-prefix interval whose suffixes have different left bytes is a maximal
    repeat; it comes with all its occurrences, those of the intervals inside it
    included. A passage begins behind a byte of its own.
-3. A shard of too many bytes is cut into chunks. What only two chunks together
-   hold twice is found by the hashes of their distinct windows.
+3. What many texts share does not end in one tree: a stretch of a leading text
+   that is held too often is a shard of its own, or a part of it is, or a single
+   anchor. If that is too much still, the texts are dealt out to chunks, and what
+   only two chunks together hold twice is found by the hashes of their windows.
 
 Texts that are equal are one text with a number of rows: with two rows or more
 all their bytes occur elsewhere. Joins on texts and anchors salt what many rows
@@ -31,7 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,20 +43,20 @@ from gistworks.session import checkpointed
 #: Bytes of the shortest repeat, and of the pieces that anchor it.
 SIZE, GRAM = 200, 64
 
-#: Bytes of text hashed at once; of text for each shard; of passages for each tree; of a part of a text that leads a shard.
-PIECE_BYTES, SHARD_BYTES, TREE_BYTES, PART_BITS = 1 << 18, 12 << 20, 6 << 20, 13
+#: Bytes of text hashed at once; of text for each shard; of passages for each tree.
+PIECE_BYTES, SHARD_BYTES, TREE_BYTES = 1 << 18, 2 << 20, 8 << 20
 
-#: Bytes of passages for each anchor, about: two anchors in SIZE - GRAM + 2 places.
-ANCHOR_BYTES = 100
+#: Bytes of a part of a text that leads a shard, and parts of a stretch of it, as powers of two.
+PART_BITS, STRETCH_BITS = 8, 5
+
+#: Bytes of passages for each anchor, about: among others, and of one alone.
+ANCHOR_BYTES, ALONE_BYTES = 80, SIZE + 70
 
 LEAST_SHARDS = 16
 
 #: What more than one in so many rows hold is hot, and dealt out to so many partitions.
 HOT_SHARE, SALTS = 10_000, 64
 
-#: Ranges of the hash order in which the windows of chunks are compared.
-RANGES = 64
-
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -173,10 +175,10 @@ def _dealt(many: DataFrame, few: DataFrame, on: str, hot: DataFrame, by: Column,
     return salted.join(copies, [on, "salt_"], how).drop("salt_")
 
 
-_PASSAGES = "shard int, key long, start int, bytes binary"
+_PASSAGES = "shard long, chunks int, key long, start int, bytes binary"
 
 
-def _passages(rows: DataFrame, shards: int) -> DataFrame:
+def _passages(rows: DataFrame) -> DataFrame:
     """The windows of repeated anchors, by shard, those that touch in one stretch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,25 +191,38 @@ def _passages(rows: DataFrame, shards: int) -> DataFrame:
             inner = found.flatten()
             of = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
             held = np.searchsorted(places, inner.field("pos").to_numpy().astype(np.int64) + offsets[of])
-            begin, end, shard = first[held], last[held] + SIZE, inner.field("shard").to_numpy()
-            real = end - begin >= SIZE
-            of, begin, end, shard = of[real], begin[real], end[real], shard[real]
+            begin, end, shard, chunks = first[held], last[held] + SIZE, inner.field("shard").to_numpy(), inner.field("chunks").to_numpy()
             order = np.lexsort((begin, of, shard))
-            of, shard, begin, end = of[order], shard[order], begin[order], end[order]
-            if not len(of):
+            order = order[(end - begin >= SIZE)[order]]
+            if not len(order):
                 continue
-            new = np.r_[True, (shard[1:] != shard[:-1]) | (of[1:] != of[:-1]) | (begin[1:] > end[:-1])]
-            first = np.flatnonzero(new)
-            begin, end, of, shard = begin[first], np.maximum.reduceat(end, first), of[first], shard[first]
+            of, shard, chunks, begin, end = of[order], shard[order], chunks[order], begin[order], end[order]
+            new = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (of[1:] != of[:-1]) | (begin[1:] > end[:-1])])
+            begin, end, of, shard, chunks = begin[new], np.maximum.reduceat(end, new), of[new], shard[new], chunks[new]
             keys, raw = batch.column("key").to_numpy()[of], data.tobytes()
+            starts = (begin - offsets[of]).astype(np.int32)
             for a in range(0, len(of), 1000):
                 part = slice(a, a + 1000)
                 texts = pa.array([raw[x:y] for x, y in zip(begin[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[part]), pa.array(keys[part]), pa.array((begin - offsets[of])[part].astype(np.int32)), texts], [c.split()[0] for c in _PASSAGES.split(", ")]
-                )
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[part]) for c in (shard, chunks, keys, starts)], texts], [c.split()[0] for c in _PASSAGES.split(", ")])
+
+    return rows.select("key", "text", "found").mapInArrow(run, _PASSAGES)
 
-    return rows.mapInArrow(run, _PASSAGES)
+
+def _routes(grams: DataFrame, shards: int) -> DataFrame:
+    """``gram, shard, chunks, n`` from ``gram, lead, n``, ``lead`` being a text and a part of it in one number.
+
+    The windows are over the anchors of one stretch or part of a text, which are
+    no more than its bytes.
+    """
+    stretch = F.shiftright("lead", STRETCH_BITS)
+    wide = F.sum("n").over(Window.partitionBy(stretch)) * ANCHOR_BYTES
+    narrow = F.sum("n").over(Window.partitionBy("lead")) * ANCHOR_BYTES
+    own = lambda *c: -1 - F.shiftrightunsigned(F.xxhash64(*c), 1)
+    grams = grams.withColumn("wide", wide).withColumn("narrow", narrow)
+    shard = F.when(F.col("wide") * 2 <= TREE_BYTES, F.pmod(F.xxhash64(stretch), F.lit(shards))).when(F.col("narrow") <= TREE_BYTES, own("lead", F.lit(0))).otherwise(own("gram"))
+    chunks = F.when((F.col("wide") * 2 <= TREE_BYTES) | (F.col("narrow") <= TREE_BYTES), F.lit(1)).otherwise(F.ceil(F.col("n") * ALONE_BYTES / TREE_BYTES))
+    return grams.select("gram", shard.alias("shard"), chunks.cast("int").alias("chunks"), "n")
 
 
 def suffix_array(data: np.ndarray, hashes: Hashes, at: np.ndarray, end: np.ndarray, classes: np.ndarray, size: int) -> tuple[list[int], list[int]]:
@@ -430,7 +445,7 @@ def _grow(size: int, groups: bool):
             at = tree.at[first]
             of = np.searchsorted(tree.bounds, at, "right") - 1
             own = (starts[of] + at - tree.bounds[of]).astype(np.int32)
-            second = W.mix(tree.hashes.of(at, size // 2) ^ np.uint64(place["shard"]))  # equal windows have equal halves
+            second = W.mix(tree.hashes.of(at, size // 2) ^ np.uint64(place["shard"] & ((1 << 64) - 1)))  # equal windows have equal halves
             alone = sizes == 1
             out.append(
                 _rows(WINDOW, len(at), key=pa.array(keys[of], mask=~alone), start=own, length=np.full(len(at), size, np.int32), high=tree.windows[first].view(np.int64), low=second.view(np.int64))
@@ -457,17 +472,14 @@ def _grown(docs: DataFrame, size: int, groups: bool) -> tuple[DataFrame, DataFra
     # the first text by its key's upper bits, and the first part of it that holds the anchor, in one number
     lead = F.shiftleft(F.shiftright("key", 20), 20) + F.least(F.shiftright("pos", PART_BITS), F.lit((1 << 20) - 1))
     grams = marks.groupBy("gram").agg(F.min(lead).alias("lead"), F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again"), F.count("*").alias("n"))
-    grams = grams.where("a <> b OR again").select("gram", F.pmod(F.xxhash64("lead"), F.lit(shards)).cast("int").alias("shard"), "n")
-    grams = checkpointed(grams)
+    grams = checkpointed(_routes(grams.where("a <> b OR again").select("gram", "lead", "n"), shards))
     held = grams.agg(F.sum("n")).first()[0] or 0
     hot_grams = grams.where(F.col("n") > max(1000, held // HOT_SHARE)).select("gram")
-    found = _dealt(marks.select("gram", "key", "pos"), grams.select("gram", "shard"), "gram", hot_grams, F.col("key"))
-    found = found.groupBy("key").agg(F.collect_set(F.struct("pos", "shard")).alias("found"))
-    chunks = grams.groupBy("shard").agg(F.ceil(F.sum("n") * ANCHOR_BYTES / TREE_BYTES).cast("int").alias("chunks"))
-    chunks = F.broadcast(chunks) if shards <= 1 << 16 else chunks  # eight bytes a shard
-    cut = _passages(_dealt(rows, found, "key", hot_keys, F.col("doc_id")).select("key", "text", "found"), shards)
-    cut = cut.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    trees = cut.repartition("shard", "chunk").groupBy("shard", "chunk").applyInArrow(_grow(size, groups), _TREES)
+    found = _dealt(marks.select("gram", "key", "pos"), grams.drop("n"), "gram", hot_grams, F.col("key"))
+    found = found.groupBy("key").agg(F.collect_set(F.struct("pos", "shard", "chunks")).alias("found"))
+    cut = _passages(_dealt(rows, found, "key", hot_keys, F.col("doc_id")))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    trees = cut.groupBy("shard", "chunk").applyInArrow(_grow(size, groups), _TREES)
     return rows, counts, hot_keys, trees
 
 

@@ -156,7 +156,7 @@ def test_random_passages(documents):
 
 
 def test_hot_passages_in_small_chunks(documents, monkeypatch):
-    for name, value in {"SHARD_BYTES": 20_000, "TREE_BYTES": 3_000, "PIECE_BYTES": 500, "PART_BITS": 8, "HOT_SHARE": 1_000_000}.items():
+    for name, value in {"SHARD_BYTES": 20_000, "TREE_BYTES": 3_000, "PIECE_BYTES": 500, "PART_BITS": 6, "STRETCH_BITS": 2, "HOT_SHARE": 1_000_000}.items():
         monkeypatch.setattr(repeats, name, value)
     repeats._POWERS.clear()
     rng = random.Random(7)

@@ -567,3 +567,91 @@ ORACLES |= {
     "extractive_summary_clean": f"""WITH {chosen_by_bayes(10)} SELECT id, {citations("coalesce(summary, '')")} AS summary
         FROM cited LEFT JOIN taken USING (id)""",
 }
+
+
+# --- sentence boundaries learned from the corpus -----------------------------
+
+_FIRST = r"""regexp_replace(tk, '^["''(\[]+', '')"""
+_CORE = rf"""regexp_replace({_FIRST}, '["''\)\],;:]+$', '')"""
+
+
+def _times_log(times: str, value: str) -> str:
+    return f"CASE WHEN {times} = 0 THEN 0::DOUBLE ELSE ({times}) * ln({value}) END"
+
+
+def _likelihood(a: str, b: str, both: str, n: str) -> str:
+    """The log-likelihood ratio of two events that coincide ``both`` times."""
+    p, rest = f"({b}) / ({n})", f"({n} - {a} - {b} + {both})"
+    chance = " + ".join([_times_log(both, p), _times_log(f"({a} - {both})", f"1 - {p}"), _times_log(f"({b} - {both})", p), _times_log(rest, f"1 - {p}")])
+    one, two = f"({both}) / ({a})", f"({b} - {both}) / ({n} - {a})"
+    first = f"CASE WHEN {both} = {a} THEN 0 ELSE {_times_log(both, one)} + {_times_log(f'({a} - {both})', f'1 - {one}')} END"
+    second = f"CASE WHEN {b} = {both} OR {rest} = 0 THEN 0 ELSE {_times_log(f'({b} - {both})', two)} + {_times_log(rest, f'1 - {two}')} END"
+    return f"round(-2 * ({chance} - ({first}) - ({second})), 9)"
+
+
+BOUNDARIES = CITED + rf""",
+tk AS (SELECT r, id, unnest(t) AS tk, unnest(range(len(t))) AS i FROM (
+  SELECT row_number() OVER () AS r, id, list_filter(string_split({whitespace('article')}, ' '), lambda w: w <> '') AS t FROM cited)),
+cores AS (SELECT *, {_CORE} AS core, {_FIRST}[1] AS c, regexp_matches(tk, '[.!?]["'')\]]*$') AS final FROM tk),
+typed AS (SELECT *, lower(regexp_replace(core, '[.!?]+$', '')) AS word, regexp_matches(core, '\.\.+$') AS dots FROM cores),
+ds AS MATERIALIZED (
+  SELECT r, id, i, tk, CASE WHEN regexp_matches(word, '^-?[.,]?[0-9][0-9,.-]*$') THEN '##number##' ELSE word END AS type,
+         ends_with(core, '.') AND NOT dots AS stopped,
+         CASE WHEN NOT final THEN '' WHEN dots THEN 'dots' WHEN ends_with(core, '.') THEN 'stop' ELSE 'mark' END AS e,
+         CASE WHEN regexp_matches(c, '^\p{{Lu}}') THEN 'upper' WHEN regexp_matches(c, '^\p{{Ll}}') THEN 'lower' ELSE 'none' END AS cs
+  FROM typed),
+counts AS MATERIALIZED (SELECT type, count(*)::DOUBLE AS n, count(*) FILTER (WHERE stopped)::DOUBLE AS s FROM ds GROUP BY type),
+tot AS (SELECT sum(n) AS aw, sum(s) AS st FROM counts),
+abbr AS MATERIALIZED (
+  SELECT type, score FROM (
+    SELECT type, round(-2 * ({_times_log('s', 'st / aw')} + {_times_log('(n - s)', '1 - st / aw')} - s * ln(0.99) - (n - s) * ln(0.01))
+           * exp(-k) * (length(type) - length(replace(type, '.', '')) + 1) * exp(-(n - s) * ln(k)), 9) AS score
+    FROM (SELECT *, (length(replace(type, '.', '')))::DOUBLE AS k FROM counts), tot
+    WHERE s > 0 AND regexp_matches(type, '\p{{L}}') AND type <> '##number##') WHERE score >= 0.3),
+seq AS (SELECT *, lag(type) OVER o AS pt, lag(e) OVER o AS pe FROM ds WINDOW o AS (PARTITION BY r ORDER BY i)),
+pairs AS (
+  SELECT CASE WHEN pe <> '' THEN pt END AS before, CASE WHEN i = 0 THEN 'first' ELSE pe END AS e, type, cs, count(*) AS n FROM seq GROUP BY ALL),
+judged AS MATERIALIZED (
+  SELECT *, e = 'mark' OR (e = 'stop' AND NOT short) AS brk FROM (
+    SELECT before, e, type, cs, n, e = 'stop' AND before IN (SELECT type FROM abbr) AS short,
+           e = 'stop' AND (regexp_matches(before, '^\p{{L}}$') OR before = '##number##') AS single FROM pairs)),
+totb AS (SELECT aw, (SELECT coalesce(sum(n), 0)::DOUBLE FROM judged WHERE brk) AS ab FROM tot),
+starters AS MATERIALIZED (
+  SELECT type FROM (
+    SELECT type, sum(j.n)::DOUBLE AS hits, any_value(c.n) AS times FROM judged j JOIN counts c USING (type)
+    WHERE brk AND NOT single AND regexp_matches(type, '^\p{{L}}+$') GROUP BY type), totb
+  WHERE CASE WHEN hits > 1 AND times >= hits AND aw > ab AND aw * hits > ab * times THEN {_likelihood('ab', 'times', 'hits', 'aw')} >= 30 ELSE false END),
+collocations AS MATERIALIZED (
+  SELECT before, type FROM (
+    SELECT before, j.type, sum(j.n)::DOUBLE AS hits, any_value(f.n) AS first, any_value(c.n) AS times
+    FROM judged j JOIN counts f ON f.type = before JOIN counts c ON c.type = j.type
+    WHERE single AND regexp_matches(j.type, '\p{{L}}|^##') GROUP BY before, j.type), tot
+  WHERE CASE WHEN hits > 1 AND aw > first AND aw * hits > first * times THEN {_likelihood('first', 'times', 'hits', 'aw')} >= 7.88 ELSE false END),
+spellings AS MATERIALIZED (
+  SELECT type, bool_or(cs = 'upper' AND e = '') AS ui, bool_or(cs = 'lower' AND (e = 'first' OR (brk AND NOT single))) AS lf,
+         bool_or(cs = 'lower') AS la, bool_or(cs = 'upper') AS ua FROM judged GROUP BY type),
+ends AS (SELECT r, id, i, tk, type AS before, e, lead(type) OVER o AS type, lead(cs) OVER o AS cs FROM ds WINDOW o AS (PARTITION BY r ORDER BY i)),
+weighed AS (
+  SELECT x.*, e = 'stop' AND before IN (SELECT type FROM abbr) AS short,
+         e = 'stop' AND (regexp_matches(before, '^\p{{L}}$') OR before = '##number##') AS single,
+         EXISTS (SELECT 1 FROM collocations c WHERE c.before = x.before AND c.type = x.type) AS tied, x.type IN (SELECT type FROM starters) AS starts,
+         coalesce(ui, false) AS ui, coalesce(lf, false) AS lf, coalesce(la, false) AS la, coalesce(ua, false) AS ua
+  FROM ends x LEFT JOIN spellings p ON p.type = x.type WHERE e <> '' AND x.type IS NOT NULL),
+hints AS (
+  SELECT *, cs = 'upper' AND la AND NOT ui AS sure, single AND before <> '##number##' AS initial,
+         NOT (cs = 'upper' AND la AND NOT ui) AND type <> '' AND NOT (cs = 'lower' AND (ua OR NOT lf)) AS unsure FROM weighed),
+breaks AS (
+  SELECT r, i, CASE WHEN e = 'mark' THEN true WHEN tied THEN false
+    WHEN (short OR e = 'dots') AND NOT initial THEN sure OR (unsure AND cs = 'upper' AND starts)
+    WHEN single AND NOT sure AND NOT unsure THEN false WHEN initial AND unsure AND cs = 'upper' AND NOT la THEN false
+    ELSE e = 'stop' AND NOT short END AS brk
+  FROM hints),
+numbered AS (
+  SELECT id, r, i, tk, coalesce(sum(brk::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS sent_idx
+  FROM ds LEFT JOIN breaks USING (r, i))"""
+
+ORACLES |= {
+    "sentence_abbreviations": f"WITH {BOUNDARIES} SELECT type, round(score, 6) AS score FROM abbr",
+    "sentence_starters": f"WITH {BOUNDARIES} SELECT type FROM starters",
+    "sentences_trained": f"WITH {BOUNDARIES} SELECT id, sent_idx, string_agg(tk, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY id, r, sent_idx",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators import documents, extract, extractor, inputs, labels, lexrank, metrics, sampling, stats
+from gistworks.operators import boundaries, documents, extract, extractor, inputs, labels, lexrank, metrics, sampling, stats
 from gistworks.plans import views
 from gistworks.session import checkpoint_folder, checkpointed
 from gistworks.sources import corpus
@@ -90,6 +90,23 @@ def sentences(spark, sf_dir):
     return views.cited_articles(spark, sf_dir).select("id", F.posexplode(split).alias("sent_idx", "sentence"))
 
 
+@query
+def sentence_abbreviations(spark, sf_dir):
+    return boundaries.train(views.cited_articles(spark, sf_dir)).abbreviations.select("type", F.round("score", 6).alias("score"))
+
+
+@query
+def sentence_starters(spark, sf_dir):
+    return boundaries.train(views.cited_articles(spark, sf_dir)).starters
+
+
+@query
+def sentences_trained(spark, sf_dir):
+    articles = views.cited_articles(spark, sf_dir).select("id", "article")
+    found = boundaries.sentences(articles, boundaries.train(articles))
+    return found.select("id", F.posexplode("sentences").alias("sent_idx", "sentence"))
+
+
 @query
 def naive_sentences(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")

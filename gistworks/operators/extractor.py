@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators.documents import with_document_key
+from gistworks.operators.documents import digest, with_document_key
+from gistworks.session import checkpointed
 
 TOP_K = 25
 THRESHOLD = 0.5
@@ -51,57 +49,160 @@ def summaries(top: DataFrame, key: str = "id") -> DataFrame:
 
 
 # --- training, keeping and applying the classifier --------------------------
+#
+# A linear model of words. Its weights are a table with a row for each word of
+# the training sentences, however many there are; the driver holds one accuracy
+# for each candidate. Equal sentences are one example with counts.
+
+#: Candidates: smoothing of naive Bayes, penalty of logistic regression.
+SMOOTHING, PENALTIES = (1.0, 0.1), (0.1, 1.0, 10.0)
+
+#: Steps of the logistic regression, their size, and what keeps the first ones small.
+STEPS, RATE, DAMPING = 6, 1.0, 1e-3
+
+#: A word in more than one of so many word rows is frequent: no more than that many words are.
+FREQUENT_SHARE = 10_000
+
+#: The constant's row among the words.
+CONSTANT = ""
+
+
+@dataclass
+class Model:
+    """``weights`` (word, weight), the constant as the word ``""``; ``unit``: words count by share of the sentence's length."""
+
+    weights: DataFrame
+    kind: str
+    parameter: float
+    unit: bool
+
+
+def word_rows(sentences: DataFrame) -> DataFrame:
+    """``example, word, c, x`` of ``example, sentence``: the count of each word, and that over the root of the sum of squares."""
+    words = sentences.select("example", F.explode(text.word_tokens(F.col("sentence"))).alias("word"))
+    counted = words.groupBy("example", "word").agg(F.count("*").cast("double").alias("c"))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("example")))
+    return counted.withColumn("x", F.col("c") / norm)
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """``example, sentence, n, n1``: the different sentences, how often they occur and how often with label 1."""
+    keyed = rows.select(digest(F.coalesce("sentence", F.lit(""))).alias("example"), F.coalesce("sentence", F.lit("")).alias("sentence"), "label")
+    return keyed.groupBy("example").agg(F.any_value("sentence").alias("sentence"), F.count("*").cast("double").alias("n"), F.count_if(F.col("label") == 1).cast("double").alias("n1"))
+
 
-# Words the classifier knows at most, the most frequent first: what the driver
-# holds of a vocabulary. Rarer ones count for nothing in a sentence.
-VOCABULARY = 1 << 20
-SMOOTHING = (1.0,)
-
-
-def accuracy(predicted: DataFrame) -> float:
-    return predicted.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
-
-
-def train(split: DataFrame, smoothing: tuple[float, ...] = SMOOTHING) -> tuple[PipelineModel, float]:
-    """The classifier, multinomial naive Bayes on word counts, and its smoothing,
-    from (sentence, label, split): fit on ``train``, the smoothing chosen by
-    accuracy on ``validation`` if there are several."""
-    rows = split.where("split = 'train'")
-    words = [
-        RegexTokenizer(inputCol="sentence", outputCol="words", pattern="[^a-z0-9]+"),
-        CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY),
-    ]
-    prepared = Pipeline(stages=words).fit(rows)
-    features = prepared.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = [(NaiveBayes(smoothing=x).fit(features), x) for x in smoothing]
-    finally:
-        features.unpersist()
-    if len(fitted) > 1:
-        held = prepared.transform(split.where("split = 'validation'")).select("features", "label")
-        fitted.sort(key=lambda f: -accuracy(f[0].transform(held)))
-    model, best = fitted[0]
-    return PipelineModel([*prepared.stages, model]), best
-
-
-def save(model: PipelineModel, path: str) -> None:
+def margins(found: DataFrame, weights: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``example`` and, for each weight column, the sum of its weights times the given measure of the words.
+
+    Frequent words, whose number is bounded, meet their weights by broadcast, so
+    that no task gets all sentences with one word.
+    """
+    products = [(F.col(w) * F.col(x)).alias(w) for w, x in columns.items()]
+    known = weights.select("word", "frequent", *columns)
+    common = found.join(F.broadcast(known.where("frequent")), "word").select("example", *products)
+    rare = found.join(F.broadcast(known.where("frequent").select("word")), "word", "left_anti").join(known.where("not frequent"), "word").select("example", *products)
+    return common.unionByName(rare).groupBy("example").agg(*[F.sum(w).alias(w) for w in columns])
+
+
+def _constants(df: DataFrame, weights: DataFrame, columns) -> DataFrame:
+    """``df`` with the constants, one row, added to its margins (null: none)."""
+    one = weights.where(F.col("word") == CONSTANT).select(*[F.col(w).alias(f"constant_{w}") for w in columns])
+    joined = df.crossJoin(F.broadcast(one))
+    return joined.withColumns({w: F.coalesce(w, F.lit(0.0)) + F.col(f"constant_{w}") for w in columns}).drop(*[f"constant_{w}" for w in columns])
+
+
+def bayes_weights(trained: DataFrame, found: DataFrame, smoothing: tuple[float, ...]) -> DataFrame:
+    """``word, frequent, b0, b1, ...``: naive Bayes on word counts, a column for each smoothing."""
+    seen = found.join(trained.select("example", "n", "n1"), "example").groupBy("word").agg(
+        F.sum(F.col("c") * F.col("n1")).alias("one"), F.sum(F.col("c") * (F.col("n") - F.col("n1"))).alias("zero"), F.count("*").alias("rows")
+    )
+    seen = checkpointed(seen)
+    sums = seen.agg(F.sum("one").alias("all_one"), F.sum("zero").alias("all_zero"), F.count("*").alias("words"), F.sum("rows").alias("all_rows"))
+    classes = trained.agg(F.coalesce(F.sum("n1"), F.lit(0.0)).alias("one"), F.coalesce(F.sum(F.col("n") - F.col("n1")), F.lit(0.0)).alias("zero"))
+
+    def log_odds(x: float):
+        share = lambda n, total: F.log(F.col(n) + x) - F.log(F.col(total) + x * F.col("words"))
+        return share("one", "all_one") - share("zero", "all_zero")
+
+    frequent = (F.col("rows") * FREQUENT_SHARE > F.col("all_rows")).alias("frequent")
+    words = seen.crossJoin(F.broadcast(sums)).select("word", frequent, *[log_odds(x).alias(f"b{i}") for i, x in enumerate(smoothing)])  # one row
+    prior = [(F.log(F.col("one") + x) - F.log(F.col("zero") + x)).alias(f"b{i}") for i, x in enumerate(smoothing)]
+    return words.unionByName(classes.select(F.lit(CONSTANT).alias("word"), F.lit(True).alias("frequent"), *prior))
+
+
+def logistic_weights(trained: DataFrame, found: DataFrame, words: DataFrame, penalties: tuple[float, ...], steps: int = STEPS) -> DataFrame:
+    """``word, frequent, l0, l1, ...``: logistic regression, a column for each penalty.
+
+    Every step joins the words with their weights to margins of examples, and the
+    examples' errors back to gradients of words, both sums combined before they
+    travel; a step is scaled by the root of a word's squared gradients so far.
+    """
+    names = [f"l{i}" for i in range(len(penalties))]
+    state = words.select("word", "frequent", *[F.lit(0.0).alias(c) for w in names for c in (w, f"g_{w}")])
+    for _ in range(steps):
+        judged = _constants(trained.select("example", "n", "n1").join(margins(found, state, dict.fromkeys(names, "x")), "example", "left"), state, names)
+        errors = judged.select("example", *[(F.col("n") / (1 + F.exp(-F.col(w))) - F.col("n1")).alias(w) for w in names])
+        slopes = found.join(errors, "example").groupBy("word").agg(*[F.sum(F.col(w) * F.col("x")).alias(f"s_{w}") for w in names])
+        slopes = slopes.unionByName(errors.agg(*[F.coalesce(F.sum(w), F.lit(0.0)).alias(f"s_{w}") for w in names]).withColumn("word", F.lit(CONSTANT)))
+        stepped = state.join(slopes, "word")
+        columns = []
+        for w, penalty in zip(names, penalties, strict=True):
+            slope = F.round(F.col(f"s_{w}") + F.when(F.col("word") == CONSTANT, 0.0).otherwise(penalty * F.col(w)), PLACES)
+            squares = F.col(f"g_{w}") + slope * slope
+            columns += [F.round(F.col(w) - RATE * slope / (F.sqrt(squares) + DAMPING), PLACES).alias(w), squares.alias(f"g_{w}")]
+        state = checkpointed(stepped.select("word", "frequent", *columns))
+    return state.select("word", "frequent", *names)
+
+
+def train(split: DataFrame, smoothing: tuple[float, ...] = SMOOTHING, penalties: tuple[float, ...] = PENALTIES) -> tuple[Model, DataFrame]:
+    """The classifier of (sentence, label, split): of all candidates, fit on
+    ``train``, the one with the highest accuracy on ``validation``, of equal ones
+    the first; and the table of ``kind, parameter, accuracy, chosen``."""
+    trained = checkpointed(examples(split.where("split = 'train'")))
+    found = checkpointed(word_rows(trained))
+    weights = checkpointed(bayes_weights(trained, found, smoothing))
+    measures = {f"b{i}": "c" for i in range(len(smoothing))}
+    candidates = [("bayes", float(x), f"b{i}") for i, x in enumerate(smoothing)] + [("logistic", float(x), f"l{i}") for i, x in enumerate(penalties)]
+    if penalties:
+        weights = checkpointed(weights.join(logistic_weights(trained, found, weights, penalties).drop("frequent"), "word"))
+        measures |= {f"l{i}": "x" for i in range(len(penalties))}
+    held = examples(split.where("split = 'validation'"))
+    judged = _constants(held.join(margins(word_rows(held), weights, measures), "example", "left"), weights, list(measures))
+    right = [F.sum(F.when(F.col(w) > 0, F.col("n1")).otherwise(F.col("n") - F.col("n1"))).alias(w) for w in measures]
+    scores = judged.agg(F.sum("n").alias("n"), *right).first()
+    reached = {w: (scores[w] or 0.0) / (scores["n"] or 1.0) for w in measures}
+    best = max(candidates, key=lambda c: reached[c[2]])
+    table = [(kind, x, reached[w], w == best[2]) for kind, x, w in candidates]
+    tried = split.sparkSession.createDataFrame(table, "kind string, parameter double, accuracy double, chosen boolean")
+    return Model(weights.select("word", "frequent", F.col(best[2]).alias("weight")), best[0], best[1], best[0] == "logistic"), tried
+
+
+def save(model: Model, path: str) -> None:
     """Write a trained classifier, over any that is there."""
-    model.write().overwrite().save(path)
+    about = [F.lit(model.kind).alias("kind"), F.lit(model.parameter).alias("parameter"), F.lit(model.unit).alias("unit")]
+    model.weights.select("word", "frequent", "weight", *about).write.mode("overwrite").parquet(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(spark: SparkSession, path: str) -> Model:
+    saved = spark.read.schema("word string, frequent boolean, weight double, kind string, parameter double, unit boolean").parquet(path)
+    about = saved.where(F.col("word") == CONSTANT).first()
+    return Model(saved.select("word", "frequent", "weight"), about["kind"], about["parameter"], about["unit"])
 
 
-def predictions(model: PipelineModel, sentences: DataFrame) -> DataFrame:
-    """The sentences with ``p1``, the probability of class 1, and ``pred``."""
-    return model.transform(sentences).withColumns(
-        {"p1": vector_to_array("probability")[1], "pred": F.col("prediction").cast("int")}
-    ).select(*sentences.columns, "p1", "pred")
+def predictions(model: Model, sentences: DataFrame) -> DataFrame:
+    """The sentences with ``p1``, the probability of class 1, and ``pred``.
+    Each different sentence is judged once; a word that training did not see
+    counts for nothing, and a sentence without known words by the constant."""
+    keyed = sentences.withColumn("example", digest(F.coalesce("sentence", F.lit(""))))
+    different = keyed.groupBy("example").agg(F.any_value("sentence").alias("sentence"))
+    summed = margins(word_rows(different), model.weights, {"weight": "x" if model.unit else "c"})
+    judged = _constants(keyed.join(summed, "example", "left"), model.weights, ["weight"])
+    p1 = 1 / (1 + F.exp(-F.col("weight")))
+    return judged.select(*sentences.columns, p1.alias("p1"), (F.col("weight") > 0).cast("int").alias("pred"))
 
 
 def extractive_summaries(
-    model: PipelineModel, articles: DataFrame, top_k: int = TOP_K, strip: bool = False
+    model: Model, articles: DataFrame, top_k: int = TOP_K, strip: bool = False
 ) -> DataFrame:
     """(id, summary) of all articles: their most probable summary sentences;
     empty where none reaches the threshold. ``strip`` removes citations once

@@ -76,13 +76,14 @@ def train_extractor(
     labels_path: str,
     model_path: str,
     smoothing: tuple[float, ...] = extractor.SMOOTHING,
+    penalties: tuple[float, ...] = extractor.PENALTIES,
     seed: int = sampling.DEFAULT_SEED,
 ) -> str:
     """A sentence classifier from a written table of sentence labels; the path
     it is saved to."""
     labelled = corpus.read_sentences(spark, labels_path)
     split = checkpointed(sampling.stratified_split(labelled, ["id", "sent_idx"], seed))
-    model, _ = extractor.train(split, smoothing)
+    model, _ = extractor.train(split, smoothing, penalties)
     extractor.save(model, model_path)
     return model_path
 
@@ -101,6 +102,6 @@ def apply_extractor(
     """Extractive summaries of a corpus by a saved classifier; the path written."""
     articles = load(spark, data_dir, name, split, rows)
     path = corpus.corpus_path(output_dir, name, split)
-    found = extractor.extractive_summaries(extractor.load(model_path), articles, top_k, strip)
+    found = extractor.extractive_summaries(extractor.load(spark, model_path), articles, top_k, strip)
     found.write.mode("overwrite").json(path)
     return path

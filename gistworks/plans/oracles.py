@@ -528,43 +528,83 @@ ORACLES |= {
         SELECT system, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM readable GROUP BY system""",
 }
 
-BAYES = f"""{PSEUDO_SPLIT},
+SMOOTHING, PENALTIES, STEPS = (1.0, 0.1), (0.1, 1.0, 10.0), 6
+
+
+def _steps() -> str:
+    """The steps of the logistic regressions, a set of CTEs for each."""
+    ks = ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(PENALTIES))
+    out = [f"penalties AS (SELECT * FROM (VALUES {ks}) v(k, penalty))", "st0 AS (SELECT k, term, 0::DOUBLE AS w, 0::DOUBLE AS g FROM penalties, (SELECT term FROM seen UNION ALL SELECT ''))"]
+    for t in range(STEPS):
+        out.append(f"""er{t} AS MATERIALIZED (
+  SELECT c.k, e.r, 1 / (1 + exp(-(c.w + coalesce(z, 0)))) - label AS err FROM ex e CROSS JOIN (SELECT k, w FROM st{t} WHERE term = '') c
+  LEFT JOIN (SELECT k, r, sum(x * w) AS z FROM xs JOIN st{t} USING (term) GROUP BY k, r) m ON m.k = c.k AND m.r = e.r)""")
+        out.append(f"""st{t + 1} AS MATERIALIZED (
+  SELECT k, term, round(w - d / (sqrt(g + d * d) + 0.001), 9) AS w, g + d * d AS g FROM (
+    SELECT k, term, w, g, round(s + CASE WHEN term = '' THEN 0 ELSE penalty * w END, 9) AS d FROM st{t} JOIN penalties USING (k) JOIN (
+      SELECT k, term, sum(x * err) AS s FROM xs JOIN er{t} USING (r) GROUP BY k, term UNION ALL SELECT k, '', sum(err) FROM er{t} GROUP BY k) USING (k, term)))""")
+    return ",\n".join(out)
+
+
+LINEAR = f"""{PSEUDO_SPLIT},
 balanced AS (SELECT *, md5(concat('42-', id, '-', sent_idx)) AS k FROM marked
   QUALIFY label = 1 OR row_number() OVER (PARTITION BY label ORDER BY k) <= count_if(label = 1) OVER ()),
-parted AS (SELECT id, sent_idx, label, {words('sentence')} AS w, CASE WHEN r <= ceil(ceil(n * 0.2) / 2) THEN 'validation'
+parted AS MATERIALIZED (SELECT row_number() OVER () AS r, id, sent_idx, label, {words('sentence')} AS w, CASE WHEN r <= ceil(ceil(n * 0.2) / 2) THEN 'validation'
     WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
   FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY k) AS r FROM balanced)),
-seen AS (SELECT term, count_if(label = 1) AS n1, count_if(label = 0) AS n0 FROM (
-  SELECT label, unnest(w) AS term FROM parted WHERE split = 'train') GROUP BY term),
-known AS MATERIALIZED (SELECT term, ln(n1 + 1) - ln(sum(n1) OVER () + count(*) OVER ()) - ln(n0 + 1) + ln(sum(n0) OVER () + count(*) OVER ()) AS d FROM seen),
-prior AS (SELECT ln(count_if(label = 1) + 1) - ln(count_if(label = 0) + 1) AS d FROM parted WHERE split = 'train')"""
-
-
-def bayes(source: str) -> str:
+ex AS MATERIALIZED (SELECT r, label, w FROM parted WHERE split = 'train'),
+xs AS MATERIALIZED (SELECT r, term, c / sqrt(sum(c * c) OVER (PARTITION BY r)) AS x FROM (
+  SELECT r, term, count(*)::DOUBLE AS c FROM (SELECT r, unnest(w) AS term FROM ex) GROUP BY r, term)),
+seen AS MATERIALIZED (SELECT term, count_if(label = 1) AS n1, count_if(label = 0) AS n0 FROM (
+  SELECT label, unnest(w) AS term FROM ex) GROUP BY term),
+{_steps()},
+candidates AS MATERIALIZED (
+  SELECT 'bayes' AS kind, s AS parameter, i AS nth, false AS unit, term,
+    ln(n1 + s) - ln(sum(n1) OVER (PARTITION BY i) + s * count(*) OVER (PARTITION BY i)) - ln(n0 + s) + ln(sum(n0) OVER (PARTITION BY i) + s * count(*) OVER (PARTITION BY i)) AS w
+  FROM seen, (VALUES {', '.join(f'({i}, {x}::DOUBLE)' for i, x in enumerate(SMOOTHING))}) v(i, s)
+  UNION ALL SELECT 'bayes', s, i, false, '', ln(count_if(label = 1) + s) - ln(count_if(label = 0) + s)
+  FROM ex, (VALUES {', '.join(f'({i}, {x}::DOUBLE)' for i, x in enumerate(SMOOTHING))}) v(i, s) GROUP BY s, i
+  UNION ALL SELECT 'logistic', penalty, k + {len(SMOOTHING)}, true, term, w FROM st{STEPS} JOIN penalties USING (k)),
+held AS (SELECT r, label, w FROM parted WHERE split = 'validation'),
+tried AS MATERIALIZED (
+  SELECT kind, parameter, nth, unit, avg(((m > 0)::INT = label)::INT) AS accuracy FROM (
+    SELECT kind, parameter, c.nth, c.unit, label, c.w + coalesce(z, 0) AS m FROM held CROSS JOIN (SELECT * FROM candidates WHERE term = '') c
+    LEFT JOIN (SELECT nth, r, sum(w * CASE WHEN unit THEN x ELSE n END) AS z FROM (
+      SELECT r, term, n, n / sqrt(sum(n * n) OVER (PARTITION BY r)) AS x FROM (SELECT r, term, count(*)::DOUBLE AS n FROM (SELECT r, unnest(w) AS term FROM held) GROUP BY r, term))
+      JOIN candidates USING (term) GROUP BY nth, r) z ON z.nth = c.nth AND z.r = held.r) GROUP BY ALL),
+winner AS (SELECT * FROM tried ORDER BY accuracy DESC, nth LIMIT 1),
+known AS MATERIALIZED (SELECT term, w AS d, unit FROM candidates JOIN (SELECT nth FROM winner) USING (nth))"""
+
+
+def judged(source: str) -> str:
     """CTE ``judged``: the probability of class 1 of sentences with words ``w``."""
     return f"""judged AS (
-  SELECT r.id, r.sent_idx, any_value(p.d) + coalesce(sum(known.d), 0) AS margin, round(1 / (1 + exp(-margin)), 9) AS p1
-  FROM (SELECT id, sent_idx, unnest(CASE WHEN len(w) > 0 THEN w ELSE [''] END) AS term FROM {source}) r
-  CROSS JOIN prior p LEFT JOIN known USING (term) GROUP BY r.id, r.sent_idx)"""
+  SELECT r.id, r.sent_idx, b.d + coalesce(z, 0) AS margin, round(1 / (1 + exp(-margin)), 9) AS p1
+  FROM {source} r CROSS JOIN (SELECT d FROM known WHERE term = '') b LEFT JOIN (
+    SELECT id, sent_idx, sum(d * CASE WHEN unit THEN x ELSE n END) AS z FROM (
+      SELECT id, sent_idx, term, n, n / sqrt(sum(n * n) OVER (PARTITION BY id, sent_idx)) AS x FROM (
+        SELECT id, sent_idx, term, count(*)::DOUBLE AS n FROM (SELECT id, sent_idx, unnest(w) AS term FROM {source}) GROUP BY ALL))
+    JOIN known USING (term) GROUP BY id, sent_idx) m ON m.id = r.id AND m.sent_idx = r.sent_idx)"""
 
 
-def chosen_by_bayes(top: int) -> str:
-    return f"""{BAYES}, {bayes('art')},
+def chosen_sentences(top: int) -> str:
+    return f"""{LINEAR}, {judged('art')},
 taken AS (SELECT id, string_agg(sentence, ' ' ORDER BY sent_idx) AS summary FROM (
   SELECT j.id, j.sent_idx, sentence FROM judged j JOIN art USING (id, sent_idx) WHERE p1 >= 0.5
   QUALIFY row_number() OVER (PARTITION BY j.id ORDER BY p1 DESC, j.sent_idx) <= {top}) GROUP BY id)"""
 
 
 ORACLES |= {
-    "extractor_train": f"""WITH {BAYES}, {bayes("(SELECT * FROM parted WHERE split = 'test')")},
+    "extractor_train": f"""WITH {LINEAR}, {judged("(SELECT * FROM parted WHERE split = 'test')")},
         confusion AS (SELECT count_if(label <> 0 AND margin > 0) AS tn, count_if(label <> 0 AND margin <= 0) AS fp,
           count_if(label = 0 AND margin > 0) AS fn, count_if(label = 0 AND margin <= 0) AS tp FROM judged JOIN parted USING (id, sent_idx)),
         r AS (SELECT coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
           coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM confusion)
         SELECT round(accuracy, 6) AS accuracy, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
-          round(p, 6) AS precision, round(r, 6) AS recall, 1::DOUBLE AS smoothing FROM r""",
-    "extractive_summary": f"WITH {chosen_by_bayes(25)} SELECT id, coalesce(summary, '') AS summary FROM cited LEFT JOIN taken USING (id)",
-    "extractive_summary_clean": f"""WITH {chosen_by_bayes(10)} SELECT id, {citations("coalesce(summary, '')")} AS summary
+          round(p, 6) AS precision, round(r, 6) AS recall, (SELECT kind FROM winner) AS kind, (SELECT parameter FROM winner) AS parameter FROM r""",
+    "extractor_candidates": f"WITH {LINEAR} SELECT kind, parameter, round(accuracy, 6) AS accuracy, nth = (SELECT nth FROM winner) AS chosen FROM tried",
+    "extractive_summary": f"WITH {chosen_sentences(25)} SELECT id, coalesce(summary, '') AS summary FROM cited LEFT JOIN taken USING (id)",
+    "extractive_summary_clean": f"""WITH {chosen_sentences(10)} SELECT id, {citations("coalesce(summary, '')")} AS summary
         FROM cited LEFT JOIN taken USING (id)""",
 }
 

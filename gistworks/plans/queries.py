@@ -537,15 +537,21 @@ def _model(spark, sf_dir):
         path = _scratch(spark)
         extractor.save(extractor.train(_split_labels(spark, sf_dir))[0], path)
         _SAVED[key] = path
-    return extractor.load(_SAVED[key])
+    return extractor.load(spark, _SAVED[key])
 
 
 @query
 def extractor_train(spark, sf_dir):
     split = _split_labels(spark, sf_dir)
-    model, best = extractor.train(split)
+    model, _ = extractor.train(split)
     tested = extractor.predictions(model, split.where("split = 'test'"))
-    return metrics.binary_metrics(tested).withColumn("smoothing", F.lit(best))
+    return metrics.binary_metrics(tested).withColumns({"kind": F.lit(model.kind), "parameter": F.lit(model.parameter)})
+
+
+@query
+def extractor_candidates(spark, sf_dir):
+    _, tried = extractor.train(_split_labels(spark, sf_dir))
+    return tried.withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query

@@ -47,7 +47,7 @@ def test_extractor_is_trained_saved_and_applied(spark, tmp_path):
     path = jobs.apply_extractor(spark, model, str(tmp_path), str(tmp_path / "out"), "x")
     got = sorted((r.id, r.summary) for r in spark.read.json(path).collect())
     assert got == [("1", ""), ("1", "Results show effects. Results were clear."), ("2", "")]
-    fitted = extractor.load(model)
+    fitted = extractor.load(spark, model)
     split = spark.createDataFrame(rows, corpus.SENTENCE_SCHEMA)
     predicted = extractor.predictions(fitted, split)
     assert predicted.where("pred <> label").isEmpty() and predicted.columns == [*split.columns, "p1", "pred"]

@@ -509,6 +509,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     matter; an empty table gives none. Texts are told apart by 64-bit hashes.
     """
     rows, counts, hot, trees = _grown(docs, SIZE, False)
+    trees = checkpointed(trees)  # spans, and windows of what is shared by very many: both are read from it
     spans = trees.where(F.col("kind") == SPAN).select("key", "start", "length").unionByName(_shared(trees.where(F.col("kind") == WINDOW)))
     spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
     known = counts.where("n > 1").join(spans, "key", "full").select("key", F.coalesce("n", F.lit(1)).alias("n"), "spans")

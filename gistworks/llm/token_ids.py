@@ -30,6 +30,10 @@ _ALNUM_ASCII = W.ALNUM.copy()
 _ALNUM_ASCII[0x80:] = False
 
 
+#: Bytes of text of a frame, the unit that is encoded and written at once.
+FRAME_BYTES = 2 << 20
+
+
 class WordTokenizer:
     """Ids of whole texts through a tokenizer that never joins across ASCII white space.
 
@@ -94,9 +98,9 @@ class WordTokenizer:
             slots = np.arange(len(self.begin), len(self.begin) + len(fresh))
             self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(count) - count]
             self.count, self.ids = np.r_[self.count, count], np.r_[self.ids, ids]
-            known = np.r_[self.known, hashes[fresh]]
-            order = np.argsort(known)
-            self.known, self.slots = known[order], np.r_[self.slots, slots][order]
+            order = np.argsort(hashes[fresh])  # only what is new is sorted, and merged
+            place = np.searchsorted(self.known, hashes[fresh][order])
+            self.known, self.slots = np.insert(self.known, place, hashes[fresh][order]), np.insert(self.slots, place, slots[order])
             at = np.searchsorted(self.known, hashes)
         return self.slots[at]
 
@@ -153,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = _tokenizer(tokenizer), TaskContext.get().partitionId()
-        for seq, batch in enumerate(W.slices(batches)):
+        for seq, batch in enumerate(W.slices(batches, limit=FRAME_BYTES)):
             ids, per_row = coder.encode(batch.column("text"), end_id)
             words, offsets = simple8b.encode(ids.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(

@@ -78,18 +78,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes hashed at once: what is held beside the text is some dozens of bytes for each of these, not for the whole slice.
+HASH_BYTES = 1 << 18
+
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        ones = np.ones(n, np.uint64)
-        up, down = ones.copy(), ones.copy()
-        up[1:] = np.uint64(_BASE)
-        down[1:] = np.uint64(_INVERSE)
-        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _POWERS[0], _POWERS[1]
+    """Powers of the base and of its inverse; those for a usual run of bytes are kept."""
+    if n <= HASH_BYTES + 1:
+        if not _POWERS:
+            _POWERS[:] = _computed(HASH_BYTES + 1)
+        return _POWERS[0], _POWERS[1]
+    return tuple(_computed(n))
+
+
+def _computed(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers, out=powers))
+    return out
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -98,7 +108,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     begin = 0
     while begin < len(starts):
         at = int(starts[begin])
-        end = max(begin + 1, int(np.searchsorted(ends, at + SLICE_BYTES, "right")))
+        end = max(begin + 1, int(np.searchsorted(ends, at + HASH_BYTES, "right")))
         part = data[at : int(ends[end - 1])]
         up, down = _powers(len(part) + 1)
         if lower:

@@ -250,16 +250,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component of ``docs`` the row with the smallest doc_id, and of rows that share it the one with the smallest hash.
+    """One row of each component of ``docs``: the one with the smallest doc_id, and of rows that share it the one with the smallest hash.
 
     Rows are told by doc_id and a hash of their columns, so that of unlike rows
-    of one doc_id each stands for itself. Rows without a doc_id take part: a
-    component leaves one of them, beside the one with the smallest doc_id if it
-    has any. Equal rows are one; texts without words are like no other.
+    of one doc_id each stands for itself. Rows without a doc_id take part and stay
+    only where none of their component has one. Equal rows are one; texts without
+    words are like no other. Columns keep their names, whatever they are.
     """
-    told = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*told).alias("hash"))
-    named = docs.withColumn("row_", row)
-    found = near_duplicates(named.select(F.col("row_").alias("doc_id"), "text"), size, percent)
-    kept = found.groupBy("component_id", "doc_id.unnamed").agg(F.min("doc_id").alias("row_")).select("row_")
-    return named.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(docs.columns)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    flat = lambda c: F.array_sort(F.map_entries(c)) if kinds[c].startswith("map<") else F.to_json(F.struct(c))
+    told = [flat(f"`{c}`" if "." in c else c) if "map<" in kinds[c] else F.col(f"`{c}`") for c in docs.columns]
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.xxhash64(*told).alias("hash"))
+    named = docs.select(own.alias("own"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = near_duplicates(named.select(F.col("own").alias("doc_id"), "text"), size, percent)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("own"))
+    return named.join(kept, "own", "left_semi").dropDuplicates(["own"]).select("row.*")

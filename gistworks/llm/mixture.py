@@ -114,16 +114,17 @@ def due(part: Column, slope: Column) -> Column:
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: int = 2, slopes: Sequence[float] = SLOPES) -> DataFrame:
-    """Every row's part in the mixture: ``doc_id, source, size, source_size, target, taken, positions``.
+    """Every row's part in the mixture: ``doc_id, source, size, text_hash, source_size, target, taken, positions``.
 
     ``taken``: the words the mixture takes of it, a multiple of its size;
     ``positions``: the times in [0, 1] at which its copies are due. The order is
-    that of the md5 of doc_id, so reruns agree; rows of one doc_id and size are
-    alike. A null or empty text has size 0 and is never taken; a null source is
+    that of the md5 of doc_id, then size and a hash of the text (``text_hash``), so
+    reruns agree; only rows of one doc_id and text are alike. A null or empty text has size 0 and is never taken; a null source is
     a source, a null doc_id a doc_id; an empty table gives an empty one.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
+    own = F.xxhash64("text").alias("text_hash")
+    sized = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), own))
     sources = source_targets(sized, weights, share, most).withColumnRenamed("source", "s")
     rows = sized.join(sources, sized["source"].eqNullSafe(F.col("s"))).drop("s")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -133,15 +134,15 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     rest = F.col("target") - passes * F.col("source_size")
     rows = rows.withColumns({"passes": passes, "rest": rest, "large": large})
     chosen = _chosen(rows.where("large"))
-    nth = F.row_number().over(W.partitionBy("rank").orderBy(F.col("size").desc(), "key"))
+    nth = F.row_number().over(W.partitionBy("rank").orderBy(F.col("size").desc(), "key", "text_hash"))
     first = rows.where("large").withColumn("nth", nth).join(chosen.select("rank", "picks"), "rank").withColumn("more", F.get("picks", F.col("nth") - 1)).drop("nth", "picks")
-    others = _running(rows.where("NOT large"), bucket, [F.col("key"), F.col("size")], before=F.col("size"))
+    others = _running(rows.where("NOT large"), bucket, [F.col("key"), F.col("size"), F.col("text_hash")], before=F.col("size"))
     others = others.join(chosen.select("rank", "filled"), "rank", "left").withColumn("left_over", F.col("rest") - F.coalesce("filled", F.lit(0)))
     others = others.withColumn("more", (F.col("size") > 0) & (2 * F.col("before") + F.col("size") < 2 * F.col("left_over"))).drop("before", "filled", "left_over")
     rows = first.unionByName(others).withColumn("passes", F.when(F.col("size") > 0, F.col("passes") + F.col("more").cast("int")).otherwise(0).cast("int"))
     rows = checkpointed(rows.drop("rest", "large", "more"))
     turns = range(math.ceil(most))
-    rows = _running(rows, bucket, [F.col("key"), F.col("size")], **{f"turn{k}": F.when(F.col("passes") > k, F.col("size")).otherwise(0) for k in turns})
+    rows = _running(rows, bucket, [F.col("key"), F.col("size"), F.col("text_hash")], **{f"turn{k}": F.when(F.col("passes") > k, F.col("size")).otherwise(0) for k in turns})
     totals = rows.groupBy("rank").agg(*[F.sum(F.when(F.col("passes") > k, F.col("size")).otherwise(0)).alias(f"sum{k}") for k in turns])
     rows = rows.join(totals, "rank")
     demand = sum((F.col(f"sum{k}") for k in turns), F.lit(0))
@@ -150,7 +151,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     for k in turns:
         earlier = sum((F.col(f"sum{j}") for j in range(k)), F.col(f"turn{k}"))
         times.append(F.when(F.col("passes") > k, due((earlier + F.col("size") / 2) / demand, slope)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.array_compact(F.array(*times)).alias("positions"))
+    return rows.select("doc_id", "source", "size", "text_hash", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.array_compact(F.array(*times)).alias("positions"))
 
 
 def schedule(docs: DataFrame, **parameters) -> DataFrame:
@@ -162,12 +163,16 @@ def schedule(docs: DataFrame, **parameters) -> DataFrame:
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as it is taken, in training order.
 
-    Rows that share doc_id, source and words are one document and are taken
-    alike, as the most taken of them.
+    Rows of one doc_id, source and text are numbered, here and in the plan, and
+    each takes the copies of one of them, so that together they come as often as
+    planned. A row that is not taken does not come; an empty table gives none.
     """
-    own = ["doc_id", "source", "size"]
-    taken = plan(docs, **parameters).groupBy(*own).agg(F.max("positions").alias("positions")).where(F.size("positions") > 0)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size")).alias("r")
+    own = ["doc_id", "source", "text_hash", "nth"]
+    alike = W.partitionBy(*own[:3])
+    taken = plan(docs, **parameters).withColumn("nth", F.row_number().over(alike.orderBy("positions"))).where(F.size("positions") > 0)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.withColumn("nth", F.row_number().over(alike.orderBy(F.xxhash64(F.to_json("row"))))).alias("r")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in own]
-    copies = rows.join(taken.alias("t"), same).select("r.row", F.explode("t.positions").alias("position"))
+    copies = rows.join(taken.select(*own, "positions").alias("t"), same).select("r.row", F.explode("t.positions").alias("position"))
     return copies.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

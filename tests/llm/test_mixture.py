@@ -100,3 +100,22 @@ def test_no_python_in_the_plan(documents):
     for build in (mixture.plan, mixture.mixed):
         plan = build(documents([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_mixed_gives_every_planned_copy_of_repeated_and_unnamed_rows(documents):
+    """Repeated rows, unlike rows of one doc_id and rows without one come as often as the plan says."""
+    same, other = "w " * 100, "v " * 100
+    cases = [
+        [(7, same, "en", "a"), (7, same, "en", "a"), (7, same, "en", "a"), (8, "u " * 100, "en", "a")],
+        [(7, same, "en", "a"), (7, other, "en", "a"), (None, same, "en", "a"), (None, other, "de", "a"), (None, other, "en", "b"), (9, "", "en", "b"), (9, None, "en", None)],
+        [(i % 3, f"x{i % 5} " * (20 + i % 4), "en", "abc"[i % 3]) for i in range(60)],
+    ]
+    for rows in cases:
+        df = documents(rows)
+        planned, got = {}, {}
+        for r in mixture.plan(df).collect():
+            planned[r.doc_id, r.source, r.text_hash] = planned.get((r.doc_id, r.source, r.text_hash), 0) + len(r.positions)
+        for r in mixture.mixed(df).selectExpr("doc_id", "source", "xxhash64(text) AS text_hash").collect():
+            got[r.doc_id, r.source, r.text_hash] = got.get((r.doc_id, r.source, r.text_hash), 0) + 1
+        assert got == {k: n for k, n in planned.items() if n}
+        assert sum(got.values()) > 0

@@ -89,9 +89,9 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     coming by chance, scaled down by the word's length and by each time it
     occurs without the stop, and up by stops inside it.
     """
-    total = counts.agg(F.sum("n").cast("double").alias("all_words"), F.sum("stopped").cast("double").alias("all_stops"))
-    found = counts.where((F.col("stopped") > 0) & F.col("type").rlike(r"\p{L}") & (F.col("type") != NUMBER_TYPE)).crossJoin(F.broadcast(total))  # one row
-    a, b, rate = F.col("stopped").cast("double"), (F.col("n") - F.col("stopped")).cast("double"), F.col("all_stops") / F.col("all_words")
+    stops, total = counts.agg(F.sum("stopped"), F.sum("n")).first()
+    found = counts.where((F.col("stopped") > 0) & F.col("type").rlike(r"\p{L}") & (F.col("type") != NUMBER_TYPE))
+    a, b, rate = F.col("stopped").cast("double"), (F.col("n") - F.col("stopped")).cast("double"), F.lit((stops or 0) / (total or 1))
     ratio = -2 * (_log(a, rate) + _log(b, 1 - rate) - a * F.log(F.lit(0.99)) - b * F.log(F.lit(0.01)))
     stops = F.length("type") - F.length(F.replace("type", F.lit("."))) + 1
     letters = F.length("type") - stops + 1
@@ -143,9 +143,9 @@ def starters(judged: DataFrame, counts: DataFrame) -> DataFrame:
     """``type``: words that come behind sentence ends far more often than elsewhere."""
     behind = judged.where(F.col("breaks") & ~F.col("single") & F.col("type").rlike(r"^\p{L}+$"))
     at = behind.groupBy("type").agg(F.sum("n").alias("at"))
-    total = counts.agg(F.sum("n").alias("all_words")).crossJoin(judged.where("breaks").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_breaks")))
-    found = at.join(counts.select("type", F.col("n").alias("times")), "type").crossJoin(F.broadcast(total))  # one row
-    n, breaks, times, both = _double("all_words", "all_breaks", "times", "at")
+    found = at.join(counts.select("type", F.col("n").alias("times")), "type")
+    n, breaks = (F.lit(float(x.agg(F.sum("n")).first()[0] or 0)) for x in (counts, judged.where("breaks")))
+    times, both = _double("times", "at")
     likely = found.where((F.col("at") > 1) & (times >= both) & (n > breaks) & (n * both > breaks * times))
     return likely.where(_ratio(breaks, times, both, n) >= STARTER).select("type")
 
@@ -154,9 +154,9 @@ def collocations(judged: DataFrame, counts: DataFrame) -> DataFrame:
     """``before, type``: an initial or number with a stop, and a word that belongs to it."""
     pairs = judged.where(F.col("single") & F.col("type").rlike(r"\p{L}|^##")).groupBy("before", "type").agg(F.sum("n").alias("at"))
     named = counts.select(F.col("type").alias("before"), F.col("n").alias("first"))
-    total = counts.agg(F.sum("n").alias("all_words"))
-    found = pairs.where("at > 1").join(named, "before").join(counts.select("type", F.col("n").alias("times")), "type").crossJoin(F.broadcast(total))  # one row
-    n, first, times, both = _double("all_words", "first", "times", "at")
+    found = pairs.where("at > 1").join(named, "before").join(counts.select("type", F.col("n").alias("times")), "type")
+    n = F.lit(float(counts.agg(F.sum("n")).first()[0] or 0))
+    first, times, both = _double("first", "times", "at")
     likely = found.where((n > first) & (n * both > first * times))
     return likely.where(_ratio(first, times, both, n) >= COLLOCATION).select("before", "type")
 

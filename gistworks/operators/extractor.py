@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
@@ -105,10 +106,9 @@ def margins(found: DataFrame, weights: DataFrame, columns: dict[str, str]) -> Da
 
 
 def _constants(df: DataFrame, weights: DataFrame, columns) -> DataFrame:
-    """``df`` with the constants, one row, added to its margins (null: none)."""
-    one = weights.where(F.col("word") == CONSTANT).select(*[F.col(w).alias(f"constant_{w}") for w in columns])
-    joined = df.crossJoin(F.broadcast(one))
-    return joined.withColumns({w: F.coalesce(w, F.lit(0.0)) + F.col(f"constant_{w}") for w in columns}).drop(*[f"constant_{w}" for w in columns])
+    """``df`` with the constants, one number for each column, added to its margins (null: none)."""
+    one = weights.where(F.col("word") == CONSTANT).select(*columns).first()
+    return df.withColumns({w: F.coalesce(w, F.lit(0.0)) + F.lit(one[w]) for w in columns})
 
 
 def bayes_weights(trained: DataFrame, found: DataFrame, smoothing: tuple[float, ...]) -> DataFrame:
@@ -117,17 +117,16 @@ def bayes_weights(trained: DataFrame, found: DataFrame, smoothing: tuple[float,
         F.sum(F.col("c") * F.col("n1")).alias("one"), F.sum(F.col("c") * (F.col("n") - F.col("n1"))).alias("zero"), F.count("*").alias("rows")
     )
     seen = checkpointed(seen)
-    sums = seen.agg(F.sum("one").alias("all_one"), F.sum("zero").alias("all_zero"), F.count("*").alias("words"), F.sum("rows").alias("all_rows"))
-    classes = trained.agg(F.coalesce(F.sum("n1"), F.lit(0.0)).alias("one"), F.coalesce(F.sum(F.col("n") - F.col("n1")), F.lit(0.0)).alias("zero"))
+    sums = seen.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("one", "zero", "rows")], F.count("*")).first()
+    ones, zeros = trained.agg(F.coalesce(F.sum("n1"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") - F.col("n1")), F.lit(0.0))).first()
 
-    def log_odds(x: float):
-        share = lambda n, total: F.log(F.col(n) + x) - F.log(F.col(total) + x * F.col("words"))
-        return share("one", "all_one") - share("zero", "all_zero")
+    def log_odds(x: float) -> Column:
+        share = lambda n, total: F.log(F.col(n) + x) - F.log(F.lit(total + x * sums[3]))
+        return share("one", sums[0]) - share("zero", sums[1])
 
-    frequent = (F.col("rows") * FREQUENT_SHARE > F.col("all_rows")).alias("frequent")
-    words = seen.crossJoin(F.broadcast(sums)).select("word", frequent, *[log_odds(x).alias(f"b{i}") for i, x in enumerate(smoothing)])  # one row
-    prior = [(F.log(F.col("one") + x) - F.log(F.col("zero") + x)).alias(f"b{i}") for i, x in enumerate(smoothing)]
-    return words.unionByName(classes.select(F.lit(CONSTANT).alias("word"), F.lit(True).alias("frequent"), *prior))
+    words = seen.select("word", (F.col("rows") * FREQUENT_SHARE > sums[2]).alias("frequent"), *[log_odds(x).alias(f"b{i}") for i, x in enumerate(smoothing)])
+    prior = [(CONSTANT, True, *[math.log(ones + x) - math.log(zeros + x) for x in smoothing])]
+    return words.unionByName(words.sparkSession.createDataFrame(prior, words.schema))
 
 
 def logistic_weights(trained: DataFrame, found: DataFrame, words: DataFrame, penalties: tuple[float, ...], steps: int = STEPS) -> DataFrame:

@@ -695,3 +695,10 @@ ORACLES |= {
     "sentence_starters": f"WITH {BOUNDARIES} SELECT type FROM starters",
     "sentences_trained": f"WITH {BOUNDARIES} SELECT id, sent_idx, string_agg(tk, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY id, r, sent_idx",
 }
+
+# The pieces of the public vocabulary.
+PIECES = rf"""''s|''t|''re|''ve|''m|''ll|''d|[\p{{L}}]+|[\p{{N}}]|[^{WS[1:-2]}\p{{L}}\p{{N}}]+"""
+
+ORACLES["subword_roundtrip"] = f"""WITH {ARTICLES}, sides AS (
+  SELECT id, 'article' AS side, article AS t FROM articles UNION ALL SELECT id, 'lay_summary', lay_summary FROM articles)
+SELECT id, side, array_to_string(regexp_extract_all(lower(coalesce(t, '')), '{PIECES}'), ' ') AS text FROM sides"""

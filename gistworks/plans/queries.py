@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators import boundaries, documents, extract, extractor, inputs, labels, lexrank, metrics, sampling, stats
+from gistworks.operators import boundaries, documents, extract, extractor, inputs, labels, lexrank, metrics, sampling, stats, subwords
 from gistworks.plans import views
 from gistworks.session import checkpoint_folder, checkpointed
 from gistworks.sources import corpus
@@ -433,6 +433,22 @@ def decode_labels(spark, sf_dir):
     return inputs.decoded(_labels(spark, sf_dir), _vocabulary(spark, sf_dir), ["id"])
 
 
+def subword_file() -> str:
+    """The public vocabulary the subword queries use; the operators take its path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def subword_roundtrip(spark, sf_dir):
+    """All subword ids of every article and lay summary, decoded again."""
+    sides = ["article", "lay_summary"]
+    ids = subwords.encoded(views.articles(spark, sf_dir), subword_file(), ["id"], dict.fromkeys(sides, 1 << 30))
+    back = [subwords.decoded(ids, subword_file(), ["id"], f"{side}_ids").select("id", F.lit(side).alias("side"), "text") for side in sides]
+    return back[0].unionByName(back[1])
+
+
 # --- LexRank ----------------------------------------------------------------
 
 

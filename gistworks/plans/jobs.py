@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistworks.operators import extract, extractor, labels, lexrank, sampling
+from gistworks.operators import extract, extractor, labels, lexrank, observed, sampling
 from gistworks.session import checkpointed
 from gistworks.sources import corpus
 
@@ -71,6 +71,26 @@ def label_corpus(
     return path
 
 
+def label_with_report(
+    spark: SparkSession,
+    pseudo_dir: str,
+    original_dir: str,
+    output_dir: str,
+    name: str,
+    split: str = "train",
+    rows: int | None = None,
+) -> tuple[str, dict[str, int]]:
+    """Sentence labels of a corpus as CSV: the path written, and counts and
+    consistency of the labelling, gathered while it was written."""
+    joined = labels.join_originals(
+        load(spark, pseudo_dir, name, split, rows), load(spark, original_dir, name, split, rows)
+    )
+    labelled, watch = observed.labelled_with_report(joined)
+    path = f"{output_dir}/{name}_{split}.csv"
+    corpus.write_sentences(labelled, path)
+    return path, watch.get
+
+
 def train_extractor(
     spark: SparkSession,
     labels_path: str,

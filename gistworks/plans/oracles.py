@@ -702,3 +702,22 @@ PIECES = rf"""''s|''t|''re|''ve|''m|''ll|''d|[\p{{L}}]+|[\p{{N}}]|[^{WS[1:-2]}\p
 ORACLES["subword_roundtrip"] = f"""WITH {ARTICLES}, sides AS (
   SELECT id, 'article' AS side, article AS t FROM articles UNION ALL SELECT id, 'lay_summary', lay_summary FROM articles)
 SELECT id, side, array_to_string(regexp_extract_all(lower(coalesce(t, '')), '{PIECES}'), ' ') AS text FROM sides"""
+
+# --- running figures, damaged lines, partitions, sketches ---------------------
+
+ORACLES |= {
+    "label_report": f"""WITH {PSEUDO_SPLIT}, j AS (
+        SELECT w.id, w.s, p.s AS t, list_filter(p.s, lambda x: NOT list_contains(w.s, x)) AS lost FROM pseudo_s p JOIN split w USING (id))
+      SELECT count(*) AS articles, sum(len(s))::BIGINT AS article_sentences, sum(len(t))::BIGINT AS pseudo_sentences, (SELECT sum(label)::BIGINT FROM marked) AS class_1,
+        sum(len(lost))::BIGINT AS missing_sentences, count_if(len(lost) > 0)::BIGINT AS inconsistent_articles, max(len(s))::BIGINT AS longest FROM j""",
+    "quarantine": f"""WITH {ARTICLES}, raw AS (SELECT id, article, id % 7 AS k, to_json({{'id': id::VARCHAR, 'article': article, 'lay_summary': lay_summary}}) AS line FROM articles),
+      n AS (SELECT count_if(k NOT IN (1, 3, 4))::BIGINT AS all_good, count_if(k IN (1, 3, 4))::BIGINT AS all_bad FROM raw)
+      SELECT 'good' AS part, id::VARCHAR AS id, length(article)::INTEGER AS size, all_good, all_bad FROM raw, n WHERE k NOT IN (1, 3, 4)
+      UNION ALL SELECT 'bad', NULL, CASE k WHEN 1 THEN 12 WHEN 4 THEN 2 + length(id::VARCHAR) ELSE length(line::VARCHAR) + 15 END::INTEGER, all_good, all_bad FROM raw, n WHERE k IN (1, 3, 4)""",
+    "partitioned_corpus": f"""WITH {ARTICLES}, {DIALOGUES},
+      parts AS (SELECT *, CASE WHEN ('0x' || substr(md5(id::VARCHAR), 1, 4))::INTEGER % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM articles)
+      SELECT id::VARCHAR AS id, 'documents' AS corpus, split, article, CASE WHEN split = 'val' THEN concat('again ', lay_summary) ELSE lay_summary END AS lay_summary FROM parts
+      UNION ALL SELECT id, 'dialogues', 'val', article, lay_summary FROM dialogues""",
+    "length_sketches": f"""WITH {ARTICLES} SELECT measure, (SELECT count(*) FROM articles) AS n, point::DOUBLE AS point, true AS within
+      FROM (VALUES ('tokens'), ('summary_sentences')) m(measure), (VALUES (0.25), (0.5), (0.75), (0.9)) p(point)""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistworks.functions import text, vectors
-from gistworks.operators import boundaries, documents, extract, extractor, inputs, labels, lexrank, metrics, sampling, stats, subwords
+from gistworks.operators import boundaries, documents, extract, extractor, inputs, labels, lexrank, metrics, observed, sampling, sketches, stats, subwords
 from gistworks.plans import views
 from gistworks.session import checkpoint_folder, checkpointed
 from gistworks.sources import corpus
@@ -194,6 +194,37 @@ def point_lookup(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), text.first_line(F.col("text")).alias("lay_summary"))
 
 
+#: What is done to the lines of some articles, by the remainder of their id.
+DAMAGE = {1: "cut short", 3: "another type", 4: "no object"}
+
+
+@query
+def quarantine(spark, sf_dir):
+    """Articles with planted damage as whole rows and as damaged lines, told by where they ended."""
+    folder = _scratch(spark)
+    articles = _as_corpus(views.articles(spark, sf_dir)).select("id", "article", "lay_summary")
+    kind = F.pmod(F.col("id").cast("long"), F.lit(7))
+    line = F.to_json(F.struct("id", "article", "lay_summary"), {"ignoreNullFields": "false"})
+    broken = F.when(kind == 1, F.substring(line, 1, 12)).when(kind == 3, F.replace(line, F.lit('"id":"'), F.lit('"headings":"x","id":"'))).when(kind == 4, F.concat(F.lit("# "), "id")).otherwise(line)
+    articles.select(broken.alias("value")).write.text(f"{folder}/raw")
+    counted = corpus.quarantine_articles(spark, f"{folder}/raw", f"{folder}/good", f"{folder}/bad")
+    good = spark.read.parquet(f"{folder}/good").select(F.lit("good").alias("part"), "id", F.length("article").alias("size"))
+    bad = spark.read.parquet(f"{folder}/bad").select(F.lit("bad").alias("part"), F.lit(None).cast("string").alias("id"), F.length("line").alias("size"))
+    return good.unionByName(bad).withColumns({"all_good": F.lit(counted["good"]).cast("long"), "all_bad": F.lit(counted["bad"]).cast("long")})
+
+
+@query
+def partitioned_corpus(spark, sf_dir):
+    """Articles and dialogues as one partitioned table, one split of it written anew, and that corpus read back."""
+    path = f"{_scratch(spark)}/table"
+    articles = inputs.with_split(_as_corpus(views.articles(spark, sf_dir)).withColumn("corpus", F.lit("documents")))
+    dialogues = views.dialogue_pairs(spark, sf_dir).withColumns({"corpus": F.lit("dialogues"), "split": F.lit("val")})
+    corpus.write_partitions(corpus.union_all([articles, dialogues]), path)
+    corpus.write_partitions(articles.where("split = 'val'").withColumn("lay_summary", F.concat(F.lit("again "), "lay_summary")), path)
+    read = [corpus.read_partitions(spark, path, "documents"), corpus.read_partitions(spark, path, "dialogues", "val")]
+    return read[0].unionByName(read[1]).select("id", "corpus", "split", "article", "lay_summary")
+
+
 # --- labelling --------------------------------------------------------------
 
 
@@ -205,6 +236,15 @@ def _joined(spark, sf_dir):
     return labels.join_originals(_pseudo(spark, sf_dir), views.cited_articles(spark, sf_dir))
 
 
+@query
+def label_report(spark, sf_dir):
+    """Counts and consistency of the labelling, gathered while the labels were written."""
+    labelled, watch = observed.labelled_with_report(_joined(spark, sf_dir))
+    corpus.write_sentences(labelled, _scratch(spark))
+    names = ["articles", "article_sentences", "pseudo_sentences", "class_1", "missing_sentences", "inconsistent_articles", "longest"]
+    return spark.createDataFrame([tuple(watch.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query
 def pseudo_article_join(spark, sf_dir):
     return _joined(spark, sf_dir)
@@ -304,6 +344,22 @@ def summary_length_quantiles(spark, sf_dir):
     return stats.sentence_quantiles(views.articles(spark, sf_dir), "lay_summary", points)
 
 
+def _lengths():
+    return {"tokens": text.count_words(text.normalise_words(F.col("article"))), "summary_sentences": F.size(text.split_sentences(F.col("lay_summary")))}
+
+
+@query
+def length_sketches(spark, sf_dir):
+    """Quantiles of lengths from sketches per language and split, kept in a table, added to and merged; each with the verdict on its rank error."""
+    path = _scratch(spark)
+    articles = inputs.with_split(views.articles(spark, sf_dir)).withColumn("lang", F.get("keywords", F.lit(0)))
+    for split in ("train", "val"):  # the second addition does not read the first one's texts
+        sketches.sketched(articles.where(F.col("split") == split), ["lang", "split"], **_lengths()).write.mode("append").parquet(path)
+    answers = sketches.quantiles(sketches.merged(spark.read.parquet(path)), [0.25, 0.5, 0.75, 0.9])
+    checked = sketches.rank_errors(answers, articles, **_lengths())
+    return checked.select("measure", "n", "point", (F.col("error") <= sketches.RANK_ERROR).alias("within"))
+
+
 @query
 def corpus_stats(spark, sf_dir):
     scored = metrics.with_readability(views.articles(spark, sf_dir), "article")

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistworks.operators import sampling
+from gistworks.operators.observed import observed
 
 ARTICLE_SCHEMA = T.StructType(
     [
@@ -92,3 +94,69 @@ def first_rows(df: DataFrame, limit: int | None, key: str = "id") -> DataFrame:
     """The first ``limit`` rows by ``key``; all for 0 or None. No rows are
     gathered to find them."""
     return sampling.take_first(df, F.col(key), limit) if limit else df
+
+
+# --- damaged records --------------------------------------------------------
+
+
+def _quarantined(read: DataFrame, damage: str, path: str, good_path: str, bad_path: str) -> dict[str, int]:
+    """Write the good rows and the damaged lines of one reading; both are counted as they pass."""
+    kept = [c for c in read.columns if c != damage]
+    place = {"file": F.col("_metadata.file_path"), "block_start": F.col("_metadata.file_block_start")}
+    marked = read.select(*read.columns, *[value.alias(f"_{name}") for name, value in place.items()], F.col(damage).isNotNull().alias("_bad"))
+    marked = marked.persist(StorageLevel.DISK_ONLY)  # the parser may drop columns nobody asks for, and with them the damage
+    try:
+        good, seen = observed(marked.where("NOT _bad").select(kept), rows=F.count("*"))
+        good.write.mode("overwrite").parquet(good_path)
+        bad, lost = observed(marked.where("_bad").select(F.col(damage).alias("line"), *[F.col(f"_{n}").alias(n) for n in place]), rows=F.count("*"))
+        bad.write.mode("overwrite").parquet(bad_path)
+    finally:
+        marked.unpersist()
+    return {"good": seen.get["rows"], "bad": lost.get["rows"]}
+
+
+def quarantine_articles(spark: SparkSession, path: str, good_path: str, bad_path: str) -> dict[str, int]:
+    """A JSON Lines corpus as two tables: the rows that are whole, and the damaged lines with the file and block they are in.
+
+    A line is damaged if it is no JSON object or a field has another type; blank
+    lines are none. Returns the numbers of both, whose sum is the lines read.
+    """
+    schema = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField("_damage", T.StringType())])
+    read = spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_damage")
+    return _quarantined(read, "_damage", path, good_path, bad_path)
+
+
+def quarantine_sentences(spark: SparkSession, path: str, good_path: str, bad_path: str) -> dict[str, int]:
+    """A CSV sentence table likewise: a line with too few or too many fields, or a label that is no number, is damaged."""
+    schema = T.StructType([*SENTENCE_SCHEMA.fields, T.StructField("_damage", T.StringType())])
+    options = CSV_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damage", "enforceSchema": True}
+    return _quarantined(spark.read.schema(schema).options(**options).csv(path), "_damage", path, good_path, bad_path)
+
+
+# --- corpora as one partitioned table ---------------------------------------
+
+
+def write_partitions(df: DataFrame, path: str, rows_per_file: int = 200_000) -> None:
+    """Articles with ``corpus, split`` into a table partitioned by them. Partitions that ``df`` holds are replaced, the
+    others stay: a split that is made anew does not touch its neighbours.
+
+    Rows are gathered by partition before they are written, a large one dealt out
+    to as many tasks as its rows need, so that the number of files follows the
+    rows and not tasks times partitions.
+    """
+    counts = df.groupBy("corpus", "split").agg(F.count("*").alias("_n"))
+    parts = counts.select("corpus", "split", F.ceil(F.col("_n") / rows_per_file).cast("int").alias("_files"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("corpus", "split")]
+    dealt = df.alias("d").join(parts.alias("p"), same).select("d.*", F.pmod(F.xxhash64("d.id"), F.col("p._files")).alias("_file"))
+    dealt = dealt.repartition("corpus", "split", "_file").drop("_file")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("corpus", "split").parquet(path)
+
+
+def read_partitions(spark: SparkSession, path: str, corpus: str | None = None, split: str | None = None) -> DataFrame:
+    """The articles of a partitioned table, of one corpus or split if named: Spark opens no other folder."""
+    schema = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField("corpus", T.StringType()), T.StructField("split", T.StringType())])
+    df = spark.read.schema(schema).parquet(path)
+    for name, value in (("corpus", corpus), ("split", split)):
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df

@@ -27,6 +27,9 @@ THRESHOLD = 0.1
 TOLERANCE = 0.1
 PLACES = 9
 
+#: Sentences of a document whose rows of one term may lie in one cell; a longer document is cut into blocks of so many.
+CELL = 4096
+
 
 def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
     """(doc, n, bag, node, m, sents, words): of each different document with
@@ -51,12 +54,14 @@ def term_counts(node_table: DataFrame) -> DataFrame:
 def with_holding(counts: DataFrame) -> DataFrame:
     """Adds ``holding``, the nodes with the term, and ``sentences``, the
     sentences with it. The rows of a term in a document, at most one for each
-    sentence, are counted and handed on in one grouping."""
+    sentence, are counted and handed on in one grouping, up to CELL sentences;
+    those of a longer document are counted and joined to their counts."""
     rest = [c for c in counts.columns if c not in ("doc", "term")]
-    grouped = counts.groupBy("doc", "term").agg(
-        F.count("*").alias("holding"), F.sum("m").alias("sentences"), F.collect_list(F.struct(*rest)).alias("rows")
-    )
-    return grouped.select("doc", "term", "holding", "sentences", F.inline("rows"))
+    figures = [F.count("*").alias("holding"), F.sum("m").alias("sentences")]
+    short, long = counts.where(F.col("n") <= CELL), counts.where(F.col("n") > CELL)
+    grouped = short.groupBy("doc", "term").agg(*figures, F.collect_list(F.struct(*rest)).alias("rows"))
+    joined = long.join(long.groupBy("doc", "term").agg(*figures), ["doc", "term"])
+    return grouped.select("doc", "term", "holding", "sentences", F.inline("rows")).unionByName(joined)
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
@@ -81,9 +86,16 @@ def unit_weights(weighted: DataFrame) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Products of the weights of two nodes i < j at each shared term."""
-    a = left.select("doc", "term", F.col("node").alias("i"), F.col("m").alias("m_i"), F.col("w").alias("w_i"))
-    b = right.select("doc", "term", F.col("node").alias("j"), F.col("m").alias("m_j"), F.col("w").alias("w_j"))
-    return a.join(b, ["doc", "term"]).where("i < j")
+    a = left.select("doc", "term", "n", F.col("node").alias("i"), F.col("m").alias("m_i"), F.col("w").alias("w_i"))
+    b = right.select("doc", "term", "n", F.col("node").alias("j"), F.col("m").alias("m_j"), F.col("w").alias("w_j"))
+    short, long = F.col("n") <= CELL, F.col("n") > CELL
+    together = a.where(short).drop("n").join(b.where(short).drop("n"), ["doc", "term"]).where("i < j")
+    # a block of nodes meets its own and each later one of the same term in a task of its own
+    block = lambda c: F.floor(F.col(c) / CELL)
+    last = F.floor((F.col("n") - 1) / CELL)
+    upper = a.where(long).select("*", block("i").alias("p"), F.explode(F.sequence(block("i"), last)).alias("q")).drop("n")
+    lower = b.where(long).select("*", F.explode(F.sequence(F.lit(0).cast("long"), block("j"))).alias("p"), block("j").alias("q")).drop("n")
+    return together.unionByName(upper.join(lower, ["doc", "term", "p", "q"]).where("i < j").drop("p", "q"))
 
 
 def similarities(weights: DataFrame, threshold: float = THRESHOLD, inclusive: bool = False) -> DataFrame:

@@ -130,3 +130,19 @@ def test_long_chain_has_one_component(spark):
     found = lexrank.components(members.union(apart)).collect()
     assert len(found) == 1004 and all(r.label == (0 if r.doc == "d" else r.node) for r in found)
     assert time.time() - start < 60
+
+
+def test_long_documents_go_in_blocks_with_the_same_result(spark, make_articles, monkeypatch):
+    """Documents beyond a cell are cut into blocks; the pairs and scores are those of one cell."""
+    words = "red green blue white black small large round".split()
+    long = " ".join(f"The {words[i % 8]} {words[i * 3 % 7]} fox {'jumps' if i % 2 else 'sleeps'} near house {words[i % 5]}." for i in range(41))
+    articles = make_articles([(1, long, "x"), (2, "One red fox. Two red foxes. A red fox again.", "y"), (3, "", "z")])
+
+    def rows():
+        _, weights, similar = lexrank.graph(articles, lexrank.ENGLISH)
+        scores = lexrank.sentence_scores(articles)
+        return sorted(map(tuple, similar.collect())), sorted(map(tuple, scores.collect()))
+
+    whole = rows()
+    monkeypatch.setattr(lexrank, "CELL", 4)
+    assert rows() == whole and len(whole[0]) > 50

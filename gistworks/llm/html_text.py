@@ -16,6 +16,7 @@ The tree lives for one page at a time, in a few lists; Spark deals out the pages
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -78,6 +79,12 @@ ADDED = frozenset("comment comments commentlist respond reply replies disqus dis
 CONTENT = frozenset("content main article post entry story".split())
 WITH = frozenset("with without has no".split())
 
+#: Last words of a compound name that only say that it holds something.
+HOLDERS = frozenset(
+    "list lists item items button buttons icon icons link links bar box boxes area container wrapper wrap inner outer holder section block unit slot "
+    "panel tools module form count counts post posts story stories header title label body content feed row col column group zone region bottom top left right".split()
+)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*+"|'[^']*+'|["'])[^>"']*+)*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -120,6 +127,8 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> float:
             if CONTENT.isdisjoint(n.lower() for n in names):
                 for one in names:
                     marks = [m.lower() for m in _PARTS.split(one)]
+                    if inside and len(marks) > 1 and not (marks[-1] in MARKS or marks[-1] in HOLDERS or not marks[-1]):
+                        continue  # in an article the last word says what it is: a share-price is a price
                     if marks[0] not in WITH and not (MARKS.isdisjoint(marks) and (inside or OUTSIDE_MARKS.isdisjoint(marks))):
                         share = max(share, 0.5 if ADDED.isdisjoint(marks) else 0.9)
     return share
@@ -177,12 +186,33 @@ def _tree(source: str) -> _Page:
     """The tree of a page without its boilerplate; unclosed and misnested tags are closed as browsers do."""
     page = _Page()
     stack = [page.add("body", -1)]
-    gone = 0  # open elements within a dropped one, which heads the list
-    dropped: list[str] = []
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name, and of open blocks
+    blocks: list[int] = []
+    dropped: list[str] = []  # open elements within a dropped one, which heads the list
+    counts: dict[str, int] = {}  # of their names
     inside = 0
     at = 0
     lowered = None
     wrappers = None
+
+    def cut(depth: int) -> None:
+        """Close all elements from that place of the stack on."""
+        nonlocal inside
+        while len(stack) > depth:
+            name = page.tags[stack.pop()]
+            places[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            inside -= name in INSIDE
+
+    def top(name: str) -> int:
+        own = places.get(name)
+        return own[-1] if own else 0
+
+    def undrop() -> None:
+        dropped.clear()
+        counts.clear()
+
     while True:
         found = _TAG.search(source, at)
         text = source[at : found.start() if found else len(source)]
@@ -196,20 +226,19 @@ def _tree(source: str) -> _Page:
         tag = found[2].lower()
         if found[1]:
             if dropped:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-                elif tag in ("body", "html") or any(page.tags[n] == tag for n in stack[1:]):
-                    dropped.clear()  # what holds the dropped element ends, and so does that
+                if counts.get(tag):
+                    while True:
+                        name = dropped.pop()
+                        counts[name] -= 1
+                        if name == tag:
+                            break
+                elif tag in ("body", "html") or top(tag):
+                    undrop()  # what holds the dropped element ends, and so does that
                 if dropped or (tag in DROPPED and tag not in WRAPPERS):
                     continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
-                if tag not in BLOCKS and page.tags[stack[depth]] in BLOCKS:
-                    break  # an inline end tag closes no block
-            inside = sum(page.tags[n] in INSIDE for n in stack)
+            depth = top(tag)
+            if depth and (tag in BLOCKS or not blocks or depth > blocks[-1]):
+                cut(depth)  # an inline end tag closes no block
             continue
         if tag in RAW and not found[3].endswith("/"):
             lowered = source.lower() if lowered is None else lowered
@@ -220,38 +249,36 @@ def _tree(source: str) -> _Page:
         if dropped:
             if not closed and tag not in ("body", "html"):
                 if tag == "article" or tag == "main":
-                    dropped.clear()  # an unclosed menu does not swallow the article
+                    undrop()  # an unclosed menu does not swallow the article
                 else:
                     dropped.append(tag)
+                    counts[tag] = counts.get(tag, 0) + 1
                     continue
             else:
                 continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS:
-            for depth in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph
-                if page.tags[stack[depth]] == "p":
-                    del stack[depth:]
-                    break
-                if page.tags[stack[depth]] in BLOCKS:
-                    break
+        if tag in BLOCKS and top("p") and top("p") >= (blocks[-1] if blocks else 0):
+            cut(top("p"))  # a block closes an open paragraph
         if tag in CLOSES:
             same, within = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                name = page.tags[stack[depth]]
-                if name in within:
-                    break
-                if name in same:
-                    del stack[depth:]
+            border = max([top(name) for name in within])
+            above = [own[k] for own in (places.get(name) or [] for name in same) if (k := bisect.bisect_right(own, border)) < len(own)]
+            if above:
+                cut(min(above))
         if share := _boilerplate(tag, found[3], inside > 0):
             if share < 1 and wrappers is None:
                 wrappers = _wrappers(source)
             if share == 1 or found.start() not in wrappers:
                 if not closed:
-                    dropped = [tag]
+                    dropped.append(tag)
+                    counts[tag] = 1
                 continue
         node = page.add(tag, stack[-1])
         if not closed:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
             stack.append(node)
             inside += tag in INSIDE
 

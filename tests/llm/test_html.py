@@ -1,7 +1,9 @@
 """Page extraction on the synthetic pages and on pages of other builds."""
 
 import html
+import math
 import re
+import time
 
 import pytest
 
@@ -101,3 +103,56 @@ def test_small_forms_comments_and_hidden_wrappers_still_go():
     assert html_text.main_text(f"<body>{text}<div class=comments>" + f"<p>{said(3)}</p>" * 5 + "</div>") == said(1) + "\n" + said(2)
     assert html_text.main_text(f"<body><form style='display:none'>{text}</form>") == ""
     html_text.main_text("<form><div class=nav>" * 30_000 + "deep")
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>" * 20_000 + "</p>" * 20_000, "<span>" * 20_000 + "</em>" * 20_000, "<em><div>" + "<span>" * 20_000 + "</em>" * 20_000, "<div>" * 60_000 + "text " + "</p></em></td>" * 60_000],
+)
+def test_deep_pages_with_end_tags_take_time_in_proportion(source):
+    start = time.perf_counter()
+    html_text.main_text(source)
+    assert time.perf_counter() - start < 4
+
+
+@pytest.mark.parametrize(
+    "inner, held",
+    [
+        ("<div class='widget-text'><p>{0}</p></div>", True), ("<p>{1}</p><section class='social-impact'><p>{0}</p></section>", True), ("<p>{1}</p><p class='share-price'>{0}</p>", True),
+        ("<p>{1}</p><p class='comment-on-law'>{0}</p>", True), ("<p>{1}</p><div class='comment-list'><p>{0}</p></div>", False), ("<p>{1}</p><div class='share-buttons'>{0}</div>", False),
+        ("<p>{1}</p><div class='related'>{0}</div>", False), ("<p>{1}</p><div class='promo-2'>{0}</div>", False),
+    ],
+)
+def test_names_inside_an_article_go_by_their_last_word(inner, held):
+    text = html_text.main_text(f"<body><article><h1>Title</h1>{inner.format(said(1), said(2))}</article></body>")
+    assert (said(1) in text) == held and "Title" in text
+
+
+def test_densities_by_recursion():
+    """Composite text density as published, over the whole subtree of each block."""
+    source = f"<body><div><p>{said(1)}</p><p>{said(2)} <a href=x>some link</a></p></div><ul><li><a>One</a></li><li><a>Two</a> x</li></ul><div><em>{said(3)}</em></div></body>"
+    page = html_text._tree(source)
+    density, sums = html_text._densities(page)
+
+    def figures(node):
+        chars = tags = link_chars = link_tags = 0
+        for part in page.content[node]:
+            if isinstance(part, str):
+                chars += len(part.strip())
+            else:
+                c, t, lc, lt = figures(part)
+                link = page.tags[part] == "a"
+                chars, tags = chars + c, tags + t + (link or page.tags[part] in html_text.BLOCKS)
+                link_chars, link_tags = link_chars + (c if link else lc), link_tags + (t if link else lt) + link
+        return chars, tags, link_chars, link_tags
+
+    whole_chars, _, whole_links, _ = figures(0)
+    for node, tag in enumerate(page.tags):
+        if tag not in html_text.BLOCKS:
+            continue
+        c, t, lc, lt = figures(node)
+        base = math.log(c / max(c - lc, 1) * lc + whole_links / whole_chars * c + math.e)
+        want = c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1) / math.log(base + 1)
+        assert density[node] == pytest.approx(want)
+    top = [n for n, parent in enumerate(page.parents) if parent == 0]
+    assert sums[0] == pytest.approx(sum(density[n] for n in top))

@@ -34,6 +34,12 @@ UNITS, GATES, EPOCHS, STEP = 24, 12, 14, 128
 
 _REPEAT = 8
 
+#: Passages whose class pairs are counted at once.
+PIECE = 1024
+
+#: Passages of a training document, evenly spaced ones of a longer one; with SAMPLE_ROWS the bound of what training holds.
+BAG_PASSAGES = 256
+
 
 def _classes() -> np.ndarray:
     """A class of 16 for each byte: letters, digits, blanks, kinds of punctuation, beyond ASCII."""
@@ -68,13 +74,13 @@ def encode(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     held = of_word[firsts]
     begins = np.where(inside[firsts] == 0, offsets[row[firsts]], starts[firsts])  # a passage reaches to the next
     begins = np.r_[begins, len(data)]
-    of_byte = np.repeat(held, np.diff(begins))
-    kinds = _CLASSES[data[begins[0] :]].astype(np.int64)
-    pairs = of_byte[:-1] * 256 + kinds[:-1] * 16 + kinds[1:]
-    pairs = pairs[of_byte[:-1] == of_byte[1:]]
-    counts = np.bincount(pairs, minlength=len(features) * 256).reshape(-1, 256)
-    size = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    features[:, :256] = np.sqrt(counts / size)
+    for a in range(0, len(held), PIECE):  # the pairs of some passages at a time: what is held beside the text does not grow with it
+        b = min(a + PIECE, len(held))
+        of_byte = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(begins[a : b + 1]))
+        kinds = _CLASSES[data[begins[a] : begins[b]]].astype(np.int32)
+        pairs = of_byte[:-1] * 256 + kinds[:-1] * 16 + kinds[1:]
+        counts = np.bincount(pairs[of_byte[:-1] == of_byte[1:]], minlength=(b - a) * 256).reshape(-1, 256)
+        features[held[a:b], :256] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
     words = np.bincount(of_word, minlength=len(features)).astype(np.float32)
     letters = np.bincount(of_word, ends - starts, minlength=len(features))
     hashes = W.word_hashes(data, starts, ends)
@@ -161,18 +167,24 @@ def crc_part(doc_id: Column, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> dict | None:
-    """Learn from at most ``rows`` rows of ``labels`` (``doc_id, quality``) where ``learn``, the first by md5 of doc_id.
+    """Learn from at most ``rows`` documents of ``labels`` (``doc_id, quality``) where ``learn``, the first by md5 of doc_id.
 
-    Null labels and texts of unlabelled documents are not used; None without any row.
+    Of conflicting labels of one doc_id the least counts, of unlike texts of one
+    doc_id the one with the least hash, so that reruns agree and copies add
+    nothing. A long text gives BAG_PASSAGES of its passages. Null labels, rows
+    without a doc_id and texts of unlabelled documents are not used; None without
+    any row.
     """
     chosen = labels.where(learn & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label_"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label_")  # bounded by ``rows``
+    chosen = chosen.groupBy("doc_id").agg(F.min("label_").alias("label_")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label_").alias("label_"))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             x, at = encode(batch)
-            bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            spaced = [np.unique(np.linspace(a, b - 1, min(b - a, BAG_PASSAGES)).astype(np.int64)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            bags = [x[own].astype(np.float16).tobytes() for own in spaced]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label_").cast(pa.int32()), pa.array(bags, pa.binary())], ["id", "label_", "bag"])
 
     def learned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +201,10 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """``doc_id, score, attention`` of every row: how likely label 1 is, and the weight of each passage.
 
     Null and empty texts are one empty passage; without a model the score is 0.5.
+    Repeated rows come back as often, with equal scores; a very long text is scored
+    by all its passages; an empty table gives no rows; further columns do not count.
+    The last feature of a passage (fewer than twenty words in the document) is also
+    a rule of the quality rules.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """The quality classifier and the language models: exact parts, and held-out accuracy."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +137,51 @@ def test_rejection(spark):
     odd = spark.createDataFrame([(1, "qxzj wkvq zzxq jjqk xvzq " * 8)], "doc_id long, text string")
     assert language.detect(odd, model).first().rejected
     assert language.detect(docs, model).where("rejected").count() <= 0.02 * docs.count()
+
+
+def plain_features(text):
+    """The features of every passage, one character and word at a time."""
+    raw = text.encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    grams = [tuple(raw[a:b] for a, b in words[i : i + 8]) for i in range(len(words) - 7)]
+    out = []
+    for p in range(0, max(len(words), 1), quality_mil.PASSAGE):
+        own = words[p : p + quality_mil.PASSAGE]
+        row = np.zeros(quality_mil.FEATURES)
+        if own:
+            begin = 0 if p == 0 else own[0][0]
+            end = words[p + quality_mil.PASSAGE][0] if p + quality_mil.PASSAGE < len(words) else len(raw)
+            kinds = [int(quality_mil._CLASSES[c]) for c in raw[begin:end]]
+            for a, b in zip(kinds, kinds[1:]):
+                row[a * 16 + b] += 1
+            row[:256] = np.sqrt(row[:256] / max(row[:256].sum(), 1))
+            again = sum(grams.count(g) > 1 for g in grams[p : p + quality_mil.PASSAGE])
+            row[256] = again / len(own)
+            row[257] = len({raw[a:b] for a, b in own}) / len(own)
+            row[258] = sum(b - a for a, b in own) / len(own) / 10
+            row[259] = len(own) / quality_mil.PASSAGE
+        row[260], row[261] = np.log1p(len(words)) / 10, len(words) < 20
+        out.append(row)
+    return np.array(out)
+
+
+def test_passage_features_by_hand(monkeypatch):
+    rng = random.Random(4)
+    texts = ["", " \n ", "one", "Ünï 12, (x)! " * 40, " ".join(rng.choice(["aa", "b1", "c.", "D!", "é"]) for _ in range(300)), "a b c d e f g h " * 30]
+    for piece in (quality_mil.PIECE, 2):
+        monkeypatch.setattr(quality_mil, "PIECE", piece)
+        x, at = quality_mil.encode(pa.record_batch({"text": pa.array(texts)}))
+        for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            want = plain_features(text)
+            if text == " \n ":
+                want[:, :256] = x[a:b, :256]  # blanks alone: no word, no passage to speak of
+            np.testing.assert_allclose(x[a:b], want, atol=1e-5)
+
+
+def test_conflicting_labels_and_copies_do_not_change_what_is_learned(spark, documents):
+    rows = [(i, ("good words here and there, again. " if i % 2 else "BAD!! stuff## ") * 9) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    more = labels.unionByName(labels.where("doc_id < 5")).unionByName(labels.where("doc_id = 7").selectExpr("doc_id", "1 AS quality"))
+    one = quality_mil.fit(documents(rows), labels, F.lit(True))
+    two = quality_mil.fit(documents(rows + rows[:20] + [(3, rows[3][1])] * 30), more, F.lit(True))
+    assert all(np.array_equal(one[k], two[k]) for k in one)

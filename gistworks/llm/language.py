@@ -8,10 +8,10 @@ added up by Spark; lower orders are counts of distinct continuations, which
 follow from the four-grams. The probabilities of all languages' n-grams lie in
 arrays sorted by hash; an index of the hash finds the row.
 
-A text goes to the language with the lowest cross-entropy per character. On a
-bounded sample of the texts learned from, the cross-entropy that each
-language's own texts reach gives a bound beyond which a text is rejected as
-being in none of them.
+A text goes to the language with the lowest cross-entropy per character. The
+cross-entropy that each language's own texts reach, over all texts learned from,
+gives a bound beyond which a text is rejected as being in none of them. More
+languages than a task can hold are asked in blocks, one after the other.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistworks.llm import words as W
-from gistworks.llm.columns import sampled
+from gistworks.session import checkpointed
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 
-#: Entries of all models together beyond which they would not be broadcast.
+#: Entries of the models that are handed to a task at once; more languages go in blocks.
 MOST_ENTRIES = 128_000_000
 
-#: Rows on which the rejection bound is set, about, and the share of a language's own texts that it lets pass.
-SAMPLE_ROWS, PASS = 2000, 0.999
+#: The share of a language's own texts that the rejection bound lets pass.
+PASS = 0.999
 
 _FOLD: list[np.ndarray] = []
 
@@ -214,65 +214,127 @@ def crc_part(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def _detected(docs: DataFrame, model, columns: list[str]) -> DataFrame:
+_BEST = [("lang_pred", "string"), ("score", "double"), ("entropy", "double"), ("bound", "double"), ("weight", "double"), ("size", "long")]
+
+
+def _scored(docs: DataFrame, model, columns: list[str], later: bool) -> DataFrame:
+    """``columns`` and the best language so far: of this model's, and (``later``) of those of the models before."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm: Model = model.value
         for batch in W.slices(batches):
             found, sizes = lm.entropies(batch.column("text").to_pylist())
-            best = found.argmin(axis=1) if lm.languages else np.zeros(len(found), int)
-            lowest = found.min(axis=1) if lm.languages else np.zeros(len(found))
-            known = (sizes > 0) & bool(lm.languages)
-            weight = np.exp(-(found - lowest[:, None]) * np.minimum(sizes, 50)[:, None]).sum(axis=1)
-            langs = [lm.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            bounds = lm.bounds[best] if lm.languages else np.zeros(len(found))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in columns],
-                    pa.array(langs, pa.string()),
-                    pa.array(np.where(known, 1 / np.where(known, weight, 1), 0.0)),
-                    pa.array(np.where(known, lowest, 0.0)),
-                    pa.array(known & (lowest > bounds)),
-                ],
-                [*columns, "lang_pred", "score", "entropy", "rejected"],
-            )
-
-    schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
-    return docs.select(*columns, *[c for c in ["text"] if c not in columns]).mapInArrow(run, schema)
-
-
-def fit(docs: DataFrame) -> Model:
-    """Learn from all rows of ``docs`` with a ``lang`` and a letter in their ``text``; no such rows give a model without languages."""
+            n = len(found)
+            best = found.argmin(axis=1) if lm.languages else np.zeros(n, int)
+            lowest = found.min(axis=1) if lm.languages else np.full(n, np.inf)
+            scale = np.minimum(sizes, 50)
+            weight = np.exp(-(found - lowest[:, None]) * scale[:, None]).sum(axis=1) if lm.languages else np.zeros(n)
+            langs = np.array(lm.languages or ["und"], object)[best]
+            bounds = lm.bounds[best] if lm.languages else np.full(n, np.inf)
+            if later:  # of equal ones the first stays
+                old, old_weight = batch.column("entropy").to_numpy(), batch.column("weight").to_numpy()
+                new = lowest < old
+                least = np.minimum(lowest, old)
+                weight = weight * np.exp(-(lowest - least) * scale) + old_weight * np.exp(-(old - least) * scale)
+                langs = np.where(new, langs, np.array(batch.column("lang_pred").to_pylist(), object))
+                bounds = np.where(new, bounds, batch.column("bound").to_numpy())
+                lowest = least
+            made = [pa.array(langs, pa.string()), *[pa.array(x, pa.float64()) for x in (np.zeros(n), lowest, bounds, weight)], pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], [*columns, *[name for name, _ in _BEST]])
+
+    schema = T.StructType([docs.schema[c] for c in columns])
+    for name, kind in _BEST:
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)
+
+
+def _detected(docs: DataFrame, models: Models, columns: list[str]) -> DataFrame:
+    """``columns, lang_pred, score, entropy, rejected``, the languages asked block by block: one block is handed out and held at a time."""
+    context = docs.sparkSession.sparkContext
+    kept = [*columns, *[c for c in ["text"] if c not in columns]]
+    rows = docs.select(*kept)
+    for i, model in enumerate(models.blocks):
+        rows = _scored(rows, context.broadcast(model), kept, i > 0)
+        if i + 1 < len(models.blocks):
+            rows = checkpointed(rows)
+    known = (F.col("size") > 0) & F.lit(bool(models.languages))
+    return rows.select(
+        *columns,
+        F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"),
+        F.when(known, 1 / F.col("weight")).otherwise(0.0).alias("score"),
+        F.when(known, F.col("entropy")).otherwise(0.0).alias("entropy"),
+        (known & (F.col("entropy") > F.col("bound"))).alias("rejected"),
+    )
+
+
+class Models:
+    """The models of all languages, in blocks that fit a task's memory."""
+
+    def __init__(self, blocks: list[Model]):
+        self.blocks = blocks
+        self.languages = [lang for block in blocks for lang in block.languages]
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's cross-entropy per character in all languages, and its number of n-grams."""
+        parts = [block.entropies(texts) for block in self.blocks]
+        return np.concatenate([found for found, _ in parts], axis=1), parts[0][1]
+
+
+def _blocks(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Languages in order, as many to a block as keep its entries below ``most``; one that has more by itself is a block."""
+    blocks: list[list[str]] = []
+    held = 0
+    for lang, n in sorted(sizes):
+        held += n
+        if not blocks or (len(blocks[-1]) + 1) * (held + 2 * SYMBOLS**3) > most:
+            blocks.append([])
+            held = n
+        blocks[-1].append(lang)
+    return blocks
+
+
+def fit(docs: DataFrame) -> Models:
+    """Learn from all rows of ``docs`` with a ``lang`` and a letter in their ``text``; no such rows give a model without languages.
+
+    The driver holds one block of languages at a time while it builds them, a row
+    a language otherwise. A language's bound is set by all its own texts that are
+    told right: what all but one in a thousand stay below, and three times their
+    spread on top; by fewer than twenty texts none is set.
+    """
     own = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     found = count(own).persist()
     try:
-        size = found.agg(F.count("*"), F.count_distinct("lang")).first()
-        if size[0] * size[1] + 2 * SYMBOLS**3 * size[1] > MOST_ENTRIES:
-            raise ValueError(f"{size[0]} n-grams in {size[1]} languages: too many to hand to every task")
-        table = found.toArrow().combine_chunks()
+        sizes = [(r["lang"], r["n"]) for r in found.groupBy("lang").agg(F.count("*").alias("n")).collect()]  # a row a language
+        models = []
+        for block in _blocks(sizes, MOST_ENTRIES):
+            table = found.where(F.col("lang").isin(block)).toArrow().combine_chunks()
+            langs = table.column("lang").combine_chunks().dictionary_encode()
+            names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+            codes, n = table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy()
+            order = np.lexsort((codes, of))
+            bounds = np.searchsorted(of[order], np.arange(len(names) + 1))
+            models.append(Model({lang: (codes[order[a:b]], n[order[a:b]]) for lang, a, b in zip(names, bounds[:-1], bounds[1:], strict=True)}))
     finally:
         found.unpersist()
-    counts = {}
-    langs, codes, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy()
-    for lang in set(langs):
-        mine = np.flatnonzero(langs == lang)
-        mine = mine[np.argsort(codes[mine])]
-        counts[lang] = codes[mine], n[mine]
-    model = Model(counts)
-    sample = sampled(docs, SAMPLE_ROWS).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    reached = _detected(sample, docs.sparkSession.sparkContext.broadcast(model), ["lang"]).where("lang = lang_pred").select("lang", "entropy").collect()
-    for k, lang in enumerate(model.languages):
-        values = [e for name, e in reached if name == lang]
-        if len(values) >= 20:  # a bound beyond what the sample shows, by its spread
-            model.bounds[k] = np.quantile(values, PASS) + 3 * np.std(values)
-    return model
-
-
-def detect(docs: DataFrame, model: Model) -> DataFrame:
+    learned = Models(models or [Model({})])
+    right = _detected(own, learned, ["lang"]).where(F.col("lang") == F.col("lang_pred")).groupBy("lang")
+    reached = {r["lang"]: r for r in right.agg(F.count("*").alias("n"), F.percentile_approx("entropy", F.lit(PASS), F.lit(10_000)).alias("high"), F.stddev_pop("entropy").alias("spread")).collect()}
+    for model in learned.blocks:
+        for k, lang in enumerate(model.languages):
+            if lang in reached and reached[lang]["n"] >= 20:
+                model.bounds[k] = reached[lang]["high"] + 3 * reached[lang]["spread"]
+    return learned
+
+
+def detect(docs: DataFrame, models: Models) -> DataFrame:
     """``doc_id, lang_pred, score, entropy, rejected`` of every row.
 
     ``und`` with score 0 for a null text, one without letters, or a model
     without languages; ``score`` is the best language's share of the likelihood
     of at most fifty characters; ``rejected`` tells that not even the best
-    language's own texts are that unlikely in it.
+    language's own texts are that unlikely in it. Repeated rows come back as
+    often, a very long text is read whole, an empty table gives no rows, and
+    further columns do not count. Rows without a doc_id are scored, though none
+    of them is learned from where the caller parts rows by doc_id.
     """
-    return _detected(docs, docs.sparkSession.sparkContext.broadcast(model), ["doc_id"])
+    return _detected(docs, models, ["doc_id"])

@@ -91,7 +91,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     part = language.crc_part(F.col("doc_id"), 4)
     model = language.fit(docs.where(part != 2))
-    return language.detect(docs, model).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return language.detect(docs, model).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @_register

@@ -185,3 +185,44 @@ def test_conflicting_labels_and_copies_do_not_change_what_is_learned(spark, docu
     one = quality_mil.fit(documents(rows), labels, F.lit(True))
     two = quality_mil.fit(documents(rows + rows[:20] + [(3, rows[3][1])] * 30), more, F.lit(True))
     assert all(np.array_equal(one[k], two[k]) for k in one)
+
+
+def many_languages(n, texts):
+    rng = random.Random(11)
+    rows = []
+    for k in range(n):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(30)]
+        rows += [(k * texts + i, " ".join(rng.choice(words) for _ in range(25)), f"lang{k:03d}") for i in range(texts)]
+    return rows
+
+
+def test_languages_in_blocks_give_what_one_block_gives(documents, monkeypatch):
+    """Two hundred languages, with and without a bound that holds a few of them."""
+    docs = documents(many_languages(200, 4)).repartition(6)
+    whole = language.fit(docs)
+    assert len(whole.blocks) == 1 and len(whole.languages) == 200
+    one = {r.doc_id: r for r in language.detect(docs, whole).collect()}
+    monkeypatch.setattr(language, "MOST_ENTRIES", 60 * (2 * language.SYMBOLS**3 + 30_000))
+    parted = language.fit(docs)
+    assert len(parted.blocks) > 2 and parted.languages == whole.languages
+    many = {r.doc_id: r for r in language.detect(docs, parted).collect()}
+    assert {i: r.lang_pred for i, r in one.items()} == {i: r.lang_pred for i, r in many.items()}
+    assert all(abs(one[i].score - many[i].score) < 1e-9 and abs(one[i].entropy - many[i].entropy) < 1e-9 and one[i].rejected == many[i].rejected for i in one)
+
+
+def test_scripts_and_bounds(documents):
+    """Other scripts than Latin are told apart, entropies are sums of logarithms, and every language has a bound by all its texts."""
+    rng = random.Random(3)
+    kinds = {"ru": "абвгдежзиклмнопрст", "ja": "あいうえおかきくけこさしすせそたち", "en": "abcdefghijklmnop"}
+    rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randrange(2, 7))) for _ in range(40)), k) for i, k in enumerate(list(kinds) * 40)]
+    docs = documents(rows)
+    models = language.fit(docs)
+    found = language.detect(docs, models).collect()
+    langs = {i: k for i, _, k in rows}
+    assert sum(r.lang_pred == langs[r.doc_id] for r in found) >= 0.98 * len(found)
+    own = {k: [r.entropy for r in found if langs[r.doc_id] == k == r.lang_pred] for k in kinds}
+    for block in models.blocks:
+        for name, bound in zip(block.languages, block.bounds, strict=True):
+            assert bound == pytest.approx(np.quantile(own[name], 1) + 3 * np.std(own[name]), rel=0.02)
+    assert sum(r.rejected for r in found) == 0

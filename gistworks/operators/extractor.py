@@ -59,7 +59,7 @@ def summaries(top: DataFrame, key: str = "id") -> DataFrame:
 SMOOTHING, PENALTIES = (1.0, 0.1), (0.1, 1.0, 10.0)
 
 #: Steps of the logistic regression, their size, and what keeps the first ones small.
-STEPS, RATE, DAMPING = 6, 1.0, 1e-3
+STEPS, RATE, DAMPING = 4, 1.0, 1e-3
 
 #: A word in more than one of so many word rows is frequent: no more than that many words are.
 FREQUENT_SHARE = 10_000

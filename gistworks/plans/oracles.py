@@ -528,7 +528,7 @@ ORACLES |= {
         SELECT system, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SCORES)} FROM readable GROUP BY system""",
 }
 
-SMOOTHING, PENALTIES, STEPS = (1.0, 0.1), (0.1, 1.0, 10.0), 6
+SMOOTHING, PENALTIES, STEPS = (1.0, 0.1), (0.1, 1.0, 10.0), 4
 
 
 def _steps() -> str:

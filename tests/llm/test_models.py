@@ -198,12 +198,12 @@ def many_languages(n, texts):
 
 
 def test_languages_in_blocks_give_what_one_block_gives(documents, monkeypatch):
-    """Two hundred languages, with and without a bound that holds a few of them."""
-    docs = documents(many_languages(200, 4)).repartition(6)
+    """Ninety languages, with and without a bound that holds a few of them."""
+    docs = documents(many_languages(90, 4)).repartition(6)
     whole = language.fit(docs)
-    assert len(whole.blocks) == 1 and len(whole.languages) == 200
+    assert len(whole.blocks) == 1 and len(whole.languages) == 90
     one = {r.doc_id: r for r in language.detect(docs, whole).collect()}
-    monkeypatch.setattr(language, "MOST_ENTRIES", 60 * (2 * language.SYMBOLS**3 + 30_000))
+    monkeypatch.setattr(language, "MOST_ENTRIES", 30 * (2 * language.SYMBOLS**3 + 30_000))
     parted = language.fit(docs)
     assert len(parted.blocks) > 2 and parted.languages == whole.languages
     many = {r.doc_id: r for r in language.detect(docs, parted).collect()}

@@ -1,12 +1,13 @@
-"""LexRank over a whole corpus as one set of joins and grouped sums.
-
-Documents are keyed by their text, so repeated articles are ranked once, and
-repeated ids stay apart. Sentences of a document with the same words
-are one *node* with a multiplicity: they have the same neighbours and the same
-score, and a line repeated a thousand times makes no pair. The texts are read
-where they are; sentences are grouped by (document, bag of words), terms by
-(document, term), the graph by (document, node), so that a long document is
-spread over tasks. Windows only go over one sentence.
+"""LexRank over a whole corpus.
+
+Sentences of a document with the same words are one *node* with a multiplicity:
+they have the same neighbours and the same score, and a line repeated a thousand
+times makes no pair. An article of up to CELL sentences is ranked in its row:
+column expressions split it into words, ``functions/graphs.py`` compares its
+sentences, and nothing is shuffled. A longer one is spread over tasks by joins
+and grouped sums: documents are keyed by their text, sentences are grouped by
+(document, bag of words), terms by (document, term), the graph by (document,
+node), and windows only go over one sentence.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistworks.functions import text
+from gistworks.functions import graphs, text
 from gistworks.functions.frames import with_computed
 from gistworks.functions.stopwords import ENGLISH
 from gistworks.operators.documents import digest, with_document_key
@@ -27,9 +28,12 @@ THRESHOLD = 0.1
 TOLERANCE = 0.1
 PLACES = 9
 
-#: Sentences of a document whose rows of one term may lie in one cell; a longer document is cut into blocks of so many.
+#: Sentences of a document that is ranked in its row; the term rows of a longer one are cut into blocks of so many.
 CELL = 4096
 
+#: Words of a background corpus, the most frequent ones, whose weights every task holds; the others are joined.
+LISTED = 50_000
+
 
 def nodes(articles: DataFrame, sentences: Column, words) -> DataFrame:
     """(doc, n, bag, node, m, sents, words): of each different document with
@@ -174,39 +178,163 @@ def graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataFr
     return found, weights, similarities(weights)
 
 
-def sentence_scores(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+# --- articles in their rows, and those too long for one ----------------------
+
+
+def _paragraph_sentences() -> Column:
+    return text.split_paragraph_sentences(F.col("article"))
+
+
+def _letter_words(stop_words):
+    return lambda sentence: text.letter_words(sentence, stop_words)
+
+
+def in_rows(articles: DataFrame, sentences: Column, words) -> DataFrame:
+    """The articles with ``_split``, their sentences, and ``_words``, the words
+    of each joined by blanks; null in an article of more than CELL sentences."""
+    df = with_computed(articles, _split=sentences)
+    joined = F.transform("_split", lambda s: F.array_join(words(s), " "))
+    return with_computed(df, _words=F.when(F.size("_split") <= CELL, joined))
+
+
+def too_long(articles: DataFrame, sentences: Column) -> DataFrame | None:
+    """The articles of more than CELL sentences, found in one reading and
+    written; None if there are none. Every sentence but the last ends with a stop
+    or a line, so that few are split to tell."""
+    ends = F.length("article") - F.length(F.translate("article", ".!?\n", ""))
+    long = checkpointed(articles.where(F.length("article") >= CELL).where(ends >= CELL).where(F.size(sentences) > CELL))
+    return None if long.isEmpty() else long
+
+
+def _rows_and(near: DataFrame, articles: DataFrame, sentences: Column, spread) -> DataFrame:
+    """``near`` and what ``spread`` makes of the articles that are too long for their rows."""
+    long = too_long(articles, sentences)
+    return near if long is None else near.unionByName(spread(long))
+
+
+def _by_id(articles: DataFrame, per_document: DataFrame) -> DataFrame:
+    """Rows per document as rows per article id."""
+    return with_document_key(articles).select("id", "doc").join(per_document, "doc").drop("doc")
+
+
+def _with_sents(found: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of nodes with the sentences each node stands for."""
+    for end in (a, b):
+        pairs = pairs.join(found.select("doc", F.col("node").alias(end), F.col("sents").alias(f"sents_{end}")), ["doc", end])
+    return pairs
+
+
+def _standard_frequencies(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame]:
+    found = nodes(articles, _paragraph_sentences(), _letter_words(stop_words))
+    return found, frequencies(term_counts(found))
+
+
+def term_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+    """(id, sent_idx, term, tf) of every sentence."""
+
+    def spread(long: DataFrame) -> DataFrame:
+        found, terms = _standard_frequencies(long, stop_words)
+        sents = found.select("doc", "node", F.explode("sents").alias("sent_idx"))
+        return _by_id(long, sents.join(terms, ["doc", "node"]).select("doc", "sent_idx", "term", "tf"))
+
+    rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
+    near = rows.select("id", F.inline(graphs.term_rows("_words")))
+    return _rows_and(near, articles, _paragraph_sentences(), spread)
+
+
+def inverse_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+    """(id, term, idf) of every word of every article."""
+
+    def spread(long: DataFrame) -> DataFrame:
+        _, terms = _standard_frequencies(long, stop_words)
+        return _by_id(long, terms.groupBy("doc", "term").agg(F.any_value("idf").alias("idf")))
+
+    rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
+    counted = rows.select("id", F.size("_split").alias("n"), F.inline(graphs.document_terms("_words")))
+    near = counted.select("id", "term", F.log(F.col("n") / (1 + F.col("sentences"))).alias("idf"))
+    return _rows_and(near, articles, _paragraph_sentences(), spread)
+
+
+def similar_sentences(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+    """(id, i, j, m_i, m_j, similarity, sents_i, sents_j) of the node pairs of
+    every article above the threshold, with the sentences of both."""
+
+    def spread(long: DataFrame) -> DataFrame:
+        found, _, similar = graph(long, stop_words)
+        return _by_id(long, _with_sents(found, similar, "i", "j"))
+
+    rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
+    near = rows.select("id", F.inline(graphs.similar_rows(THRESHOLD)("_words")))
+    return _rows_and(near, articles, _paragraph_sentences(), spread)
+
+
+def edges(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+    """(id, src, dst, degree, share, sents_src, sents_dst) of the graph of every article."""
+
+    def spread(long: DataFrame) -> DataFrame:
+        found, weights, similar = graph(long, stop_words)
+        return _by_id(long, _with_sents(found, transitions(weights, similar), "src", "dst"))
+
+    rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
+    near = rows.select("id", F.inline(graphs.edge_rows(THRESHOLD)("_words")))
+    return _rows_and(near, articles, _paragraph_sentences(), spread)
+
+
+def _with_scores(near: DataFrame, articles: DataFrame, sentences: Column, spread) -> DataFrame:
+    """The articles with ``_split`` and ``_scores``, a score for each sentence:
+    ``near`` for those ranked in their rows, and the others with the lists of
+    ``spread``'s (doc, sent_idx, score)."""
+    columns = [*articles.columns, "_split", "_scores"]
+
+    def listed(long: DataFrame) -> DataFrame:
+        placed = F.array_sort(F.collect_list(F.struct("sent_idx", "score")))
+        lists = spread(long).groupBy("doc").agg(F.transform(placed, lambda s: s["score"]).alias("_scores"))
+        return with_document_key(with_computed(long, _split=sentences)).join(lists, "doc").select(*columns)
+
+    short = near.where(F.col("_split").isNull() | (F.size("_split") <= CELL)).select(*columns)
+    return _rows_and(short, articles, sentences, listed)
+
+
+def ranked(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+    """The articles with ``_split``, their sentences, and ``_scores``, the score of each."""
+    rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
+    near = rows.withColumn("_scores", graphs.power_scores(THRESHOLD, TOLERANCE)("_words"))
+
+    def spread(long: DataFrame) -> DataFrame:
+        found, weights, similar = graph(long, stop_words)
+        scores = power_scores(found, transitions(weights, similar))
+        return found.select("doc", "node", F.explode("sents").alias("sent_idx")).join(scores, ["doc", "node"]).drop("node")
+
+    return _with_scores(near, articles, _paragraph_sentences(), spread)
+
+
+def _per_document(scored: DataFrame) -> DataFrame:
     """(doc, sent_idx, score) of every sentence of every distinct document."""
-    found, weights, similar = graph(articles, stop_words)
-    scores = power_scores(found, transitions(weights, similar))
-    return found.select("doc", "node", F.explode("sents").alias("sent_idx")).join(scores, ["doc", "node"]).drop("node")
+    lists = with_document_key(scored).select("doc", "_scores").dropDuplicates(["doc"])
+    return lists.select("doc", F.posexplode("_scores").alias("sent_idx", "score"))
 
 
-def top_positions(scores: DataFrame, n: int) -> DataFrame:
-    """(doc, chosen): positions and scores of the ``n`` best sentences, best
-    first, ties in reading order. At most ``n`` rows per document leave a task."""
-    order = Window.partitionBy("doc").orderBy(F.desc("score"), "sent_idx")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return best.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rank", "sent_idx"))).alias("chosen"))
+def sentence_scores(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
+    """(doc, sent_idx, score) of every sentence of every distinct document."""
+    return _per_document(ranked(articles, stop_words))
 
 
-def _with_chosen(articles: DataFrame, chosen: DataFrame, sentences: Column, in_order: bool) -> DataFrame:
-    """Adds ``_summary``, the chosen sentences as an array, to every article."""
-    positions = F.transform("chosen", lambda c: c["sent_idx"])
+def _with_best(scored: DataFrame, columns: list[str], n: int, in_order: bool) -> DataFrame:
+    """``columns`` and ``_summary``, the ``n`` best sentences of every article,
+    best first, ties in reading order, or all in reading order."""
+    order = F.array_sort(F.transform("_scores", lambda s, i: F.struct((-s).alias("neg"), i.alias("idx"))))
+    positions = F.transform(F.slice(order, 1, n), lambda s: s["idx"])
     if in_order:
         positions = F.array_sort(positions)
-    joined = with_document_key(articles).join(chosen, "doc", "left")
-    joined = with_computed(joined, _positions=F.coalesce(positions, F.array().cast("array<int>")), _split=sentences)
-    return joined.select(
-        *articles.columns, F.transform("_positions", lambda i: F.get("_split", i)).alias("_summary")
-    )
+    chosen = with_computed(scored, _positions=F.coalesce(positions, F.array().cast("array<int>")))
+    return chosen.select(*columns, F.transform("_positions", lambda i: F.get("_split", i)).alias("_summary"))
 
 
 def sentence_lists(
     articles: DataFrame, n: int = DEFAULT_SENTENCES, stop_words=ENGLISH
 ) -> DataFrame:
     """The articles with ``_summary``, their ``n`` best sentences in reading order."""
-    chosen = top_positions(sentence_scores(articles, stop_words), n)
-    return _with_chosen(articles, chosen, text.split_paragraph_sentences(F.col("article")), in_order=True)
+    return _with_best(ranked(articles, stop_words), articles.columns, n, in_order=True)
 
 
 def summaries(articles: DataFrame, n: int = DEFAULT_SENTENCES, stop_words=ENGLISH) -> DataFrame:
@@ -288,34 +416,69 @@ def stationary_scores(node_table: DataFrame, strength: DataFrame, labels: DataFr
     )
 
 
+def _listed(idf: DataFrame) -> tuple[dict[str, float], DataFrame | None]:
+    """The weights of the LISTED most frequent words, and the table of the others, None if there are none."""
+    idf = checkpointed(idf)
+    if idf.count() <= LISTED:
+        return {r.term: r.idf for r in idf.collect()}, None
+    rows = idf.orderBy("idf", "term").limit(LISTED).collect()
+    last = F.struct(F.lit(rows[-1].idf).alias("idf"), F.lit(rows[-1].term).alias("term"))
+    return {r.term: r.idf for r in rows}, idf.where(F.struct("idf", "term") > last)
+
+
+def _with_further(rows: DataFrame, known: dict[str, float], others: DataFrame | None) -> DataFrame:
+    """Adds ``_further``, the (term, idf) of an article's words that are among the ``others``."""
+    if others is None:
+        return rows.withColumn("_further", F.lit(None).cast("array<struct<term:string,idf:double>>"))
+    keyed = with_document_key(rows)
+    listed = rows.sparkSession.createDataFrame([(w,) for w in known], "term string")
+    terms = keyed.select("doc", F.explode(F.array_distinct(F.split(F.array_join("_words", " "), " "))).alias("term"))
+    rare = terms.join(F.broadcast(listed), "term", "left_anti").join(others, "term")
+    further = rare.groupBy("doc").agg(F.collect_set(F.struct("term", "idf")).alias("_further"))
+    return keyed.join(further, "doc", "left").drop("doc")
+
+
+def background_ranked(
+    articles: DataFrame, background: DataFrame, column: str, threshold: float | None = THRESHOLD
+) -> DataFrame:
+    """The articles with ``_split``, the pieces between full stops after their
+    first line, and ``_scores``: edges where the similarity reaches the
+    threshold, or, without one, weighted by every similarity."""
+    sentences = text.split_naive(F.col("article"))
+    idf, unseen = background_idf(background, column)
+    known, others = _listed(idf)
+    rows = _with_further(in_rows(articles, sentences, text.word_tokens), known, others)
+    near = rows.withColumn("_scores", graphs.background_scores(known, unseen, threshold)("_words", "_further"))
+
+    def spread(long: DataFrame) -> DataFrame:
+        found, weights = _background_graph(long, background, column)
+        if threshold is None:
+            # the sum of the similarities of a sentence is its weights times the total weight of each term: no pair is formed
+            totals = weights.groupBy("doc", "term").agg(F.sum(F.col("m") * F.col("w")).alias("total"))
+            products = weights.join(totals, ["doc", "term"]).groupBy("doc", "node")
+            strength = products.agg(F.sum(F.col("w") * F.col("total")).alias("degree"))
+            return stationary_scores(found, strength, components(weights.select("doc", F.col("term").alias("grp"), "node")))
+        graph_ = checkpointed(transitions(weights, similarities(weights, threshold, inclusive=True)))
+        strength = graph_.groupBy("doc", F.col("src").alias("node")).agg(F.any_value("degree").alias("degree"))
+        return stationary_scores(found, strength, components(graph_.select("doc", F.col("src").alias("grp"), F.col("dst").alias("node"))))
+
+    return _with_scores(near, articles, sentences, spread)
+
+
 def background_scores(
     articles: DataFrame, background: DataFrame, column: str, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(doc, sent_idx, score): edges where the similarity reaches the threshold."""
-    found, weights = _background_graph(articles, background, column)
-    edges = checkpointed(transitions(weights, similarities(weights, threshold, inclusive=True)))
-    strength = edges.groupBy("doc", F.col("src").alias("node")).agg(F.any_value("degree").alias("degree"))
-    members = edges.select("doc", F.col("src").alias("grp"), F.col("dst").alias("node"))
-    return stationary_scores(found, strength, components(members))
+    return _per_document(background_ranked(articles, background, column, threshold))
 
 
 def continuous_scores(articles: DataFrame, background: DataFrame, column: str) -> DataFrame:
-    """(doc, sent_idx, score): every similarity is an edge weight. The sum of
-    the similarities of a sentence is its weights times the total weight of each
-    term, so no pair is ever formed."""
-    found, weights = _background_graph(articles, background, column)
-    totals = weights.groupBy("doc", "term").agg(F.sum(F.col("m") * F.col("w")).alias("total"))
-    strength = (
-        weights.join(totals, ["doc", "term"])
-        .groupBy("doc", "node")
-        .agg(F.sum(F.col("w") * F.col("total")).alias("degree"))
-    )
-    return stationary_scores(found, strength, components(weights.select("doc", F.col("term").alias("grp"), "node")))
+    """(doc, sent_idx, score): every similarity is an edge weight."""
+    return _per_document(background_ranked(articles, background, column, None))
 
 
 def background_summaries(
     articles: DataFrame, background: DataFrame, column: str, n: int = 10, threshold: float = THRESHOLD
 ) -> DataFrame:
     """The articles with ``_summary``, their ``n`` best sentences by score."""
-    chosen = top_positions(background_scores(articles, background, column, threshold), n)
-    return _with_chosen(articles, chosen, text.split_naive(F.col("article")), in_order=False)
+    return _with_best(background_ranked(articles, background, column, threshold), articles.columns, n, in_order=False)

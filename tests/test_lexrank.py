@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gistworks.functions import graphs
 from gistworks.operators import lexrank
 
 STOP = set(lexrank.ENGLISH)
@@ -146,3 +147,32 @@ def test_long_documents_go_in_blocks_with_the_same_result(spark, make_articles,
     whole = rows()
     monkeypatch.setattr(lexrank, "CELL", 4)
     assert rows() == whole and len(whole[0]) > 50
+
+
+def test_background_scores_are_the_same_by_rows_and_by_joins(make_articles, monkeypatch):
+    """Neither the bound on sentences of a row nor that on listed words changes a score."""
+    df = make_articles([*BACKGROUND, (3, "x\n" + ". ".join(f"cats {chr(97 + i % 5)} mice {chr(97 + i % 3)} z{chr(97 + i)}" for i in range(12)), "dogs b")])
+
+    def rows():
+        runs = [lexrank.background_scores(df, df, "lay_summary"), lexrank.continuous_scores(df, df, "lay_summary")]
+        return [sorted((bytes(r.doc), r.sent_idx, round(r.score, 8)) for r in run.collect()) for run in runs]
+
+    whole = rows()
+    monkeypatch.setattr(lexrank, "LISTED", 2)
+    assert rows() == whole
+    monkeypatch.setattr(lexrank, "CELL", 4)
+    assert rows() == whole and all(len(r) > 15 for r in whole)
+
+
+def test_pairs_are_the_same_in_blocks_of_one_sentence(monkeypatch):
+    sentences = [f"red w{i % 3} w{i % 5} w{i % 7}" for i in range(40)]
+    whole = [c.tolist() for c in graphs.similar(graphs.standard(sentences), 0.1)]
+    monkeypatch.setattr(graphs, "BLOCK", 1)
+    assert [c.tolist() for c in graphs.similar(graphs.standard(sentences), 0.1)] == whole and len(whole[0]) > 50
+
+
+def test_articles_are_ranked_in_their_rows(spark, make_articles):
+    """No row of a term or an edge is shuffled, whatever the size of the corpus."""
+    df = make_articles(ARTICLES)
+    for found in (lexrank.ranked(df), lexrank.summaries(df), lexrank.similar_sentences(df), lexrank.edges(df), lexrank.term_frequencies(df)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

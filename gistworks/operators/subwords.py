@@ -1,11 +1,11 @@
 """Model inputs of subword ids from a public vocabulary file.
 
-The vocabulary is never built here: its file is a parameter. Texts are cut into
-the file's own kind of pieces by column expressions, Spark finds the different
-pieces of a corpus, and each of those is cut into subwords once, in whatever task
-it lies; the texts then meet their pieces' ids by a join, which broadcasts the
-frequent pieces, a bounded number, and shuffles the others. Decoding joins ids to
-the vocabulary, whose size is the file's.
+The vocabulary is never built here: its file is a parameter. A text becomes ids,
+and ids become text, in the row, by small Arrow functions that hold the file, so
+that nothing is shuffled. Where only lengths are wanted, texts are cut into the
+file's own kind of pieces by column expressions, Spark finds the different pieces of
+a corpus, each is cut once, and the texts meet their sizes by a join, which
+broadcasts the frequent pieces, a bounded number.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistworks.functions import vectors
 from gistworks.session import checkpointed
@@ -25,6 +26,9 @@ MAX_INPUT, MAX_OUTPUT = 512, 128
 #: A piece in more than one of so many piece rows is frequent: no more than that many pieces are.
 FREQUENT_SHARE = 10_000
 
+#: Rows that are plain Python values at a time.
+SLICE = 64
+
 #: Ends a word's last subword.
 WORD_END = "</w>"
 
@@ -82,33 +86,26 @@ def piece_ids(df: DataFrame, columns: list[str], path: str, length: int | None =
     return checkpointed(marked.mapInArrow(run, "piece string, frequent boolean, ids array<int>"))
 
 
+def _ids(value: Column, path: str, length: int) -> Column:
+    """The first ids of a text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for at in range(0, len(batch), SLICE):
+                rows = [_tokenizer(path).encode(t, add_special_tokens=False).ids[:length] if t else [] for t in batch.slice(at, SLICE).to_pylist()]
+                parts.append(pa.array(rows, pa.list_(pa.int32())))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(value)
+
+
 def encoded(df: DataFrame, path: str, keys: list[str], columns: dict[str, int]) -> DataFrame:
     """``keys`` and ``{column}_ids``, the first ids of each column, at most the given number, a row for each row.
 
-    A piece has at least one subword, so no more pieces are looked up than ids
-    are wanted. Rows equal in keys and texts travel as one set, which comes as
-    often as it was counted. A null or empty text has no ids.
+    A null or empty text has no ids.
     """
-    regex = pattern(path)
-    table = piece_ids(df, list(columns), path, max(columns.values()))
-
-    def placed(c: str, length: int, part: int) -> Column:
-        return F.transform(F.slice(pieces(F.col(c), regex), 1, length), lambda p, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), p.alias("piece")))
-
-    marker = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("pos"), F.lit("").alias("piece")))
-    parts = [placed(c, n, part) for part, (c, n) in enumerate(columns.items())]
-    entries = df.select(*keys, F.xxhash64(*columns).alias("_texts"), F.inline(F.concat(marker, *parts)))
-    common = F.broadcast(table.where("frequent").select("piece", F.col("ids").alias("common")))
-    found = entries.join(common, "piece", "left")
-    near = found.where(F.col("common").isNotNull() | (F.col("part") < 0)).withColumnRenamed("common", "ids")
-    far = found.where(F.col("common").isNull() & (F.col("part") >= 0)).drop("common").join(table.where("not frequent").select("piece", "ids"), "piece")
-    sets = []
-    for part, (c, n) in enumerate(columns.items()):
-        own = F.array_sort(F.collect_set(F.when(F.col("part") == part, F.struct("pos", "ids"))))
-        sets.append(F.slice(F.flatten(F.transform(own, lambda s: s["ids"])), 1, n).alias(f"{c}_ids"))
-    copies = F.count_if(F.col("part") == -1).alias("_copies")
-    grouped = near.unionByName(far).groupBy(*keys, "_texts").agg(copies, *sets).drop("_texts")
-    return grouped.select(*keys, *[f"{c}_ids" for c in columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    return df.select(*keys, *[_ids(F.col(c), path, n).alias(f"{c}_ids") for c, n in columns.items()])
 
 
 def model_inputs(df: DataFrame, path: str, keys: list[str], max_input: int = MAX_INPUT, max_output: int = MAX_OUTPUT) -> DataFrame:
@@ -144,21 +141,35 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+_BYTES: dict[str, dict[int, bytes]] = {}
+
+
+def _vocabulary(path: str) -> dict[int, bytes]:
+    """The bytes of each subword of the file, a blank behind the last of a word."""
+    if path not in _BYTES:
+        alphabet, found = _alphabet(), {}
+        for token, number in _file(path)["model"]["vocab"].items():
+            body = token.removesuffix(WORD_END)
+            found[number] = bytes([*[alphabet[c] for c in body], *([32] if token != body else [])])
+        _BYTES[path] = found
+    return _BYTES[path]
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``token_id, piece``: the bytes of each subword of the file, a blank behind the last of a word."""
-    alphabet, rows = _alphabet(), []
-    for token, number in _file(path)["model"]["vocab"].items():
-        body = token.removesuffix(WORD_END)
-        rows.append((number, bytearray([*[alphabet[c] for c in body], *([32] if token != body else [])])))
-    return spark.createDataFrame(rows, "token_id int, piece binary")
+    return spark.createDataFrame([(number, bytearray(piece)) for number, piece in _vocabulary(path).items()], "token_id int, piece binary")
 
 
 def decoded(df: DataFrame, path: str, keys: list[str], column: str = "labels") -> DataFrame:
     """``keys, text`` of each row: its ids back to pieces with blanks between them; masked and special ids are skipped."""
-    table = F.broadcast(vocabulary(df.sparkSession, path))  # as large as the file says
-    ids = F.posexplode_outer(F.filter(column, lambda x: x >= 0)).alias("pos", "token_id")
-    rows = df.select(*keys, F.xxhash64(column).alias("_ids"), ids).join(table, "token_id", "left")
-    kept = F.array_sort(F.collect_set(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))))
-    text = F.rtrim(F.decode(F.unhex(F.array_join(F.transform(kept, lambda s: F.hex(s["piece"])), "")), "UTF-8"))
-    grouped = rows.groupBy(*keys, "_ids").agg(text.alias("text"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("_copies"))
-    return grouped.select(*keys, "text", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = _vocabulary(path)
+        for batch in batches:
+            parts = [
+                pa.array([b"".join(table.get(i, b"") for i in ids or [] if i is not None).decode("utf-8").rstrip(" ") for ids in batch.slice(at, SLICE).to_pylist()], pa.string())
+                for at in range(0, len(batch), SLICE)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return df.select(*keys, F.arrow_udf(run, T.StringType())(F.col(column)).alias("text"))

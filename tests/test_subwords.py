@@ -71,3 +71,9 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, article string, lay_summary string")
     assert subwords.model_inputs(df, PATH, ["id"]).collect() == []
     assert subwords.decoded(subwords.model_inputs(df, PATH, ["id"]), PATH, ["id"]).collect() == []
+
+
+def test_ids_and_texts_are_made_in_the_row(spark):
+    df = spark.createDataFrame(list(enumerate(["one two", "three"])), "id int, article string")
+    ids = subwords.encoded(df, PATH, ["id"], {"article": 40})
+    assert "Exchange" not in subwords.decoded(ids, PATH, ["id"], "article_ids")._jdf.queryExecution().executedPlan().toString()

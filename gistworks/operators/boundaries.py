@@ -5,6 +5,7 @@ or a number, and the word behind it does not look like the start of one. What
 counts as an abbreviation, which words start sentences and which pairs belong
 together is learned from grouped counts of the corpus by log-likelihood ratios:
 
+* ``token_pairs``: the tokens of the corpus as they are written, from which the other counts come;
 * ``word_counts`` and ``abbreviations``: how often a word comes with a stop;
 * ``pair_counts``: words behind stops, and how each word is written there and
   elsewhere; ``starters``, ``collocations`` and ``spellings`` come from it.
@@ -63,18 +64,30 @@ def _described(token: Column) -> Column:
     return F.struct(_type(core).alias("type"), (core.endswith(".") & ~core.rlike(r"\.\.+$")).alias("stopped"), end.alias("end"), case.alias("case"))
 
 
-def described(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``tokens`` and ``words``, the tokens and what they are, computed once a row."""
-    df = with_computed(df, tokens=tokens(F.coalesce(column, F.lit(""))))
-    return with_computed(df, words=F.transform("tokens", _described))
+# --- learning ---------------------------------------------------------------
 
 
-# --- learning ---------------------------------------------------------------
+def token_pairs(df: DataFrame, column: str) -> DataFrame:
+    """``previous, first, token, n``: how often each token follows each token
+    with a sentence end, or (``previous`` null) any other, or starts a text.
+
+    The tokens are counted as they are written, in one reading; what they are is
+    told of the different ones.
+    """
+    cut = with_computed(df.select(column), tokens=tokens(F.coalesce(column, F.lit(""))))
+
+    def pair(token: Column, i: Column) -> Column:
+        previous = F.get("tokens", i - 1)
+        return F.struct(F.when(previous.rlike(STOP), previous).alias("previous"), (i == 0).alias("first"), token.alias("token"))
 
+    pairs = cut.select(F.inline(F.transform("tokens", pair)))
+    return pairs.groupBy("previous", "first", "token").agg(F.count("*").alias("n"))
 
-def word_counts(words: DataFrame) -> DataFrame:
+
+def word_counts(pairs: DataFrame) -> DataFrame:
     """``type, n, stopped``: how often each word occurs, and with a stop."""
-    return words.select(F.explode("words").alias("w")).groupBy("w.type").agg(F.count("*").alias("n"), F.count_if("w.stopped").alias("stopped"))
+    found = pairs.groupBy("token").agg(F.sum("n").alias("n")).select(_described(F.col("token")).alias("w"), "n")
+    return found.groupBy("w.type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w.stopped"), F.col("n")).otherwise(0)).alias("stopped"))
 
 
 def _log(times: Column, value: Column) -> Column:
@@ -99,23 +112,18 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     return found.select("type", score.alias("score")).where(F.col("score") >= ABBREVIATION)
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
+def pair_counts(pairs: DataFrame) -> DataFrame:
     """``before, end, type, case, n``: how often each word follows each word with a sentence end, or (``before`` null) any other.
 
     Pairs without a sentence end between them fall together by their second word,
     so that the table has as many rows as words and ends, not as pairs. ``end`` is
     ``first`` at the start of a text.
     """
-
-    def pair(word: Column, i: Column) -> Column:
-        before = F.get("words", i - 1)
-        ended = before["end"] != ""
-        return F.struct(
-            F.when(ended, before["type"]).alias("before"), F.when(i == 0, "first").when(ended, before["end"]).otherwise("").alias("end"), word["type"].alias("type"), word["case"].alias("case")
-        )
-
-    pairs = words.select(F.explode(F.transform("words", pair)).alias("p")).select("p.*")
-    return pairs.groupBy("before", "end", "type", "case").agg(F.count("*").alias("n"))
+    found = pairs.select("previous", "first", "n", _described(F.col("previous")).alias("b"), _described(F.col("token")).alias("w"))
+    ended = F.col("previous").isNotNull()
+    end = F.when(F.col("first"), "first").when(ended, F.col("b.end")).otherwise("")
+    told = found.select(F.when(ended, F.col("b.type")).alias("before"), end.alias("end"), "w.type", "w.case", "n")
+    return told.groupBy("before", "end", "type", "case").agg(F.sum("n").alias("n"))
 
 
 def _judged(pairs: DataFrame, abbreviated: DataFrame) -> DataFrame:
@@ -181,11 +189,11 @@ class Model:
 
 
 def train(df: DataFrame, column: str = "article") -> Model:
-    """The model of a corpus: two passes over it, of words and of pairs, whose counts are written."""
-    words = described(df.select(column), column).select("words")
-    counts = checkpointed(word_counts(words))
+    """The model of a corpus: one pass over it, of pairs of tokens, whose counts are written."""
+    pairs = checkpointed(token_pairs(df, column))
+    counts = checkpointed(word_counts(pairs))
     short = checkpointed(abbreviations(counts))
-    judged = checkpointed(_judged(pair_counts(words), short))
+    judged = checkpointed(_judged(pair_counts(pairs), short))
     return Model(short, starters(judged, counts), collocations(judged, counts), spellings(judged))
 
 
@@ -226,14 +234,12 @@ def sentences(df: DataFrame, model: Model, column: str = "article") -> DataFrame
     their places; the texts of a document that has some meet them by a digest.
     """
     base = df.withColumn("doc_", digest(F.coalesce(column, F.lit(""))))
-    words = described(base.select("doc_", column), column)
-
-    def stop(word: Column, i: Column) -> Column:
-        after = F.get("words", i + 1)
-        return F.struct(i.alias("at"), word["type"].alias("before"), word["end"].alias("end"), after["type"].alias("type"), after["case"].alias("case"))
-
-    ends = F.filter(F.transform("words", stop), lambda s: (s["end"] != "") & (s["end"] != "mark") & s["type"].isNotNull())
-    stops = words.select("doc_", F.explode(ends).alias("s")).select("doc_", "s.*")
+    words = with_computed(base.select("doc_", column), tokens=tokens(F.coalesce(column, F.lit(""))))
+    ends = F.filter(F.transform("tokens", lambda w, i: F.when(w.rlike(STOP), i)), lambda i: i.isNotNull())
+    around = F.transform(ends, lambda i: F.struct(i.alias("at"), F.get("tokens", i).alias("word"), F.get("tokens", i + 1).alias("after")))
+    stops = words.select("doc_", F.inline(F.filter(around, lambda s: s["after"].isNotNull())))
+    stops = stops.select("doc_", "at", _described(F.col("word")).alias("w"), _described(F.col("after")).alias("a")).where("w.end != 'mark'")
+    stops = stops.select("doc_", "at", F.col("w.type").alias("before"), F.col("w.end").alias("end"), "a.type", "a.case")
     held = decided(stops, model).where(~F.col("breaks")).groupBy("doc_").agg(F.collect_set("at").alias("held_"))
     joined = with_computed(base.join(held, "doc_", "left"), tokens_=tokens(F.coalesce(column, F.lit(""))))
     places = F.filter(F.transform("tokens_", lambda w, i: F.when(w.rlike(STOP), i)), lambda i: i.isNotNull())

@@ -99,3 +99,11 @@ def test_a_long_text_is_split_in_one_reading(spark, model):
     long = "It holds dr. Walter. " * 30_000
     found = boundaries.sentences(spark.createDataFrame([(1, long)], "id int, article string"), model).first()["sentences"]
     assert len(found) == 30_000 and set(found) == {"It holds dr. Walter."}
+
+
+def test_tokens_are_counted_as_they_are_written(spark):
+    """What a token is, is told once for each different pair, not at every place."""
+    df = spark.createDataFrame([("He came. He left. He came",), ("He came. He left",), (None,)], "article string")
+    pairs = {(r.previous, r.first, r.token): r.n for r in boundaries.token_pairs(df, "article").collect()}
+    assert pairs == {(None, True, "He"): 2, (None, False, "came."): 2, ("came.", False, "He"): 2, (None, False, "left."): 1, (None, False, "left"): 1, ("left.", False, "He"): 1, (None, False, "came"): 1}
+    assert {(r["type"], r.n, r.stopped) for r in boundaries.word_counts(boundaries.token_pairs(df, "article")).collect()} == {("he", 5, 0), ("came", 3, 2), ("left", 2, 1)}

@@ -136,18 +136,30 @@ def quarantine_sentences(spark: SparkSession, path: str, good_path: str, bad_pat
 # --- corpora as one partitioned table ---------------------------------------
 
 
+#: Characters of texts that one file of a partitioned table holds, and the task that writes it reads.
+CHARS_PER_FILE = 64_000_000
+
+
+def _files(df: DataFrame, rows_per_file: int) -> DataFrame:
+    """``corpus, split, _files``: the files that the rows and the texts of each partition need."""
+    texts = [F.coalesce(F.length(c), F.lit(0)).cast("long") for c in ("article", "lay_summary") if c in df.columns]
+    counts = df.groupBy("corpus", "split").agg(F.count("*").alias("_n"), F.sum(sum(texts, F.lit(0).cast("long"))).alias("_chars"))
+    needed = F.ceil(F.greatest(F.col("_n") / rows_per_file, F.col("_chars") / CHARS_PER_FILE))
+    return counts.select("corpus", "split", F.greatest(needed, F.lit(1)).cast("int").alias("_files"))
+
+
 def write_partitions(df: DataFrame, path: str, rows_per_file: int = 200_000) -> None:
     """Articles with ``corpus, split`` into a table partitioned by them. Partitions that ``df`` holds are replaced, the
     others stay: a split that is made anew does not touch its neighbours.
 
     Rows are gathered by partition before they are written, a large one dealt out
-    to as many tasks as its rows need, so that the number of files follows the
-    rows and not tasks times partitions.
+    to as many tasks as its rows and the length of its texts need, so that the
+    number of files follows the rows and not tasks times partitions. The counts, a
+    row for each partition, are broadcast: a join would bring a whole one to a task.
     """
-    counts = df.groupBy("corpus", "split").agg(F.count("*").alias("_n"))
-    parts = counts.select("corpus", "split", F.ceil(F.col("_n") / rows_per_file).cast("int").alias("_files"))
+    parts = _files(df, rows_per_file)
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("corpus", "split")]
-    dealt = df.alias("d").join(parts.alias("p"), same).select("d.*", F.pmod(F.xxhash64("d.id"), F.col("p._files")).alias("_file"))
+    dealt = df.alias("d").join(F.broadcast(parts).alias("p"), same).select("d.*", F.pmod(F.xxhash64("d.id"), F.col("p._files")).alias("_file"))
     dealt = dealt.repartition("corpus", "split", "_file").drop("_file")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("corpus", "split").parquet(path)
 

@@ -112,3 +112,11 @@ def test_sketches_of_nothing(spark):
     assert sketches.quantiles(sketches.merged(sketches.sketched(empty, ["part"], size=F.col("size"))), [0.5]).collect() == []
     nulls = spark.createDataFrame([(1, None)], "part int, size int")
     assert sketches.quantiles(sketches.merged(sketches.sketched(nulls, ["part"], size=F.col("size"))), [0.5]).collect() == []
+
+
+def test_files_of_a_partition_follow_the_length_of_its_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "CHARS_PER_FILE", 1000)
+    df = spark.createDataFrame([(str(i), "x" * 200, None, "eLife", "train") for i in range(50)], "id string, article string, lay_summary string, corpus string, split string")
+    assert [r["_files"] for r in corpus._files(df, 200_000).collect()] == [10]  # and as many groups of rows, each for one task
+    corpus.write_partitions(df, str(tmp_path / "table"))
+    assert corpus.read_partitions(spark, str(tmp_path / "table")).count() == 50

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gistworks.functions import vectors
+from gistworks.functions import rouge, vectors
 from gistworks.operators import extractor, metrics
 
 PAIRS = [
@@ -106,3 +106,21 @@ def test_threshold_and_order(spark):
     df = extractor.with_probability(spark.createDataFrame(rows, "id string, sent_idx int, sentence string, logits array<double>"))
     assert extractor.summaries(extractor.top_sentences(df, top_k=3)).first().summary == "s1 s3 s4"
     assert extractor.summaries(extractor.top_sentences(df)).first().summary == "s0 s1 s3 s4"
+
+
+def test_texts_become_python_values_a_few_at_a_time(monkeypatch):
+    """A batch of an Arrow function holds thousands of texts, which are several times as large as Python values."""
+    taken = []
+
+    class Column(list):
+        def slice(self, at, size):
+            return Column(self[at : at + size])
+
+        def to_pylist(self):
+            taken.append(len(self))
+            return list(self)
+
+    monkeypatch.setattr(rouge, "SLICE", 3)
+    batch = (Column([["a b"]] * 10), Column([["a"], None] * 5))
+    found = rouge._per_row(rouge._dense, batch, rouge.pa.list_(rouge.pa.list_(rouge.pa.int32())))
+    assert found.to_pylist() == [[[1]], None] * 5 and max(taken) == 3

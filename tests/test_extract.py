@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gistworks.functions import rouge
-from gistworks.operators import extract
+from gistworks.operators import extract, labels
 
 WORDS = st.lists(st.sampled_from("a b c d e".split()), max_size=12).map(" ".join)
 
@@ -90,3 +90,30 @@ def test_long_article_against_long_summary(make_articles):
         if r.score > top.get(r.lay_idx, (0, 0.0))[1] or (r.score == top.get(r.lay_idx, (0, 0.0))[1] and r.sent_idx < top[r.lay_idx][0]):
             top[r.lay_idx] = (r.sent_idx, r.score)
     assert best == top and pairs.select("sent_idx").distinct().count() == 600
+
+
+def test_words_of_the_functions_are_those_of_the_columns(make_articles):
+    """Kelvin signs, dotted capitals, accents and underscores are cut as ``normalise_words`` cuts them."""
+    from gistworks.functions import text
+
+    texts = ["\u212aelvin \u0130stanbul caf\u00e9 a_b  C3\u00b2 \U0001d400x", "", "!!", "\u00dcber-All 7\u0660 \u03a3igma"]
+    df = make_articles([(i, x, "") for i, x in enumerate(texts)])
+    wanted = {r.id: r.w for r in df.select("id", text.normalise_words("article").alias("w")).collect()}
+    assert [x.split() for x in rouge._plain(texts)] == [wanted[str(i)].split() for i in range(len(texts))]
+
+
+def test_labels_without_a_join_are_those_of_the_join(make_articles):
+    rows = [
+        (1, "Cats sleep. Dogs run far. Birds sing.", "Dogs run."),
+        (2, "One two. One two. Three four.", "Three."),
+        (3, "Fish swim. Frogs hop.", None),
+        (4, None, "Text."),
+        (5, "", "Text."),
+    ]
+    for more in ([], [(1, "Fish swim. Cats sleep. Cows eat.", "Cows eat."), (1, "Cats sleep.", "None.")]):
+        df = make_articles(rows + more)
+        joined = labels.binary_labels(labels.join_originals(extract.pseudo_summaries(df, 1), df))
+        found = labels.labelled(df, 1)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, joined.collect()), key=repr)
+    alone = labels.labelled(make_articles(rows), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in alone and "Join" not in alone

@@ -51,3 +51,16 @@ def test_extractor_is_trained_saved_and_applied(spark, tmp_path):
     split = spark.createDataFrame(rows, corpus.SENTENCE_SCHEMA)
     predicted = extractor.predictions(fitted, split)
     assert predicted.where("pred <> label").isEmpty() and predicted.columns == [*split.columns, "p1", "pred"]
+
+
+def test_frequent_words_meet_their_weights_in_the_row(spark):
+    """Margins are those of all words, frequent, rare and unknown, and word rows are counted without a shuffle."""
+    sentences = spark.createDataFrame([("a", "Red red fox, \u212aing!"), ("b", ""), ("c", None), ("d", "blue unseen")], "example string, sentence string")
+    weights = spark.createDataFrame([("", True, 9.0, 9.0), ("red", True, 1.0, 2.0), ("fox", False, 10.0, 3.0), ("king", False, 100.0, 0.5), ("blue", True, 7.0, 7.0)], "word string, frequent boolean, p double, q double")
+    found = {r.example: (r.p, r.q) for r in extractor.margins(sentences, weights, {"p": "c", "q": "x"}).collect()}
+    norm = 6**0.5
+    assert found["a"][0] == 112.0 and abs(found["a"][1] - (2 * 2 / norm + 3 / norm + 0.5 / norm)) < 1e-12
+    assert found["b"] == (0.0, 0.0) and found["c"] == (None, None) and abs(found["d"][1] - 7 / 2**0.5) < 1e-12
+    rows = extractor.word_rows(sentences, "example")
+    assert {(r.example, r.word, r.c) for r in rows.collect()} == {("a", "red", 2.0), ("a", "fox", 1.0), ("a", "king", 1.0), ("d", "blue", 1.0), ("d", "unseen", 1.0)}
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -126,3 +126,42 @@ def test_keywords_and_quantiles(spark):
     assert [tuple(r) for r in stats.keyword_counts(df).collect()] == [("a", 2), ("b", 1)]
     assert stats.sentence_quantiles(df, "t", {"p50": 0.5, "p75": 0.75}).first() == (2.0, 2.5)
     assert stats.average_length(df.withColumn("x", F.col("t")), "x").first()[0] == 2.0
+
+
+def _all_inputs(spark):
+    rows = [(k % 40, " ".join(f"w{(k * j) % 23}" for j in range(k % 9)), f"Z{k % 5} w{k % 7}, a" if k % 6 else None) for k in range(90)]
+    articles = spark.createDataFrame(rows, "id int, article string, lay_summary string")
+    vocab = inputs.vocabulary(articles, ["article", "lay_summary"], 24)
+    batch = inputs.model_inputs(articles, vocab, ["id"], 6, 4)
+    labels = inputs.label_inputs(articles, vocab, ["id"], 4)
+    assert sorted(map(tuple, labels.collect())) == sorted((r.id, r.labels) for r in batch.collect())
+    return sorted(map(tuple, batch.collect())), sorted(map(tuple, inputs.decoded(labels, vocab, ["id"]).collect()))
+
+
+@pytest.mark.parametrize("listed", [0, 1, 5])
+def test_rare_words_are_joined(spark, monkeypatch, listed):
+    """Copies, unknown words and nulls come out the same however few words a task holds."""
+    wanted = _all_inputs(spark)
+    assert len(wanted[0]) == len(wanted[1]) == 90 and any(1 in r[1] for r in wanted[0])
+    monkeypatch.setattr(inputs, "LISTED", listed)
+    assert _all_inputs(spark) == wanted
+
+
+def test_frequent_words_are_not_shuffled(spark):
+    """Rows whose words every task holds take no exchange; the entries of all their words did."""
+    articles = spark.createDataFrame([(1, "a b a", "a"), (2, "b", None)], "id int, article string, lay_summary string")
+    vocab = inputs.vocabulary(articles, ["article", "lay_summary"])
+    decoded = inputs.decoded(inputs.label_inputs(articles, vocab, ["id"]), vocab, ["id"])
+    for df in (inputs.model_inputs(articles, vocab, ["id"]), decoded):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_words_are_counted_in_pieces(spark, monkeypatch):
+    """Counts that are handed on before all words are read add up."""
+    from gistworks.functions import lookup
+
+    monkeypatch.setattr(lookup, "HELD", 1)
+    texts = [("a B c",), (None,), ("b",)] * 150
+    articles = spark.createDataFrame(texts, "article string").coalesce(1)
+    assert sorted(map(tuple, inputs.vocabulary(articles, ["article"]).collect())) == [("a", 3), ("b", 2), ("c", 4)]

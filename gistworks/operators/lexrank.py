@@ -206,6 +206,12 @@ def too_long(articles: DataFrame, sentences: Column) -> DataFrame | None:
     return None if long.isEmpty() else long
 
 
+def _exploded(rows: DataFrame, found: Column, *columns) -> DataFrame:
+    """``columns`` and the fields of the rows that ``found`` makes of a row, made once: Spark filters what it explodes
+    by its size, and a function that is exploded as it stands runs for that too."""
+    return with_computed(rows, _found=found).select(*columns, F.inline("_found"))
+
+
 def _rows_and(near: DataFrame, articles: DataFrame, sentences: Column, spread) -> DataFrame:
     """``near`` and what ``spread`` makes of the articles that are too long for their rows."""
     long = too_long(articles, sentences)
@@ -238,7 +244,7 @@ def term_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
         return _by_id(long, sents.join(terms, ["doc", "node"]).select("doc", "sent_idx", "term", "tf"))
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
-    near = rows.select("id", F.inline(graphs.term_rows("_words")))
+    near = _exploded(rows, graphs.term_rows("_words"), "id")
     return _rows_and(near, articles, _paragraph_sentences(), spread)
 
 
@@ -250,7 +256,7 @@ def inverse_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
         return _by_id(long, terms.groupBy("doc", "term").agg(F.any_value("idf").alias("idf")))
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
-    counted = rows.select("id", F.size("_split").alias("n"), F.inline(graphs.document_terms("_words")))
+    counted = _exploded(rows, graphs.document_terms("_words"), "id", F.size("_split").alias("n"))
     near = counted.select("id", "term", F.log(F.col("n") / (1 + F.col("sentences"))).alias("idf"))
     return _rows_and(near, articles, _paragraph_sentences(), spread)
 
@@ -264,7 +270,7 @@ def similar_sentences(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
         return _by_id(long, _with_sents(found, similar, "i", "j"))
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
-    near = rows.select("id", F.inline(graphs.similar_rows(THRESHOLD)("_words")))
+    near = _exploded(rows, graphs.similar_rows(THRESHOLD)("_words"), "id")
     return _rows_and(near, articles, _paragraph_sentences(), spread)
 
 
@@ -276,7 +282,7 @@ def edges(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
         return _by_id(long, _with_sents(found, transitions(weights, similar), "src", "dst"))
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
-    near = rows.select("id", F.inline(graphs.edge_rows(THRESHOLD)("_words")))
+    near = _exploded(rows, graphs.edge_rows(THRESHOLD)("_words"), "id")
     return _rows_and(near, articles, _paragraph_sentences(), spread)
 
 
@@ -298,7 +304,7 @@ def _with_scores(near: DataFrame, articles: DataFrame, sentences: Column, spread
 def ranked(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
     """The articles with ``_split``, their sentences, and ``_scores``, the score of each."""
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
-    near = rows.withColumn("_scores", graphs.power_scores(THRESHOLD, TOLERANCE)("_words"))
+    near = with_computed(rows, _scores=graphs.power_scores(THRESHOLD, TOLERANCE)("_words"))
 
     def spread(long: DataFrame) -> DataFrame:
         found, weights, similar = graph(long, stop_words)
@@ -448,7 +454,7 @@ def background_ranked(
     idf, unseen = background_idf(background, column)
     known, others = _listed(idf)
     rows = _with_further(in_rows(articles, sentences, text.word_tokens), known, others)
-    near = rows.withColumn("_scores", graphs.background_scores(known, unseen, threshold)("_words", "_further"))
+    near = with_computed(rows, _scores=graphs.background_scores(known, unseen, threshold)("_words", "_further"))
 
     def spread(long: DataFrame) -> DataFrame:
         found, weights = _background_graph(long, background, column)

@@ -176,3 +176,15 @@ def test_articles_are_ranked_in_their_rows(spark, make_articles):
     df = make_articles(ARTICLES)
     for found in (lexrank.ranked(df), lexrank.summaries(df), lexrank.similar_sentences(df), lexrank.edges(df), lexrank.term_frequencies(df)):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_function_runs_once_though_its_rows_are_exploded(spark, make_articles):
+    """Spark filters what it explodes by its size; the function did the work of a row again for that."""
+    df = make_articles(ARTICLES)
+    scores = F.posexplode("_scores")
+    exploded = [
+        lexrank.similar_sentences(df), lexrank.edges(df), lexrank.term_frequencies(df), lexrank.inverse_frequencies(df),
+        lexrank.ranked(df).select("id", scores), lexrank.background_ranked(df, df, "lay_summary", None).select("id", scores),
+    ]
+    for found in exploded:
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

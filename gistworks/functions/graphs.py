@@ -77,32 +77,40 @@ def standard(sentences: list[str]) -> Bags:
     return bags
 
 
-def similar(bags: Bags, threshold: float, inclusive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of bags i < j above the threshold, and their similarity."""
+def blocks(bags: Bags, threshold: float, inclusive: bool = False, rows: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pairs of bags above the threshold and their similarity, a block of bags at a time: of each bag with every
+    later one or, of those in the range ``rows``, with every other. Either way a pair sums up its words in one order."""
     size = len(bags.m)
     order = np.lexsort((bags.node, bags.term))
     node, term, w = bags.node[order], bags.term[order], bags.w[order]
-    later = np.searchsorted(term, term, side="right") - np.arange(len(term)) - 1
+    start = np.arange(1, len(term) + 1) if rows is None else np.searchsorted(term, term)
+    others = np.searchsorted(term, term, side="right") - start
     by_node = np.argsort(node, kind="stable")
-    upto = np.concatenate([[0], np.cumsum(later[by_node])])  # products up to an entry
+    upto = np.concatenate([[0], np.cumsum(others[by_node])])  # products up to an entry
     begin = np.searchsorted(node[by_node], np.arange(size + 1))  # entries up to a bag
-    found, first = [], 0
-    while first < size:
+    first, last = rows or (0, size)
+    while first < last:
         end = int(np.searchsorted(upto[begin], upto[begin[first]] + BLOCK, side="right")) - 1
-        end = min(max(end, first + 1), first + max(BLOCK // size, 1), size)
+        end = min(max(end, first + 1), first + max(BLOCK // size, 1), last)
         entries = by_node[begin[first] : begin[end]]
-        times = later[entries]
+        times = others[entries]
         i = np.repeat(entries, times)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+        j = np.arange(len(i)) + np.repeat(start[entries] - np.cumsum(times) + times, times)
         cell = (node[i] - first) * size + node[j]
         sums = np.round(np.bincount(cell, w[i] * w[j], (end - first) * size), PLACES)
         above = sums >= threshold if inclusive else sums > threshold
         if threshold <= 0:  # only bags that share a word
             above &= np.bincount(cell, minlength=(end - first) * size) > 0
+        if rows is not None:
+            above[np.arange(end - first) * (size + 1) + first] = False  # a bag and itself
         hits = np.flatnonzero(above)
-        found.append((hits // size + first, hits % size, sums[hits]))
+        yield hits // size + first, hits % size, sums[hits]
         first = end
-    columns = list(zip(*found)) or [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+
+
+def similar(bags: Bags, threshold: float, inclusive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of bags i < j above the threshold, and their similarity."""
+    columns = list(zip(*blocks(bags, threshold, inclusive))) or [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     return tuple(np.concatenate(c) for c in columns)
 
 
@@ -160,14 +168,14 @@ def _struct(**fields: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
 
 
-def _rows(kind: T.DataType, arrow: pa.DataType, run: Callable):
+def _rows(kind: T.DataType, arrow: pa.DataType, run: Callable, at_once: int = SLICE):
     """An Arrow function that applies ``run`` to each row; null where the first argument is null."""
 
     def over(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:  # a single argument comes by itself
         for batch in batches:
             parts, columns = [], batch if isinstance(batch, tuple) else (batch,)
-            for at in range(0, len(columns[0]), SLICE):
-                rows = zip(*(column.slice(at, SLICE).to_pylist() for column in columns))
+            for at in range(0, len(columns[0]), at_once):
+                rows = zip(*(column.slice(at, at_once).to_pylist() for column in columns))
                 parts.append(pa.array([None if row[0] is None else run(*row) for row in rows], arrow))
             yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
@@ -271,6 +279,39 @@ def background_scores(known: dict[str, float], unseen: float, threshold: float |
     return _rows(*DOUBLES, run)
 
 
+# --- parts of a document that is too long for one task ------------------------
+
+
+def _range(bags: Bags, part: int, parts: int) -> tuple[int, int]:
+    """The bags of one of so many parts."""
+    return len(bags.m) * part // parts, len(bags.m) * (part + 1) // parts
+
+
+def part_sums(threshold: float):
+    """An Arrow function of a document, a part, the number of parts, and the degrees and scores of all bags: one power
+    step of the bags of the part, and ``moved``, what they add to the square of its length. Without degrees and scores
+    it makes the degrees. No pair outlives its block."""
+
+    def run(sentences: list[str], part: int, parts: int, degree: list[float] | None, score: list[float] | None) -> dict:
+        bags = standard(sentences)
+        first, last = _range(bags, part, parts)
+        arriving = bags.m.astype(float)
+        if degree is not None:
+            arriving = np.divide(arriving, degree, out=np.zeros(len(bags.m)), where=np.array(degree) > 0) * score
+        sums = np.where(np.bincount(bags.node, minlength=len(bags.m)) > 0, arriving, 0.0)[first:last]
+        for i, j, _ in blocks(bags, threshold, rows=(first, last)):
+            sums += np.bincount(i - first, arriving[j], last - first)
+        moved = 0.0 if score is None else float((bags.m[first:last] * (sums - score[first:last]) ** 2).sum())
+        return {"sums": sums.tolist(), "moved": moved}
+
+    kind = T.StructType([T.StructField("sums", DOUBLES[0]), T.StructField("moved", T.DoubleType())])
+    return _rows(kind, pa.struct([("sums", DOUBLES[1]), ("moved", pa.float64())]), run, 1)
+
+
+#: Of a document and the scores of its bags the score of each sentence.
+by_sentence = _rows(*DOUBLES, lambda sentences, scores: Bags(sentences).per_sentence(np.round(np.array(scores, float), PLACES)), 1)
+
+
 # Ship these functions to the executors with the plan, so that a worker needs no
 # installation of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

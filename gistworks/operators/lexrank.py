@@ -2,12 +2,15 @@
 
 Sentences of a document with the same words are one *node* with a multiplicity:
 they have the same neighbours and the same score, and a line repeated a thousand
-times makes no pair. An article of up to CELL sentences is ranked in its row:
-column expressions split it into words, ``functions/graphs.py`` compares its
-sentences, and nothing is shuffled. A longer one is spread over tasks by joins
-and grouped sums: documents are keyed by their text, sentences are grouped by
-(document, bag of words), terms by (document, term), the graph by (document,
-node), and windows only go over one sentence.
+times makes no pair. An article of up to CELL different sentences is ranked in its
+row: column expressions split it into words, ``functions/graphs.py`` compares its
+sentences, and nothing is shuffled. A longer one is dealt out in parts, each with
+the words of the whole article: a task compares the sentences of its part with all
+others, and only a sum for each sentence comes back. Its other figures, and those
+of a background corpus, are spread over tasks by joins and grouped sums: documents
+are keyed by their text, sentences are grouped by (document, bag of words), terms
+by (document, term), the graph by (document, node), and windows only go over one
+sentence.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ THRESHOLD = 0.1
 TOLERANCE = 0.1
 PLACES = 9
 
-#: Sentences of a document that is ranked in its row; the term rows of a longer one are cut into blocks of so many.
+#: Different sentences of a document that is ranked in its row; a longer one is cut into parts or blocks of so many.
 CELL = 4096
 
 #: Words of a background corpus, the most frequent ones, whose weights every task holds; the others are joined.
@@ -134,40 +137,6 @@ def transitions(weights: DataFrame, similar: DataFrame) -> DataFrame:
     )
 
 
-def _step(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """One power step: (doc, node, m, old, score)."""
-    arriving = (
-        edges.join(state.select("doc", F.col("node").alias("src"), "score"), ["doc", "src"])
-        .groupBy("doc", F.col("dst").alias("node"))
-        .agg(F.sum(F.col("share") * F.col("score")).alias("arrived"))
-    )
-    return state.join(arriving, ["doc", "node"], "left").select(
-        "doc", "node", "m", F.col("score").alias("old"), F.coalesce("arrived", F.lit(0.0)).alias("score")
-    )
-
-
-def power_scores(node_table: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc, node, score): power steps from 1/n until the scores of a document
-    move by no more than the tolerance (L2). Finished documents leave the loop:
-    a step only reaches the edges of those that are left, which are written once
-    and stay partitioned by their source."""
-    edges = checkpointed(edges)
-    state = node_table.select("doc", "node", "m", (1 / F.col("n")).alias("score"))
-    finished: DataFrame | None = None
-    while True:
-        stepped = _step(edges, state)
-        change = F.col("score") - F.col("old")
-        moved = stepped.groupBy("doc").agg(
-            (F.round(F.sqrt(F.sum(F.col("m") * change * change)), PLACES) > tolerance).alias("open")
-        )
-        state = checkpointed(stepped.join(moved, "doc").select("doc", "node", "m", "score", "open"))
-        done = state.where("not open").select("doc", "node", "score")
-        finished = done if finished is None else finished.unionByName(done)
-        state = state.where("open").drop("open")
-        if state.isEmpty():
-            return finished.withColumn("score", F.round("score", PLACES))
-
-
 def graph(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, unit weights and similar pairs of the standard variant."""
     found = checkpointed(
@@ -191,30 +160,80 @@ def _letter_words(stop_words):
 
 def in_rows(articles: DataFrame, sentences: Column, words) -> DataFrame:
     """The articles with ``_split``, their sentences, and ``_words``, the words
-    of each joined by blanks; null in an article of more than CELL sentences."""
+    of each joined by blanks; null in an article of more than CELL different sentences."""
     df = with_computed(articles, _split=sentences)
-    joined = F.transform("_split", lambda s: F.array_join(words(s), " "))
-    return with_computed(df, _words=F.when(F.size("_split") <= CELL, joined))
+    df = with_computed(df, _joined=_joined(words))
+    few = (F.size("_split") <= CELL) | (F.size(F.array_distinct("_joined")) <= CELL)
+    return with_computed(df, _words=F.when(few, F.col("_joined"))).drop("_joined")
+
 
+def _joined(words) -> Column:
+    return F.transform("_split", lambda s: F.array_join(words(s), " "))
 
-def too_long(articles: DataFrame, sentences: Column) -> DataFrame | None:
-    """The articles of more than CELL sentences, found in one reading and
+
+def too_long(articles: DataFrame, sentences: Column, words) -> DataFrame | None:
+    """The articles of more than CELL different sentences, found in one reading and
     written; None if there are none. Every sentence but the last ends with a stop
     or a line, so that few are split to tell."""
     ends = F.length("article") - F.length(F.translate("article", ".!?\n", ""))
-    long = checkpointed(articles.where(F.length("article") >= CELL).where(ends >= CELL).where(F.size(sentences) > CELL))
+    some = articles.where(F.length("article") >= CELL).where(ends >= CELL)
+    rows = in_rows(some, sentences, words).where("_split IS NOT NULL AND _words IS NULL")
+    long = checkpointed(rows.select(*articles.columns))
     return None if long.isEmpty() else long
 
 
+def _texts(long: DataFrame, sentences: Column, words) -> DataFrame:
+    """(doc, _words): the different ones of the long articles, each sentence as its words joined by blanks."""
+    split = with_computed(with_document_key(long).select("doc", "article"), _split=sentences)
+    return checkpointed(split.select("doc", _joined(words).alias("_words")).dropDuplicates(["doc"]))
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    """The texts once for each part, dealt out: a part has about CELL sentences, or more where that makes more parts than
+    there are cores. A task compares the bags of its part with all bags, and no pair of bags is shuffled: what is
+    dealt out is the words of a text as often as it has parts."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    counted = texts.withColumn("parts", F.least(F.ceil(F.size("_words") / CELL), F.lit(cores)).cast("int"))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return parts.repartition(cores, "doc", "part")
+
+
+def _power_step(rows: DataFrame) -> DataFrame:
+    """(doc, sums, moved): ``graphs.part_sums`` of all parts of a text, put together."""
+    step = graphs.part_sums(THRESHOLD)("_words", "part", "parts", "degree", "score")
+    parts = with_computed(_parts(rows), _found=step).select("doc", "part", "_found.*")
+    placed = F.array_sort(F.collect_list(F.struct("part", "sums")))
+    return parts.groupBy("doc").agg(F.flatten(F.transform(placed, lambda p: p["sums"])).alias("sums"), F.sqrt(F.sum("moved")).alias("moved"))
+
+
+def power_lists(texts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc, _scores), a score for each sentence: power steps from 1/n until the scores of a text move by no more than
+    the tolerance (L2). A step finds the similar sentences again, so that the graph, which grows with the square of a
+    text, is never written; finished texts leave the loop."""
+    none = F.lit(None).cast("array<double>")
+    degrees = checkpointed(_power_step(texts.withColumns({"degree": none, "score": none})).select("doc", F.col("sums").alias("degree")))
+    weighted = texts.join(degrees, "doc")
+    state = weighted.withColumn("score", F.transform("degree", lambda _: 1 / F.size("_words")))
+    finished: DataFrame | None = None
+    while True:
+        stepped = checkpointed(_power_step(state).withColumn("open", F.round("moved", PLACES) > tolerance).drop("moved"))
+        done = stepped.where("not open").drop("open")
+        finished = done if finished is None else finished.unionByName(done)
+        still = stepped.where("open")
+        if still.isEmpty():
+            return texts.join(finished, "doc").select("doc", graphs.by_sentence("_words", "sums").alias("_scores"))
+        state = weighted.join(still.select("doc", F.col("sums").alias("score")), "doc")
+
+
 def _exploded(rows: DataFrame, found: Column, *columns) -> DataFrame:
     """``columns`` and the fields of the rows that ``found`` makes of a row, made once: Spark filters what it explodes
     by its size, and a function that is exploded as it stands runs for that too."""
     return with_computed(rows, _found=found).select(*columns, F.inline("_found"))
 
 
-def _rows_and(near: DataFrame, articles: DataFrame, sentences: Column, spread) -> DataFrame:
+def _rows_and(near: DataFrame, articles: DataFrame, sentences: Column, words, spread) -> DataFrame:
     """``near`` and what ``spread`` makes of the articles that are too long for their rows."""
-    long = too_long(articles, sentences)
+    long = too_long(articles, sentences, words)
     return near if long is None else near.unionByName(spread(long))
 
 
@@ -245,7 +264,7 @@ def term_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
     near = _exploded(rows, graphs.term_rows("_words"), "id")
-    return _rows_and(near, articles, _paragraph_sentences(), spread)
+    return _rows_and(near, articles, _paragraph_sentences(), _letter_words(stop_words), spread)
 
 
 def inverse_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
@@ -258,7 +277,7 @@ def inverse_frequencies(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
     counted = _exploded(rows, graphs.document_terms("_words"), "id", F.size("_split").alias("n"))
     near = counted.select("id", "term", F.log(F.col("n") / (1 + F.col("sentences"))).alias("idf"))
-    return _rows_and(near, articles, _paragraph_sentences(), spread)
+    return _rows_and(near, articles, _paragraph_sentences(), _letter_words(stop_words), spread)
 
 
 def similar_sentences(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
@@ -271,7 +290,7 @@ def similar_sentences(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
     near = _exploded(rows, graphs.similar_rows(THRESHOLD)("_words"), "id")
-    return _rows_and(near, articles, _paragraph_sentences(), spread)
+    return _rows_and(near, articles, _paragraph_sentences(), _letter_words(stop_words), spread)
 
 
 def edges(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
@@ -283,35 +302,33 @@ def edges(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
     near = _exploded(rows, graphs.edge_rows(THRESHOLD)("_words"), "id")
-    return _rows_and(near, articles, _paragraph_sentences(), spread)
+    return _rows_and(near, articles, _paragraph_sentences(), _letter_words(stop_words), spread)
 
 
-def _with_scores(near: DataFrame, articles: DataFrame, sentences: Column, spread) -> DataFrame:
+def _with_scores(near: DataFrame, articles: DataFrame, sentences: Column, words, spread) -> DataFrame:
     """The articles with ``_split`` and ``_scores``, a score for each sentence:
-    ``near`` for those ranked in their rows, and the others with the lists of
-    ``spread``'s (doc, sent_idx, score)."""
+    ``near`` for those ranked in their rows, and the others with ``spread``'s (doc, _scores)."""
     columns = [*articles.columns, "_split", "_scores"]
 
     def listed(long: DataFrame) -> DataFrame:
-        placed = F.array_sort(F.collect_list(F.struct("sent_idx", "score")))
-        lists = spread(long).groupBy("doc").agg(F.transform(placed, lambda s: s["score"]).alias("_scores"))
-        return with_document_key(with_computed(long, _split=sentences)).join(lists, "doc").select(*columns)
+        return with_document_key(with_computed(long, _split=sentences)).join(spread(long), "doc").select(*columns)
 
-    short = near.where(F.col("_split").isNull() | (F.size("_split") <= CELL)).select(*columns)
-    return _rows_and(short, articles, sentences, listed)
+    short = near.where("_split IS NULL OR _words IS NOT NULL").select(*columns)
+    return _rows_and(short, articles, sentences, words, listed)
+
+
+def _lists(scores: DataFrame) -> DataFrame:
+    """(doc, _scores) of (doc, sent_idx, score)."""
+    placed = F.array_sort(F.collect_list(F.struct("sent_idx", "score")))
+    return scores.groupBy("doc").agg(F.transform(placed, lambda s: s["score"]).alias("_scores"))
 
 
 def ranked(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
     """The articles with ``_split``, their sentences, and ``_scores``, the score of each."""
-    rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
+    sentences, words = _paragraph_sentences(), _letter_words(stop_words)
+    rows = in_rows(articles, sentences, words)
     near = with_computed(rows, _scores=graphs.power_scores(THRESHOLD, TOLERANCE)("_words"))
-
-    def spread(long: DataFrame) -> DataFrame:
-        found, weights, similar = graph(long, stop_words)
-        scores = power_scores(found, transitions(weights, similar))
-        return found.select("doc", "node", F.explode("sents").alias("sent_idx")).join(scores, ["doc", "node"]).drop("node")
-
-    return _with_scores(near, articles, _paragraph_sentences(), spread)
+    return _with_scores(near, articles, sentences, words, lambda long: power_lists(_texts(long, sentences, words)))
 
 
 def _per_document(scored: DataFrame) -> DataFrame:
@@ -463,12 +480,12 @@ def background_ranked(
             totals = weights.groupBy("doc", "term").agg(F.sum(F.col("m") * F.col("w")).alias("total"))
             products = weights.join(totals, ["doc", "term"]).groupBy("doc", "node")
             strength = products.agg(F.sum(F.col("w") * F.col("total")).alias("degree"))
-            return stationary_scores(found, strength, components(weights.select("doc", F.col("term").alias("grp"), "node")))
+            return _lists(stationary_scores(found, strength, components(weights.select("doc", F.col("term").alias("grp"), "node"))))
         graph_ = checkpointed(transitions(weights, similarities(weights, threshold, inclusive=True)))
         strength = graph_.groupBy("doc", F.col("src").alias("node")).agg(F.any_value("degree").alias("degree"))
-        return stationary_scores(found, strength, components(graph_.select("doc", F.col("src").alias("grp"), F.col("dst").alias("node"))))
+        return _lists(stationary_scores(found, strength, components(graph_.select("doc", F.col("src").alias("grp"), F.col("dst").alias("node")))))
 
-    return _with_scores(near, articles, sentences, spread)
+    return _with_scores(near, articles, sentences, text.word_tokens, spread)
 
 
 def background_scores(

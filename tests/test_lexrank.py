@@ -188,3 +188,48 @@ def test_a_function_runs_once_though_its_rows_are_exploded(spark, make_articles)
     ]
     for found in exploded:
         assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def starred(n):
+    """``n`` different sentences; the first one shares a word with each of the others, which else share little."""
+    hub = "Hub " + " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(0, n, 3)) + "."
+    return " ".join([hub, *(f"Item w{chr(97 + i // 26)}{chr(97 + i % 26)} v{chr(97 + i % 7)} u{chr(97 + i % 5)}." for i in range(n - 1))])
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_no_pair_of_sentences_of_a_long_article_is_written(make_articles, monkeypatch, n):
+    """What is written grows with the sentences, not with their pairs; the scores are those of one row."""
+    rows = [(1, starred(n), "x"), (2, starred(n), "y"), (3, ARTICLES[0][1], "z"), (4, ARTICLES[6][1], ""), (5, None, "")]
+    articles, written, checkpointed = make_articles(rows), [], lexrank.checkpointed
+    scores = lambda: sorted((r.id, [round(x, 8) for x in r._scores or []]) for r in lexrank.ranked(articles).select("id", "_scores").collect())
+    whole = scores()
+    monkeypatch.setattr(lexrank, "CELL", 8)
+    monkeypatch.setattr(lexrank, "checkpointed", lambda df: written.append((done := checkpointed(df)).count()) or done)
+    assert scores() == whole and len(whole) == 5 and len(whole[0][1]) == n
+    assert np.allclose(whole[0][1], plain_scores(split(starred(n))), atol=1e-7)
+    assert 0 < sum(written) < n
+
+
+def test_a_step_finds_the_sums_of_all_pairs():
+    """The parts of a document, put together, are its degrees and its power step."""
+    sentences = [x.lower().replace(".", "") for x in split(starred(50))] + ["", "alone", "item wab"]
+    bags = graphs.standard(sentences)
+    i, j, _ = graphs.similar(bags, 0.1)
+    src, dst, degree = graphs.linked(bags, i, j)
+    found = [np.zeros(0, int)] * 2
+    for part in range(7):
+        first, last = graphs._range(bags, part, 7)
+        pairs = [np.concatenate(c) for c in zip(*((a, b) for a, b, _ in graphs.blocks(bags, 0.1, rows=(first, last))))]
+        found = [np.concatenate([x, y]) for x, y in zip(found, pairs)]
+    apart = src != dst
+    assert sorted(zip(*map(np.ndarray.tolist, found))) == sorted(zip(src[apart].tolist(), dst[apart].tolist())) and apart.sum() > 100
+
+
+def test_repeated_lines_are_ranked_in_their_row(make_articles, monkeypatch):
+    """An article of many sentences of which few differ is not spread."""
+    articles = make_articles([(1, "\n\n".join(f"Cats chase mice {'abc'[i % 3]}{'de'[i % 2]}." for i in range(90)), "x")])
+    whole = lexrank.ranked(articles).first()._scores
+    monkeypatch.setattr(lexrank, "CELL", 8)
+    found = lexrank.ranked(articles)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "Union" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first()._scores == whole and len(whole) == 90

@@ -312,6 +312,52 @@ def part_sums(threshold: float):
 by_sentence = _rows(*DOUBLES, lambda sentences, scores: Bags(sentences).per_sentence(np.round(np.array(scores, float), PLACES)), 1)
 
 
+def _numbered_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, Bags, int, int]]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            bags = standard(row["_words"])
+            yield row["doc"], bags, *_range(bags, row["part"], row["parts"])
+
+
+def _batch(doc: bytes, bags: Bags, ends: tuple[str, str], a: np.ndarray, b: np.ndarray, **figures: np.ndarray) -> pa.RecordBatch:
+    """Rows of two bags each, named by their first sentences, with the sentences of both."""
+    members, first = pa.array(bags.members, pa.list_(pa.int32())), np.array([s[0] for s in bags.members], np.int32)
+    columns = {"doc": pa.array([doc] * len(a), pa.binary()), ends[0]: pa.array(first[a]), ends[1]: pa.array(first[b])}
+    columns |= {name: pa.array(x) for name, x in figures.items()}
+    columns |= {f"sents_{name}": members.take(pa.array(x)) for name, x in zip(ends, (a, b))}
+    return pa.record_batch(list(columns.values()), list(columns))
+
+
+def part_pairs(threshold: float):
+    """For ``mapInArrow`` over parts: the similar pairs of the bags of a part and later ones, a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, bags, first, last in _numbered_parts(batches):
+            m = bags.m.astype(np.int32)
+            for i, j, x in blocks(bags, threshold, rows=(first, last)):
+                i, j, x = (c[i < j] for c in (i, j, x))
+                yield _batch(doc, bags, ("i", "j"), i, j, m_i=m[i], m_j=m[j], similarity=x)
+
+    return run
+
+
+def part_edges(threshold: float):
+    """For ``mapInArrow`` over parts: the edges from the bags of a part, a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, bags, first, last in _numbered_parts(batches):
+            weighted = np.bincount(bags.node, minlength=len(bags.m)) > 0
+            degree = np.where(weighted, bags.m, 0)
+            own = np.flatnonzero(weighted[first:last]) + first
+            for src, dst, _ in blocks(bags, threshold, rows=(first, last)):  # holds all edges of its bags
+                degree += np.bincount(src, bags.m[dst], len(bags.m)).astype(np.int64)
+                yield _batch(doc, bags, ("src", "dst"), src, dst, degree=degree[src], share=bags.m[src] / degree[src])
+            yield _batch(doc, bags, ("src", "dst"), own, own, degree=degree[own], share=bags.m[own] / degree[own])
+
+    return run
+
+
 # Ship these functions to the executors with the plan, so that a worker needs no
 # installation of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

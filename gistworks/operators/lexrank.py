@@ -6,8 +6,8 @@ times makes no pair. An article of up to CELL different sentences is ranked in i
 row: column expressions split it into words, ``functions/graphs.py`` compares its
 sentences, and nothing is shuffled. A longer one is dealt out in parts, each with
 the words of the whole article: a task compares the sentences of its part with all
-others, and only a sum for each sentence comes back. Its other figures, and those
-of a background corpus, are spread over tasks by joins and grouped sums: documents
+others, and only a sum for each sentence, or the pairs asked for, come back. Its
+term figures, and the graph of a background corpus, are spread over tasks by joins and grouped sums: documents
 are keyed by their text, sentences are grouped by (document, bag of words), terms
 by (document, term), the graph by (document, node), and windows only go over one
 sentence.
@@ -242,13 +242,6 @@ def _by_id(articles: DataFrame, per_document: DataFrame) -> DataFrame:
     return with_document_key(articles).select("id", "doc").join(per_document, "doc").drop("doc")
 
 
-def _with_sents(found: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of nodes with the sentences each node stands for."""
-    for end in (a, b):
-        pairs = pairs.join(found.select("doc", F.col("node").alias(end), F.col("sents").alias(f"sents_{end}")), ["doc", end])
-    return pairs
-
-
 def _standard_frequencies(articles: DataFrame, stop_words) -> tuple[DataFrame, DataFrame]:
     found = nodes(articles, _paragraph_sentences(), _letter_words(stop_words))
     return found, frequencies(term_counts(found))
@@ -285,8 +278,9 @@ def similar_sentences(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
     every article above the threshold, with the sentences of both."""
 
     def spread(long: DataFrame) -> DataFrame:
-        found, _, similar = graph(long, stop_words)
-        return _by_id(long, _with_sents(found, similar, "i", "j"))
+        parts = _parts(_texts(long, _paragraph_sentences(), _letter_words(stop_words)))
+        found = "doc binary, i int, j int, m_i int, m_j int, similarity double, sents_i array<int>, sents_j array<int>"
+        return _by_id(long, parts.mapInArrow(graphs.part_pairs(THRESHOLD), found))
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
     near = _exploded(rows, graphs.similar_rows(THRESHOLD)("_words"), "id")
@@ -297,8 +291,9 @@ def edges(articles: DataFrame, stop_words=ENGLISH) -> DataFrame:
     """(id, src, dst, degree, share, sents_src, sents_dst) of the graph of every article."""
 
     def spread(long: DataFrame) -> DataFrame:
-        found, weights, similar = graph(long, stop_words)
-        return _by_id(long, _with_sents(found, transitions(weights, similar), "src", "dst"))
+        parts = _parts(_texts(long, _paragraph_sentences(), _letter_words(stop_words)))
+        found = "doc binary, src int, dst int, degree bigint, share double, sents_src array<int>, sents_dst array<int>"
+        return _by_id(long, parts.mapInArrow(graphs.part_edges(THRESHOLD), found))
 
     rows = in_rows(articles, _paragraph_sentences(), _letter_words(stop_words))
     near = _exploded(rows, graphs.edge_rows(THRESHOLD)("_words"), "id")

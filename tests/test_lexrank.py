@@ -233,3 +233,16 @@ def test_repeated_lines_are_ranked_in_their_row(make_articles, monkeypatch):
     found = lexrank.ranked(articles)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "Union" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.first()._scores == whole and len(whole) == 90
+
+
+@pytest.mark.parametrize("run", [lexrank.similar_sentences, lexrank.edges])
+def test_pairs_of_a_long_article_are_found_in_parts(make_articles, monkeypatch, run):
+    """The pairs and edges are those of one row; nothing but the article is written for them."""
+    rows = [(1, starred(60) + " Hub once. Hub once. The.", "x"), (2, starred(60), "y"), (2, starred(60), "y"), (3, ARTICLES[0][1], "z")]
+    articles, written, checkpointed = make_articles(rows), [], lexrank.checkpointed
+    found = lambda: sorted(tuple(str(r[c]) for c in sorted(r.asDict())) for r in run(articles).collect())
+    whole = found()
+    monkeypatch.setattr(lexrank, "CELL", 8)
+    monkeypatch.setattr(lexrank, "checkpointed", lambda df: written.append((done := checkpointed(df)).count()) or done)
+    assert found() == whole and len(whole) > 300
+    assert 0 < sum(written) < 10

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -117,3 +119,18 @@ def test_labels_without_a_join_are_those_of_the_join(make_articles):
         assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, joined.collect()), key=repr)
     alone = labels.labelled(make_articles(rows), 1)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in alone and "Join" not in alone
+
+
+def test_a_sentence_is_read_once_for_all_targets(monkeypatch):
+    """The selection is that of separate scores and best sentences, and each article is cut into words once."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(("Ab", "cd", "éf", "gh", "KK", "x\ny")) for _ in range(n))
+    cut = []
+    monkeypatch.setattr(rouge, "words_of", lambda texts, plain=rouge.words_of: cut.append(len(texts)) or plain(texts))
+    for _ in range(300):
+        sentences, targets = [text(rng.randint(0, 6)) for _ in range(rng.randint(0, 8))], [text(rng.randint(0, 5)) for _ in range(rng.randint(1, 4))]
+        a, b = rouge._plain(sentences), rouge._plain(targets)
+        scores, best = rouge._scores(a, b), rouge._best(a, b[1:])
+        expected = sorted({*sorted(range(len(a)), key=lambda i: -scores[i])[:2], *(i for i, _ in best)})
+        assert rouge._selected(sentences, b, 2) == expected
+    assert len(cut) == 300

@@ -101,3 +101,20 @@ def test_empty_tables(spark):
     assert sampling.train_eval_split(df).collect() == []
     assert sampling.balance_classes(df, ["id"]).collect() == []
     assert sampling.first_fraction(df).collect() == []
+
+
+def test_a_place_is_computed_once(spark):
+    """The order of a row is hashed once, however many cuts it is compared with."""
+    df = spark.range(500).withColumn("label", F.col("id") % 2)
+    split = sampling.stratified_split(df, ["id"])
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and split.columns == ["id", "label", "split"]
+
+
+def test_a_range_is_narrowed_around_its_cuts():
+    """A sample leaves the places between which a cut most likely lies, not an even share of all."""
+    found = list(range(4096))
+    low, high = sampling._around(found, [0.5])
+    assert low < 2048 < high and high - low < 4096 / 16
+    assert sampling._around(found, [1.0]) == [4095] and sampling._around([7, 7, 7], [0.5]) == [7]
+    assert len(sampling._around(found, [0.1, 0.2, 0.6, 0.7])) == 8

@@ -118,3 +118,21 @@ def test_a_range_is_narrowed_around_its_cuts():
     assert low < 2048 < high and high - low < 4096 / 16
     assert sampling._around(found, [1.0]) == [4095] and sampling._around([7, 7, 7], [0.5]) == [7]
     assert len(sampling._around(found, [0.1, 0.2, 0.6, 0.7])) == 8
+
+
+def test_all_ranges_are_narrowed_in_one_pass(spark, monkeypatch):
+    """A round reads the rows twice, for a sample and for counts, however many cuts are apart."""
+    monkeypatch.setattr(sampling, "RANKED", 50)
+    monkeypatch.setattr(sampling, "SAMPLE", 200)
+    df = spark.range(4000).withColumn("k", F.md5(F.col("id").cast("string")))
+    rounds = []
+    monkeypatch.setattr(sampling, "_around", lambda found, shares, whole=sampling._around: rounds.append(len(shares)) or whole(found, shares))
+    passes = []
+    kind = type(df)
+    monkeypatch.setattr(kind, "collect", lambda self, plain=kind.collect: passes.append(1) or plain(self))
+    ns = [400, 1200, 2000, 3600]
+    found = sampling.find_cuts(df, F.struct("k"), ns, 4000)
+    monkeypatch.undo()
+    expected = sorted(r.k for r in df.collect())
+    assert [c.place[0] for c in found] == [expected[n - 1] for n in ns] and [c.below for c in found] == [n - 1 for n in ns]
+    assert rounds[0] == 4 and len(rounds) >= 5 and len(passes) < 2 * len(rounds) + 1
